@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import oracles
+from tidemark.llm import language, oracles, toxicity
 from tidemark.llm.bpe import codec_of, token_digests
 from tidemark.llm.media import media_digests
 from tidemark.llm.mixing import mix
-from tidemark.llm.shared import table
+from tidemark.llm.shared import fold, table
 
 
 def tokenizer_path(name: str) -> str:
@@ -20,6 +20,20 @@ def tokenizer_path(name: str) -> str:
     return str(public_tokenizers.path(name))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    held_out = (fold("doc_id", toxicity.FOLDS) == toxicity.HELD_OUT).alias("held_out")
+    return toxicity.score(docs.select("doc_id", held_out, "text"), model).drop("text")
+
+
+def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = language.fit(docs)
+    held_out = (fold("doc_id", language.FOLDS) == language.HELD_OUT).alias("held_out")
+    return language.identify(docs.select("doc_id", held_out, "text"), model).drop("text")
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digests(table(spark, sf_dir, "documents"), codec_of(tokenizer_path("byte_bpe_50k.json")))
 
@@ -33,6 +47,8 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_toxicity": op3_toxicity,
+    "op5_language": op5_language,
     "op6_bpe": op6_bpe,
     "op9_mixing": op9_mixing,
     "op10_media": op10_media,
