@@ -18,9 +18,6 @@ from __future__ import annotations
 
 import hashlib
 import json
-import re
-import sys
-import unicodedata
 from array import array
 from collections.abc import Callable
 from functools import cache
@@ -29,16 +26,9 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from tidemark.llm.presplit import Splitter
 from tidemark.llm.shared import map_batches, texts_of
 
-#: The pre-splitting pattern of byte-level BPE, with Unicode's white space spelled out. Letters and digits
-#: come first, which changes no match. The standard library has no class for numbers: texts with numbers that are no
-#: decimal digits take the slower pattern.
-SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-ENDINGS = "'(?:s|t|re|ve|m|ll|d)"
-PATTERN = rf" ?\p{{L}}+| ?\p{{N}}+|{ENDINGS}| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
-QUICK = rf" ?[^\W\d_]+| ?\d+|{ENDINGS}| ?(?:[^{SPACE}\w]|_)+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
-
 #: Words in each of the two generations of a worker's table, and transitions kept in the automaton's.
 WORDS = 240_000
 ARCS = 400_000
@@ -176,25 +166,21 @@ class Codec:
         self.labels = list(labels)
         for text, k in added.items():
             self.labels[k] = text.encode()
-        self.added, self.odd_numbers = added, odd_numbers()
+        self.added, self.splitter = added, Splitter()
         self.compiled()
 
     def compiled(self) -> None:
-        self.quick, self.slow = re.compile(QUICK).findall, regex.compile(PATTERN).findall
-        self.odd = re.compile(self.odd_numbers).search
+        self.split = self.splitter.split
         self.cut = regex.compile("|".join(map(regex.escape, sorted(self.added, key=len, reverse=True)))) if self.added else None
         self.words = Words(self.automaton)
 
     def __getstate__(self) -> dict:
-        return {"automaton": self.automaton, "labels": self.labels, "added": self.added, "odd_numbers": self.odd_numbers}
+        return {"automaton": self.automaton, "labels": self.labels, "added": self.added, "splitter": self.splitter}
 
     def __setstate__(self, state: dict) -> None:
         self.__dict__ |= state
         self.compiled()
 
-    def split(self, text: str) -> list[str]:
-        return self.quick(text) if text.isascii() or not self.odd(text) else self.slow(text)
-
     def encode(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
         words = self.words
@@ -233,21 +219,6 @@ class Words(dict):
             self.clear()
 
 
-@cache
-def odd_numbers() -> str:
-    """Characters on which the two patterns may differ: numbers that are no decimal digits, and what only one library knows."""
-    letter, number = regex.compile(r"\p{L}").match, regex.compile(r"\p{N}").match
-    points = (chr(k) for k in range(128, sys.maxunicode + 1) if not 0xD800 <= k < 0xE000)
-    odd = [c for c in points if unicodedata.category(c) in ("Nl", "No") or bool(letter(c)) != bool(c.isalpha()) or bool(number(c)) != bool(c.isdecimal())]
-    spans: list[list[int]] = []
-    for k in map(ord, odd):
-        if spans and spans[-1][1] == k - 1:
-            spans[-1][1] = k
-        else:
-            spans.append([k, k])
-    return "[" + "".join(f"{chr(a)}-{chr(b)}" for a, b in spans) + "]"
-
-
 def codec_of(path: str) -> Codec:
     """Compile a vocabulary file; on the driver only, the executors get the tables."""
     with open(path, encoding="utf-8") as f:

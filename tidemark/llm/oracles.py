@@ -31,3 +31,13 @@ p AS (
   FROM k JOIN e ON k.source IS NOT DISTINCT FROM e.source)
 SELECT doc_id, size, source_size, target, (size * (epochs + (before + size / 2.0 <= rest)::INT))::BIGINT AS taken FROM p
 """
+
+NEAREST = """
+WITH e AS (SELECT DISTINCT vec_id, list_transform(range(1, 65), lambda i: coalesce(embedding[i] > 0, false)) AS code FROM embeddings WHERE embedding IS NOT NULL),
+p AS (
+  SELECT q.vec_id AS query_id, q.code AS query, e.vec_id AS id,
+         list_sum(list_transform(range(1, 65), lambda i: (q.code[i] <> e.code[i])::INT))::INT AS distance
+  FROM e q, e WHERE q.vec_id % 50 = 0 AND NOT (q.vec_id = e.vec_id AND q.code = e.code)),
+r AS (SELECT query_id, id, distance, row_number() OVER (PARTITION BY query_id, query ORDER BY distance, id)::INT AS place FROM p)
+SELECT * FROM r WHERE place <= 10
+"""

@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm import language, oracles, toxicity
 from tidemark.llm.bpe import codec_of, token_digests
+from tidemark.llm.hamming import nearest
 from tidemark.llm.media import media_digests
 from tidemark.llm.mixing import mix
 from tidemark.llm.shared import fold, table
+from tidemark.llm.token_counts import count_tokens, pieces_of
 
 
 def tokenizer_path(name: str) -> str:
@@ -27,6 +29,10 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs.select("doc_id", held_out, "text"), model).drop("text")
 
 
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return count_tokens(table(spark, sf_dir, "documents"), pieces_of(tokenizer_path("byte_bpe_50k.tiktoken")))
+
+
 def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = language.fit(docs)
@@ -38,6 +44,10 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digests(table(spark, sf_dir, "documents"), codec_of(tokenizer_path("byte_bpe_50k.json")))
 
 
+def op8_nearest_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -48,12 +58,15 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_toxicity": op3_toxicity,
+    "op4_token_counts": op4_token_counts,
     "op5_language": op5_language,
     "op6_bpe": op6_bpe,
+    "op8_nearest_codes": op8_nearest_codes,
     "op9_mixing": op9_mixing,
     "op10_media": op10_media,
 }
 
 SQL: dict[str, str] = {
+    "op8_nearest_codes": oracles.NEAREST,
     "op9_mixing": oracles.MIXING,
 }
