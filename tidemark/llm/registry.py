@@ -13,6 +13,7 @@ from tidemark.llm.media import media_digests
 from tidemark.llm.mixing import mix
 from tidemark.llm.shared import fold, table
 from tidemark.llm.token_counts import count_tokens, pieces_of
+from tidemark.llm.warc import archived
 
 
 def tokenizer_path(name: str) -> str:
@@ -22,6 +23,10 @@ def tokenizer_path(name: str) -> str:
     return str(public_tokenizers.path(name))
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archived(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
@@ -57,6 +62,7 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_warc": op1_warc,
     "op3_toxicity": op3_toxicity,
     "op4_token_counts": op4_token_counts,
     "op5_language": op5_language,
@@ -67,6 +73,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 SQL: dict[str, str] = {
+    "op1_warc": oracles.WARC,
     "op8_nearest_codes": oracles.NEAREST,
     "op9_mixing": oracles.MIXING,
 }
