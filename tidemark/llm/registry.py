@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tidemark.llm import language, oracles, toxicity
 from tidemark.llm.bpe import codec_of, token_digests
 from tidemark.llm.hamming import nearest
+from tidemark.llm.html_text import with_main_text
 from tidemark.llm.media import media_digests
 from tidemark.llm.mixing import mix
 from tidemark.llm.shared import fold, table
@@ -49,6 +50,10 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digests(table(spark, sf_dir, "documents"), codec_of(tokenizer_path("byte_bpe_50k.json")))
 
 
+def op7_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return with_main_text(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
 def op8_nearest_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(table(spark, sf_dir, "embeddings"))
 
@@ -67,6 +72,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_token_counts": op4_token_counts,
     "op5_language": op5_language,
     "op6_bpe": op6_bpe,
+    "op7_main_text": op7_main_text,
     "op8_nearest_codes": op8_nearest_codes,
     "op9_mixing": op9_mixing,
     "op10_media": op10_media,
