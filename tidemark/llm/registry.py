@@ -12,6 +12,7 @@ from tidemark.llm.hamming import nearest
 from tidemark.llm.html_text import with_main_text
 from tidemark.llm.media import media_digests
 from tidemark.llm.mixing import mix
+from tidemark.llm.ngram_join import ngram_classes
 from tidemark.llm.shared import fold, table
 from tidemark.llm.token_counts import count_tokens, pieces_of
 from tidemark.llm.warc import archived
@@ -28,6 +29,10 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archived(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_classes(table(spark, sf_dir, "documents"))
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
@@ -68,6 +73,7 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
+    "op2_ngram_join": op2_ngram_join,
     "op3_toxicity": op3_toxicity,
     "op4_token_counts": op4_token_counts,
     "op5_language": op5_language,
@@ -80,6 +86,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 SQL: dict[str, str] = {
     "op1_warc": oracles.WARC,
+    "op2_ngram_join": oracles.NGRAM_JOIN,
     "op8_nearest_codes": oracles.NEAREST,
     "op9_mixing": oracles.MIXING,
 }
