@@ -141,18 +141,19 @@ def fit(docs: DataFrame) -> Model:
     return model_of(rows, languages)
 
 
-def identify(docs: DataFrame, model: Model) -> DataFrame:
-    """docs with lang_pred and score added; a row for every row."""
+def identify(docs: DataFrame, model: Model, language_column: str = "lang_pred", score_column: str = "score") -> DataFrame:
+    """docs with the language and its score added, in place of columns of those names; a row for every row."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    docs = docs.drop(language_column, score_column)
 
     def make() -> Callable[[pa.RecordBatch], pa.RecordBatch]:
         own = shared.value
 
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
             langs, scores = zip(*map(own.predict, batch.column("text").to_pylist()), strict=True)
-            return pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*batch.schema.names, "lang_pred", "score"])
+            return pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*batch.schema.names, language_column, score_column])
 
         return work
 
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name not in ("lang_pred", "score"))
-    return map_batches(docs.drop("lang_pred", "score"), f"{kept}, lang_pred string, score double", make)
+    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+    return map_batches(docs, f"{kept}, `{language_column}` string, `{score_column}` double", make)

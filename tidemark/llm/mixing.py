@@ -100,11 +100,41 @@ def take(docs: DataFrame, plan: DataFrame) -> DataFrame:
     return both.withColumn("repeats", F.col("epochs") + F.col("extra")).withColumn("taken", F.col("size") * F.col("repeats"))
 
 
-def mix(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", source_column: str = "source") -> DataFrame:
-    """(doc_id, source, size, source_size, target, taken, repeats), a row for every row of df."""
+def narrow(df: DataFrame, id_column: str, text_column: str, source_column: str) -> DataFrame:
+    """(doc_id, source, size, key, bucket): all that the mix needs of the documents, read from the text once."""
     text = F.col(text_column)
     docs = df.select(F.col(id_column).alias("doc_id"), F.col(source_column).alias("source"), sizes(text).alias("size"), quality(text).alias("quality"))
-    docs = written(docs.withColumn("u", uniform(F.col("doc_id"), F.col("size"))), "mix")
-    docs = drawn(docs)
+    return drawn(written(docs.withColumn("u", uniform(F.col("doc_id"), F.col("size"))), "mix"))
+
+
+def mix(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", source_column: str = "source") -> DataFrame:
+    """(doc_id, source, size, source_size, target, taken, repeats), a row for every row of df."""
+    docs = narrow(df, id_column, text_column, source_column)
     plan = targets(docs.groupBy("source").agg(F.sum("size").alias("source_size")))
     return take(docs, plan).select("doc_id", "source", "size", "source_size", "target", "taken", "repeats")
+
+
+#: A plan of no more sources than this is broadcast to the documents; a larger one is joined by shuffle.
+BROADCAST_SOURCES = 50_000
+
+
+def mixture(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", source_column: str = "source") -> DataFrame:
+    """The rows of the mix themselves: every row of df as often as the mix takes it, with the columns of df.
+
+    The mix of a source is its epochs and the last document drawn beyond them, so the texts need no shuffle: each row
+    compares its own key with that of its source. Rows that repeat the last one drawn are taken with it.
+    """
+    docs = narrow(df, id_column, text_column, source_column)
+    plan = targets(docs.groupBy("source").agg(F.sum("size").alias("source_size")))
+    place = lambda d: F.struct(F.col("key"), d.isNull().alias("no_id"), d.alias("id"), F.col("size"))
+    last = F.max(F.when(F.col("extra") == 1, place(F.col("doc_id")))).alias("last")
+    per_source = written(take(docs, plan).groupBy("source").agg(F.max("epochs").alias("epochs"), last).withColumnRenamed("source", "mix_source"), "plan")
+    if per_source.count() <= BROADCAST_SOURCES:
+        per_source = F.broadcast(per_source)
+    text, source, doc_id = F.col(text_column), F.col(source_column), F.col(id_column)
+    rows = df.withColumn("mix_size", sizes(text)).withColumn("mix_u", uniform(doc_id, F.col("mix_size")))
+    rows = rows.withColumn("mix_key", -F.log(F.col("mix_u")) / quality(text)).join(per_source, source.eqNullSafe(F.col("mix_source")))
+    own = F.struct(F.col("mix_key").alias("key"), doc_id.isNull().alias("no_id"), doc_id.alias("id"), F.col("mix_size").alias("size"))
+    extra = F.coalesce((own <= F.col("last")).cast("int"), F.lit(0))
+    rows = rows.withColumn("mix_copy", F.explode(F.array_repeat(F.lit(0), F.col("epochs").cast("int") + extra)))
+    return rows.select(*(df[c] for c in df.columns))

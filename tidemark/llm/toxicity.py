@@ -145,9 +145,10 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     return Model({x: float(y) for x, y in zip(words, w, strict=True)}, b, prior)
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """docs with score (0 to 1) and predicted (1 from 0.5 on) added; a row for every row."""
+def score(docs: DataFrame, model: Model, score_column: str = "score", predicted_column: str = "predicted") -> DataFrame:
+    """docs with score (0 to 1) and predicted (1 from 0.5 on) added, in place of columns of those names; a row for every row."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    docs = docs.drop(score_column, predicted_column)
 
     def make() -> Callable[[pa.RecordBatch], pa.RecordBatch]:
         own = shared.value
@@ -155,9 +156,9 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
             scores = sigmoid(np.array([own.margin(t) for t in texts_of(batch)]))
             extra = [pa.array(scores, pa.float64()), pa.array((scores >= 0.5).astype(np.int32), pa.int32())]
-            return pa.RecordBatch.from_arrays([*batch.columns, *extra], names=[*batch.schema.names, "score", "predicted"])
+            return pa.RecordBatch.from_arrays([*batch.columns, *extra], names=[*batch.schema.names, score_column, predicted_column])
 
         return work
 
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name not in ("score", "predicted"))
-    return map_batches(docs.drop("score", "predicted"), f"{kept}, score double, predicted int", make)
+    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+    return map_batches(docs, f"{kept}, `{score_column}` double, `{predicted_column}` int", make)
