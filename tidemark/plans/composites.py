@@ -38,7 +38,7 @@ sum(l_quantity::DECIMAL(12,2)) AS assets, sum(l_quantity::DECIMAL(12,2) * l_disc
 f AS (SELECT * FROM s WHERE report_type = 0 QUALIFY row_number() OVER (PARTITION BY code, y, q ORDER BY pub_date, source_id) = 1),
 e AS (SELECT c_nationkey AS code, year(o_orderdate)::INT AS y, quarter(o_orderdate)::INT AS q, count(*)::BIGINT AS eps FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_nationkey % 2 = 0 GROUP BY ALL)
 SELECT f.code, f.y, f.q, f.pub_date, f.profit::DOUBLE AS profit, e.eps, round((f.revenue::DOUBLE - f.cost::DOUBLE) / nullif(f.revenue::DOUBLE, 0), 9) AS gross_margin, round(f.liability::DOUBLE / nullif(f.assets::DOUBLE, 0), 9) AS debt_ratio,
-round(CASE WHEN f.q = 4 THEN f.profit ELSE f.profit + a.profit - b.profit END::DOUBLE, 2) AS profit_ttm,
+round(CASE WHEN f.q = 4 THEN f.profit ELSE f.profit + a.profit - b.profit END::DOUBLE, 4) AS profit_ttm,
 CASE WHEN f.q = 4 THEN f.pub_date WHEN a.code IS NOT NULL AND b.code IS NOT NULL THEN greatest(f.pub_date, a.pub_date, b.pub_date) END AS profit_ttm_available,
 round(CASE WHEN b.profit > 0 THEN f.profit::DOUBLE / b.profit::DOUBLE - 1 END, 9) AS profit_yoy
 FROM f LEFT JOIN f a ON a.code = f.code AND a.y = f.y - 1 AND a.q = 4 LEFT JOIN f b ON b.code = f.code AND b.y = f.y - 1 AND b.q = f.q
@@ -55,7 +55,7 @@ def financials_pit(t: Tables) -> DataFrame:
     orders = t.orders.join(t.customer, F.col("o_custkey") == F.col("c_custkey")).filter("c_nationkey % 2 = 0")
     eps = orders.groupBy(F.col("c_nationkey").alias("code"), F.year("o_orderdate").alias("y"), F.quarter("o_orderdate").alias("q")).agg(F.count("*").alias("eps"))
     out = build_financials_pit(rows.drop("assets", "liability"), rows.drop("revenue", "cost", "profit"), eps, "code", "y", "q")
-    rounded = {"gross_margin": 9, "debt_ratio": 9, "profit_ttm": 2, "profit_yoy": 9}
+    rounded = {"gross_margin": 9, "debt_ratio": 9, "profit_ttm": 4, "profit_yoy": 9}
     return out.select("code", "y", "q", "pub_date", "profit", "eps", "profit_ttm_available", *(F.round(c, n).alias(c) for c, n in rounded.items()))
 
 
