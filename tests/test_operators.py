@@ -29,6 +29,10 @@ def test_asof_equals_its_interval_form(spark):
     left = spark.range(200).select(F.col("id"), (F.col("id") % 7).alias("k"), F.date_add(F.lit(d("2024-01-01")), (F.col("id") * 13 % 90).cast("int")).alias("t"))
     right = spark.range(60).select((F.col("id") % 7).alias("k"), F.date_add(F.lit(d("2024-01-01")), (F.col("id") * 5 % 90).cast("int")).alias("u"), F.col("id").alias("v")).dropDuplicates(["k", "u"])
     spans = intervals.events_to_intervals(right, ["k"], "u", ["v"])
+    left = left.unionByName(spark.createDataFrame([(900, None, d("2024-02-01")), (901, 3, None)], "id long, k long, t date"))
+    for strict in (False, True):
+        plain, split = (rows(asof.asof_join(left, right, ["k"], "t", "u", ["v"], strict, split).select("id", "v")) for split in (None, "month"))
+        assert plain == split
     by_interval = intervals.in_interval(left, spans, ["k"], "t", "u", "end_exclusive", "left").select("id", "v")
     assert rows(asof.asof_join(left, right, ["k"], "t", "u", ["v"]).select("id", "v")) == rows(by_interval)
 

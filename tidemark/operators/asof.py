@@ -6,34 +6,49 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def asof_join(left: DataFrame, right: DataFrame, by: list[str], left_time: str, right_time: str, values: list[str], strict: bool = False) -> DataFrame:
+def asof_join(left: DataFrame, right: DataFrame, by: list[str], left_time: str, right_time: str, values: list[str], strict: bool = False, split: str | None = None) -> DataFrame:
     """left with `values` of the right row of the same keys that is latest at or before left_time (strict: before it).
 
     Both sides go through one exchange and one sort by key and time; a running last() carries the right row along. right
     has one row per key and time at most. Null keys match nothing; unmatched rows have null values.
+
+    split ('month', 'year', ...) is for keys that hold a large share of all rows: windows are then a key and a period
+    each, and what a period starts with is carried over from a small table of the last right row of each period.
     """
     known = right.filter(F.col(right_time).isNotNull())
     for k in by:
         known = known.filter(F.col(k).isNotNull())
-    known = known.select(*(F.col(k).alias(f"_by{i}") for i, k in enumerate(by)), F.col(right_time).alias("_time"), F.lit(1 if strict else 0).alias("_tag"), F.struct(*values).alias("_right"))
-    rows = left.select(*(F.col(k).alias(f"_by{i}") for i, k in enumerate(by)), F.col(left_time).alias("_time"), F.lit(0 if strict else 1).alias("_tag"), F.struct(*left.columns).alias("_left"))
+    keys = [f"_by{i}" for i in range(len(by))]
+    known = known.select(*(F.col(k).alias(n) for n, k in zip(keys, by, strict=True)), F.col(right_time).alias("_time"), F.lit(1 if strict else 0).alias("_tag"), F.struct(*values).alias("_right"))
+    rows = left.select(*(F.col(k).alias(n) for n, k in zip(keys, by, strict=True)), F.col(left_time).alias("_time"), F.lit(0 if strict else 1).alias("_tag"), F.struct(*left.columns).alias("_left"))
     both = rows.unionByName(known, allowMissingColumns=True)
-    order = Window.partitionBy(*(f"_by{i}" for i in range(len(by)))).orderBy(F.col("_time").asc_nulls_first(), "_tag").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    periods = []
+    if split:
+        both, periods = both.withColumn("_period", F.date_trunc(split, F.col("_time"))), ["_period"]
+    order = Window.partitionBy(*keys, *periods).orderBy(F.col("_time").asc_nulls_first(), "_tag").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     found = both.withColumn("_right", F.last("_right", ignorenulls=True).over(order)).filter("_left is not null")
-    # null keys share a window; only matching keys may match
+    if split:
+        ends = both.groupBy(*keys, "_period").agg(F.max_by("_right", F.when(F.col("_right").isNotNull(), F.col("_time"))).alias("_end"))
+        before = Window.partitionBy(*keys).orderBy(F.col("_period").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
+        ends = ends.select(*(F.col(n).alias(f"{n}_e") for n in (*keys, "_period")), F.last("_end", ignorenulls=True).over(before).alias("_carried"))
+        on = [F.col(n).eqNullSafe(F.col(f"{n}_e")) for n in (*keys, "_period")]
+        found = found.join(ends, on, "left").withColumn("_right", F.coalesce("_right", "_carried"))
+    # null keys share a window, but no right row has one
     return found.select("_left.*", *(F.col("_right")[v].alias(v) for v in values))
 
 
 def next_in_calendar(df: DataFrame, day: str, calendar: DataFrame, calendar_day: str, out: str, strict: bool) -> DataFrame:
     """df with the first calendar day after `day` (strict), or on or after it; null beyond the calendar's end.
 
-    The calendar becomes intervals (previous day, day], so that each row meets one of them. It has one row a day, some
-    hundreds for each year of history, and is broadcast: its size follows time, not data.
+    The calendar becomes a map of all days from its first to its last, some hundreds of rows for each year of history:
+    its size follows time, not data, so it is broadcast and the join is an equi-join.
     """
-    days = calendar.select(F.col(calendar_day).alias(out)).filter(F.col(calendar_day).isNotNull()).distinct()
+    days = calendar.select(F.col(calendar_day).cast("date").alias(out)).filter(F.col(calendar_day).isNotNull()).distinct()
+    first = days.agg(F.min(out)).first()[0]
     before = F.lag(out).over(Window.orderBy(out))
-    spans = F.broadcast(days.withColumn("_after", before))
-    d = F.col(day)
-    from_ = F.coalesce(d >= F.col("_after"), F.lit(True)) if strict else F.coalesce(d > F.col("_after"), F.lit(True))
-    upto = d < F.col(out) if strict else d <= F.col(out)
-    return df.join(spans, from_ & upto, "left").drop("_after")
+    spans = days.withColumn("_after", before).filter("_after is not null")
+    low, high = ("_after", F.date_sub(out, 1)) if strict else (F.date_add("_after", 1), F.col(out))
+    own = spans.select(out, F.explode(F.sequence(F.col(low) if isinstance(low, str) else low, high)).alias("_day"))
+    early = F.col(day) < F.lit(first) if strict else F.col(day) <= F.lit(first)
+    joined = df.join(F.broadcast(own), F.col(day) == F.col("_day"), "left").drop("_day")
+    return joined.withColumn(out, F.when(early, F.lit(first)).otherwise(F.col(out)))
