@@ -157,3 +157,9 @@ def test_quality_checks(spark):
     assert quality.check_schema(df, T.StructType([T.StructField("a", T.DateType()), T.StructField("z", T.LongType()), T.StructField("x", T.LongType())])) == ["missing z", "unexpected b", "unexpected y", "x: double for bigint"]
     empty = quality.confusion(df.filter("false").select("a"), df.filter("false").select("a"), ["a"]).first()
     assert tuple(empty) == (0, 0, 0, None, None)
+
+
+def test_open_ends_are_capped(spark):
+    df = spark.createDataFrame([("a", None), ("b", None), ("a", d("2024-01-01"))], "k string, e date")
+    caps = spark.createDataFrame([("a", d("2024-06-30"))], "k string, delisted date")
+    assert rows(intervals.cap_open_ends(df, caps, ["k"], "e", "delisted")) == [("a", d("2024-01-01")), ("a", d("2024-06-30")), ("b", None)]

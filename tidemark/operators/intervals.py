@@ -53,6 +53,14 @@ def in_interval(df: DataFrame, intervals: DataFrame, by: list[str], at: str, sta
     return joined
 
 
+def cap_open_ends(intervals: DataFrame, caps: DataFrame, by: list[str], end: str, cap: str) -> DataFrame:
+    """Open intervals ended at their key's cap, such as the day of delisting; keys without a cap stay open.
+
+    An open end says that no later change is known, not that the state still holds: a delisted security has one too.
+    """
+    return intervals.join(caps.select(*by, F.col(cap).alias("_cap")), by, "left").withColumn(end, F.coalesce(end, "_cap")).drop("_cap")
+
+
 def range_join(points: DataFrame, ranges: DataFrame, at: str, start: str, end: str, width_days: int) -> DataFrame:
     """points joined to the ranges [start, end) that hold their day, without another key.
 

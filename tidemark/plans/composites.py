@@ -142,6 +142,11 @@ def basis_oi_top(t: Tables) -> DataFrame:
     return basis_columns(basis(t)).filter("is_oi_top = 1 AND days_to_expiry > 5")
 
 
+@query(f"SELECT * FROM ({BASIS}) WHERE is_dominant = 1")
+def basis_dominant(t: Tables) -> DataFrame:
+    return basis_columns(basis(t)).filter("is_dominant = 1")
+
+
 @query("""WITH s AS (SELECT user_id, date_trunc('week', ts)::DATE AS period, event_type, ts, event_id FROM events),
 l AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY user_id, period ORDER BY ts DESC, event_id DESC) = 1),
 a AS (SELECT *, coalesce(event_type <> lag(event_type) OVER (PARTITION BY user_id ORDER BY period), true)::INT AS ch FROM l),

@@ -45,6 +45,13 @@ def event_to_interval(t: Tables) -> DataFrame:
     return states(t).select("user_id", "event_id", "state", us("start_ts").alias("start_us"), us("end_ts").alias("end_us"))
 
 
+@query(f"""SELECT s.event_id, epoch_us(coalesce(s.end_ts, c.cap))::BIGINT AS end_us FROM ({STATES}) s
+LEFT JOIN (SELECT user_id, max(ts) AS cap FROM events WHERE event_type <> 'view' GROUP BY 1 HAVING count(*) > 5) c ON s.user_id = c.user_id""")
+def interval_capped(t: Tables) -> DataFrame:
+    caps = t.events.filter("event_type <> 'view'").groupBy("user_id").agg(F.max("ts").alias("cap"), F.count("*").alias("n")).filter("n > 5")
+    return intervals.cap_open_ends(states(t), caps, ["user_id"], "end_ts", "cap").select("event_id", F.unix_micros(F.col("end_ts").cast("timestamp")).alias("end_us"))
+
+
 @query(f"""SELECT e.event_id, s.event_id AS state_event, s.state FROM events e JOIN ({STATES}) s
 ON e.user_id = s.user_id AND e.ts >= s.start_ts AND (s.end_ts IS NULL OR e.ts < s.end_ts)""")
 def interval_membership(t: Tables) -> DataFrame:
