@@ -62,7 +62,7 @@ def test_archives_keep_payloads_and_splits_do_not_matter(spark):
     rows = [(i, f"http://h/{i}", "<p>" + chr(97 + i % 26) * (i * 37 % 5000)) for i in range(300)]
     files = warc.write_archives(spark.createDataFrame(rows, PAGE).repartition(2), shared_path(spark, "warc"))
     for split in (500, 10_000, 1 << 30):
-        read = {r.page_id: r for r in warc.read_archives(spark, files, split).collect()}
+        read = {r.page_id: r for r in warc.read_archives(files, split).collect()}
         assert len(read) == 300
         for i, url, html in rows:
             r = read[i]

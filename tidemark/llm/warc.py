@@ -25,14 +25,15 @@ from urllib.parse import quote, unquote
 
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import shared_path, slices
+from tidemark.llm.shared import shared_path, slices, written
 from tidemark.llm.storage import Publish, open_read
 
 LEAST_BYTES = 1000
-SPLIT_BYTES = 8 << 20
+#: Ranges are cut so that every core has a few, within these sizes.
+LEAST_SPLIT, MOST_SPLIT = 4 << 20, 128 << 20
 CHUNK = 1 << 18
 MAGIC = b"\x1f\x8b\x08"
 LEVEL = 6
@@ -74,8 +75,8 @@ def with_referred(pages: DataFrame, id_column: str, payload_column: str) -> Data
     return rows.withColumn("refers_to", refers).drop("largest", "payload_digest")
 
 
-def write_archives(pages: DataFrame, folder: str, id_column: str = "page_id", url_column: str = "url", payload_column: str = "html") -> list[tuple[str, int]]:
-    """Write pages as archives; (path, bytes) of each file. One small row a task comes to the driver."""
+def write_archives(pages: DataFrame, folder: str, id_column: str = "page_id", url_column: str = "url", payload_column: str = "html") -> DataFrame:
+    """Write pages as archives; (path, bytes) of each file, a small table that is written too."""
     rows = with_referred(pages.select(F.col(id_column).alias("page_id"), F.col(url_column).alias("url"), F.col(payload_column).alias("html")), "page_id", "html")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -93,8 +94,7 @@ def write_archives(pages: DataFrame, folder: str, id_column: str = "page_id", ur
             out.commit()
             yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([size], pa.int64())], names=["path", "bytes"])
 
-    files = rows.select("page_id", "url", "payload", "refers_to").mapInArrow(run, "path string, bytes long").collect()
-    return [(r["path"], r["bytes"]) for r in files]
+    return written(rows.select("page_id", "url", "payload", "refers_to").mapInArrow(run, "path string, bytes long"), "manifest")
 
 
 @dataclass
@@ -208,12 +208,14 @@ def row_of(found: Record) -> tuple:
     return page, url, kind, len(payload), digest, None, digest == stated, payload
 
 
-def read_archives(spark: SparkSession, files: list[tuple[str, int]], split_bytes: int = SPLIT_BYTES, payload: bool = True) -> DataFrame:
-    """One row a record. files: (path, bytes); they are cut into ranges of split_bytes, one task or more reads them."""
-    ranges = spark.createDataFrame([(p, n) for p, n in files], "path string, bytes long")
+def read_archives(files: DataFrame, split_bytes: int | None = None, payload: bool = True) -> DataFrame:
+    """One row a record. files: (path, bytes); they are cut into ranges of split_bytes, each read by a task of its own."""
+    if split_bytes is None:
+        total = files.agg(F.sum("bytes")).first()[0] or 0
+        split_bytes = min(max(total // (4 * files.sparkSession.sparkContext.defaultParallelism), LEAST_SPLIT), MOST_SPLIT)
     cuts = F.sequence(F.lit(0).cast("long"), F.greatest(F.col("bytes") - 1, F.lit(0)), F.lit(split_bytes).cast("long"))
-    n = sum(-(-b // split_bytes) for _, b in files)
-    ranges = ranges.filter("bytes > 0").select("path", F.explode(cuts).alias("start")).withColumn("end", F.col("start") + split_bytes).repartition(max(1, n))
+    n = files.agg(F.sum(F.ceil(F.col("bytes") / split_bytes))).first()[0] or 0
+    ranges = files.filter("bytes > 0").select("path", F.explode(cuts).alias("start")).withColumn("end", F.col("start") + split_bytes).repartition(max(1, n))
     names = [x.split()[0] for x in READ.split(", ")]
     kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.bool_(), pa.binary()]
     if not payload:
@@ -241,5 +243,4 @@ def read_archives(spark: SparkSession, files: list[tuple[str, int]], split_bytes
 
 def archived(pages: DataFrame) -> DataFrame:
     """Write pages to new archives in the shared folder and read them back."""
-    spark = pages.sparkSession
-    return read_archives(spark, write_archives(pages, shared_path(spark, "warc")), payload=False)
+    return read_archives(write_archives(pages, shared_path(pages.sparkSession, "warc")), payload=False)
