@@ -105,8 +105,12 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     if not share:
         return Model({}, -40.0, 0.0)
     prior = min(max(float(share), 1e-3), 0.999)
-    first = (F.xxhash64(F.col("doc_id")), F.col("doc_id"))
-    ids = lambda df, n, kind: df.select("doc_id").orderBy(*first).limit(n).select("doc_id", F.lit(kind).alias("positive"))
+    def ids(df: DataFrame, n: int, kind: int) -> DataFrame:
+        """The first n by hash; hashes far beyond the n-th go before the sort, which then is small at any size."""
+        share = min(1.0, 2 * (n + 100) / max(1, df.count()))
+        near = df.select("doc_id", F.xxhash64("doc_id").alias("draw")).filter(F.col("draw") <= int(-(2**63) + share * (2**64 - 2**11)))
+        return near.orderBy("draw", "doc_id").limit(n).select("doc_id", F.lit(kind).alias("positive"))
+
     chosen = ids(known.filter("toxic = 1").select("doc_id").distinct(), POSITIVES, 1).unionByName(ids(docs.filter(fold("doc_id", FOLDS) != HELD_OUT), UNLABELLED, 0).distinct())
     # POSITIVES + UNLABELLED rows of two numbers at most: safe to broadcast at any size of the input
     sample = written(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("positive", "text").distinct(), "toxicity")
