@@ -6,9 +6,10 @@ sets that reach the threshold share an n-gram among the first n - ceil(t n) + 1
 prefix n-grams meets all candidates. Candidates pass a length filter, a positional filter on the n-grams they share in
 their prefixes, a suffix filter, and one exact verification per pair.
 
-Large groups of copies do not make all pairs. Equal sets are one node. Then every node is verified against one pivot: of
-the smallest nodes of its prefix n-grams, the one that it meets most often. What that links is a class; the full join
-afterwards takes only pairs whose classes differ, which loses no link between classes.
+Large groups of copies do not make all pairs. Equal sets are one node. Then every node is verified against one pivot. The
+pivot of an n-gram is the node that has the fewest rarer n-grams before it - in a group of edited copies the one with
+the fewest edits, which is nearest to all others - and a node takes the pivot that it meets most often. What that links
+is a class; the full join afterwards takes only pairs whose classes differ, which loses no link between classes.
 
 Hash joins work on packed arrays: a task sends one row for each range of hashes rather than one for each n-gram, and a
 reducer holds one range, whose size follows from the number of input partitions. A set occurs once per task and range,
@@ -129,7 +130,7 @@ def sets_of(texts: pa.Array, n: int = N) -> Sets:
 
 def planes(x: np.ndarray) -> bytes:
     """Little-endian bytes by significance, which compress well where high bytes are alike."""
-    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes()
+    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.dtype.itemsize).T).tobytes()
 
 
 def unplanes(data: bytes, kind: type) -> np.ndarray:
@@ -256,7 +257,7 @@ def _prefix_rows(docs: DataFrame, order: Order, ranges: int) -> DataFrame:
 
 
 def shared_prefixes(docs: DataFrame, order: Order, ranges: int) -> DataFrame:
-    """(hash, key, n, place, pivot, pivot_n) of prefix n-grams that two sets or more have; pivot: the smallest key."""
+    """(hash, key, n, place, pivot, pivot_n) of prefix n-grams that two sets or more have; pivot: the set with fewest rarer n-grams."""
 
     def meet(table: pa.Table) -> pa.Table:
         h, key, n, place = (np.concatenate([unplanes(x, t) for x in table.column(c).to_pylist()]) for c, t in (("hash", U), ("key", np.int64), ("size", np.uint32), ("place", np.uint32)))
@@ -264,6 +265,8 @@ def shared_prefixes(docs: DataFrame, order: Order, ranges: int) -> DataFrame:
         h, key, n, place = h[by], key[by], n[by], place[by]
         new = np.concatenate([[True], (h[1:] != h[:-1]) | (key[1:] != key[:-1])])
         h, key, n, place = h[new], key[new], n[new], place[new]
+        by = np.lexsort((key, place, h))
+        h, key, n, place = h[by], key[by], n[by], place[by]
         heads = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
         counts = np.diff(np.append(heads, len(h)))
         many = np.repeat(counts > 1, counts)
@@ -363,7 +366,10 @@ def class_pairs(prefixes: DataFrame, classes: DataFrame) -> DataFrame:
     rows = written(rows.join(mixed_, "hash", "left_semi"), "open")
     x, y = (rows.select("hash", *(F.col(c).alias(f"{c}_{s}") for c in ("key", "n", "place", "label"))) for s in "ab")
     long_enough = F.least("n_a", "n_b") * DOWN >= F.greatest("n_a", "n_b") * UP
-    met = x.join(y, "hash").filter((F.col("key_a") < F.col("key_b")) & (F.col("label_a") != F.col("label_b")) & long_enough)
+    # at the first n-gram that both share, no more is shared than what is left of either; at later ones the bound is only
+    # stricter, which confines a pair to the prefixes that its own two sizes need
+    in_reach = F.least(F.col("n_a") - F.col("place_a"), F.col("n_b") - F.col("place_b")) * (UP + DOWN) >= (F.col("n_a") + F.col("n_b")) * UP
+    met = x.join(y, "hash").filter((F.col("key_a") < F.col("key_b")) & (F.col("label_a") != F.col("label_b")) & long_enough & in_reach)
     met = met.groupBy("key_a", "key_b", "n_a", "n_b").agg(F.count("*").alias("c"), F.max("place_a").alias("last_a"), F.max("place_b").alias("last_b"))
     # what both share after the last n-gram shared in the prefixes is no more than what follows it in the shorter rest
     most = F.col("c") + F.least(F.col("n_a") - F.col("last_a"), F.col("n_b") - F.col("last_b")) - 1
