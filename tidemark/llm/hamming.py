@@ -74,8 +74,12 @@ def top_k(index: DataFrame, queries: DataFrame, k: int, dims: int = 64) -> DataF
     best_first = Window.partitionBy("query").orderBy("distance", "id")
     while n_rows:
         look = [x for r in (range(radius + 1) if radius == FIRST_RADIUS else (radius,)) for x in masks(r)]
-        probes = by_segment(open_.withColumn("code", F.col("query")), m).drop("code")
-        probes = probes.withColumn("mask", F.explode(F.array(*map(F.lit, look)))).withColumn("value", F.col("value").bitwiseXOR(F.col("mask"))).drop("mask")
+        # one string constant, folded to an array: thousands of literals would weigh on every plan that the driver keeps
+        look = F.split(F.lit(",".join(map(str, look))), ",").cast("array<int>")
+        # few queries become many probes: deal them out first
+        dealt = open_.repartition(2 * spark.sparkContext.defaultParallelism)
+        probes = by_segment(dealt.withColumn("code", F.col("query")), m).drop("code")
+        probes = probes.withColumn("mask", F.explode(look)).withColumn("value", F.col("value").bitwiseXOR(F.col("mask"))).drop("mask")
         near = probes.join(table, ["segment", "value"]).select("query", "code").distinct()
         near = near.join(members, "code").select("query", distance(F.col("query"), F.col("code")).alias("distance"), "id")
         best = near.unionByName(found).distinct().withColumn("place", F.row_number().over(best_first)).filter(F.col("place") <= k + 1).drop("place")
