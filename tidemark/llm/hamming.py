@@ -4,7 +4,8 @@ A code of at most 64 bits is cut into segments of SEGMENT bits. Two codes that d
 agree in one of m segments up to r bits, so after all buckets within radius r have been looked up for every segment,
 every code within that distance has been seen and verified. A query is done when its k-th verified distance is covered;
 the others go on with the next radius. Each radius costs one equi-join of probes with the index, and queries with equal
-codes share their search.
+codes share their search. Joins are merge joins by hint: their sides grow with the input, and a hash table built on the
+driver takes far more memory than the compressed sizes say that adaptive execution goes by.
 
 Equal codes are one entry of the index, of which only the smallest ids can be results, so a code that a third of all
 rows have is no large bucket.
@@ -80,13 +81,13 @@ def top_k(index: DataFrame, queries: DataFrame, k: int, dims: int = 64) -> DataF
         dealt = open_.repartition(2 * spark.sparkContext.defaultParallelism)
         probes = by_segment(dealt.withColumn("code", F.col("query")), m).drop("code")
         probes = probes.withColumn("mask", F.explode(look)).withColumn("value", F.col("value").bitwiseXOR(F.col("mask"))).drop("mask")
-        near = probes.join(table, ["segment", "value"]).select("query", "code").distinct()
-        near = near.join(members, "code").select("query", distance(F.col("query"), F.col("code")).alias("distance"), "id")
+        near = probes.join(table.hint("merge"), ["segment", "value"]).select("query", "code").distinct()
+        near = near.join(members.hint("merge"), "code").select("query", distance(F.col("query"), F.col("code")).alias("distance"), "id")
         best = near.unionByName(found).distinct().withColumn("place", F.row_number().over(best_first)).filter(F.col("place") <= k + 1).drop("place")
         covered = m * (radius + 1) - 1
         state = best.groupBy("query").agg(F.count("*").alias("n"), F.max("distance").alias("far"))
-        state = open_.join(state, "query", "left").select("query", (((F.col("n") >= want) & ((F.col("far") <= covered) | (F.col("n") >= n_rows))) | F.lit(radius >= SEGMENT)).alias("done"))
-        best = written(state.withColumn("done", F.coalesce("done", F.lit(False))).join(best, "query", "left"), f"radius{radius}")
+        state = open_.join(state.hint("merge"), "query", "left").select("query", (((F.col("n") >= want) & ((F.col("far") <= covered) | (F.col("n") >= n_rows))) | F.lit(radius >= SEGMENT)).alias("done"))
+        best = written(state.withColumn("done", F.coalesce("done", F.lit(False))).join(best.hint("merge"), "query", "left"), f"radius{radius}")
         done.append(best.filter("done and id is not null").drop("done"))
         found = best.filter("not done and id is not null").drop("done")
         open_ = best.filter("not done").select("query").distinct()
@@ -96,7 +97,7 @@ def top_k(index: DataFrame, queries: DataFrame, k: int, dims: int = 64) -> DataF
     result = found
     for part in done:
         result = result.unionByName(part)
-    result = asked.select(F.col("id").alias("query_id"), F.col("code").alias("query")).join(result, "query")
+    result = asked.select(F.col("id").alias("query_id"), F.col("code").alias("query")).join(result.hint("merge"), "query")
     result = result.filter(~((F.col("query_id") == F.col("id")) & (F.col("distance") == 0)))
     order = Window.partitionBy("query_id", "query").orderBy("distance", "id")
     return result.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= k).select("query_id", "id", "distance", "place")
