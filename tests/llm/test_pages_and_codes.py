@@ -105,6 +105,17 @@ def test_main_text_without_structure():
     assert html_text.main_text(page).count("\n") == 19
 
 
+@pytest.mark.parametrize("attributes", ['style="overflow: hidden"', 'title="the hidden cost"', "data-x='a hidden class=\"ad\"'", "data-hidden", "x=1 title = 'role=navigation hidden'", "data-x=/class=ad", 'class="post" class="ad"'])
+def test_words_in_values_are_no_attributes(attributes):
+    lines = [f"line {k} of the article, with words" for k in range(3)]
+    assert html_text.main_text(f"<div {attributes}><p>{'<p>'.join(lines)}</div><p>side matter</p>") == "\n".join(lines)
+
+
+@pytest.mark.parametrize("attributes", ["hidden", "HIDDEN=''", 'id="x"class="ad"', "title='a'hidden", 'title="the cost" hidden', "aria-hidden=true", "data-x='1' role = 'navigation'"])
+def test_attributes_that_hide(attributes):
+    assert html_text.main_text(f"<div {attributes}><p>not shown</p></div><p>the text of the article</p>") == "the text of the article"
+
+
 def test_links_lower_density():
     root = html_text.parse("<div><p>just some words of plain text here</p><p><a href=1>just some words of plain text here</a></p></div>")
     plain, linked = [n for n in html_text.weigh(root) if n.tag == "p"]

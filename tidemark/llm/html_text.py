@@ -57,7 +57,8 @@ MARKS = re.compile(
 MAIN = frozenset("article main body html".split())
 
 TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|$)", re.S)
-ATTRIBUTE = re.compile(r"(?:^|[\s\"'/])(class|id|role|hidden|aria-hidden)\s*(?:=\s*(\"[^\"]*\"?|'[^']*'?|[^\s\"'>]+))?", re.I)
+#: One attribute: its name, and its value, which a quoted one ends only at its quote.
+ATTRIBUTE = re.compile(r"([^\s/>][^\s/>=]*)(?:\s*=\s*(\"[^\"]*\"?|'[^']*'?|[^\s>]*))?")
 
 
 class Node:
@@ -83,8 +84,13 @@ def _drops(tag: str, attributes: str, inside: Node) -> bool:
             return True
     if not attributes or tag in MAIN:
         return False
+    seen = set()
     for m in ATTRIBUTE.finditer(attributes):
         name, value = m[1].lower(), unescape((m[2] or "").strip("\"'"))
+        if name in seen:
+            # of attributes that repeat, the first counts
+            continue
+        seen.add(name)
         if name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "role" and value.lower() in ROLES:
             return True
         if name in ("class", "id") and MARKS.search(re.sub(r"(?<=[a-z])(?=[A-Z])", "-", value)):
