@@ -116,6 +116,40 @@ def test_attributes_that_hide(attributes):
     assert html_text.main_text(f"<div {attributes}><p>not shown</p></div><p>the text of the article</p>") == "the text of the article"
 
 
+LINES = [f"line {k} of the article, with words" for k in range(3)]
+SIDE = "<div class='site-header'><p>Name of the site</div><div class='menu-item'><p>A menu</div>"
+
+
+@pytest.mark.parametrize("wrapper", ["div class='content-sidebar-wrap'", "div class='content has-sidebar'", "div class='layout no-footer'", "div class='post category-legal tag-social'", "div id='social-issues'", "div class=legal", "section id=discussion", "span class=side", "form", "form class='page menu'"])
+@pytest.mark.parametrize("body", ["%s", "<article>%s</article>", "<main>%s</main>"])
+def test_wrappers_keep_the_article(wrapper, body):
+    page = f"{SIDE}<{wrapper}>{body % ('<p>' + '<p>'.join(LINES))}<div class='ad'>Buy</div></{wrapper.split()[0]}><div class='sidebar-1'><p>side matter</div>"
+    assert html_text.main_text(page) == "\n".join(LINES)
+
+
+def test_small_wrappers_of_an_article_stay():
+    root = html_text.parse(f"<div class='legal'><article><p>{'<p>'.join(LINES)}</article></div><p>{'words of another place ' * 40}")
+    assert html_text.blocks(root)[:3] == LINES
+    teaser = "<article><p>a teaser</article>"
+    assert html_text.main_text(f"<div class='legal'><p>{'<p>'.join(LINES)}</div><div class='related'>{teaser}</div>").startswith("\n".join(LINES))
+    assert html_text.main_text(f"<div class='legal'><p>{'<p>'.join(LINES)}</div>{teaser * 3}").startswith("\n".join(LINES))
+
+
+@pytest.mark.parametrize("tag", ["article", "main"])
+def test_long_adverts_do_not_join_a_short_article(tag):
+    assert html_text.main_text(f"<div class='ad'>{'Buy now, a long advert. ' * 9}</div><{tag}><p>short</{tag}>") == "short"
+
+
+@pytest.mark.parametrize("mark", ["ad", "ad-slot", "sidebar-2", "relatedPosts", "cookie_notice", "widget widget_text ad", "no-js menu", "share-buttons"])
+def test_marked_side_matter_goes(mark):
+    assert html_text.main_text(f"<p>{'<p>'.join(LINES)}<div class='{mark}'><p>side matter of some words</div>") == "\n".join(LINES)
+
+
+def test_many_replies_do_not_displace_the_article():
+    replies = "".join(f"<article class='comment-body'><p>reply {k} of a reader, longer than the article</article>" for k in range(9))
+    assert html_text.main_text(f"<main><article><p>{'<p>'.join(LINES)}</article><div id='comments' class='comments-area'>{replies}</div></main>") == "\n".join(LINES)
+
+
 def test_links_lower_density():
     root = html_text.parse("<div><p>just some words of plain text here</p><p><a href=1>just some words of plain text here</a></p></div>")
     plain, linked = [n for n in html_text.weigh(root) if n.tag == "p"]

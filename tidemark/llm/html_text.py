@@ -1,12 +1,13 @@
 """Main text of HTML pages by composite text density.
 
-A forgiving parser builds a light DOM. Elements that never hold main text go first: scripts, styles, forms, navigation,
-page headers and footers, asides, and elements whose role, class or id names a menu, an advert, a notice, a sidebar or
-comments. Every node left gets its composite text density: characters per tag, adjusted by the share of characters
-and tags that belong to links. A node's density sum is the sum over its children that are blocks: inline markup within a
-paragraph counts as tags, but makes no container of it. The threshold is the smallest density on
-the path from the node with the largest density sum to the body; from the body down, each node at or above the
-threshold contributes the subtree with the largest density sum inside it.
+A forgiving parser builds a light DOM. Elements that never hold main text go first: scripts, styles, navigation, page
+headers and footers, asides and hidden elements. So do forms and elements whose class or id names a menu, an advert, a
+notice, a sidebar or comments, unless they hold an article or main, or most of the page's text outside links and no main
+or single article stands apart: such a one is a wrapper, and is left to the densities. Every node left gets its composite
+text density: characters per tag, adjusted by the share of characters and tags that belong to links. A node's density sum
+is the sum over its children that are blocks: inline markup within a paragraph counts as tags, but makes no container of
+it. The threshold is the smallest density on the path from the node with the largest density sum to the body; from the
+body down, each node at or above the threshold contributes the subtree with the largest density sum inside it.
 
 Text: blocks in page order joined by one newline, white space inside a block as one space, character references decoded.
 Null and empty pages, and pages without text, give the empty string. Ties go to the earlier node. Extra columns are
@@ -47,13 +48,17 @@ IMPLIED = {
 }
 IMPLIED = {k: (frozenset(a.split()), frozenset(b)) for k, (a, b) in IMPLIED.items()}
 
-#: Elements that never hold main text, and words in roles, classes and ids that mark such elements.
-DROPPED = frozenset("script style noscript noframes template head title nav footer aside form button select textarea input iframe object svg canvas dialog menu audio video math".split())
+#: Elements that never hold main text, roles of such elements, and words in classes and ids that mark them as a rule.
+DROPPED = frozenset("script style noscript noframes template head title nav footer aside button select textarea input iframe object svg canvas dialog menu audio video math".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
 MARKS = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisements?|advertising|sponsor(?:ed)?|promos?|promotions?|banners?|menus?|nav|navbar|navigation|navigations|breadcrumbs?|sidebars?|side|footers?|foot|headers?|masthead|cookies?|consent|gdpr|notices?|alerts?|popups?|modals?|overlays?|newsletter|subscribe|subscription|signup|login|comments?|disqus|replies|discussion|respond|share|sharing|social|related|recommended|recommendations|pagination|pager|toolbar|widgets?|copyright|disclaimer|legal|skip|tags)(?=$|[\s_\d-])",
-    re.I,
+    r"ads?|adverts?|advertisements?|advertising|sponsor(?:ed)?|promos?|promotions?|banners?|menus?|nav|navbar|navigation|navigations|breadcrumbs?|sidebars?|side|footers?|foot|headers?|masthead|cookies?|consent|gdpr|notices?|alerts?|popups?|modals?|overlays?|newsletter|subscribe|subscription|signup|login|comments?|disqus|replies|discussion|respond|share|sharing|social|related|recommended|recommendations|pagination|pager|toolbar|widgets?|copyright|disclaimer|legal|skip|tags"
 )
+#: Marks of what readers add to an article.
+REPLIES = frozenset("comment comments disqus replies discussion respond".split())
+#: Words after which a mark names what a page has or is about, and words that only give a mark's shape.
+ABOUT = frozenset("has no not with without hide hides show category categories cat tag tagged topic type format layout".split())
+SHAPES = frozenset("area bar box buttons button form icons item items link links list message posts slot unit".split())
 MAIN = frozenset("article main body html".split())
 
 TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|$)", re.S)
@@ -71,7 +76,19 @@ class Node:
         self.density = self.total = 0.0
 
 
-def _drops(tag: str, attributes: str, inside: Node) -> bool:
+def _mark(value: str) -> str | None:
+    """The mark that a class or id names: a whole token, or the end of one, or its beginning if only a shape follows."""
+    for token in re.sub(r"(?<=[a-z])(?=[A-Z])", "-", value).lower().split():
+        words = [w for x in re.split(r"[_-]+", token) if (w := x.rstrip("0123456789"))]
+        while len(words) > 1 and words[-1] in SHAPES:
+            words.pop()
+        if words and MARKS.fullmatch(words[-1]) and ABOUT.isdisjoint(words[:-1]):
+            return words[-1]
+    return None
+
+
+def _drops(tag: str, attributes: str, inside: Node) -> bool | str:
+    """True for elements that never hold main text, the mark of those that hold none as a rule, else False."""
     if tag in DROPPED:
         return True
     if tag == "header":
@@ -82,8 +99,9 @@ def _drops(tag: str, attributes: str, inside: Node) -> bool:
             inside = inside.parent
         else:
             return True
+    mark = "form" if tag == "form" else None
     if not attributes or tag in MAIN:
-        return False
+        return mark or False
     seen = set()
     for m in ATTRIBUTE.finditer(attributes):
         name, value = m[1].lower(), unescape((m[2] or "").strip("\"'"))
@@ -93,14 +111,57 @@ def _drops(tag: str, attributes: str, inside: Node) -> bool:
         seen.add(name)
         if name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "role" and value.lower() in ROLES:
             return True
-        if name in ("class", "id") and MARKS.search(re.sub(r"(?<=[a-z])(?=[A-Z])", "-", value)):
-            return True
-    return False
+        if name in ("class", "id"):
+            mark = mark or _mark(value)
+    return mark or False
+
+
+def _settle(root: Node, marked: dict[int, str]) -> None:
+    """Drop marked elements, but none that holds an article or main, nor one that holds most of the page's text outside
+    links where no main and no single article stands apart from marked elements.
+
+    Those are left to the densities, except replies that come after an article or main has ended.
+    """
+    nodes = _order(root)
+    text: dict[int, int] = {}
+    after: dict[int, int] = {}
+    holds: set[int] = set()
+    for place in range(len(nodes) - 1, -1, -1):
+        node, own = nodes[place], 0
+        end = place + 1
+        for child in node.children:
+            if child.__class__ is str:
+                own += len(" ".join(unescape(child).split()))
+            elif not child.dropped:
+                own += text[id(child)]
+                end = max(end, after[id(child)])
+                if child.tag in ("article", "main") and text[id(child)] or id(child) in holds:
+                    holds.add(id(node))
+        text[id(node)], after[id(node)] = 0 if node.tag == "a" else own, end
+    ended = min((after[id(n)] for n in nodes if n.tag in ("article", "main") and text[id(n)]), default=len(nodes))
+    # places of the mains, and of the outermost articles, that are in no marked element
+    found: dict[str, list[tuple[int, int]]] = {"main": [], "article": []}
+    behind, beyond = 0, 0
+    for place, node in enumerate(nodes):
+        if id(node) in marked:
+            behind = max(behind, after[id(node)])
+        elif node.tag in found and text[id(node)] and place >= behind and (node.tag == "main" or place >= beyond):
+            found[node.tag].append((place, after[id(node)]))
+            beyond = max(beyond, after[id(node)]) if node.tag == "article" else beyond
+    for place, node in enumerate(nodes):
+        mark = marked.get(id(node))
+        if mark:
+            large = 2 * text[id(node)] > text[id(root)]
+            if large:
+                apart = {tag: sum(b <= place or a >= after[id(node)] for a, b in spans) for tag, spans in found.items()}
+                large = not apart["main"] and apart["article"] != 1
+            node.dropped = not (large or id(node) in holds) or mark in REPLIES and ended <= place
 
 
 def parse(html: str) -> Node:
     """A DOM of elements and strings under one root; end tags are implied where HTML implies them."""
     root = Node("html", None)
+    marked: dict[int, str] = {}
     at, size, node = 0, len(html), root
     while at < size:
         m = TOKEN.search(html, at)
@@ -140,7 +201,10 @@ def parse(html: str) -> Node:
                 found = found.parent
             if last is not None and found is not None:
                 node = last.parent
-        own = Node(tag, node, _drops(tag, attributes, node))
+        drops = _drops(tag, attributes, node)
+        own = Node(tag, node, drops is True)
+        if drops and drops is not True:
+            marked[id(own)] = drops
         node.children.append(own)
         if tag in VOID or attributes.endswith("/") and tag not in BLOCK:
             continue
@@ -150,6 +214,8 @@ def parse(html: str) -> Node:
             at = end.end() if end else size
             continue
         node = own
+    if marked:
+        _settle(root, marked)
     return root
 
 
