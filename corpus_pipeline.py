@@ -8,12 +8,14 @@ from pyspark.sql import functions as F
 from tidemark.llm import language, toxicity
 from tidemark.llm.bpe import codec_of, token_digests
 from tidemark.llm.mixing import mixture
-from tidemark.llm.ngram_join import ngram_classes
+from tidemark.llm.ngram_join import row_classes
 from tidemark.llm.registry import tokenizer_path
-from tidemark.llm.shared import table, written
+from tidemark.llm.shared import WORD, table, written
 
 #: A document whose language has less than this probability is rejected, as is one without a letter.
 LEAST_LANGUAGE_SCORE = 0.5
+#: A column for the time of one stage; documents have none of this name.
+ROW = "_row_digest"
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,12 +32,20 @@ def in_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def one_of_each_class(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each class of near duplicates. Documents without an id stay."""
-    classes = ngram_classes(docs)
-    gone = classes.filter(F.col("component_id") != F.col("doc_id")).select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    # rows that repeat an id and its text are one class too; the anti join has dealt the rows by id already
-    return kept.filter("doc_id is not null").dropDuplicates(["doc_id", "text"]).unionByName(kept.filter("doc_id is null"))
+    """One row of each class of near duplicates: that with the smallest id, one without an id only if none has one.
+
+    Ids may repeat: a row is known by its id and text. Rows without n-grams are in no class; they stay, but once for each
+    id and text if they have an id.
+    """
+    stated = lambda c: F.when(F.col(c).isNull(), "").otherwise(F.concat(F.lit("="), F.col(c).cast("string")))
+    keyed = docs.withColumn(ROW, F.md5(F.concat(stated("doc_id"), F.lit("\0"), stated("text"))))
+    classes = written(row_classes(keyed.select("doc_id", F.col(ROW).alias("row"), "text")), "classes")
+    best = classes.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("best")).select("best.row")
+    gone = classes.join(best, "row", "left_anti").select(F.col("row").alias(ROW)).distinct()
+    has_name = F.col("doc_id").isNotNull() | F.coalesce(F.col("text").rlike(WORD), F.lit(False))
+    # the anti join has dealt the rows by ROW already
+    kept = keyed.filter(has_name).join(gone, ROW, "left_anti").dropDuplicates([ROW])
+    return kept.unionByName(keyed.filter(~has_name)).select(*docs.columns)
 
 
 def mixed_to_targets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -199,6 +199,22 @@ def test_search_of_odd_vectors(spark):
 # --- pipeline
 
 
+def test_removal_concerns_the_row_that_is_the_copy(spark):
+    import corpus_pipeline as p
+
+    rng = random.Random(4)
+    text = lambda: " ".join(f"w{rng.randrange(9999)}" for _ in range(60))
+    a, b, c, d = text(), text(), text(), text()
+    near = lambda x, k: f"{x} more{k}"
+    rows = [(3, a), (7, near(a, 1)), (7, b), (3, near(a, 2)), (3, a), (9, c), (9, c), (None, near(a, 3)), (None, d), (None, near(d, 1)), (None, d), (None, ""), (None, ""), (5, ""), (5, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted(map(tuple, p.one_of_each_class(spark, df, "").collect()), key=repr)
+    of_a = [r for r in got if r[1].startswith(a)]
+    of_d = [r for r in got if r[1].startswith(d)]
+    assert len(of_a) == 1 and of_a[0][0] == 3 and len(of_d) == 1
+    assert sorted((r for r in got if r not in of_a + of_d), key=repr) == sorted([(7, b), (9, c), (5, ""), (None, ""), (None, "")], key=repr)
+
+
 def test_pipeline(spark, sf_dir):
     import corpus_pipeline as p
 

@@ -279,17 +279,18 @@ def shared_prefixes(docs: DataFrame, order: Order, ranges: int) -> DataFrame:
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    """(doc_id, key, n) of every row; the key of an empty set is null."""
+    """docs with key and n in place of the text; the key of an empty set is null."""
+    kept = [f for f in docs.schema if f.name != "text"]
 
     def make() -> Callable[[pa.RecordBatch], pa.RecordBatch]:
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
             sets = sets_of(batch.column("text"))
-            return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sets.keys, pa.int64(), mask=sets.sizes == 0), pa.array(sets.sizes, pa.int64())], names=["doc_id", "key", "n"])
+            return pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in kept), pa.array(sets.keys, pa.int64(), mask=sets.sizes == 0), pa.array(sets.sizes, pa.int64())], names=[*(f.name for f in kept), "key", "n"])
 
         return work
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return map_batches(docs.select("doc_id", "text"), f"doc_id {kind}, key long, n long", make, TEXT_SLICE)
+    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in kept) + "key long, n long"
+    return map_batches(docs.select(*(f.name for f in kept), "text"), schema, make, TEXT_SLICE)
 
 
 def with_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -376,9 +377,8 @@ def class_pairs(prefixes: DataFrame, classes: DataFrame) -> DataFrame:
     return met.filter(most * (UP + DOWN) >= (F.col("n_a") + F.col("n_b")) * UP).select(F.col("key_a").alias("a"), F.col("key_b").alias("b"))
 
 
-def ngram_classes(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, component_id) for every row of docs (doc_id, text)."""
-    docs = docs.select("doc_id", "text")
+def labelled(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """docs with key and n in place of the text, and (key, rep, label) of every set; sets of one label are a class."""
     ranges = max(8, 4 * docs.rdd.getNumPartitions())
     nodes = written(keyed(docs), "nodes")
     reps = nodes.filter("key is not null").groupBy("key").agg(F.min("doc_id").alias("rep"))
@@ -390,9 +390,20 @@ def ngram_classes(docs: DataFrame) -> DataFrame:
     if not rest.isEmpty():
         classes = components(links.unionByName(rest))
     named = reps.join(classes.withColumnRenamed("node", "key"), "key", "left").withColumn("label", F.coalesce("label", "key"))
-    named = written(named, "named")
+    return nodes, written(named, "named")
+
+
+def ngram_classes(docs: DataFrame) -> DataFrame:
+    """(doc_id, n_shingles, component_id) for every row of docs (doc_id, text)."""
+    nodes, named = labelled(docs.select("doc_id", "text"))
     smallest = named.groupBy("label").agg(F.min("rep").alias("component_id"))
     named = named.join(smallest, "label").select("key", "component_id")
     size = F.col("n").alias("n_shingles")
     own = nodes.filter("key is null").select("doc_id", size, F.col("doc_id").alias("component_id"))
     return nodes.filter("key is not null").join(named, "key").select("doc_id", size, "component_id").unionByName(own)
+
+
+def row_classes(docs: DataFrame) -> DataFrame:
+    """(doc_id, row, label) for every row of docs (doc_id, row, text) that has n-grams; rows of one label are a class."""
+    nodes, named = labelled(docs.select("doc_id", "row", "text"))
+    return nodes.filter("key is not null").join(named.select("key", "label"), "key").select("doc_id", "row", "label")
