@@ -44,6 +44,16 @@ def test_reader_passes_over_what_is_no_record():
     assert list(warc.records(io.BytesIO(good[:-20]), 0, len(good))) == [] == list(warc.records(io.BytesIO(b""), 0, 0))
 
 
+def test_headers_of_any_length_are_read():
+    rng = random.Random(5)
+    urls = ["u", rng.randbytes(600_000).hex(), "v", rng.randbytes(300_000).hex()]
+    blobs = [warc.record(i, u, b"payload", None) for i, u in enumerate(urls)]
+    data = b"".join(blobs)
+    for step in (50_000, warc.CHUNK, 1 << 30):
+        found = [warc.row_of(r) for s in range(0, len(data), step) for r in warc.records(io.BytesIO(data), s, min(s + step, len(data)))]
+        assert [r[:2] for r in found] == list(enumerate(urls)) and all(r[6] for r in found)
+
+
 def test_archives_of_odd_pages(spark):
     big, other = "x" * 1000, "é" * 700
     rows = [(1, "http://a\r\nX: y", big), (5, "u", big), (3, None, big), (7, "u", other), (8, "u", other), (2, "u", None), (4, "u", ""), (6, "u", "small"), (9, "u", "small"), (None, "n", "alone"), (10, "u", "z" * 200_000), (5, "u", big)]

@@ -142,14 +142,16 @@ def member_at(window: Window, checked: bool) -> Record | None:
         if at >= len(window.data) and not window.more():
             return None
         chunk = window.data[at : at + CHUNK]
-        at += len(chunk)
+        at, seen = at + len(chunk), len(text)
         try:
             text += unpack.decompress(chunk)
         except zlib.error:
             return None
         if head < 0:
-            if text[:5] != b"WARC/"[: len(text)] or (head := text.find(b"\r\n\r\n")) < 0 and len(text) > CHUNK:
+            # a header may be of any length: its URL is
+            if text[:5] != b"WARC/"[: len(text)]:
                 return None
+            head = text.find(b"\r\n\r\n", max(0, seen - 3))
     if head < 0:
         return None
     headers = parsed(bytes(text[:head]))
