@@ -10,6 +10,8 @@ Large groups of copies do not make all pairs. Equal sets are one node. Then ever
 pivot of an n-gram is the node that has the fewest rarer n-grams before it - in a group of edited copies the one with
 the fewest edits, which is nearest to all others - and a node takes the pivot that it meets most often. What that links
 is a class; the full join afterwards takes only pairs whose classes differ, which loses no link between classes.
+The links found are those that span the classes: most links inside a class are neither verified nor counted, and nothing
+here gives the number of links of a document or the pairs of a class.
 
 Hash joins work on packed arrays: a task sends one row for each range of hashes rather than one for each n-gram, and a
 reducer holds one range, whose size follows from the number of input partitions. A set occurs once per task and range,
