@@ -1,13 +1,16 @@
 """Edges that the fixtures do not show, on small frames made by hand."""
 
+import random
 from datetime import date
 
+import numpy
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.functions import scalar as S
 from tidemark.operators import asof, combine, filters, intervals, panel, periods, quality
+from tidemark.plans import composites
 
 
 def d(text):
@@ -93,6 +96,12 @@ def test_yoy_is_null_on_bases_that_are_not_positive(quarters):
     assert got["a", 2023, 1] == pytest.approx(0.4) and got["b", 2023, 1] is None and got["a", 2022, 2] is None
 
 
+def test_growth_is_known_once_both_values_were(quarters):
+    late = quarters.withColumn("pub", F.when(F.col("y") == 2022, F.lit(d("2023-06-30"))).otherwise(F.col("pub")))
+    got = {r[:3]: r[3] for r in rows(periods.yoy(late, ["k"], "y", "q", "cum", "pub").select("k", "y", "q", "yoy_available"))}
+    assert got["a", 2023, 1] == d("2023-06-30") and got["a", 2023, 3] == d("2023-09-28") and got["b", 2023, 1] is None
+
+
 def test_quarter_values_stop_at_a_gap_and_sum_up_again(quarters):
     own = periods.ytd_to_quarter(quarters, ["k"], "y", "q", "cum", "own")
     got = {r[:3]: r[3] for r in rows(own.select("k", "y", "q", "own"))}
@@ -163,3 +172,46 @@ def test_open_ends_are_capped(spark):
     df = spark.createDataFrame([("a", None), ("b", None), ("a", d("2024-01-01"))], "k string, e date")
     caps = spark.createDataFrame([("a", d("2024-06-30"))], "k string, delisted date")
     assert rows(intervals.cap_open_ends(df, caps, ["k"], "e", "delisted")) == [("a", d("2024-01-01")), ("a", d("2024-06-30")), ("b", None)]
+
+
+@pytest.mark.parametrize("n", [1, 2, 7, 3000])
+def test_percentiles_are_exact(spark, n):
+    rng = random.Random(n)
+    values = {"a": [rng.gauss(0, 100) for _ in range(n)], "b": [float(rng.randrange(4)) for _ in range(n)], None: [1.0] * n}
+    df = spark.createDataFrame([(k, x) for k, own in values.items() for x in own] + [("a", None), ("c", None)], "k string, x double").repartition(3)
+    shares = [0.0, 0.01, 0.5, 0.99, 1.0]
+    got = {r[0]: r[1:] for r in rows(panel.exact_percentiles(df, ["k"], "x", shares))}
+    assert set(got) == set(values)
+    for k, own in values.items():
+        assert got[k] == pytest.approx(tuple(float(numpy.quantile(own, s)) for s in shares))
+    clipped = panel.winsorize(df, ["k"], "x", 0.01, "y")
+    assert clipped.count() == 3 * n + 2 and clipped.filter("x is null and y is not null or x is not null and y is null").count() == 0
+    low = float(numpy.quantile(values["a"], 0.01))
+    assert clipped.filter("k = 'a'").agg(F.min("y")).first()[0] == pytest.approx(low)
+
+
+def test_rank_bounds_hold_in_a_large_group(spark):
+    df = spark.range(300_000).select(F.lit("a").alias("k"), (F.pmod(F.xxhash64("id"), F.lit(1_000_003)) / 7).alias("x"))
+    exact = df.groupBy("k").agg(F.percentile("x", 0.01), F.percentile("x", 0.37), F.percentile("x", 0.99)).first()
+    assert tuple(panel.exact_percentiles(df, ["k"], "x", [0.01, 0.37, 0.99]).first()) == pytest.approx(tuple(exact))
+
+
+def test_states_equal_intervals_that_do_not_overlap(spark):
+    starts = spark.range(80).select((F.col("id") % 5).alias("k"), F.date_add(F.lit(d("2024-01-01")), (F.col("id") * 11 % 200).cast("int")).alias("s"), F.col("id").alias("v"))
+    spans = intervals.events_to_intervals(starts, ["k"], "s", ["v"], "e").withColumn("e", F.when(F.col("v") % 4 == 0, F.date_add("s", 3)).otherwise(F.col("e")))
+    points = spark.range(300).select("id", (F.col("id") % 6).alias("k"), F.date_add(F.lit(d("2023-12-20")), (F.col("id") * 7 % 230).cast("int")).alias("day"))
+    points = points.unionByName(spark.createDataFrame([(900, None, d("2024-02-01")), (901, 1, None)], "id long, k long, day date"))
+    want = rows(intervals.in_interval(points, spans, ["k"], "day", "s", "e").select("id", "v"))
+    for split in (None, "month"):
+        assert rows(intervals.in_state(points, spans, ["k"], "day", "s", "e", ["v"], split).select("id", "v")) == want
+
+
+def test_indicators_are_not_seen_before_they_are_out(spark):
+    statement = [("a", 2023, q, d(f"2023-{3 * q + 1:02d}-20"), 1, 0, 100.0 * q, 60.0 * q, 8.0 * q) for q in (1, 2, 3)]
+    income = spark.createDataFrame(statement, "k string, y int, q int, pub_date date, source_id int, report_type int, revenue double, cost double, profit double")
+    balance = spark.createDataFrame([(*r[:6], 50.0, 20.0, e) for r, e in zip(statement, (40.0, -1.0, 0.0), strict=True)], "k string, y int, q int, pub_date date, source_id int, report_type int, assets double, liability double, equity double")
+    indicator = spark.createDataFrame([("a", 2023, 1, 5, d("2023-05-30")), ("a", 2023, 2, 6, d("2023-07-20"))], "k string, y int, q int, eps int, ind_pub_date date")
+    table = composites.build_financials_pit(income, balance, indicator, "k", "y", "q")
+    assert [r.roe for r in table.orderBy("q").collect()] == [0.2, None, None]
+    seen = lambda day: rows(composites.financials_as_of(table, day).select("q", "eps"))
+    assert seen("2023-05-01") == [(1, None)] and seen("2023-05-30") == [(1, 5)] and seen("2023-12-31") == [(1, 5), (2, 6), (3, None)]

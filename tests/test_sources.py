@@ -7,7 +7,7 @@ import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import types as T
 
-from tidemark.sources import tables
+from tidemark.sources import scratch, tables
 
 SCHEMA = T.StructType([T.StructField("code", T.StringType()), T.StructField("date", T.DateType()), T.StructField("v", T.DoubleType())])
 
@@ -36,6 +36,8 @@ def test_twins_have_the_same_content(spark, frame, tmp_path):
 def test_yearly_sink_is_sorted_and_whole(spark, frame, tmp_path, files):
     tables.write_by_year(frame, str(tmp_path / "y"), "date", ["code", "date"], files)
     assert spark.read.parquet(str(tmp_path / "y")).count() == frame.count()
+    years = [d for d in (tmp_path / "y").iterdir() if d.is_dir()]
+    assert len(years) == 4 and all(1 <= len(list(d.glob("*.parquet"))) <= files for d in years)
     for file in (tmp_path / "y").rglob("*.parquet"):
         t = pq.ParquetFile(file).read().to_pylist()
         assert t == sorted(t, key=lambda r: (r["code"], r["date"]))
@@ -48,11 +50,34 @@ def test_year_files_are_one_table_and_only_asked_years_are_read(spark, tmp_path)
     assert sorted(r.y for r in df.collect()) == [2019, 2020] and len(df.inputFiles()) == 2
 
 
+def test_a_year_has_all_its_files_and_undated_rows_one(spark, tmp_path):
+    rows = [(f"c{i}", date(2019 + i % 2, 1, 1) if i % 7 else None, float(i)) for i in range(400)]
+    tables.write_by_year(spark.createDataFrame(rows, SCHEMA), str(tmp_path / "y"), "date", ["code", "date"], 4)
+    assert {d.name: len(list(d.glob("*.parquet"))) for d in (tmp_path / "y").iterdir() if d.is_dir()} == {"year=2019": 4, "year=2020": 4, "year=__HIVE_DEFAULT_PARTITION__": 4}
+    tables.write_by_year(spark.createDataFrame([], SCHEMA), str(tmp_path / "none"), "date", ["code"])
+
+
 def test_manifest(spark, tmp_path):
-    (tmp_path / "d").mkdir()
-    for name, text in (("a.txt", b"one"), ("b.txt", b"two"), ("d/c.txt", b"three")):
+    files = {"a.txt": b"one", "b.txt": b"two", "d/c.txt": b"three", "README.md": b"top", "d/README.md": b"inner", "d/e/README.md": b"innermost"}
+    (tmp_path / "d" / "e").mkdir(parents=True)
+    for name, text in files.items():
         (tmp_path / name).write_bytes(text)
-    listed = [("a.txt", 3, hashlib.sha256(b"one").hexdigest()), ("b.txt", 3, hashlib.sha256(b"xxx").hexdigest()), ("gone.txt", 1, "0")]
+    sha = lambda x: hashlib.sha256(x).hexdigest()
+    listed = [("a.txt", 3, sha(b"one")), ("b.txt", 3, sha(b"xxx")), ("gone.txt", 1, "0"), ("README.md", 3, sha(b"top")), ("d/README.md", 5, sha(b"other"))]
     manifest = spark.createDataFrame(listed, "path string, size long, sha256 string")
-    got = {r.path.rpartition("/")[2]: r.state for r in tables.verify_manifest(manifest, tables.file_digests(spark, str(tmp_path))).collect()}
-    assert got == {"a.txt": "ok", "b.txt": "changed", "gone.txt": "missing", "c.txt": "unlisted"}
+    got = [tuple(r) for r in tables.verify_manifest(manifest, tables.file_digests(spark, str(tmp_path))).collect()]
+    assert sorted(got) == sorted([("a.txt", "ok"), ("b.txt", "changed"), ("gone.txt", "missing"), ("d/c.txt", "unlisted"), ("README.md", "ok"), ("d/README.md", "changed"), ("d/e/README.md", "unlisted")])
+
+
+class Elsewhere:
+    """A session of a cluster that names no shared folder."""
+
+    conf = {}
+    sparkContext = type("Context", (), {"master": "spark://host:7077"})
+
+
+@pytest.mark.parametrize("master", ["spark://host:7077", "yarn", "k8s://x", "local-cluster[3,2,1024]"])
+def test_no_cluster_writes_to_a_folder_of_one_machine(master):
+    Elsewhere.sparkContext.master = master
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        scratch.shared_root(Elsewhere)

@@ -98,6 +98,11 @@ def debt_ratio(liability: Column | str, assets: Column | str) -> Column:
     return F.try_divide(as_col(liability), as_col(assets))
 
 
+def roe(profit: Column | str, equity: Column | str) -> Column:
+    """Profit over equity at the period's end, not annualised; null where the equity is not positive."""
+    return ratio_or_null(profit, equity)
+
+
 def gross_margin(revenue: Column | str, cost: Column | str) -> Column:
     """Null where the cost is unknown."""
     return F.try_divide(as_col(revenue) - as_col(cost), as_col(revenue))

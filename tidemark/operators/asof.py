@@ -13,7 +13,8 @@ def asof_join(left: DataFrame, right: DataFrame, by: list[str], left_time: str,
     has one row per key and time at most. Null keys match nothing; unmatched rows have null values.
 
     split ('month', 'year', ...) is for keys that hold a large share of all rows: windows are then a key and a period
-    each, and what a period starts with is carried over from a small table of the last right row of each period.
+    each, and what a period starts with is carried over from a table of the last right row of each period. That table is
+    joined on the columns that the windows are dealt by, so it adds no exchange of the rows.
     """
     known = right.filter(F.col(right_time).isNotNull())
     for k in by:
@@ -31,7 +32,8 @@ def asof_join(left: DataFrame, right: DataFrame, by: list[str], left_time: str,
         ends = both.groupBy(*keys, "_period").agg(F.max_by("_right", F.when(F.col("_right").isNotNull(), F.col("_time"))).alias("_end"))
         before = Window.partitionBy(*keys).orderBy(F.col("_period").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
         ends = ends.select(*(F.col(n).alias(f"{n}_e") for n in (*keys, "_period")), F.last("_end", ignorenulls=True).over(before).alias("_carried"))
-        on = [F.col(n).eqNullSafe(F.col(f"{n}_e")) for n in (*keys, "_period")]
+        # rows with a null key or time match nothing anyway
+        on = [F.col(n) == F.col(f"{n}_e") for n in (*keys, "_period")]
         found = found.join(ends, on, "left").withColumn("_right", F.coalesce("_right", "_carried"))
     # null keys share a window, but no right row has one
     return found.select("_left.*", *(F.col("_right")[v].alias(v) for v in values))
@@ -40,15 +42,15 @@ def asof_join(left: DataFrame, right: DataFrame, by: list[str], left_time: str,
 def next_in_calendar(df: DataFrame, day: str, calendar: DataFrame, calendar_day: str, out: str, strict: bool) -> DataFrame:
     """df with the first calendar day after `day` (strict), or on or after it; null beyond the calendar's end.
 
-    The calendar becomes a map of all days from its first to its last, some hundreds of rows for each year of history:
-    its size follows time, not data, so it is broadcast and the join is an equi-join.
+    The calendar becomes a map of all days from its first to its last, some hundreds of rows for each year of history, so
+    the join is an equi-join; adaptive execution broadcasts the map when its size allows.
     """
     days = calendar.select(F.col(calendar_day).cast("date").alias(out)).filter(F.col(calendar_day).isNotNull()).distinct()
-    first = days.agg(F.min(out)).first()[0]
+    first = days.agg(F.min(out)).scalar()
     before = F.lag(out).over(Window.orderBy(out))
     spans = days.withColumn("_after", before).filter("_after is not null")
-    low, high = ("_after", F.date_sub(out, 1)) if strict else (F.date_add("_after", 1), F.col(out))
-    own = spans.select(out, F.explode(F.sequence(F.col(low) if isinstance(low, str) else low, high)).alias("_day"))
-    early = F.col(day) < F.lit(first) if strict else F.col(day) <= F.lit(first)
-    joined = df.join(F.broadcast(own), F.col(day) == F.col("_day"), "left").drop("_day")
-    return joined.withColumn(out, F.when(early, F.lit(first)).otherwise(F.col(out)))
+    low, high = (F.col("_after"), F.date_sub(out, 1)) if strict else (F.date_add("_after", 1), F.col(out))
+    own = spans.select(out, F.explode(F.sequence(low, high)).alias("_day"))
+    early = F.col(day) < first if strict else F.col(day) <= first
+    joined = df.join(own, F.col(day) == F.col("_day"), "left").drop("_day")
+    return joined.withColumn(out, F.when(early, first).otherwise(F.col(out)))

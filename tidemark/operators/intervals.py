@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.asof import asof_join
+
 
 def events_to_intervals(df: DataFrame, keys: list[str], start: str, ties: list[str], end: str = "end_exclusive") -> DataFrame:
     """Each event holds until the next of its key; the last stays open."""
@@ -26,7 +28,7 @@ def flags_to_runs(df: DataFrame, keys: list[str], day: str, flag: Column, calend
     calendar count for nothing; repeated days count once.
     """
     days = df.filter(flag).select(*keys, F.col(day).alias("day")).distinct()
-    placed = days.join(F.broadcast(calendar), "day")
+    placed = days.join(calendar, "day")
     island = F.col("i") - F.row_number().over(Window.partitionBy(*keys).orderBy("i"))
     runs = placed.withColumn("island", island).groupBy(*keys, "island").agg(F.min("day").alias("start_day"), F.max("day").alias("last_day"), F.max(F.struct("i", "next_day"))["next_day"].alias("end_exclusive"), F.count("*").alias("n_days"))
     return runs.drop("island").withColumn("is_open", F.col("end_exclusive").isNull())
@@ -45,7 +47,11 @@ def fold_runs(df: DataFrame, keys: list[str], order: list[str], value: str) -> D
 
 
 def in_interval(df: DataFrame, intervals: DataFrame, by: list[str], at: str, start: str, end: str, how: str = "inner") -> DataFrame:
-    """df joined to the intervals of the same keys that hold `at`: an equi-join with a residual range."""
+    """df joined to the intervals of the same keys that hold `at`: an equi-join with a residual range.
+
+    Intervals of a key may overlap. The work is rows times intervals of a key; where they do not overlap, in_state has no
+    such product.
+    """
     on = [df[k] == intervals[k] for k in by] + [df[at] >= intervals[start], intervals[end].isNull() | (df[at] < intervals[end])]
     joined = df.join(intervals, on, how)
     for k in by:
@@ -53,6 +59,19 @@ def in_interval(df: DataFrame, intervals: DataFrame, by: list[str], at: str, sta
     return joined
 
 
+def in_state(df: DataFrame, intervals: DataFrame, by: list[str], at: str, start: str, end: str, values: list[str], split: str | None = "month") -> DataFrame:
+    """df with `values` of the interval that holds `at`, for intervals of a key that do not overlap; rows in none go.
+
+    An as-of join on the starts and a check of the ends: linear in both sides. With split ('month', 'year', ...), a key
+    that holds a large share of all rows is cut by period. Empty intervals hold nothing.
+    """
+    open_ = intervals.filter(F.col(end).isNull() | (F.col(start) < F.col(end)))
+    known = open_.select(*by, F.col(start).alias("_start"), F.col(end).alias("_end"), *(F.col(v).alias(f"_{v}_value") for v in values))
+    found = asof_join(df, known, by, at, "_start", ["_start", "_end", *(f"_{v}_value" for v in values)], split=split)
+    held = F.col("_start").isNotNull() & (F.col("_end").isNull() | (F.col(at) < F.col("_end")))
+    return found.filter(held).select(*df.columns, *(F.col(f"_{v}_value").alias(v) for v in values))
+
+
 def cap_open_ends(intervals: DataFrame, caps: DataFrame, by: list[str], end: str, cap: str) -> DataFrame:
     """Open intervals ended at their key's cap, such as the day of delisting; keys without a cap stay open.
 

@@ -46,8 +46,39 @@ def period_end_sample(df: DataFrame, keys: list[str], day: str, period: str, dat
     return top_n_by(rows, [*keys, "period"], [F.col(day).desc(), *ties])
 
 
+#: Accuracy of the first pass over a group's values; the second pass looks at 4 in ACCURACY of them on either side of a rank.
+ACCURACY = 10_000
+
+
+def exact_percentiles(df: DataFrame, keys: list[str], value: str, shares: list[float]) -> DataFrame:
+    """(keys, q0, q1, ...): the exact percentiles of each group, interpolated between neighbours; nulls do not count.
+
+    Two passes, so that no task holds a group: approximate percentiles, whose error is bounded, enclose each rank; then
+    only values between the bounds are counted and put in order, a share of 8 / ACCURACY of a group for each percentile.
+    What is below or above them is one row each, with the value next to the bound.
+    """
+    slack = 4 / ACCURACY
+    around = [min(1.0, max(0.0, s + d)) for s in shares for d in (-slack, slack)]
+    rows = df.filter(F.col(value).isNotNull()).select(*(F.struct(F.col(k).alias("k")).alias(k) for k in keys), F.col(value).cast("double").alias("_v"))
+    bounds = rows.groupBy(*keys).agg(F.count("*").alias("_n"), F.percentile_approx("_v", around, ACCURACY).alias("_cuts"))
+    spots = F.array(*(F.struct(F.lit(k).alias("_k"), F.lit(s).alias("_share"), F.col("_cuts")[2 * k].alias("_low"), F.col("_cuts")[2 * k + 1].alias("_high")) for k, s in enumerate(shares)))
+    rows = rows.join(bounds, keys).select(*keys, "_n", "_v", F.explode(spots).alias("_s")).select(*keys, "_n", "_v", "_s.*")
+    side = F.when(F.col("_v") < F.col("_low"), -1).when(F.col("_v") > F.col("_high"), 1).otherwise(0)
+    place = [*keys, "_k", "_share", "_n", side.alias("_side"), F.when(side == 0, F.col("_v")).alias("_at")]
+    counted = rows.groupBy(*place).agg(F.count("*").alias("_c"), F.min("_v").alias("_least"), F.max("_v").alias("_most"))
+    order = Window.partitionBy(*keys, "_k").orderBy("_side", "_at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    counted = counted.withColumn("_upto", F.sum("_c").over(order)).withColumn("_v", F.when(F.col("_side") < 0, F.col("_most")).otherwise(F.col("_least")))
+    spot = F.col("_share") * (F.col("_n") - 1)
+    holds = lambda rank: F.min(F.when((F.col("_upto") > rank) & (F.col("_upto") - F.col("_c") <= rank), F.col("_v")))
+    found = counted.groupBy(*keys, "_k").agg(holds(F.floor(spot)).alias("_a"), holds(F.ceil(spot)).alias("_b"), F.first(spot - F.floor(spot)).alias("_part"))
+    q = F.col("_a") + (F.col("_b") - F.col("_a")) * F.col("_part")
+    found = found.groupBy(*keys).agg(*(F.max(F.when(F.col("_k") == k, q)).alias(f"q{k}") for k in range(len(shares))))
+    return found.select(*(F.col(k)["k"].alias(k) for k in keys), *(f"q{k}" for k in range(len(shares))))
+
+
 def winsorize(df: DataFrame, keys: list[str], value: str, share: float, out: str) -> DataFrame:
-    """value clipped to the exact percentiles share and 1 - share of its group. One row a group is joined back."""
-    bounds = df.groupBy(*keys).agg(F.percentile(value, share).alias("_low"), F.percentile(value, 1 - share).alias("_high"))
-    clipped = F.when(F.col(value).isNotNull(), F.least(F.greatest(F.col(value), F.col("_low")), F.col("_high")))
-    return df.join(bounds, keys).withColumn(out, clipped).drop("_low", "_high")
+    """value clipped to the exact percentiles share and 1 - share of its group; a null key is a group too."""
+    bounds = exact_percentiles(df, keys, value, [share, 1 - share]).select(*(F.col(k).alias(f"_{k}_b") for k in keys), "q0", "q1")
+    clipped = F.when(F.col(value).isNotNull(), F.least(F.greatest(F.col(value), F.col("q0")), F.col("q1")))
+    joined = df.join(bounds, [F.col(k).eqNullSafe(F.col(f"_{k}_b")) for k in keys], "left")
+    return joined.withColumn(out, clipped).drop("q0", "q1", *(f"_{k}_b" for k in keys))

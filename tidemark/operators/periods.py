@@ -46,8 +46,14 @@ def ttm(df: DataFrame, keys: list[str], year: str, quarter: str, cum: str, avail
     return rows.select(*df.columns, out, *([f"{out}_available"] if available else []))
 
 
-def yoy(df: DataFrame, keys: list[str], year: str, quarter: str, cum: str, out: str = "yoy") -> DataFrame:
-    """Growth over the same period of the year before; null without it or where it is not positive."""
-    rows = df.join(prior(df, keys, year, quarter, [cum], 1, "_before"), [*keys, year, quarter], "left")
+def yoy(df: DataFrame, keys: list[str], year: str, quarter: str, cum: str, available: str | None = None, out: str = "yoy") -> DataFrame:
+    """Growth over the same period of the year before; null without it or where it is not positive.
+
+    With `available`, out + '_available' is the day from which both values were known.
+    """
+    rows = df.join(prior(df, keys, year, quarter, [cum, *([available] if available else [])], 1, "_before"), [*keys, year, quarter], "left")
     base = F.col(f"{cum}_before")
-    return rows.withColumn(out, ratio_or_null(F.col(cum), base) - 1).select(*df.columns, out)
+    rows = rows.withColumn(out, ratio_or_null(F.col(cum), base) - 1)
+    if available:
+        rows = rows.withColumn(f"{out}_available", F.when(F.col(out).isNotNull(), F.greatest(available, f"{available}_before")))
+    return rows.select(*df.columns, out, *([f"{out}_available"] if available else []))

@@ -19,12 +19,6 @@ def scan_projection(t: Tables) -> DataFrame:
     return t.orders.filter("o_totalprice > 300000").select("o_orderkey", "o_custkey", "o_totalprice")
 
 
-@query("SELECT o_orderkey, o_orderdate::DATE AS d, year(o_orderdate)::INT AS y FROM orders WHERE year(o_orderdate) BETWEEN 1995 AND 2001")
-def year_split_union(t: Tables) -> DataFrame:
-    years = [t.orders.filter((F.col("o_orderdate") >= F.lit(f"{y}-01-01").cast("timestamp_ntz")) & (F.col("o_orderdate") < F.lit(f"{y + 1}-01-01").cast("timestamp_ntz"))).select("o_orderkey", day("o_orderdate").alias("d"), F.lit(y).alias("y")) for y in range(1995, 2002)]
-    return combine.union_all(*years)
-
-
 @query("SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderstatus = 'F'")
 def filter_equality(t: Tables) -> DataFrame:
     return t.orders.filter("o_orderstatus = 'F'").select("o_orderkey", "o_orderstatus")

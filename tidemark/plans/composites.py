@@ -14,49 +14,74 @@ from tidemark.plans.basic import day
 
 
 def build_financials_pit(income: DataFrame, balance: DataFrame, indicator: DataFrame, key: str, year: str, quarter: str) -> DataFrame:
-    """First disclosures of the statements, aligned by period, with indicators, growth and trailing values.
+    """First disclosures of the statements, aligned by period, with indicators, ratios, growth and trailing values.
 
     income: (key, year, quarter, pub_date, source_id, report_type, revenue, cost, profit), balance: (key, year,
-    quarter, pub_date, source_id, report_type, assets, liability), both cumulative; indicator: (key, year, quarter, eps).
-    pub_date of a row is the latest of its statements.
+    quarter, pub_date, source_id, report_type, assets, liability, equity), both cumulative; indicator: (key, year, quarter,
+    eps, ind_pub_date), of the quarter alone. pub_date of a row is the latest of its statements. Indicators are published on a
+    day of their own, ind_pub_date, and trailing values and growth are known from theirs: see financials_as_of.
     """
     keys = [key, year, quarter]
     first = lambda df: panel.first_disclosure(df.filter("report_type = 0"), keys, ["pub_date", "source_id"]).drop("report_type", "source_id")
     rows = first(income).join(first(balance).withColumnRenamed("pub_date", "balance_pub"), keys)
     rows = rows.withColumn("pub_date", F.greatest("pub_date", "balance_pub")).drop("balance_pub").join(indicator, keys, "left")
-    rows = rows.withColumn("gross_margin", S.gross_margin("revenue", "cost")).withColumn("debt_ratio", S.debt_ratio("liability", "assets"))
+    rows = rows.withColumns({"gross_margin": S.gross_margin("revenue", "cost"), "roe": S.roe("profit", "equity"), "debt_ratio": S.debt_ratio("liability", "assets")})
     rows = periods.ttm(rows, [key], year, quarter, "profit", "pub_date", "profit_ttm")
-    return periods.yoy(rows, [key], year, quarter, "profit", "profit_yoy")
+    return periods.yoy(rows, [key], year, quarter, "profit", "pub_date", "profit_yoy")
+
+
+def financials_as_of(rows: DataFrame, cutoff: str) -> DataFrame:
+    """The rows known by a day, in which values that came out later are null."""
+    day_ = F.to_date(F.lit(cutoff))
+    seen = {"eps": "ind_pub_date", "profit_ttm": "profit_ttm_available", "profit_yoy": "profit_yoy_available"}
+    return filters.known_by(rows, "pub_date", cutoff).withColumns({c: F.when(F.col(known) <= day_, F.col(c)) for c, known in seen.items()})
 
 
 STATEMENTS = """SELECT s_nationkey AS code, year(l_shipdate)::INT AS y, quarter(l_shipdate)::INT AS q, l_linenumber % 3 AS report_type, (l_shipdate::DATE + 30 + (l_linenumber * 7)::INT) AS pub_date,
 min(l_orderkey) AS source_id, sum(l_extendedprice::DECIMAL(12,2)) AS revenue, sum(l_extendedprice::DECIMAL(12,2) * 0.75::DECIMAL(3,2)) AS cost, sum((l_tax::DECIMAL(4,2) - 0.04::DECIMAL(4,2)) * l_extendedprice::DECIMAL(12,2)) AS profit,
-sum(l_quantity::DECIMAL(12,2)) AS assets, sum(l_quantity::DECIMAL(12,2) * l_discount::DECIMAL(4,2)) AS liability FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY ALL"""
+sum(l_quantity::DECIMAL(12,2)) AS assets, sum(l_quantity::DECIMAL(12,2) * l_discount::DECIMAL(4,2)) AS liability, sum(l_quantity::DECIMAL(12,2) * (0.05::DECIMAL(4,2) - l_discount::DECIMAL(4,2))) AS equity FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY ALL"""
 
-
-@query(f"""WITH s AS ({STATEMENTS}),
+FINANCIALS = f"""WITH s AS ({STATEMENTS}),
 f AS (SELECT * FROM s WHERE report_type = 0 QUALIFY row_number() OVER (PARTITION BY code, y, q ORDER BY pub_date, source_id) = 1),
-e AS (SELECT c_nationkey AS code, year(o_orderdate)::INT AS y, quarter(o_orderdate)::INT AS q, count(*)::BIGINT AS eps FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_nationkey % 2 = 0 GROUP BY ALL)
-SELECT f.code, f.y, f.q, f.pub_date, f.profit::DOUBLE AS profit, e.eps, round((f.revenue::DOUBLE - f.cost::DOUBLE) / nullif(f.revenue::DOUBLE, 0), 9) AS gross_margin, round(f.liability::DOUBLE / nullif(f.assets::DOUBLE, 0), 9) AS debt_ratio,
+e AS (SELECT c_nationkey AS code, year(o_orderdate)::INT AS y, quarter(o_orderdate)::INT AS q, count(*)::BIGINT AS eps, max(o_orderdate)::DATE + 60 AS ind_pub_date FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY ALL)
+SELECT f.code, f.y, f.q, f.pub_date, f.profit::DOUBLE AS profit, e.eps, e.ind_pub_date, round((f.revenue::DOUBLE - f.cost::DOUBLE) / nullif(f.revenue::DOUBLE, 0), 9) AS gross_margin,
+round(CASE WHEN f.equity > 0 THEN f.profit::DOUBLE / f.equity::DOUBLE END, 9) AS roe, round(f.liability::DOUBLE / nullif(f.assets::DOUBLE, 0), 9) AS debt_ratio,
 round(CASE WHEN f.q = 4 THEN f.profit ELSE f.profit + a.profit - b.profit END::DOUBLE, 4) AS profit_ttm,
 CASE WHEN f.q = 4 THEN f.pub_date WHEN a.code IS NOT NULL AND b.code IS NOT NULL THEN greatest(f.pub_date, a.pub_date, b.pub_date) END AS profit_ttm_available,
-round(CASE WHEN b.profit > 0 THEN f.profit::DOUBLE / b.profit::DOUBLE - 1 END, 9) AS profit_yoy
+round(CASE WHEN b.profit > 0 THEN f.profit::DOUBLE / b.profit::DOUBLE - 1 END, 9) AS profit_yoy, CASE WHEN b.profit > 0 THEN greatest(f.pub_date, b.pub_date) END AS profit_yoy_available
 FROM f LEFT JOIN f a ON a.code = f.code AND a.y = f.y - 1 AND a.q = 4 LEFT JOIN f b ON b.code = f.code AND b.y = f.y - 1 AND b.q = f.q
-LEFT JOIN e ON e.code = f.code AND e.y = f.y AND e.q = f.q""")
-def financials_pit(t: Tables) -> DataFrame:
+LEFT JOIN e ON e.code = f.code AND e.y = f.y AND e.q = f.q"""
+
+
+def financials(t: Tables) -> DataFrame:
     exact = lambda c, digits=12: F.col(c).cast(f"decimal({digits},2)")
     rows = t.lineitem.join(t.supplier, F.col("l_suppkey") == F.col("s_suppkey"))
     pub = F.date_add(day("l_shipdate"), 30 + F.col("l_linenumber") * 7).alias("pub_date")
-    price = exact("l_extendedprice")
+    price, owed = exact("l_extendedprice"), exact("l_discount", 4)
     rows = rows.groupBy(F.col("s_nationkey").alias("code"), F.year("l_shipdate").alias("y"), F.quarter("l_shipdate").alias("q"), (F.col("l_linenumber") % 3).alias("report_type"), pub).agg(
-        F.min("l_orderkey").alias("source_id"), F.sum(price).alias("revenue"), F.sum(price * F.lit(Decimal("0.75"))).alias("cost"), F.sum((exact("l_tax", 4) - F.lit(Decimal("0.04"))) * price).alias("profit"), F.sum(exact("l_quantity")).alias("assets"), F.sum(exact("l_quantity") * exact("l_discount", 4)).alias("liability")
-    )
-    rows = rows.withColumns({c: F.col(c).cast("double") for c in ("revenue", "cost", "profit", "assets", "liability")})
-    orders = t.orders.join(t.customer, F.col("o_custkey") == F.col("c_custkey")).filter("c_nationkey % 2 = 0")
-    eps = orders.groupBy(F.col("c_nationkey").alias("code"), F.year("o_orderdate").alias("y"), F.quarter("o_orderdate").alias("q")).agg(F.count("*").alias("eps"))
-    out = build_financials_pit(rows.drop("assets", "liability"), rows.drop("revenue", "cost", "profit"), eps, "code", "y", "q")
-    rounded = {"gross_margin": 9, "debt_ratio": 9, "profit_ttm": 4, "profit_yoy": 9}
-    return out.select("code", "y", "q", "pub_date", "profit", "eps", "profit_ttm_available", *(F.round(c, n).alias(c) for c, n in rounded.items()))
+        F.min("l_orderkey").alias("source_id"), F.sum(price).alias("revenue"), F.sum(price * F.lit(Decimal("0.75"))).alias("cost"), F.sum((exact("l_tax", 4) - F.lit(Decimal("0.04"))) * price).alias("profit"),
+        F.sum(exact("l_quantity")).alias("assets"), F.sum(exact("l_quantity") * owed).alias("liability"), F.sum(exact("l_quantity") * (F.lit(Decimal("0.05")) - owed)).alias("equity"),
+    )
+    rows = rows.withColumns({c: F.col(c).cast("double") for c in ("revenue", "cost", "profit", "assets", "liability", "equity")})
+    orders = t.orders.join(t.customer, F.col("o_custkey") == F.col("c_custkey"))
+    eps = orders.groupBy(F.col("c_nationkey").alias("code"), F.year("o_orderdate").alias("y"), F.quarter("o_orderdate").alias("q")).agg(F.count("*").alias("eps"), F.date_add(F.max(day("o_orderdate")), 60).alias("ind_pub_date"))
+    return build_financials_pit(rows.drop("assets", "liability", "equity"), rows.drop("revenue", "cost", "profit"), eps, "code", "y", "q")
+
+
+def financial_columns(df: DataFrame) -> DataFrame:
+    rounded = {"gross_margin": 9, "roe": 9, "debt_ratio": 9, "profit_ttm": 4, "profit_yoy": 9}
+    return df.select("code", "y", "q", "pub_date", "profit", "eps", "ind_pub_date", "profit_ttm_available", "profit_yoy_available", *(F.round(c, n).alias(c) for c, n in rounded.items()))
+
+
+@query(FINANCIALS)
+def financials_pit(t: Tables) -> DataFrame:
+    return financial_columns(financials(t))
+
+
+@query(f"""SELECT * REPLACE (CASE WHEN ind_pub_date <= DATE '1998-05-15' THEN eps END AS eps, CASE WHEN profit_ttm_available <= DATE '1998-05-15' THEN profit_ttm END AS profit_ttm,
+CASE WHEN profit_yoy_available <= DATE '1998-05-15' THEN profit_yoy END AS profit_yoy) FROM ({FINANCIALS}) WHERE pub_date <= DATE '1998-05-15'""")
+def financials_known_by(t: Tables) -> DataFrame:
+    return financial_columns(financials_as_of(financials(t), "1998-05-15"))
 
 
 def build_dividends(plans: DataFrame, dates: list[str], since: str) -> DataFrame:
@@ -101,35 +126,38 @@ def build_basis(contracts: DataFrame, daily: DataFrame, spot: DataFrame, dominan
     return panel.flag_top(rows, ["date", "product"], [F.col("open_interest").desc_nulls_last(), F.col("contract")], "is_oi_top")
 
 
-BASIS = """WITH days AS (SELECT DISTINCT ts::DATE AS date FROM events),
-prod AS (SELECT * FROM (VALUES ('IC', 1), ('IF', 2)) v(product, n)),
-con AS (SELECT product || p_partkey::VARCHAR AS contract, product, p_partkey, (SELECT min(date) FROM days) + ((p_partkey % 9) * 10)::INT AS delivery,
-  CASE WHEN p_partkey % 3 = 0 THEN (SELECT min(date) FROM days) + ((p_partkey % 40))::INT END AS given FROM part, prod WHERE p_partkey <= 12),
+BASIS = """WITH con AS (SELECT CASE WHEN p_partkey % 2 = 0 THEN 'IF' ELSE 'IC' END AS product, product || p_partkey::VARCHAR AS contract, p_partkey, DATE '1995-01-01' + (p_partkey * 37 % 2500)::INT AS delivery,
+  CASE WHEN p_partkey % 3 = 0 THEN DATE '1995-01-01' + (p_partkey * 41 % 2500)::INT END AS given FROM part),
 k AS (SELECT *, coalesce(given, (date_trunc('month', delivery)::DATE + ((5 - isodow(date_trunc('month', delivery)) + 7) % 7)::INT + 14)::DATE) AS expire_date, (given IS NULL)::INT AS expire_estimated FROM con),
-d AS (SELECT k.*, date, 100.0::DOUBLE + p_partkey + day(date) AS close, ((p_partkey * 31 + day(date) * 7) % 5)::BIGINT AS oi, 105.0::DOUBLE + day(date) / 2.0::DOUBLE AS ix, date_diff('day', date, expire_date)::INT AS days_to_expiry FROM k, days WHERE date <= expire_date)
-SELECT date, product, contract, expire_date, expire_estimated, days_to_expiry, close - ix AS basis_pts, round((close / ix - 1) * 100, 9) AS basis_pct,
+t AS (SELECT contract, product, l_shipdate::DATE AS date, max(l_extendedprice) AS close, sum(l_quantity::DECIMAL(28,2)) AS oi FROM lineitem JOIN con ON l_partkey = p_partkey GROUP BY ALL),
+i AS (SELECT product, date, max(close) AS ix, arg_max(contract, (oi, contract)) AS dominant FROM t GROUP BY ALL),
+d AS (SELECT t.*, ix, dominant, expire_date, expire_estimated, date_diff('day', date, expire_date)::INT AS days_to_expiry FROM t JOIN (SELECT contract, expire_date, expire_estimated FROM k) USING (contract) JOIN i USING (product, date) WHERE date <= expire_date)
+SELECT date, product, contract, expire_date, expire_estimated, days_to_expiry, round(close - ix, 6) AS basis_pts, round((close / ix - 1) * 100, 9) AS basis_pct,
 round(CASE WHEN days_to_expiry > 0 THEN (close / ix - 1) * 100 * 365 / days_to_expiry END, 9) AS basis_annualized_pct,
 row_number() OVER (PARTITION BY date, product ORDER BY expire_date, contract)::INT AS expiry_rank,
-(row_number() OVER (PARTITION BY date, product ORDER BY oi DESC, contract) = 1)::INT AS is_oi_top, (day(date) % 2 = 0 AND p_partkey = 5)::INT AS is_dominant FROM d"""
+(row_number() OVER (PARTITION BY date, product ORDER BY oi DESC, contract) = 1)::INT AS is_oi_top, (day(date) % 2 = 0 AND contract = dominant)::INT AS is_dominant FROM d"""
 
 
 def basis(t: Tables) -> DataFrame:
-    days = t.events.select(day("ts").alias("date")).distinct()
-    products = t.region.sparkSession.createDataFrame([("IC", "A"), ("IF", "B")], "product string, index_code string")
-    first = days.agg(F.min("date").alias("first"))
-    # twelve parts and two products stand in for contracts; the first day is one row
-    parts = t.part.filter("p_partkey <= 12").select("p_partkey").join(F.broadcast(products.select("product")), F.lit(True)).join(F.broadcast(first), F.lit(True))
-    contracts = parts.select(
-        F.concat("product", F.col("p_partkey").cast("string")).alias("contract"), "product", F.date_add("first", ((F.col("p_partkey") % 9) * 10).cast("int")).alias("delivery"), F.when(F.col("p_partkey") % 3 == 0, F.date_add("first", (F.col("p_partkey") % 40).cast("int"))).alias("expire_date"), "p_partkey"
-    )
-    spots = products.select("index_code").join(days, F.lit(True)).select("index_code", "date", (105.0 + F.dayofmonth("date") / 2.0).alias("index_close"))
-    daily = contracts.select("contract", "p_partkey").join(days, F.lit(True)).select("contract", "date", (100.0 + F.col("p_partkey") + F.dayofmonth("date")).alias("close"), ((F.col("p_partkey") * 31 + F.dayofmonth("date") * 7) % 5).alias("open_interest"))
-    dominant = products.select("product").join(days.filter(F.dayofmonth("date") % 2 == 0), F.lit(True)).select("product", "date", F.concat("product", F.lit("5")).alias("dominant_contract"))
-    return build_basis(contracts.drop("p_partkey"), daily, spots, dominant, products)
+    """Parts stand in for contracts of two products; their trading days, prices and open interest are those of their lines.
+
+    The index of a product is its highest price of the day, and the vendor names a dominant contract on even days.
+    """
+    products = t.spark.createDataFrame([("IC", "A"), ("IF", "B")], "product string, index_code string")
+    product = F.when(F.col("p_partkey") % 2 == 0, "IF").otherwise("IC")
+    from_day = lambda n: F.date_add(F.to_date(F.lit("1995-01-01")), (F.col("p_partkey") * n % 2500).cast("int"))
+    parts = t.part.select("p_partkey", product.alias("product"), F.concat(product, F.col("p_partkey").cast("string")).alias("contract"))
+    contracts = parts.select("contract", "product", from_day(37).alias("delivery"), F.when(F.col("p_partkey") % 3 == 0, from_day(41)).alias("expire_date"))
+    traded = t.lineitem.join(parts, F.col("l_partkey") == F.col("p_partkey")).groupBy("contract", "product", day("l_shipdate").alias("date")).agg(F.max("l_extendedprice").alias("close"), F.sum(F.col("l_quantity").cast("decimal(28,2)")).alias("open_interest"))
+    spots = traded.groupBy("product", "date").agg(F.max("close").alias("index_close"), F.max_by("contract", F.struct("open_interest", "contract")).alias("dominant_contract"))
+    # two products, whatever the size of the data
+    indexes = spots.join(F.broadcast(products), "product").select("index_code", "date", "index_close")
+    dominant = spots.filter(F.dayofmonth("date") % 2 == 0).select("product", "date", "dominant_contract")
+    return build_basis(contracts, traded.drop("product"), indexes, dominant, products)
 
 
 def basis_columns(df: DataFrame) -> DataFrame:
-    return df.select("date", "product", "contract", "expire_date", "expire_estimated", "days_to_expiry", "basis_pts", F.round("basis_pct", 9).alias("basis_pct"), F.round("basis_annualized_pct", 9).alias("basis_annualized_pct"), "expiry_rank", "is_oi_top", "is_dominant")
+    return df.select("date", "product", "contract", "expire_date", "expire_estimated", "days_to_expiry", F.round("basis_pts", 6).alias("basis_pts"), F.round("basis_pct", 9).alias("basis_pct"), F.round("basis_annualized_pct", 9).alias("basis_annualized_pct"), "expiry_rank", "is_oi_top", "is_dominant")
 
 
 @query(BASIS)

@@ -22,13 +22,13 @@ def known_and_lines(t: Tables) -> tuple[DataFrame, DataFrame]:
 @query(f"SELECT l.*, k.k AS known_order, k.d AS known_day FROM ({LINES}) l ASOF LEFT JOIN ({KNOWN}) k ON l.o_custkey = k.o_custkey AND l.shipped >= k.d")
 def asof_pub_date(t: Tables) -> DataFrame:
     known, lines = known_and_lines(t)
-    return asof.asof_join(lines, known, ["o_custkey"], "shipped", "known_day", ["known_order", "known_day"])
+    return asof.asof_join(lines, known, ["o_custkey"], "shipped", "known_day", ["known_order", "known_day"], split="month")
 
 
 @query(f"SELECT l.*, k.k AS known_order, k.d AS known_day FROM ({LINES}) l ASOF LEFT JOIN ({KNOWN}) k ON l.o_custkey = k.o_custkey AND l.shipped > k.d")
 def asof_strict(t: Tables) -> DataFrame:
     known, lines = known_and_lines(t)
-    return asof.asof_join(lines, known, ["o_custkey"], "shipped", "known_day", ["known_order", "known_day"], strict=True)
+    return asof.asof_join(lines, known, ["o_custkey"], "shipped", "known_day", ["known_order", "known_day"], strict=True, split="month")
 
 
 STATES = "SELECT user_id, event_id, event_type AS state, ts AS start_ts, lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS end_ts FROM events WHERE event_type IN ('signup', 'error')"
@@ -52,11 +52,19 @@ def interval_capped(t: Tables) -> DataFrame:
     return intervals.cap_open_ends(states(t), caps, ["user_id"], "end_ts", "cap").select("event_id", F.unix_micros(F.col("end_ts").cast("timestamp")).alias("end_us"))
 
 
+@query(f"""SELECT e.event_id, e.user_id, s.event_id AS other_event, s.state FROM events e JOIN ({STATES}) s
+ON e.user_id = s.user_id AND e.event_type = 'click' AND e.ts >= s.start_ts AND e.ts < s.start_ts + INTERVAL 2 DAY""")
+def interval_overlapping(t: Tables) -> DataFrame:
+    spans = states(t).select(F.col("user_id").alias("user"), F.col("event_id").alias("other_event"), "state", "start_ts", (F.col("start_ts") + F.expr("INTERVAL 2 DAY")).alias("until")).withColumnRenamed("user", "user_id")
+    clicks = t.events.filter("event_type = 'click'").select("user_id", "event_id", "ts")
+    return intervals.in_interval(clicks, spans, ["user_id"], "ts", "start_ts", "until").select("event_id", "user_id", "other_event", "state")
+
+
 @query(f"""SELECT e.event_id, s.event_id AS state_event, s.state FROM events e JOIN ({STATES}) s
 ON e.user_id = s.user_id AND e.ts >= s.start_ts AND (s.end_ts IS NULL OR e.ts < s.end_ts)""")
 def interval_membership(t: Tables) -> DataFrame:
     s = states(t).withColumnRenamed("event_id", "state_event")
-    return intervals.in_interval(t.events.select("user_id", "event_id", "ts"), s, ["user_id"], "ts", "start_ts", "end_ts").select("event_id", "state_event", "state")
+    return intervals.in_state(t.events.select("user_id", "event_id", "ts"), s, ["user_id"], "ts", "start_ts", "end_ts", ["state_event", "state"]).drop("user_id", "ts")
 
 
 RUNS = """WITH cal AS (SELECT d, row_number() OVER (ORDER BY d) AS i, lead(d) OVER (ORDER BY d) AS nxt FROM (SELECT DISTINCT ts::DATE AS d FROM events)),
@@ -115,13 +123,13 @@ def next_trading_day(t: Tables) -> DataFrame:
     return asof.next_in_calendar(rows, "d", calendar, "c", "after", strict=True)
 
 
-SPANS = "SELECT p_partkey, DATE '1995-01-01' + (p_partkey * 37 % 2400)::INT AS s, DATE '1995-01-01' + (p_partkey * 37 % 2400)::INT + (p_size % 5)::INT + 1 AS e FROM part WHERE p_size <= 5"
+SPANS = "SELECT p_partkey, DATE '1995-01-01' + (p_partkey * 37 % 2400)::INT AS s, DATE '1995-01-01' + (p_partkey * 37 % 2400)::INT + (p_size % 5)::INT + 1 AS e FROM part"
 
 
 @query(f"SELECT o_orderkey, p_partkey FROM orders JOIN ({SPANS}) ON o_orderdate::DATE >= s AND o_orderdate::DATE < e")
 def range_join_bucketed(t: Tables) -> DataFrame:
     start = F.date_add(F.to_date(F.lit("1995-01-01")), (F.col("p_partkey") * 37 % 2400).cast("int"))
-    spans = t.part.filter("p_size <= 5").select("p_partkey", start.alias("s")).join(t.part.select("p_partkey", "p_size"), "p_partkey").select("p_partkey", "s", F.date_add("s", F.col("p_size") % 5 + 1).alias("e"))
+    spans = t.part.select("p_partkey", start.alias("s"), F.date_add(start, F.col("p_size") % 5 + 1).alias("e"))
     return intervals.range_join(t.orders.select("o_orderkey", day("o_orderdate").alias("d")), spans, "d", "s", "e", 4).select("o_orderkey", "p_partkey")
 
 
@@ -142,7 +150,7 @@ def error_days(t: Tables) -> DataFrame:
 
 def member_days(t: Tables) -> DataFrame:
     s = states(t).filter("state = 'error'").drop("event_id")
-    return intervals.in_interval(t.events.select("user_id", "ts"), s, ["user_id"], "ts", "start_ts", "end_ts").select("user_id", day("ts").alias("d")).distinct()
+    return intervals.in_state(t.events.select("user_id", "ts"), s, ["user_id"], "ts", "start_ts", "end_ts", ["state"]).select("user_id", day("ts").alias("d")).distinct()
 
 
 @query(f"""WITH t AS ({ERROR_DAYS}), p AS ({MEMBER_DAYS}),

@@ -87,10 +87,10 @@ def ttm(t: Tables) -> DataFrame:
     return periods.ttm(cumulative(t), ["code"], "y", "q", "cum", "pub").select("code", "y", "q", F.round("ttm", 2).alias("ttm"), "ttm_available")
 
 
-@query(f"""WITH c AS ({CUMULATIVE}) SELECT c.code, c.y, c.q, round(CASE WHEN b.cum > 0 THEN c.cum / b.cum - 1 END, 9) AS yoy
+@query(f"""WITH c AS ({CUMULATIVE}) SELECT c.code, c.y, c.q, round(CASE WHEN b.cum > 0 THEN c.cum / b.cum - 1 END, 9) AS yoy, CASE WHEN b.cum > 0 THEN greatest(c.pub, b.pub) END AS yoy_available
 FROM c LEFT JOIN c b ON b.code = c.code AND b.y = c.y - 1 AND b.q = c.q""")
 def yoy(t: Tables) -> DataFrame:
-    return periods.yoy(cumulative(t), ["code"], "y", "q", "cum").select("code", "y", "q", F.round("yoy", 9).alias("yoy"))
+    return periods.yoy(cumulative(t), ["code"], "y", "q", "cum", "pub").select("code", "y", "q", F.round("yoy", 9).alias("yoy"), "yoy_available")
 
 
 @query("SELECT l_orderkey, l_linenumber, count(*)::BIGINT AS n FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1")

@@ -38,7 +38,7 @@ SELECT region, m, n, n_expected, (n = n_expected)::INT AS complete FROM a JOIN e
 def family_completeness(t: Tables) -> DataFrame:
     dim = t.nation.select(F.col("n_regionkey").alias("region"), F.col("n_nationkey").alias("member"))
     rows = t.orders.join(t.customer, F.col("o_custkey") == F.col("c_custkey")).select(F.trunc("o_orderdate", "MM").alias("m"), F.col("c_nationkey").alias("member"))
-    return combine.completeness(rows.join(F.broadcast(dim), "member"), dim, "region", ["m"], "member")
+    return combine.completeness(rows.join(dim, "member"), dim, "region", ["m"], "member")
 
 
 @query("""WITH x AS (SELECT date_trunc('month', l_shipdate)::DATE AS m, sum(l_extendedprice::DECIMAL(28,2)) AS w, sum(l_extendedprice::DECIMAL(28,2)) FILTER (WHERE l_returnflag = 'A') AS p FROM lineitem GROUP BY 1)

@@ -35,10 +35,19 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet") -> None:
 
 
 def write_by_year(df: DataFrame, path: str, date_col: str, sort: Iterable[str], files_per_year: int = 1) -> None:
-    """One folder a year, each file sorted. More files a year split a year by ranges of the first sort column."""
+    """One folder a year with files_per_year files, each sorted; rows without a date go to a folder of their own.
+
+    A year's rows are dealt over its files by a hash of the sort columns, each file by a task of its own, so neither a large
+    year nor a code that holds much of it is one task. Years are few whatever the size of the data.
+    """
     sort = list(sort)
     dated = df.withColumn("year", F.year(date_col))
-    dealt = dated.repartition("year") if files_per_year == 1 else dated.repartitionByRange(files_per_year, "year", sort[0])
+    first, last = dated.agg(F.min("year"), F.max("year")).first()
+    if first is None:
+        first = last = 0
+    # place 0 is that of rows without a date
+    place = F.coalesce(F.col("year") - first + 1, F.lit(0)) * files_per_year + F.pmod(F.xxhash64(*sort), F.lit(files_per_year))
+    dealt = dated.repartitionById((last - first + 2) * files_per_year, place.cast("int"))
     dealt.sortWithinPartitions("year", *sort).write.mode("error").partitionBy("year").parquet(path)
 
 
@@ -48,21 +57,18 @@ def drop_cols(df: DataFrame, *names: str) -> DataFrame:
 
 
 def file_digests(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
-    """(path, size, sha256) of every file below a folder, hashed on the executors."""
+    """(path, size, sha256) of every file below a folder, hashed on the executors; paths are relative to the folder."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder = folder.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(folder).toString().rstrip("/")
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(path)
-    return files.select("path", F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"))
+    return files.select(F.substring("path", len(folder) + 2, 1 << 30).alias("path"), F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"))
 
 
 def verify_manifest(manifest: DataFrame, digests: DataFrame) -> DataFrame:
     """(path, state): listed files that are ok, missing or changed, and files that no entry lists.
 
-    manifest: (path, size, sha256) with paths relative to what digests was read from.
+    manifest, digests: (path, size, sha256) with paths relative to the same folder, compared whole.
     """
     a, b = manifest.select("path", "size", "sha256"), digests.select("path", F.col("size").alias("s"), F.col("sha256").alias("h"))
-    relative = F.col("path").endswith(F.concat(F.lit("/"), F.col("listed"))) | (F.col("path") == F.col("listed"))
-    # a file matches an entry by its last path segments; the base name is the equi-join key
-    a = a.withColumnRenamed("path", "listed").withColumn("name", F.element_at(F.split("listed", "/"), -1))
-    b = b.withColumn("name", F.element_at(F.split("path", "/"), -1))
-    met = a.join(b, (a["name"] == b["name"]) & relative, "full_outer")
-    state = F.when(F.col("s").isNull(), "missing").when(F.col("listed").isNull(), "unlisted").when((F.col("size") == F.col("s")) & (F.col("sha256") == F.col("h")), "ok").otherwise("changed")
-    return met.select(F.coalesce("listed", "path").alias("path"), state.alias("state"))
+    state = F.when(F.col("s").isNull(), "missing").when(F.col("sha256").isNull(), "unlisted").when((F.col("size") == F.col("s")) & (F.col("sha256") == F.col("h")), "ok").otherwise("changed")
+    return a.join(b, "path", "full_outer").select("path", state.alias("state"))
