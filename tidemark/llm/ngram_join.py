@@ -1,10 +1,12 @@
 """N-gram Jaccard self-join: documents whose sets of word n-grams overlap by a threshold, as classes.
 
 A document's set holds 64-bit hashes of its n-grams. All sets are sorted in one global order, rare n-grams first: the HOT
-most frequent ones by their document frequency, counted over all documents, and before them all others by hash. Two
-sets that reach the threshold share an n-gram among the first n - ceil(t n) + 1 of each (prefix filter), so a join on
-prefix n-grams meets all candidates. Candidates pass a length filter, a positional filter on the n-grams they share in
-their prefixes, a suffix filter, and one exact verification per pair.
+most frequent ones by how many documents have them, counted over all documents on the upper halves of the hashes, and
+before them all others by hash. Two sets that reach the threshold share an n-gram among the first n - ceil(t n) + 1 of
+each (prefix filter), so a join on prefix n-grams meets all candidates. Candidates pass a length filter, a positional
+filter on the n-grams they share in their prefixes, a suffix filter - a bound of how many n-grams only one of two sets
+has, from how many each has in every PART of the hashes, taken on narrow rows before any set is sent - and one exact
+verification: no pair is verified twice.
 
 Large groups of copies do not make all pairs. Equal sets are one node. Then every node is verified against one pivot. The
 pivot of an n-gram is the node that has the fewest rarer n-grams before it - in a group of edited copies the one with
@@ -14,12 +16,13 @@ The links found are those that span the classes: most links inside a class are n
 here gives the number of links of a document or the pairs of a class.
 
 Hash joins work on packed arrays: a task sends one row for each range of hashes rather than one for each n-gram, and a
-reducer holds one range, whose size follows from the number of input partitions. A set occurs once per task and range,
-so a hot n-gram has one entry per node at most, a small part of a node's entries.
+reducer holds one range, whose size follows from the number of input partitions. An n-gram that more than SPLIT
+documents have is dealt over several reducers by set; each chooses a pivot, and these get a pivot among them.
 
 Null and empty texts have no n-grams, size 0 and link with nothing; their class is their own id. Repeated rows get the
-same result each. Null ids are smaller than none: a class takes its smallest non-null id. Collisions of 64-bit hashes are
-taken as equality (at 10^9 distinct sets, odds of 3 in 100 that any two collide).
+same result each. Null ids are smaller than none: a class takes its smallest non-null id. Texts of any length are hashed
+whole, in pieces. Collisions of 64-bit hashes are taken as equality (at 10^9 distinct sets, odds of 3 in 100 that any
+two collide).
 """
 
 from __future__ import annotations
@@ -30,20 +33,27 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.graph import components
-from tidemark.llm.shared import map_batches, slices, written
+from tidemark.llm.shared import forget, give_back, map_batches, slices, written
 
 N = 5
 #: Jaccard threshold as a fraction of whole numbers, so that it is compared exactly.
 UP, DOWN = 75, 100
+#: N-grams ranked by frequency, and the least frequency of one; steps of a doubling of frequency that are told apart
+#: where the ranks end.
 HOT = 1 << 18
 LEAST_HOT = 3
+STEPS = 8
+#: Sets of one n-gram that a reducer takes.
+SPLIT = 1 << 12
+#: Parts of the hashes in which the suffix filter counts.
+PARTS = 32
 #: Bytes of text hashed at once, and hashes gathered before they are sent.
 TEXT_SLICE = 1 << 20
-GATHER = 1 << 21
+GATHER = 1 << 20
 
 U = np.uint64
 SEED, BASE = U(0x9E3779B97F4A7C15), U(0xD6E8FEB86659FD93)
@@ -76,13 +86,94 @@ class Sets:
         return np.repeat(np.arange(len(self.sizes)), self.sizes)
 
 
+def keys_of(hashes: np.ndarray, begins: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """A key of each set, from the sum of its mixed hashes and its size."""
+    with np.errstate(over="ignore"):
+        sums = np.concatenate([[U(0)], np.cumsum(mixed(hashes + SEED))])
+        return mixed(sums[begins[1:]] - sums[begins[:-1]] + sizes.astype(U) * BASE).view(np.int64)
+
+
 def sets_of(texts: pa.Array, n: int = N) -> Sets:
     """The sets of a slice of texts."""
     texts = pc.fill_null(texts, "").cast(pa.large_string())
     count = len(texts)
     offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + count + 1]
-    raw = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
-    offsets = offsets - offsets[0]
+    raw = np.frombuffer(texts.buffers()[2] or b"", np.uint8)
+    long = np.flatnonzero(np.diff(offsets) > TEXT_SLICE).tolist()
+    if not long:
+        return _short_sets(raw[offsets[0] : offsets[-1]], offsets - offsets[0], n)
+    found, at = [], 0
+    for k in [*long, count]:
+        if k > at:
+            found.append(_short_sets(raw[offsets[at] : offsets[k]], offsets[at : k + 1] - offsets[at], n))
+        if k < count:
+            found.append(_long_set(raw[offsets[k] : offsets[k + 1]], n))
+        at = k + 1
+    sizes = np.concatenate([x.sizes for x in found])
+    return Sets(np.concatenate([x.hashes for x in found]), np.concatenate([[0], np.cumsum(sizes)]), sizes, np.concatenate([x.keys for x in found]))
+
+
+def _long_set(raw: np.ndarray, n: int) -> Sets:
+    """The set of one long text, hashed in pieces of TEXT_SLICE bytes; a word may go on in the next piece."""
+    found: list[np.ndarray] = []
+    held = total = 0
+    tail = np.empty(0, U)  # the last n - 1 words
+    open_sum, open_length = U(0), 0  # of a word that the end of a piece has cut
+
+    def take(words: np.ndarray) -> None:
+        nonlocal tail, held, total, found
+        total += len(words)
+        words = np.concatenate([tail, words])
+        grams = np.zeros(max(0, len(words) - n + 1), U)
+        for k in range(n):
+            grams = grams * BASE + words[k : k + len(grams)]
+        tail = words[max(0, len(words) - n + 1) :]
+        found.append(np.unique(mixed(grams + U(n) * SEED)))
+        held += len(found[-1])
+        if held > 2 * len(found[0]) + TEXT_SLICE:
+            found = [np.unique(np.concatenate(found))]
+            held = len(found[0])
+
+    with np.errstate(over="ignore"):
+        for at in range(0, len(raw), TEXT_SLICE):
+            piece = raw[at : at + TEXT_SLICE]
+            solid = ~SPACES[piece]
+            starts = np.flatnonzero(solid & ~np.concatenate([[False], solid[:-1]]))
+            ends = np.flatnonzero(solid & ~np.concatenate([solid[1:], [False]])) + 1
+            if open_length and not solid[0]:
+                take(mixed(np.array([open_sum + U(open_length) * SEED])))
+                open_sum, open_length = U(0), 0
+            if not len(starts):
+                continue
+            lengths = ends - starts
+            first = np.concatenate([[0], np.cumsum(lengths)[:-1]])
+            powers = np.cumprod(np.full(int(lengths.max()), BASE, U))
+            place = np.arange(int(lengths.sum())) - np.repeat(first, lengths)
+            sums = np.add.reduceat(BYTES[LOWER[piece[solid]]] * powers[place], first)
+            lengths = lengths.astype(U)
+            if open_length:
+                sums[0] = open_sum + sums[0] * U(pow(int(BASE), open_length, 1 << 64))
+                lengths[0] += U(open_length)
+                open_sum, open_length = U(0), 0
+            if solid[-1] and at + TEXT_SLICE < len(raw):
+                open_sum, open_length = sums[-1], int(lengths[-1])
+                sums, lengths = sums[:-1], lengths[:-1]
+            take(mixed(sums + lengths * SEED))
+        if open_length:
+            take(mixed(np.array([open_sum + U(open_length) * SEED])))
+        if 0 < total < n:
+            whole = U(0)
+            for word in tail:
+                whole = whole * BASE + word
+            found = [mixed(np.array([whole + U(total) * SEED]))]
+    hashes = np.unique(np.concatenate(found)) if found else np.empty(0, U)
+    sizes = np.array([len(hashes)])
+    begins = np.array([0, len(hashes)])
+    return Sets(hashes, begins, sizes, keys_of(hashes, begins, sizes))
+
+
+def _short_sets(raw: np.ndarray, offsets: np.ndarray, n: int) -> Sets:
+    count = len(offsets) - 1
     with np.errstate(over="ignore"):
         solid = ~SPACES[raw]
         edge = np.zeros(len(raw) + 1, bool)
@@ -125,9 +216,7 @@ def sets_of(texts: pa.Array, n: int = N) -> Sets:
             hashes, owner = hashes[new], owner[new]
         sizes = np.bincount(owner, minlength=count)
         begins = np.concatenate([[0], np.cumsum(sizes)])
-        sums = np.concatenate([[U(0)], np.cumsum(mixed(hashes + SEED))])
-        keys = mixed(sums[begins[1:]] - sums[begins[:-1]] + sizes.astype(U) * BASE)
-    return Sets(hashes, begins, sizes, keys.view(np.int64))
+    return Sets(hashes, begins, sizes, keys_of(hashes, begins, sizes))
 
 
 def planes(x: np.ndarray) -> bytes:
@@ -164,47 +253,66 @@ def _frequency_rows(docs: DataFrame, ranges: int) -> DataFrame:
                     gathered, size = [], 0
         if size:
             yield from flush()
+        gathered = []
+        give_back()
 
     return docs.select("text").mapInArrow(run, "range int, hashes binary")
 
 
-def hot_hashes(docs: DataFrame, ranges: int) -> np.ndarray:
-    """The upper halves of the HOT most frequent hashes, in ascending order of frequency. HOT values at most."""
+def hot_hashes(docs: DataFrame, ranges: int) -> tuple[np.ndarray, np.ndarray]:
+    """The upper halves of the most frequent hashes, in ascending order of frequency, and their frequencies.
+
+    Frequencies are cut into levels, STEPS to a doubling. All above the level in which HOT is reached are taken, and of that
+    level the halves below a bound that its count gives: HOT in all, but for a few hundred more or less.
+    """
 
     def count(table: pa.Table) -> pa.Table:
         parts = [np.cumsum(unplanes(x, np.uint32), dtype=np.uint32) for x in table.column("hashes").to_pylist()]
         values, n = np.unique(np.concatenate(parts), return_counts=True)
         often = n >= LEAST_HOT
-        return pa.table({"half": values[often].astype(np.int64), "n": n[often].astype(np.int64)})
+        found = pa.table({"half": values[often].astype(np.int64), "n": n[often].astype(np.int64)})
+        del parts, values, n, often
+        give_back()
+        return found
 
     counts = written(_frequency_rows(docs, ranges).groupBy("range").applyInArrow(count, "half long, n long"), "frequencies")
-    # the least frequency of which no more than HOT hashes are at or above: one row for each frequency
-    levels = sorted(((r["n"], r["c"]) for r in counts.groupBy(F.least("n", F.lit(100_000)).alias("n")).agg(F.count("*").alias("c")).collect()), reverse=True)
-    least, total = None, 0
-    for n, c in levels:
-        if total + c > HOT:
+    counts_level = F.floor(F.log2("n") * STEPS)
+    # one row a level: 63 * STEPS at most
+    levels = sorted(((r["level"], r["c"]) for r in counts.groupBy(counts_level.alias("level")).agg(F.count("*").alias("c")).collect()), reverse=True)
+    taken, wanted = 0, F.lit(True)
+    for level, c in levels:
+        if taken + c > HOT:
+            bound = (HOT - taken) * (1 << 32) // c
+            wanted = (counts_level > level) | ((counts_level == level) & (F.col("half") < bound))
             break
-        least, total = n, total + c
-    if least is None:
-        return np.empty(0, np.uint32)
-    hot = counts.filter(F.col("n") >= least).toArrow()
+        taken += c
+    hot = counts.filter(wanted).toArrow()
+    forget(counts)
     half, n = hot.column("half").to_numpy(), hot.column("n").to_numpy()
-    return half[np.lexsort((half, n))].astype(np.uint32)
+    order = np.lexsort((half, n))
+    return half[order].astype(np.uint32), n[order]
 
 
 class Order:
-    """Ranks of hashes: 0 for all that are not hot."""
+    """Ranks of hashes: 0 for all that are not hot. And over how many reducers a hash is dealt."""
 
-    def __init__(self, hot: np.ndarray):
+    def __init__(self, hot: np.ndarray, n: np.ndarray):
         order = np.argsort(hot, kind="stable")
         self.sorted, self.rank = hot[order], (order + 1).astype(np.int32)
+        self.shares = (n[order] // SPLIT + 1).astype(np.int64)
 
-    def __call__(self, hashes: np.ndarray) -> np.ndarray:
+    def _at(self, hashes: np.ndarray, values: np.ndarray, other: int) -> np.ndarray:
         if not len(self.sorted):
-            return np.zeros(len(hashes), np.int32)
+            return np.full(len(hashes), other, values.dtype)
         half = (hashes >> U(32)).astype(np.uint32)
         at = np.minimum(np.searchsorted(self.sorted, half), len(self.sorted) - 1)
-        return np.where(self.sorted[at] == half, self.rank[at], 0)
+        return np.where(self.sorted[at] == half, values[at], other)
+
+    def __call__(self, hashes: np.ndarray) -> np.ndarray:
+        return self._at(hashes, self.rank, 0)
+
+    def dealt(self, hashes: np.ndarray) -> np.ndarray:
+        return self._at(hashes, self.shares, 1)
 
 
 def prefix_size(n: np.ndarray) -> np.ndarray:
@@ -212,22 +320,26 @@ def prefix_size(n: np.ndarray) -> np.ndarray:
 
 
 def _prefix_rows(docs: DataFrame, order: Order, ranges: int) -> DataFrame:
-    """(range, hash, key, size, place): the prefixes of all sets, packed by range of hashes; a set once per task."""
+    """(range, hash, key, size, place): the prefixes of all sets, packed by range of hashes; a set once per task.
+
+    Ranges beyond the first `ranges` are further shares of them, for the hashes that are dealt over several reducers.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(order)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rank_of, seen = shared.value, set()
+        order, seen = shared.value, set()
         gathered, size = [], 0
 
         def flush() -> Iterator[pa.RecordBatch]:
             h, key, n, place = (np.concatenate(x) for x in zip(*gathered, strict=True))
-            by = np.argsort(h, kind="stable")
-            h, key, n, place = h[by], key[by], n[by], place[by]
-            edges = (np.arange(1, ranges, dtype=np.uint64) * U((1 << 64) // ranges)) if ranges > 1 else np.empty(0, U)
-            cuts = [0, *np.searchsorted(h, edges).tolist(), len(h)]
-            spans = [(k, a, b) for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if b > a]
+            group = ((h >> U(32)) * U(ranges) >> U(32)).astype(np.int64)
+            group += ranges * (key.view(U) % order.dealt(h).astype(U)).astype(np.int64)
+            by = np.lexsort((h, group))
+            group, h, key, n, place = group[by], h[by], key[by], n[by], place[by]
+            cuts = [*np.flatnonzero(np.diff(group, prepend=-1)).tolist(), len(h)]
+            spans = list(zip(cuts[:-1], cuts[1:], strict=True))
             if spans:
-                yield pa.RecordBatch.from_arrays([pa.array([k for k, _, _ in spans], pa.int32()), *(pa.array([planes(x[a:b]) for _, a, b in spans], pa.binary()) for x in (h, key, n, place))], names=["range", "hash", "key", "size", "place"])
+                yield pa.RecordBatch.from_arrays([pa.array([int(group[a]) for a, _ in spans], pa.int64()), *(pa.array([planes(x[a:b]) for a, b in spans], pa.binary()) for x in (h, key, n, place))], names=["range", "hash", "key", "size", "place"])
 
         for batch in batches:
             for part in slices(batch, TEXT_SLICE):
@@ -240,7 +352,7 @@ def _prefix_rows(docs: DataFrame, order: Order, ranges: int) -> DataFrame:
                 owner = sets.owner()
                 keep = fresh[owner]
                 owner, h = owner[keep], sets.hashes[keep]
-                by = np.lexsort((h, rank_of(h), owner))
+                by = np.lexsort((h, order(h), owner))
                 owner, h = owner[by], h[by]
                 sizes = np.where(fresh, sets.sizes, 0)
                 begins = np.concatenate([[0], np.cumsum(sizes)])[:-1]
@@ -254,12 +366,18 @@ def _prefix_rows(docs: DataFrame, order: Order, ranges: int) -> DataFrame:
                     gathered, size = [], 0
         if size:
             yield from flush()
+        gathered, seen = [], None
+        give_back()
 
-    return docs.select("text").mapInArrow(run, "range int, hash binary, key binary, size binary, place binary")
+    return docs.select("text").mapInArrow(run, "range long, hash binary, key binary, size binary, place binary")
 
 
 def shared_prefixes(docs: DataFrame, order: Order, ranges: int) -> DataFrame:
-    """(hash, key, n, place, pivot, pivot_n) of prefix n-grams that two sets or more have; pivot: the set with fewest rarer n-grams."""
+    """(hash, key, n, place, pivot, pivot_n, dealt) of prefix n-grams that two sets or more have.
+
+    pivot: the set with the fewest rarer n-grams; of an n-gram that is dealt out, that of the set's own share.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(order)
 
     def meet(table: pa.Table) -> pa.Table:
         h, key, n, place = (np.concatenate([unplanes(x, t) for x in table.column(c).to_pylist()]) for c, t in (("hash", U), ("key", np.int64), ("size", np.uint32), ("place", np.uint32)))
@@ -271,44 +389,60 @@ def shared_prefixes(docs: DataFrame, order: Order, ranges: int) -> DataFrame:
         h, key, n, place = h[by], key[by], n[by], place[by]
         heads = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
         counts = np.diff(np.append(heads, len(h)))
-        many = np.repeat(counts > 1, counts)
+        split = shared.value.dealt(h[heads]) > 1
+        many = np.repeat((counts > 1) | split, counts)
         pivot, pivot_n = np.repeat(key[heads], counts)[many], np.repeat(n[heads], counts)[many]
-        kinds = (h.view(np.int64)[many], key[many], n[many].astype(np.int32), place[many].astype(np.int32), pivot, pivot_n.astype(np.int32))
-        return pa.table(dict(zip(("hash", "key", "n", "place", "pivot", "pivot_n"), kinds, strict=True)))
+        kinds = (h.view(np.int64)[many], key[many], n[many].astype(np.int32), place[many].astype(np.int32), pivot, pivot_n.astype(np.int32), np.repeat(split, counts)[many])
+        found = pa.table(dict(zip(("hash", "key", "n", "place", "pivot", "pivot_n", "dealt"), kinds, strict=True)))
+        del h, key, n, place, by, new, kinds, pivot, pivot_n
+        give_back()
+        return found
 
-    rows = _prefix_rows(docs, order, ranges).groupBy("range").applyInArrow(meet, "hash long, key long, n int, place int, pivot long, pivot_n int")
+    rows = _prefix_rows(docs, order, ranges).groupBy("range").applyInArrow(meet, "hash long, key long, n int, place int, pivot long, pivot_n int, dealt boolean")
     return written(rows, "prefixes")
 
 
+def handle() -> list[Column]:
+    """128 bits of a document's id and text: what a set is fetched by, whether or not ids repeat or are null."""
+    return [F.xxhash64("doc_id", "text").alias("h1"), F.xxhash64(F.lit(1), "text", "doc_id").alias("h2")]
+
+
 def keyed(docs: DataFrame) -> DataFrame:
-    """docs with key and n in place of the text; the key of an empty set is null."""
+    """docs with a handle, key, n and parts in place of the text; the key of an empty set is null.
+
+    parts: how many hashes of the set are in each of PARTS equal parts of all hashes, 255 for more.
+    """
     kept = [f for f in docs.schema if f.name != "text"]
 
     def make() -> Callable[[pa.RecordBatch], pa.RecordBatch]:
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
             sets = sets_of(batch.column("text"))
-            return pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in kept), pa.array(sets.keys, pa.int64(), mask=sets.sizes == 0), pa.array(sets.sizes, pa.int64())], names=[*(f.name for f in kept), "key", "n"])
+            cells = sets.owner() * PARTS + (sets.hashes >> U(64 - PARTS.bit_length() + 1)).astype(np.int64)
+            parts = np.minimum(np.bincount(cells, minlength=len(sets.sizes) * PARTS), 255).astype(np.uint8)
+            parts = pa.FixedSizeBinaryArray.from_buffers(pa.binary(PARTS), len(sets.sizes), [None, pa.py_buffer(parts.tobytes())]).cast(pa.binary())
+            return pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in kept), batch.column("h1"), batch.column("h2"), pa.array(sets.keys, pa.int64(), mask=sets.sizes == 0), pa.array(sets.sizes, pa.int64()), parts], names=[*(f.name for f in kept), "h1", "h2", "key", "n", "parts"])
 
         return work
 
-    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in kept) + "key long, n long"
-    return map_batches(docs.select(*(f.name for f in kept), "text"), schema, make, TEXT_SLICE)
+    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in kept) + "h1 long, h2 long, key long, n long, parts binary"
+    return map_batches(docs.select(*(f.name for f in kept), *handle(), "text"), schema, make, TEXT_SLICE)
 
 
-def with_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(key, hashes) of the documents in wanted (key, rep), rep being their ids."""
+def sets_of_keys(docs: DataFrame, reps: DataFrame, keys: DataFrame) -> DataFrame:
+    """(key, hashes) of the sets with these keys, one row each; reps: (key, h1, h2) of a document with each key."""
 
     def make() -> Callable[[pa.RecordBatch], pa.RecordBatch]:
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
             sets = sets_of(batch.column("text"))
-            own = sets.keys == batch.column("key").to_numpy()  # ids may repeat with other texts
-            blobs = [sets.hashes[a:b].tobytes() for a, b, k in zip(sets.begins[:-1], sets.begins[1:], own, strict=True) if k]
-            return pa.RecordBatch.from_arrays([pa.array(sets.keys[own], pa.int64()), pa.array(blobs, pa.binary())], names=["key", "hashes"])
+            blobs = [sets.hashes[a:b].tobytes() for a, b in zip(sets.begins[:-1], sets.begins[1:], strict=True)]
+            return pa.RecordBatch.from_arrays([pa.array(sets.keys, pa.int64()), pa.array(blobs, pa.binary())], names=["key", "hashes"])
 
         return work
 
-    rows = docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("rep"))).select("key", "text")
-    return map_batches(rows, "key long, hashes binary", make, TEXT_SLICE)
+    wanted = reps.select("key", "h1", "h2").join(keys, "key").select("h1", "h2")
+    # rows may repeat; the merge join has dealt and sorted them by these columns already
+    rows = docs.select("text", *handle()).join(wanted.hint("merge"), ["h1", "h2"]).dropDuplicates(["h1", "h2"]).select("text")
+    return written(map_batches(rows, "key long, hashes binary", make, TEXT_SLICE), "sets")
 
 
 def least_overlap(a: int, b: int) -> int:
@@ -339,10 +473,31 @@ def linked(x: np.ndarray, y: np.ndarray) -> bool:
     return len(np.intersect1d(x, y, assume_unique=True)) >= need
 
 
-def verified(docs: DataFrame, pairs: DataFrame, reps: DataFrame) -> DataFrame:
-    """The pairs (a, b) that reach the threshold; reps: (key, rep), an id of a document with each key."""
-    keys = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct()
-    sets = written(with_sets(docs, reps.join(keys, "key")), "sets")
+def far_apart(x: np.ndarray, y: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """Whether sets of n and m elements cannot reach the threshold, from their counts in each part (suffix filter)."""
+    apart_ = np.abs(x.astype(np.int64) - y.astype(np.int64)).sum(axis=1)
+    need = -(-UP * (n + m) // (UP + DOWN))
+    return np.maximum(apart_, np.abs(n - m)) > n + m - 2 * need
+
+
+def near_enough(pairs: DataFrame, reps: DataFrame) -> DataFrame:
+    """The pairs (a, b) that pass the suffix filter, on rows of a key, a size and PARTS bytes."""
+    side = lambda c: reps.select(F.col("key").alias(c), F.col("n").alias(f"n_{c}"), F.col("parts").alias(f"parts_{c}"))
+
+    def make() -> Callable[[pa.RecordBatch], pa.RecordBatch]:
+        def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+            x, y = (np.frombuffer(b"".join(batch.column(f"parts_{c}").to_pylist()), np.uint8).reshape(-1, PARTS) for c in "ab")
+            far = far_apart(x, y, batch.column("n_a").to_numpy(), batch.column("n_b").to_numpy())
+            return batch.select(["a", "b"]).filter(pa.array(~far))
+
+        return work
+
+    rows = pairs.join(side("a"), "a").join(side("b"), "b")
+    return written(map_batches(rows.select("a", "b", "n_a", "n_b", "parts_a", "parts_b"), "a long, b long", make), "near")
+
+
+def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) that reach the threshold; sets: (key, hashes)."""
     both = pairs.join(sets.select(F.col("key").alias("a"), F.col("hashes").alias("x")), "a").join(sets.select(F.col("key").alias("b"), F.col("hashes").alias("y")), "b")
 
     def make() -> Callable[[pa.RecordBatch], pa.RecordBatch]:
@@ -355,15 +510,30 @@ def verified(docs: DataFrame, pairs: DataFrame, reps: DataFrame) -> DataFrame:
     return written(map_batches(both.select("a", "b", "x", "y"), "a long, b long", make), "links")
 
 
-def pivot_pairs(prefixes: DataFrame) -> DataFrame:
-    """One pair at most for each key: with the pivot that it meets most often."""
-    near = prefixes.filter((F.col("key") != F.col("pivot")) & (F.least("n", "pivot_n") * DOWN >= F.greatest("n", "pivot_n") * UP))
-    met = near.groupBy("key", "pivot").agg(F.count("*").alias("c"))
-    return met.groupBy("key").agg(F.max(F.struct("c", "pivot")).alias("best")).select(F.col("key").alias("a"), F.col("best.pivot").alias("b"))
+def keys_in(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct()
+
 
+def once(pairs: DataFrame) -> DataFrame:
+    """Each pair in one direction, once."""
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
-def class_pairs(prefixes: DataFrame, classes: DataFrame) -> DataFrame:
-    """All candidate pairs (a, b) of different classes, once each, after the length and positional filters."""
+
+def pivot_pairs(prefixes: DataFrame) -> DataFrame:
+    """Two pairs at most for each key: with the pivot that it meets most often, and of a pivot of a share with the pivot of shares."""
+    long_enough = F.least("n", "pivot_n") * DOWN >= F.greatest("n", "pivot_n") * UP
+    heads = prefixes.filter("dealt and key = pivot").select("hash", "key", "n", "place")
+    first = heads.groupBy("hash").agg(F.min(F.struct("place", "key", "n")).alias("first")).select("hash", F.col("first.key").alias("pivot"), F.col("first.n").alias("pivot_n"))
+    met = [prefixes, heads.join(first, "hash")]
+    best = []
+    for rows in met:
+        votes = rows.filter((F.col("key") != F.col("pivot")) & long_enough).groupBy("key", "pivot").agg(F.count("*").alias("c"))
+        best.append(votes.groupBy("key").agg(F.max(F.struct("c", "pivot")).alias("best")).select(F.col("key").alias("a"), F.col("best.pivot").alias("b")))
+    return once(best[0].unionByName(best[1]))
+
+
+def class_pairs(prefixes: DataFrame, classes: DataFrame, tried: DataFrame) -> DataFrame:
+    """All candidate pairs (a, b) of different classes but those tried, once each, after the length and positional filters."""
     rows = prefixes.select("hash", "key", "n", "place").join(classes.select(F.col("node").alias("key"), "label"), "key", "left").withColumn("label", F.coalesce("label", "key"))
     mixed_ = rows.groupBy("hash").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("hash")
     rows = written(rows.join(mixed_, "hash", "left_semi"), "open")
@@ -376,23 +546,39 @@ def class_pairs(prefixes: DataFrame, classes: DataFrame) -> DataFrame:
     met = met.groupBy("key_a", "key_b", "n_a", "n_b").agg(F.count("*").alias("c"), F.max("place_a").alias("last_a"), F.max("place_b").alias("last_b"))
     # what both share after the last n-gram shared in the prefixes is no more than what follows it in the shorter rest
     most = F.col("c") + F.least(F.col("n_a") - F.col("last_a"), F.col("n_b") - F.col("last_b")) - 1
-    return met.filter(most * (UP + DOWN) >= (F.col("n_a") + F.col("n_b")) * UP).select(F.col("key_a").alias("a"), F.col("key_b").alias("b"))
+    met = met.filter(most * (UP + DOWN) >= (F.col("n_a") + F.col("n_b")) * UP).select(F.col("key_a").alias("a"), F.col("key_b").alias("b"))
+    found = written(met.join(tried, ["a", "b"], "left_anti"), "pairs")
+    forget(rows)
+    return found
 
 
 def labelled(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """docs with key and n in place of the text, and (key, rep, label) of every set; sets of one label are a class."""
     ranges = max(8, 4 * docs.rdd.getNumPartitions())
     nodes = written(keyed(docs), "nodes")
-    reps = nodes.filter("key is not null").groupBy("key").agg(F.min("doc_id").alias("rep"))
-    order = Order(hot_hashes(docs, ranges))
+    best = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "h1", "h2", "n", "parts")).alias("best")
+    reps = nodes.filter("key is not null").groupBy("key").agg(best).select("key", F.col("best.doc_id").alias("rep"), "best.h1", "best.h2", "best.n", "best.parts")
+    reps = written(reps, "reps")
+    order = Order(*hot_hashes(docs, ranges))
     prefixes = shared_prefixes(docs, order, ranges)
-    links = verified(docs, pivot_pairs(prefixes), reps)
+    tried = written(pivot_pairs(prefixes), "tried")
+    near = near_enough(tried, reps)
+    sets = sets_of_keys(docs, reps, keys_in(near))
+    links = verified(near, sets)
     classes = components(links)
-    rest = verified(docs, written(class_pairs(prefixes, classes), "pairs"), reps)
+    left = class_pairs(prefixes, classes, tried)
+    forget(prefixes, tried, near)
+    near = near_enough(left, reps)
+    more = sets_of_keys(docs, reps, keys_in(near).join(sets.select("key"), "key", "left_anti"))
+    rest = verified(near, sets.unionByName(more))
+    forget(left, near, sets, more)
     if not rest.isEmpty():
-        classes = components(links.unionByName(rest))
-    named = reps.join(classes.withColumnRenamed("node", "key"), "key", "left").withColumn("label", F.coalesce("label", "key"))
-    return nodes, written(named, "named")
+        before, classes = classes, components(links.unionByName(rest))
+        forget(before)
+    named = reps.select("key", "rep").join(classes.select(F.col("node").alias("key"), "label"), "key", "left").withColumn("label", F.coalesce("label", "key"))
+    named = written(named, "named")
+    forget(links, rest, reps, classes)
+    return nodes, named
 
 
 def ngram_classes(docs: DataFrame) -> DataFrame:

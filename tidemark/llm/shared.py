@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
+import contextlib
+import ctypes
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.sources.scratch import forget, shared_path, written
+
+__all__ = ["SLICE_BYTES", "WORD", "fold", "forget", "give_back", "map_batches", "shared_path", "slices", "table", "texts_of", "written"]
+
 #: Arrow batches are cut to about this many bytes before Python works on them.
 SLICE_BYTES = 8 << 20
 
@@ -19,38 +21,6 @@ SLICE_BYTES = 8 << 20
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        own = tempfile.mkdtemp(prefix="tidemark-")
-        atexit.register(shutil.rmtree, own, ignore_errors=True)
-        root = f"file://{own}"
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/")
-
-
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder."""
-    return f"{shared_root(spark)}/tidemark-{uuid.uuid4().hex[:12]}/{name}"
-
-
-#: Drop a query's shuffle files when it ends. What is written is read back from the table, so they serve no one.
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: cuts the lineage and survives lost executors."""
-    spark = df.sparkSession
-    path, before = shared_path(spark, name), spark.conf.get(CLEANUP, "false")
-    spark.conf.set(CLEANUP, "true")
-    try:
-        df.write.option("compression", "zstd").parquet(path)
-    finally:
-        spark.conf.set(CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -63,6 +33,13 @@ def slices(batch: pa.RecordBatch, limit: int = SLICE_BYTES) -> Iterator[pa.Recor
         yield batch.slice(at, step)
 
 
+def give_back() -> None:
+    """Return freed memory to the system: Python workers stay for a while after a task, next to those of other tasks."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def map_batches(df: DataFrame, schema: str, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], limit: int = SLICE_BYTES) -> DataFrame:
     """mapInArrow over small slices; make() runs once a task and gives the function of a slice."""
 
@@ -71,6 +48,8 @@ def map_batches(df: DataFrame, schema: str, make: Callable[[], Callable[[pa.Reco
         for batch in batches:
             for part in slices(batch, limit):
                 yield work(part)
+        work = batch = part = None
+        give_back()
 
     return df.mapInArrow(run, schema)
 
