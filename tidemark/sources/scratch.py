@@ -49,19 +49,22 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{own}/{uuid.uuid4().hex[:12]}/{name}"
 
 
-#: Drop a query's shuffle files when it ends. What is written is read back from the table, so they serve no one.
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Settings while a table is written. A query's shuffle files go when it ends: what is written is read back from the table,
+#: so they serve no one. Batches for Python are of fewer rows than usual, since a row may be a whole document.
+WHILE_WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "1000"}
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table in the shared folder: cuts the lineage and survives lost executors."""
     spark = df.sparkSession
-    path, before = shared_path(spark, name), spark.conf.get(CLEANUP, "false")
-    spark.conf.set(CLEANUP, "true")
+    path, before = shared_path(spark, name), {k: spark.conf.get(k) for k in WHILE_WRITING}
+    for k, v in WHILE_WRITING.items():
+        spark.conf.set(k, v)
     try:
         df.write.option("compression", "zstd").parquet(path)
     finally:
-        spark.conf.set(CLEANUP, before)
+        for k, v in before.items():
+            spark.conf.set(k, v)
     found = spark.read.schema(df.schema).parquet(path)
     found.stored_at = path
     return found
