@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tidemark.llm.shared import map_batches, texts_of
+from tidemark.llm.shared import map_batches, texts_of, written
 
 PACKET, BODY, SYNC = 188, 184, 0x47
 PAT_PID, PMT_PID, DATA_PID = 0x0000, 0x0100, 0x0101
@@ -275,8 +275,12 @@ def feature(stream: Stream) -> str:
     return f"units={len(stream.pts)};rap={sum(stream.random_access)};pts={min(pts, default=-1)}-{max(pts, default=-1)};packets={stream.packets};cc={stream.continuity_errors};crc={stream.crc_errors};skipped={stream.skipped_bytes}"
 
 
-MEDIA = "media binary"
-INDEX = "payload binary, pid int, stream_type int, packets long, continuity_errors long, units array<struct<pts:bigint,offset:bigint,size:bigint,random_access:boolean>>"
+UNITS = pa.list_(pa.struct([("pts", pa.int64()), ("offset", pa.int64()), ("size", pa.int64()), ("random_access", pa.bool_())]))
+INDEX = "payload binary, pid int, stream_type int, packets long, continuity_errors long, crc_errors long, skipped_bytes long, units array<struct<pts:bigint,offset:bigint,size:bigint,random_access:boolean>>"
+
+
+def _kept(df: DataFrame, *columns: str) -> str:
+    return "".join(f"`{c}` {df.schema[c].dataType.simpleString()}, " for c in columns)
 
 
 def with_media(df: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -289,42 +293,51 @@ def with_media(df: DataFrame, id_column: str = "doc_id", text_column: str = "tex
 
         return work
 
-    return map_batches(df.select(id_column, text_column), f"{id_column} {df.schema[id_column].dataType.simpleString()}, n_bytes long, {MEDIA}", make)
+    return map_batches(df.select(id_column, text_column), _kept(df, id_column) + "n_bytes long, media binary", make)
+
+
+def units_of(streams: list[Stream]) -> pa.Array:
+    """The packets of each stream with their time stamps, places in the payload and random-access points."""
+    rows = [[{"pts": p, "offset": o, "size": s, "random_access": r} for p, o, s, r in zip(x.pts, x.offsets, x.sizes, x.random_access, strict=True)] for x in streams]
+    return pa.array(rows, UNITS)
 
 
 def read_media(df: DataFrame, id_column: str = "doc_id", media_column: str = "media") -> DataFrame:
     """(id, payload, stream facts, units): every stream of df parsed. A null or broken stream gives an empty payload."""
+    facts = (("pid", pa.int32()), ("stream_type", pa.int32()), ("packets", pa.int64()), ("continuity_errors", pa.int64()), ("crc_errors", pa.int64()), ("skipped_bytes", pa.int64()))
 
     def make() -> Callable[[pa.RecordBatch], pa.RecordBatch]:
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
             found = [demux(x or b"") for x in batch.column(media_column).to_pylist()]
-            units = [[{"pts": p, "offset": o, "size": s, "random_access": r} for p, o, s, r in zip(x.pts, x.offsets, x.sizes, x.random_access, strict=True)] for x in found]
-            kind = pa.list_(pa.struct([("pts", pa.int64()), ("offset", pa.int64()), ("size", pa.int64()), ("random_access", pa.bool_())]))
             columns = [batch.column(0), pa.array([x.payload for x in found], pa.binary())]
-            columns += [pa.array([getattr(x, k) for x in found], t) for k, t in (("pid", pa.int32()), ("stream_type", pa.int32()), ("packets", pa.int64()), ("continuity_errors", pa.int64()))]
-            return pa.RecordBatch.from_arrays([*columns, pa.array(units, kind)], names=[id_column, "payload", "pid", "stream_type", "packets", "continuity_errors", "units"])
+            columns += [pa.array([getattr(x, k) for x in found], t) for k, t in facts]
+            return pa.RecordBatch.from_arrays([*columns, units_of(found)], names=[id_column, "payload", *(k for k, _ in facts), "units"])
 
         return work
 
-    return map_batches(df.select(id_column, media_column), f"{id_column} {df.schema[id_column].dataType.simpleString()}, {INDEX}", make)
+    return map_batches(df.select(id_column, media_column), _kept(df, id_column) + INDEX, make)
 
 
-def media_digests(df: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """Store, read back and digest in one pass, so that no stream is held longer than its row. One row per row of df."""
+def media_digests(stored: DataFrame, id_column: str = "doc_id") -> DataFrame:
+    """Digests and the index of stored streams (id, n_bytes, media): one row per row, with the units of each stream."""
 
     def make() -> Callable[[pa.RecordBatch], pa.RecordBatch]:
-        def one(text: str) -> tuple:
-            media = mux(padded(text))
+        def one(media: bytes) -> tuple:
             stream = demux(media)
             payload = stream.payload
-            return len(text.encode("utf-8", "surrogatepass")), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(media), hashlib.sha256(media).hexdigest(), feature(stream)
+            return len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(media), hashlib.sha256(media).hexdigest(), feature(stream), stream
 
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-            columns = list(zip(*map(one, texts_of(batch, text_column)), strict=True))
-            kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
-            return pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(columns, kinds, strict=True))], names=[id_column, "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
+            *columns, streams = zip(*map(one, batch.column("media").to_pylist()), strict=True)
+            kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
+            return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, t) for c, t in zip(columns, kinds, strict=True)), units_of(streams)], names=[id_column, "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "units"])
 
         return work
 
-    schema = f"{id_column} {df.schema[id_column].dataType.simpleString()}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-    return map_batches(df.select(id_column, text_column), schema, make)
+    schema = _kept(stored, id_column) + "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, units array<struct<pts:bigint,offset:bigint,size:bigint,random_access:boolean>>"
+    return map_batches(stored.select(id_column, "n_bytes", "media"), schema, make)
+
+
+def stored_media(df: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """The media column of df's texts as a table in the shared folder: (id, n_bytes, media)."""
+    return written(with_media(df, id_column, text_column), "media")

@@ -10,7 +10,7 @@ from tidemark.llm import language, oracles, toxicity
 from tidemark.llm.bpe import codec_of, token_digests
 from tidemark.llm.hamming import nearest
 from tidemark.llm.html_text import with_main_text
-from tidemark.llm.media import media_digests
+from tidemark.llm.media import media_digests, stored_media
 from tidemark.llm.mixing import mix
 from tidemark.llm.ngram_join import ngram_classes
 from tidemark.llm.shared import fold, table
@@ -68,7 +68,7 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media_digests(table(spark, sf_dir, "documents"))
+    return media_digests(stored_media(table(spark, sf_dir, "documents")))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
