@@ -6,9 +6,10 @@ second part estimates the risk on clean documents from unlabelled ones, correcte
 them, and is kept from going negative, which would be overfitting. Where it does, a step goes back up that part.
 
 Fitting uses a bounded sample: at most POSITIVES positives and UNLABELLED unlabelled documents, the first by a hash of
-their ids, equal texts once; the class prior and everything else is over all rows. Words become features if a share
-LEAST_SHARE of the positives has them, their frequencies in the two sets differ by Z standard errors, and the prior makes
-documents with them toxic in LEAST_PURITY of cases; FEATURES at most.
+their ids, equal texts once; the class prior and everything else is over all rows. Words become features if LEAST_DF documents of
+the sample have them and their frequencies in the two sets differ by Z standard errors, in either direction: words that
+toxic documents have and words that they lack, FEATURES at most, the clearest first. Which of them tell toxic documents
+from clean ones, and not only from unlabelled ones, is left to the risk.
 
 Nulls and empty texts are scored by the intercept alone. Null labels are no labels. Repeated ids in labels count once
 each for the prior and once for the sample. Without any positive every score is 0. Extra columns are ignored.
@@ -29,10 +30,10 @@ from pyspark.sql import functions as F
 from tidemark.llm.shared import fold, map_batches, texts_of, written
 
 POSITIVES, UNLABELLED = 4_000, 12_000
-FEATURES, Z, LEAST_DF, LEAST_SHARE, LEAST_PURITY = 4_096, 5.0, 5, 0.02, 0.5
+FEATURES, Z, LEAST_DF = 2_048, 4.0, 20
 #: Fold 0 of FOLDS is held out: its labels are never learned from.
 FOLDS, HELD_OUT = 5, 0
-STEPS, RATE, L2 = 600, 0.1, 1e-5
+STEPS, RATE, L2 = 400, 0.05, 5e-5
 
 #: Beside whole words, their beginnings of these lengths are features: insults are inflected.
 STEMS = (4, 5, 6)
@@ -76,26 +77,33 @@ class Rows:
         return np.bincount(self.index, g[self.row], self.width)
 
 
+def risk(positive: Rows, unlabelled: Rows, prior: float, w: np.ndarray, b: float) -> tuple[float, float, np.ndarray]:
+    """(risk on toxic documents, corrected risk on clean ones, derivatives by w and b of the step to take).
+
+    Their sum is what is minimised while the second is not negative. Where it is, the step is that of its negative: it goes
+    back up.
+    """
+    gp, gu = positive.dot(w) + b, unlabelled.dot(w) + b
+    sp, su = sigmoid(gp), sigmoid(gu)
+    toxic = prior * np.logaddexp(0, -gp).mean()
+    clean = np.logaddexp(0, gu).mean() - prior * np.logaddexp(0, gp).mean()
+    # derivatives of log(1 + e^-g) on positives, and of log(1 + e^g) on both sets
+    up, down_u, down_p = -prior * (1 - sp) / positive.n, su / unlabelled.n, -prior * sp / positive.n
+    on_p, on_u = (up + down_p, down_u) if clean >= 0 else (-down_p, -down_u)
+    return float(toxic), float(clean), np.append(positive.back(on_p) + unlabelled.back(on_u), on_p.sum() + on_u.sum())
+
+
 def train(positive: Rows, unlabelled: Rows, prior: float, start: np.ndarray | None = None) -> tuple[np.ndarray, float]:
     """Weights and intercept that minimise the non-negative risk, by Adam over the full sets."""
     width = positive.width
-    w, b = (np.zeros(width) if start is None else start.copy()), float(np.log(prior / (1 - prior)))
+    x = np.append(np.zeros(width) if start is None else start, np.log(prior / (1 - prior)))
     m, v = np.zeros(width + 1), np.zeros(width + 1)
     for step in range(1, STEPS + 1):
-        gp, gu = positive.dot(w) + b, unlabelled.dot(w) + b
-        sp, su = sigmoid(gp), sigmoid(gu)
-        clean = np.logaddexp(0, gu).mean() - prior * np.logaddexp(0, gp).mean()
-        # derivatives of log(1 + e^-g) on positives, and of log(1 + e^g) on both sets
-        up, down_u, down_p = -prior * (1 - sp) / positive.n, su / unlabelled.n, -prior * sp / positive.n
-        if clean >= 0:
-            on_p, on_u = up + down_p, down_u
-        else:
-            on_p, on_u = -down_p, -down_u
-        g = np.append(positive.back(on_p) + unlabelled.back(on_u) + L2 * w, on_p.sum() + on_u.sum())
+        g = risk(positive, unlabelled, prior, x[:-1], x[-1])[2]
+        g[:-1] += L2 * x[:-1]
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-        move = RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
-        w, b = w - move[:-1], b - move[-1]
-    return w, float(b)
+        x = x - RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
+    return x[:-1], float(x[-1])
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
@@ -105,6 +113,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     if not share:
         return Model({}, -40.0, 0.0)
     prior = min(max(float(share), 1e-3), 0.999)
+
     def ids(df: DataFrame, n: int, kind: int) -> DataFrame:
         """The first n by hash; hashes far beyond the n-th go before the sort, which then is small at any size."""
         share = min(1.0, 2 * (n + 100) / max(1, df.count()))
@@ -130,7 +139,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     df = rows.select("positive", F.explode("words").alias("word")).groupBy("word").agg(F.sum("positive").alias("p"), F.sum(1 - F.col("positive")).alias("u"))
     p, u, both = F.col("p") / n_p, F.col("u") / n_u, (F.col("p") + F.col("u")) / (n_p + n_u)
     z = (p - u) / F.sqrt(both * (1 - both) * (1 / n_p + 1 / n_u) + 1e-12)
-    features = df.filter(F.col("p") >= max(LEAST_DF, LEAST_SHARE * n_p)).withColumn("z", z).filter((F.col("z") >= Z) & (prior * p >= LEAST_PURITY * u)).orderBy(F.col("z").desc(), "word").limit(FEATURES)
+    features = df.filter(F.col("p") + F.col("u") >= LEAST_DF).withColumn("z", F.abs(z)).filter(F.col("z") >= Z).orderBy(F.col("z").desc(), "word").limit(FEATURES)
     words = [r["word"] for r in features.select("word").collect()]
     place = {w: k for k, w in enumerate(words)}
 
