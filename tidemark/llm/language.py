@@ -6,7 +6,9 @@ wins; the score is its probability when the sums are tempered by the square root
 one text are not independent.
 
 The tables are fitted on a bounded sample of labelled texts, about PER_LANGUAGE of each language, chosen by a hash of
-their ids; they keep the WORDS most frequent words over all languages, and n-grams counted from those.
+their ids and texts. They keep the WORDS_PER_LANGUAGE most frequent words of each language, words of more than LONGEST letters
+cut into pieces of so many, and all n-grams of those words. Languages are the LANGUAGES most frequent values of lang at
+most. Tables are sparse: a word or n-gram holds the languages that have it, what the others share is one number each.
 
 `und` with score 0: null texts, texts without a letter, and every text if nothing could be learned. Ties go to the first
 language by name. A row for every row of the input, whatever repeats; extra columns are kept.
@@ -28,9 +30,10 @@ from pyspark.sql import functions as F
 from tidemark.llm.shared import fold, map_batches
 
 PER_LANGUAGE = 4_000
-WORDS = 120_000
+WORDS_PER_LANGUAGE = 30_000
+LONGEST = 64
+LANGUAGES = 1_000
 ORDERS = (5, 4, 3, 2, 1)
-GRAM_WORDS = 40_000
 SMOOTH = 0.5
 FOLDS, HELD_OUT = 4, 2
 UNKNOWN = "und"
@@ -38,19 +41,50 @@ UNKNOWN = "und"
 words_of = re.compile(r"[^\W\d_]+").findall
 
 
+@dataclass
+class Table:
+    """Smoothed log frequencies of keys in languages: what a language without the key has, and what each other has above it.
+
+    The entries of key k are those from begins[k] to begins[k + 1].
+    """
+
+    keys: dict[str, int]
+    begins: np.ndarray
+    language: np.ndarray
+    above: np.ndarray
+    base: np.ndarray
+
+    def total(self, found: list[int], weights: np.ndarray) -> np.ndarray:
+        """The weighted sum of the log frequencies of these keys, for each language."""
+        k = np.asarray(found, np.int64)
+        counts = self.begins[k + 1] - self.begins[k]
+        place = np.repeat(self.begins[k] - np.cumsum(counts) + counts, counts) + np.arange(int(counts.sum()))
+        own = np.bincount(self.language[place], self.above[place] * np.repeat(weights, counts), len(self.base))
+        return self.base * weights.sum() + own
+
+
+def tabled(counts: dict[str, dict[int, float]], n_languages: int) -> Table:
+    """counts: key -> language -> frequency."""
+    keys = sorted(counts)
+    entries = [(lang, n) for k in keys for lang, n in sorted(counts[k].items())]
+    language = np.array([x for x, _ in entries], np.int32)
+    n = np.array([x for _, x in entries], np.float64)
+    totals = np.bincount(language, n, n_languages) + SMOOTH * max(1, len(keys))
+    begins = np.concatenate([[0], np.cumsum([len(counts[k]) for k in keys], dtype=np.int64)])
+    return Table({k: i for i, k in enumerate(keys)}, begins, language, np.log1p(n / SMOOTH), np.log(SMOOTH / totals))
+
+
 @dataclass
 class Model:
     languages: list[str]
-    words: dict[str, int]
-    word_logs: np.ndarray
-    grams: dict[str, int]
-    gram_logs: np.ndarray
+    words: Table
+    grams: Table
 
     def sums(self, text: str) -> tuple[np.ndarray, int]:
         """Log score of each language, and the number of words."""
         found = words_of(text.lower())
-        known, get = [], self.words.get
-        grams, weights, table = [], [], self.grams.get
+        known, get = [], self.words.keys.get
+        grams, weights, table = [], [], self.grams.keys.get
         for word in found:
             k = get(word)
             if k is not None:
@@ -63,9 +97,11 @@ class Model:
                     grams += own
                     weights += [1 / len(own)] * len(own)
                     break
-        total = self.word_logs[known].sum(axis=0, dtype=np.float64)
+        total = np.zeros(len(self.languages))
+        if known:
+            total = total + self.words.total(known, np.ones(len(known)))
         if grams:
-            total = total + np.asarray(weights) @ self.gram_logs[grams]
+            total = total + self.grams.total(grams, np.asarray(weights))
         return total, len(found)
 
     def predict(self, text: str | None) -> tuple[str, float]:
@@ -77,57 +113,41 @@ class Model:
         return self.languages[int(total.argmax())], float(odds.max() / odds.sum())
 
 
-def tabled(counts: dict[str, list[float]], n_languages: int) -> tuple[dict[str, int], np.ndarray]:
-    """Smoothed log frequencies, a row for each key."""
-    keys = sorted(counts)
-    table = np.array([counts[k] for k in keys], np.float64).reshape(-1, n_languages)
-    table = np.log((table + SMOOTH) / (table.sum(axis=0) + SMOOTH * max(1, len(keys))))
-    return {k: i for i, k in enumerate(keys)}, table.astype(np.float32)
-
-
 def model_of(rows: list[tuple[str, str, int]], languages: list[str]) -> Model:
     """From (lang, word, count) rows."""
     at = {x: k for k, x in enumerate(languages)}
-    words: dict[str, list[float]] = {}
-    for lang, word, n in rows:
-        words.setdefault(word, [0.0] * len(languages))[at[lang]] += n
-    grams: dict[str, list[float]] = {}
-    most = sorted(rows, key=lambda r: (-r[2], r[1], r[0]))
-    left = defaultdict(lambda: GRAM_WORDS // max(1, len(languages)))
-    for lang, word, n in most:
-        if not left[lang]:
-            continue
-        left[lang] -= 1
-        k, padded = at[lang], f"^{word}$"
+    words: dict[str, dict[int, float]] = defaultdict(lambda: defaultdict(float))
+    grams: dict[str, dict[int, float]] = defaultdict(lambda: defaultdict(float))
+    for lang, word, n in sorted(rows):
+        words[word][at[lang]] += n
+        padded = f"^{word}$"
         # a word type counts by the root of its frequency: unseen words are like rare ones
         weight = math.sqrt(n)
         for order in ORDERS:
             for i in range(len(padded) - order + 1):
-                gram = padded[i : i + order]
-                if (own := grams.get(gram)) is None:
-                    own = grams[gram] = [0.0] * len(languages)
-                own[k] += weight
-    return Model(languages, *tabled(words, len(languages)), *tabled(grams, len(languages)))
+                grams[padded[i : i + order]][at[lang]] += weight
+    return Model(languages, tabled(words, len(languages)), tabled(grams, len(languages)))
 
 
 def fit(docs: DataFrame) -> Model:
     """Learn from text and lang of the learning folds."""
     known = docs.filter((fold("doc_id", FOLDS) != HELD_OUT) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    languages = sorted(sizes)
+    sizes = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "lang").limit(LANGUAGES).collect()
+    languages = sorted(r["lang"] for r in sizes)
     if not languages:
-        return Model([], {}, np.zeros((0, 0), np.float32), {}, np.zeros((0, 0), np.float32))
-    draw = F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1 << 30)) / float(1 << 30)
-    share = F.create_map(*(F.lit(x) for lang in languages for x in (lang, min(1.0, PER_LANGUAGE / sizes[lang]))))
-    sample = known.filter(draw < share[F.col("lang")]).select("lang", "text")
+        return Model([], tabled({}, 0), tabled({}, 0))
+    # LANGUAGES rows at most
+    shares = docs.sparkSession.createDataFrame([(r["lang"], PER_LANGUAGE / r["n"]) for r in sizes], "lang string, share double")
+    draw = F.pmod(F.xxhash64("doc_id", "text", F.lit(5)), F.lit(1 << 30)) / float(1 << 30)
+    sample = known.select("lang", "text", draw.alias("draw")).join(F.broadcast(shares), "lang").filter("draw < share").select("lang", "text")
 
     def make() -> Callable[[pa.RecordBatch], pa.RecordBatch]:
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
             counts: dict[tuple[str, str], int] = defaultdict(int)
             for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 for word in words_of(text.lower()):
-                    if len(word) <= 64:
-                        counts[lang, word] += 1
+                    for at in range(0, len(word), LONGEST):
+                        counts[lang, word[at : at + LONGEST]] += 1
             keys = list(counts)
             return pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()), pa.array([counts[k] for k in keys], pa.int64())], names=["lang", "word", "n"])
 
@@ -135,10 +155,9 @@ def fit(docs: DataFrame) -> Model:
 
     counts = map_batches(sample, "lang string, word string, n long", make).groupBy("lang", "word").agg(F.sum("n").alias("n"))
     top = Window.partitionBy("lang").orderBy(F.col("n").desc(), "word")
-    best = counts.withColumn("place", F.row_number().over(top)).filter(F.col("place") <= max(100, WORDS // len(languages)))
-    # WORDS rows in all, whatever the input
-    rows = [(r["lang"], r["word"], r["n"]) for r in best.collect()]
-    return model_of(rows, languages)
+    # WORDS_PER_LANGUAGE rows of each language, whatever the input
+    best = counts.withColumn("place", F.row_number().over(top)).filter(F.col("place") <= WORDS_PER_LANGUAGE)
+    return model_of([(r["lang"], r["word"], r["n"]) for r in best.collect()], languages)
 
 
 def identify(docs: DataFrame, model: Model, language_column: str = "lang_pred", score_column: str = "score") -> DataFrame:
