@@ -68,11 +68,15 @@ def with_referred(pages: DataFrame, id_column: str, payload_column: str) -> Data
     execution sees: it broadcasts few repeats and splits a digest that very many rows have.
     """
     payload = F.coalesce(F.col(payload_column), F.lit("")).cast("binary")
-    rows = pages.withColumn("payload", payload).withColumn("payload_digest", F.when(F.octet_length("payload") >= LEAST_BYTES, F.sha1("payload")))
-    groups = rows.filter(F.col("payload_digest").isNotNull()).groupBy("payload_digest").agg(F.max(id_column).alias("largest"), F.count("*").alias("n"))
-    rows = rows.join(groups.filter("n > 1").drop("n"), "payload_digest", "left")
+    rows = pages.withColumn("payload", payload)
+    small, large = (rows.filter(x) for x in (F.octet_length("payload") < LEAST_BYTES, F.octet_length("payload") >= LEAST_BYTES))
+    large = large.withColumn("payload_digest", F.sha1("payload"))
+    groups = large.groupBy("payload_digest").agg(F.max(id_column).alias("largest"), F.count("*").alias("n"))
+    large = large.join(groups.filter("n > 1").drop("n"), "payload_digest", "left")
     refers = F.when(F.col("largest").isNotNull() & ~F.col(id_column).eqNullSafe(F.col("largest")), F.col("largest"))
-    return rows.withColumn("refers_to", refers).drop("largest", "payload_digest")
+    large = large.withColumn("refers_to", refers).drop("largest", "payload_digest")
+    # small ones repeat nothing and stay where they are
+    return large.unionByName(small.withColumn("refers_to", F.lit(None).cast(large.schema["refers_to"].dataType)))
 
 
 def write_archives(pages: DataFrame, folder: str, id_column: str = "page_id", url_column: str = "url", payload_column: str = "html") -> DataFrame:
