@@ -4,8 +4,9 @@ Each source gets a target in words. Complete epochs over a source come first; th
 Efraimidis-Spirakis sample: every document draws an exponential key divided by its quality weight, documents are taken
 in the order of their keys and a prefix sum of their sizes meets the budget.
 
-The prefix sum has two levels, so that no source has to fit into one task: keys fall into BUCKETS ranges, sizes are
-summed per source and range, and only the range in which the budget ends is sorted document by document.
+The prefix sum has three levels, so that no source has to fit into one task: keys fall into BUCKETS ranges, FINE of them
+make a coarse one, sizes are summed per source and range, and only the range in which the budget ends is sorted document
+by document.
 
 Nulls: a null text has size 0, a null source is a source of its own (the last), a null id draws its key from its size
 alone. Sources of size 0 have target 0. Ties in the key are ordered by id and size; rows equal in those are alike.
@@ -24,6 +25,7 @@ WEIGHTS = (3, 1, 2)
 SHARE = 1.5
 REPEATS = 2
 BUCKETS = 4096
+FINE = 64
 
 #: Characters that clean prose does not have; a document's quality weight falls with their share.
 NOISE = "#$%&*|<>{}[]=!0123456789"
@@ -75,6 +77,24 @@ def drawn(df: DataFrame) -> DataFrame:
     return df.withColumn("key", key).withColumn("bucket", F.floor((1.0 - F.exp(-F.col("key"))) * BUCKETS).cast("int")).drop("u", "quality")
 
 
+def _edge(plan: DataFrame, sums: DataFrame) -> DataFrame:
+    """plan (source, ..., from) with the range of keys in which the rest of each source's budget ends, and from: what is before it.
+
+    Ranges are those of the source, or of what plan has in `within`; no more than BUCKETS / FINE or FINE rows a source.
+    """
+    inner = ["within"] if "within" in plan.columns else []
+    sums = sums.groupBy(F.col("source").alias("s"), *(F.col(c).alias(f"{c}_s") for c in inner), "range").agg(F.sum("in_bucket").alias("in_range"))
+    on = F.col("source").eqNullSafe(F.col("s"))
+    for c in inner:
+        on = on & F.col(c).eqNullSafe(F.col(f"{c}_s"))
+    rows = plan.join(sums, on, "left").drop("s", *(f"{c}_s" for c in inner))
+    upto = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("before", F.col("from") + F.coalesce(F.sum("in_range").over(upto), F.lit(0)))
+    best = F.max(F.when(F.col("before") <= F.col("rest"), F.struct("before", "range"))).alias("best")
+    kept = ["source", "source_size", "target", "epochs", "rest"]
+    return rows.groupBy(*kept).agg(best).select(*kept, F.col("best.range").alias("range"), F.col("best.before").alias("from"))
+
+
 def take(docs: DataFrame, plan: DataFrame) -> DataFrame:
     """docs (doc_id, source, size, key, bucket) with source_size, target, taken.
 
@@ -84,12 +104,9 @@ def take(docs: DataFrame, plan: DataFrame) -> DataFrame:
     plan = plan.withColumn("epochs", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long"))
     plan = plan.withColumn("rest", F.col("target") - F.col("epochs") * F.col("source_size"))
     sums = docs.groupBy("source", "bucket").agg(F.sum("size").alias("in_bucket"))
-    upto = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.withColumn("before", F.coalesce(F.sum("in_bucket").over(upto), F.lit(0)))
-    sums = sums.withColumnRenamed("source", "s")
-    edge = plan.join(sums, F.col("source").eqNullSafe(F.col("s")) & (F.col("before") <= F.col("rest")), "left")
-    edge = edge.groupBy("source", "source_size", "target", "epochs", "rest").agg(F.max(F.struct("before", "bucket")).alias("edge"))
-    edge = edge.select(F.col("source").alias("s"), "source_size", "target", "epochs", "rest", F.col("edge.bucket").alias("edge_bucket"), F.col("edge.before").alias("edge_before"))
+    edge = _edge(plan.withColumn("from", F.lit(0).cast("long")), sums.withColumn("range", F.floor(F.col("bucket") / FINE)))
+    edge = _edge(edge.withColumnRenamed("range", "within"), sums.withColumn("range", F.col("bucket").cast("long")).withColumn("within", F.floor(F.col("bucket") / FINE)))
+    edge = edge.select(F.col("source").alias("s"), "source_size", "target", "epochs", "rest", F.col("range").alias("edge_bucket"), F.col("from").alias("edge_before"))
     rows = docs.join(edge, F.col("source").eqNullSafe(F.col("s"))).drop("s")
     # buckets below the edge are whole, those above are out, the edge itself is ordered
     clear = rows.filter(F.col("bucket") != F.col("edge_bucket")).withColumn("extra", (F.col("bucket") < F.col("edge_bucket")).cast("long"))
@@ -132,9 +149,13 @@ def mixture(df: DataFrame, id_column: str = "doc_id", text_column: str = "text",
     if per_source.count() <= BROADCAST_SOURCES:
         per_source = F.broadcast(per_source)
     text, source, doc_id = F.col(text_column), F.col(source_column), F.col(id_column)
-    rows = df.withColumn("mix_size", sizes(text)).withColumn("mix_u", uniform(doc_id, F.col("mix_size")))
-    rows = rows.withColumn("mix_key", -F.log(F.col("mix_u")) / quality(text)).join(per_source, source.eqNullSafe(F.col("mix_source")))
-    own = F.struct(F.col("mix_key").alias("key"), doc_id.isNull().alias("no_id"), doc_id.alias("id"), F.col("mix_size").alias("size"))
-    extra = F.coalesce((own <= F.col("last")).cast("int"), F.lit(0))
-    rows = rows.withColumn("mix_copy", F.explode(F.array_repeat(F.lit(0), F.col("epochs").cast("int") + extra)))
+    # the columns of df may have any names: those added here are longer than all of them
+    size, u, key, own_source, copy = (f"{n}_{'_' * max(map(len, df.columns))}" for n in ("size", "u", "key", "source", "copy"))
+    rows = df.withColumn(size, sizes(text)).withColumn(u, uniform(doc_id, F.col(size)))
+    rows = rows.withColumn(key, -F.log(F.col(u)) / quality(text))
+    per_source = per_source.select(F.col("mix_source").alias(own_source), F.struct("epochs", "last").alias(copy))
+    rows = rows.join(per_source, source.eqNullSafe(F.col(own_source)))
+    own = F.struct(F.col(key).alias("key"), doc_id.isNull().alias("no_id"), doc_id.alias("id"), F.col(size).alias("size"))
+    extra = F.coalesce((own <= F.col(copy)["last"]).cast("int"), F.lit(0))
+    rows = rows.withColumn(copy, F.explode(F.array_repeat(F.lit(0), F.col(copy)["epochs"].cast("int") + extra)))
     return rows.select(*(df[c] for c in df.columns))
