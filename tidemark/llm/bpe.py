@@ -8,10 +8,12 @@ exists where the arc u existed when w was made, so whether a state has an arc fo
 and the losses along the state's ancestry; transitions looked up once stay in a table.
 
 Encoding a pre-split word walks the automaton over the word's bytes. One path at most spells the word; tokens are tried
-longest first, and a state that failed at a position is not entered there again. Decoding emits the labels of the arcs.
+longest first, and a state that failed at a position is not entered there again. So the walk is no single pass over a full
+transition table; a word's result is kept in a table of words. Decoding emits the labels of the arcs.
 
 The vocabulary is a tokenizers-library JSON file with byte-level pre-splitting; its added tokens are matched as that
-library does. Nulls count as empty texts; empty texts have no tokens; texts of any length are encoded whole.
+library does. Nulls count as empty texts; empty texts have no tokens; texts of any length are encoded whole, their
+pre-tokens in parts, and long words are kept in no table. Repeated rows give equal results; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,6 +33,7 @@ from tidemark.llm.shared import map_batches, texts_of
 
 #: Words in each of the two generations of a worker's table, and transitions kept in the automaton's.
 WORDS = 240_000
+LONG = 1_024
 ARCS = 400_000
 
 
@@ -118,12 +121,12 @@ class Automaton:
         table, target, lengths, n, size = self.table, self.target, self.lengths, self.size, len(word)
         if len(table) > ARCS:
             table.clear()
-        path: list[int] = []
-        at = state = 0
-        open_ = [(0, 0, options := self._spelled(word, 0))]  # position, state, arcs not yet tried
+        # a place on the path is three numbers; the arcs left to try are spelled again when the walk comes back to it
+        path, ends, states, left = array("I"), array("q", [0]), array("q", [0]), array("q", [0])
+        options = self._spelled(word, 0)
         failed = set()
-        while open_:
-            at, state, options = open_[-1]
+        while ends:
+            at, state = ends[-1], states[-1]
             while options:
                 token = options.pop()
                 key = state * n + token
@@ -135,17 +138,24 @@ class Automaton:
                 end, to = at + lengths[token], target[token]
                 if end == size:
                     path.append(token)
-                    return path
+                    return path.tolist()
                 if failed and (end, to) in failed:
                     continue
                 path.append(token)
-                open_.append((end, to, self._spelled(word, end)))
+                left[-1] = len(options)
+                ends.append(end)
+                states.append(to)
+                left.append(0)
+                options = self._spelled(word, end)
                 break
             else:
                 failed.add((at, state))
-                open_.pop()
-                if path:
+                ends.pop()
+                states.pop()
+                left.pop()
+                if ends:
                     path.pop()
+                    options = self._spelled(word, ends[-1])[: left[-1]]
         raise ValueError("no path spells the word; the vocabulary lacks single bytes")
 
 
@@ -170,7 +180,6 @@ class Codec:
         self.compiled()
 
     def compiled(self) -> None:
-        self.split = self.splitter.split
         self.cut = regex.compile("|".join(map(regex.escape, sorted(self.added, key=len, reverse=True)))) if self.added else None
         self.words = Words(self.automaton)
 
@@ -183,17 +192,21 @@ class Codec:
 
     def encode(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
-        words = self.words
-        words.age()
-        get = words.__getitem__
         if self.cut is None or not self.cut.search(text):
-            return b"".join(map(get, self.split(text)))
+            return self._plain(text)
         parts, at = [], 0
         for m in self.cut.finditer(text):
-            parts += map(get, self.split(text[at : m.start()]))
-            parts.append(self.added[m[0]].to_bytes(4, "little"))
+            parts += [self._plain(text[at : m.start()]), self.added[m[0]].to_bytes(4, "little")]
             at = m.end()
-        return b"".join([*parts, *map(get, self.split(text[at:]))])
+        return b"".join([*parts, self._plain(text[at:])])
+
+    def _plain(self, text: str) -> bytes:
+        """The ids of a text without added tokens."""
+        found = []
+        for words in self.splitter.parts(text):
+            self.words.age()
+            found.append(b"".join(map(self.words.__getitem__, words)))
+        return b"".join(found)
 
     def decode(self, ids: bytes) -> str:
         labels = self.labels
@@ -210,7 +223,8 @@ class Words(dict):
         ids = self.before.get(word)
         if ids is None:
             ids = array("I", self.automaton.walk(word.encode("utf-8", "surrogatepass"))).tobytes()
-        self[word] = ids
+        if len(word) <= LONG:
+            self[word] = ids
         return ids
 
     def age(self) -> None:

@@ -5,7 +5,9 @@ from __future__ import annotations
 import re
 import sys
 import unicodedata
+from collections.abc import Iterator
 from functools import cache
+from itertools import islice
 
 import regex
 
@@ -41,7 +43,7 @@ class Splitter:
         self._compile()
 
     def _compile(self) -> None:
-        self.quick, self.slow = re.compile(QUICK).findall, regex.compile(PATTERN).findall
+        self.quick, self.slow = re.compile(QUICK), regex.compile(PATTERN)
         self.odd = re.compile(self.odd_numbers).search
 
     def __getstate__(self) -> dict:
@@ -52,4 +54,16 @@ class Splitter:
         self._compile()
 
     def split(self, text: str) -> list[str]:
-        return self.quick(text) if text.isascii() or not self.odd(text) else self.slow(text)
+        return self._pattern(text).findall(text)
+
+    def _pattern(self, text: str) -> re.Pattern | regex.Pattern:
+        return self.quick if text.isascii() or not self.odd(text) else self.slow
+
+    def parts(self, text: str, size: int = 1 << 16) -> Iterator[list[str]]:
+        """The pre-tokens in lists of so many, so that a long text does not become one list."""
+        if len(text) <= size:
+            yield self.split(text)
+            return
+        found = (m[0] for m in self._pattern(text).finditer(text))
+        while some := list(islice(found, size)):
+            yield some

@@ -9,7 +9,9 @@ The vocabulary is a file of byte pieces in order of rank. Its pieces get the pro
 log p = -log(rank + OFFSET): an assumption that stands in for the missing training counts and is a parameter. Ties in score
 go to fewer pieces.
 
-Null and empty texts have 0 tokens; texts of any length are counted whole; a row for every row of the input.
+Null and empty texts have 0 tokens; a row for every row of the input. Texts of any length are counted whole: their
+pre-tokens are taken in parts, and a pre-token of more than LONG bytes, which no other is likely to share, is scored with no
+more than the last scores in memory and leaves no nodes.
 """
 
 from __future__ import annotations
@@ -28,6 +30,7 @@ from tidemark.llm.shared import map_batches, texts_of
 OFFSET = 2.7
 #: Nodes and pre-tokens a worker keeps; a full trie is begun anew, which changes no count.
 NODES, WORDS = 600_000, 250_000
+LONG = 2_048
 #: Scores that differ by less are equal; sums of logs over different splits differ in their last bits.
 SAME = 1e-9
 
@@ -65,6 +68,8 @@ class Trie:
 
     def insert(self, word: bytes) -> int:
         """The number of pieces in the best split of the word; new prefixes are scored on the way."""
+        if len(word) > LONG:
+            return self.scored_alone(word)
         children, best, count, backward, ends = self.children, self.best, self.count, self.backward, self.ends
         path = [0]
         for at, byte in enumerate(word):
@@ -89,6 +94,25 @@ class Trie:
         return count[path[-1]]
 
 
+    def scored_alone(self, word: bytes) -> int:
+        """The same for a long word, with scores of the last places only: a ring of the longest piece's length."""
+        backward, ends, size = self.backward, self.ends, self.longest + 1
+        best, count = array("d", [0.0]) * size, array("q", [0]) * size
+        for at in range(len(word)):
+            top, fewest, behind, begin = -math.inf, 0, 0, at
+            while begin >= 0:  # every piece that ends here, the shortest first
+                behind = backward.get(behind << 8 | word[begin])
+                if behind is None:
+                    break
+                if (own := ends[behind]) <= 0:
+                    total, pieces = best[begin % size] + own, count[begin % size] + 1
+                    if total > top + SAME or total > top - SAME and pieces < fewest:
+                        top, fewest = total, pieces
+                begin -= 1
+            best[(at + 1) % size], count[(at + 1) % size] = top, fewest
+        return count[len(word) % size]
+
+
 class Counts(dict):
     """Pre-token -> number of pieces, filled by the trie."""
 
@@ -99,7 +123,8 @@ class Counts(dict):
         n = self.before.get(word)
         if n is None:
             n = self.trie.insert(word.encode("utf-8", "surrogatepass"))
-        self[word] = n
+        if len(word) <= LONG:
+            self[word] = n
         return n
 
     def age(self) -> None:
@@ -119,9 +144,11 @@ def count_tokens(df: DataFrame, pieces: dict[bytes, float], id_column: str = "do
         counts = Counts(Trie(own))
 
         def one(text: str) -> tuple[int, int]:
-            counts.age()
-            words = splitter.split(text)
-            return sum(map(counts.__getitem__, words)), len(words)
+            n = n_words = 0
+            for words in splitter.parts(text):
+                counts.age()
+                n, n_words = n + sum(map(counts.__getitem__, words)), n_words + len(words)
+            return n, n_words
 
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
             n, words = zip(*map(one, texts_of(batch, text_column)), strict=True)
