@@ -9,6 +9,7 @@ import zlib
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from tests_llm_corpus import corpus, plain_classes
 
 from tidemark.llm import bpe, language, media, mixing, ngram_join, token_counts, toxicity
 from tidemark.llm.presplit import Splitter
@@ -154,7 +155,7 @@ def test_reader_sees_faults():
 
 def test_media_of_odd_rows(spark):
     df = docs_of(spark, ODD).withColumn("media", F.lit(1)).withColumn("feature", F.lit("x"))
-    got = {r.doc_id: r for r in media.media_digests(df).collect()}
+    got = {r.doc_id: r for r in media.media_digests(media.stored_media(df)).collect()}
     for k, text in enumerate(ODD):
         raw = (text or "").encode()
         payload = raw.ljust(max(64, -(-len(raw) // 64) * 64), b"\0")
@@ -162,7 +163,7 @@ def test_media_of_odd_rows(spark):
     assert got[10][1:] == got[11][1:]
     stored = media.read_media(media.with_media(df)).collect()
     assert {bytes(r.payload)[:4] for r in stored} >= {b"same", b"\0\0\0\0"} and all(r.units for r in stored)
-    assert media.media_digests(docs_of(spark, [])).count() == 0
+    assert media.media_digests(media.stored_media(docs_of(spark, []))).count() == 0
 
 
 # --- mixing
@@ -220,45 +221,6 @@ def test_mix_without_words(spark):
 # --- n-gram join
 
 
-def plain_classes(rows):
-    sets = []
-    for _, text in rows:
-        words = re.findall(rb"[^\x20\x09-\x0D]+", re.sub(rb"[A-Z]", lambda m: m[0].lower(), (text or "").encode()))
-        sets.append({tuple(words[i : i + 5]) for i in range(len(words) - 4)} if len(words) >= 5 else {tuple(words)} if words else set())
-    parent = list(range(len(rows)))
-
-    def root(k):
-        while parent[k] != k:
-            k = parent[k]
-        return k
-
-    for a, b in itertools.combinations(range(len(rows)), 2):
-        if sets[a] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]):
-            parent[root(a)] = root(b)
-    least = {}
-    for k, (i, _) in enumerate(rows):
-        if i is not None:
-            least[root(k)] = min(i, least.get(root(k), i))
-    return sorted(((i, len(sets[k]), least.get(root(k)) if sets[k] else i) for k, (i, _) in enumerate(rows)), key=repr)
-
-
-def corpus(rng, n_bases=12, copies=14):
-    vocabulary = [f"w{i}" for i in range(400)]
-    passage = rng.choices(vocabulary, k=60)
-    texts = []
-    for _ in range(n_bases):
-        base = rng.choices(vocabulary, k=rng.randint(6, 160))
-        texts.append(" ".join(base))
-        for _ in range(copies):
-            own = list(base)
-            for _ in range(rng.randint(0, max(1, len(base) // 25))):
-                own[rng.randrange(len(own))] = rng.choice(vocabulary)
-            texts.append(rng.choice([" ", "\n", "\t "]).join(own).title())
-        texts.append(" ".join(base[: len(base) * 4 // 5]))
-        texts.append(" ".join([*passage, *rng.choices(vocabulary, k=rng.randint(5, 60))]))
-    return texts
-
-
 @pytest.mark.parametrize("seed", [1, 2])
 def test_classes_equal_brute_force(spark, seed):
     rng = random.Random(seed)
