@@ -43,6 +43,11 @@ def completeness(df: DataFrame, dim: DataFrame, group: str, key: list[str], memb
     return rows.withColumn("complete", (F.col("n") == F.col("n_expected")).cast("int"))
 
 
+def complete_only(rows: DataFrame) -> DataFrame:
+    """The rows of completeness() in which every expected member is there; rows of unknown completeness go."""
+    return rows.filter("complete = 1")
+
+
 def coverage(part: DataFrame, whole: DataFrame, key: list[str], measure: str) -> DataFrame:
     """(key, part, whole, coverage) for every key of the whole; null without a whole."""
     joined = whole.select(*key, F.col(measure).alias("whole")).join(part.select(*key, F.col(measure).alias("part")), key, "left")

@@ -32,15 +32,27 @@ def pivot_two_members(t: Tables) -> DataFrame:
     return hours(t, False)
 
 
-@query("""WITH s AS (SELECT DISTINCT n_regionkey AS region, date_trunc('month', o_orderdate)::DATE AS m, c_nationkey FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey),
+FAMILIES = """WITH s AS (SELECT DISTINCT n_regionkey AS region, date_trunc('month', o_orderdate)::DATE AS m, c_nationkey FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey),
 a AS (SELECT region, m, count(*)::BIGINT AS n FROM s GROUP BY 1, 2), e AS (SELECT n_regionkey AS region, count(*)::BIGINT AS n_expected FROM nation GROUP BY 1)
-SELECT region, m, n, n_expected, (n = n_expected)::INT AS complete FROM a JOIN e USING (region)""")
-def family_completeness(t: Tables) -> DataFrame:
+SELECT region, m, n, n_expected, (n = n_expected)::INT AS complete FROM a JOIN e USING (region)"""
+
+
+def families(t: Tables) -> DataFrame:
     dim = t.nation.select(F.col("n_regionkey").alias("region"), F.col("n_nationkey").alias("member"))
     rows = t.orders.join(t.customer, F.col("o_custkey") == F.col("c_custkey")).select(F.trunc("o_orderdate", "MM").alias("m"), F.col("c_nationkey").alias("member"))
     return combine.completeness(rows.join(dim, "member"), dim, "region", ["m"], "member")
 
 
+@query(FAMILIES)
+def family_completeness(t: Tables) -> DataFrame:
+    return families(t)
+
+
+@query(f"SELECT region, m, n FROM ({FAMILIES}) WHERE complete = 1")
+def family_complete_only(t: Tables) -> DataFrame:
+    return combine.complete_only(families(t)).select("region", "m", "n")
+
+
 @query("""WITH x AS (SELECT date_trunc('month', l_shipdate)::DATE AS m, sum(l_extendedprice::DECIMAL(28,2)) AS w, sum(l_extendedprice::DECIMAL(28,2)) FILTER (WHERE l_returnflag = 'A') AS p FROM lineitem GROUP BY 1)
 SELECT m, w::DOUBLE AS whole, p::DOUBLE AS part, round(p::DOUBLE / w::DOUBLE, 12) AS coverage FROM x""")
 def coverage_ratio(t: Tables) -> DataFrame:
