@@ -452,6 +452,21 @@ def test_no_pair_is_verified_twice(spark, monkeypatch):
     assert len(seen) == 2 and pairs and len(set(pairs)) == len(pairs)
 
 
+def test_full_join_alone_finds_every_link(spark, monkeypatch):
+    """Without pivots, and with texts whose overlap is just enough or one n-gram short, of many sizes."""
+    from tests_llm_corpus import corpus, plain_classes
+
+    monkeypatch.setattr(ngram_join, "pivot_pairs", lambda prefixes: prefixes.select(F.col("key").alias("a"), F.col("pivot").alias("b")).limit(0))
+    texts = corpus(random.Random(21), 4, 8)
+    for n in (*range(1, 30), 57, 64, 100, 131):
+        words = [f"{k}n{n}" for k in range(n + 4)]
+        enough = -(-3 * n // 4)
+        texts += [" ".join(words), " ".join(words[: enough + 4]), " ".join(reversed(words)), " ".join([*reversed(words)][: enough + 3])]
+    rows = list(enumerate(texts))
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.ngram_classes(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()), key=repr)
+    assert got == plain_classes(rows)
+
+
 # --- code search at its seams
 
 

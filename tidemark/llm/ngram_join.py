@@ -17,7 +17,10 @@ here gives the number of links of a document or the pairs of a class.
 
 Hash joins work on packed arrays: a task sends one row for each range of hashes rather than one for each n-gram, and a
 reducer holds one range, whose size follows from the number of input partitions. An n-gram that more than SPLIT
-documents have is dealt over several reducers by set; each chooses a pivot, and these get a pivot among them.
+documents have is dealt over several reducers by set; each chooses a pivot, and these get a pivot among them. Frequencies
+are counted within a task before they are sent. The full join is by n-gram and band of sizes. What remains of hot keys
+there is an n-gram early in the prefixes of very many sets of like size that are in different classes: such pairs have
+to be looked at, in partitions that adaptive execution splits.
 
 Null and empty texts have no n-grams, size 0 and link with nothing; their class is their own id. Repeated rows get the
 same result each. Null ids are smaller than none: a class takes its smallest non-null id. Texts of any length are hashed
@@ -49,6 +52,8 @@ LEAST_HOT = 3
 STEPS = 8
 #: Sets of one n-gram that a reducer takes.
 SPLIT = 1 << 12
+#: Bands of sizes to a growth of e.
+BANDS = 16
 #: Parts of the hashes in which the suffix filter counts.
 PARTS = 32
 #: Bytes of text hashed at once, and hashes gathered before they are sent.
@@ -230,18 +235,19 @@ def unplanes(data: bytes, kind: type) -> np.ndarray:
 
 
 def _frequency_rows(docs: DataFrame, ranges: int) -> DataFrame:
-    """(range, hashes): the upper halves of all hashes, sorted and packed as differences."""
+    """(range, hashes, counts): the upper halves of all hashes, counted, sorted and packed as differences."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gathered, size = [], 0
 
         def flush() -> Iterator[pa.RecordBatch]:
-            halves = np.sort(np.concatenate(gathered))
-            cuts = np.searchsorted(halves, (np.arange(ranges + 1, dtype=np.uint64) << U(32)) // U(ranges))
-            blobs = [planes(np.diff(halves[a:b], prepend=np.uint32(0))) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-            rows = [(k, x) for k, x in enumerate(blobs) if x]
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.int32()), pa.array([x for _, x in rows], pa.binary())], names=["range", "hashes"])
+            halves, n = np.unique(np.concatenate(gathered), return_counts=True)
+            n = n.astype(np.uint32)
+            cuts = np.searchsorted(halves, (np.arange(ranges + 1, dtype=np.uint64) << U(32)) // U(ranges)).tolist()
+            spans = [(k, a, b) for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if b > a]
+            if spans:
+                blobs = [planes(np.diff(halves[a:b], prepend=np.uint32(0))) for _, a, b in spans], [planes(n[a:b]) for _, a, b in spans]
+                yield pa.RecordBatch.from_arrays([pa.array([k for k, _, _ in spans], pa.int32()), *(pa.array(x, pa.binary()) for x in blobs)], names=["range", "hashes", "counts"])
 
         for batch in batches:
             for part in slices(batch, TEXT_SLICE):
@@ -256,7 +262,7 @@ def _frequency_rows(docs: DataFrame, ranges: int) -> DataFrame:
         gathered = []
         give_back()
 
-    return docs.select("text").mapInArrow(run, "range int, hashes binary")
+    return docs.select("text").mapInArrow(run, "range int, hashes binary, counts binary")
 
 
 def hot_hashes(docs: DataFrame, ranges: int) -> tuple[np.ndarray, np.ndarray]:
@@ -267,11 +273,15 @@ def hot_hashes(docs: DataFrame, ranges: int) -> tuple[np.ndarray, np.ndarray]:
     """
 
     def count(table: pa.Table) -> pa.Table:
-        parts = [np.cumsum(unplanes(x, np.uint32), dtype=np.uint32) for x in table.column("hashes").to_pylist()]
-        values, n = np.unique(np.concatenate(parts), return_counts=True)
+        values = np.concatenate([np.cumsum(unplanes(x, np.uint32), dtype=np.uint32) for x in table.column("hashes").to_pylist()])
+        n = np.concatenate([unplanes(x, np.uint32) for x in table.column("counts").to_pylist()])
+        order = np.argsort(values, kind="stable")
+        values, n = values[order], n[order]
+        heads = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]]))
+        values, n = values[heads], np.add.reduceat(n.astype(np.int64), heads)
         often = n >= LEAST_HOT
-        found = pa.table({"half": values[often].astype(np.int64), "n": n[often].astype(np.int64)})
-        del parts, values, n, often
+        found = pa.table({"half": values[often].astype(np.int64), "n": n[often]})
+        del values, n, order, heads, often
         give_back()
         return found
 
@@ -536,13 +546,22 @@ def class_pairs(prefixes: DataFrame, classes: DataFrame, tried: DataFrame) -> Da
     """All candidate pairs (a, b) of different classes but those tried, once each, after the length and positional filters."""
     rows = prefixes.select("hash", "key", "n", "place").join(classes.select(F.col("node").alias("key"), "label"), "key", "left").withColumn("label", F.coalesce("label", "key"))
     mixed_ = rows.groupBy("hash").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("hash")
-    rows = written(rows.join(mixed_, "hash", "left_semi"), "open")
-    x, y = (rows.select("hash", *(F.col(c).alias(f"{c}_{s}") for c in ("key", "n", "place", "label"))) for s in "ab")
+    rows = rows.join(mixed_, "hash", "left_semi")
+    # An n-gram at a place meets only sets of sizes with which it can be the first shared: n - place, what is left, has to
+    # hold least_overlap(n, m). So sets are joined by bands of sizes too, and two large classes of one size that share what
+    # comes late in their prefixes do not meet. Bounds of bands are widened by a little, which costs a few pairs and loses none.
+    band = lambda n: F.floor(F.log(F.greatest(n, F.lit(1))) * BANDS).cast("int")
+    largest = F.least(F.col("n") * (DOWN / UP), (F.col("n") - F.col("place")) * ((UP + DOWN) / UP) - F.col("n"))
+    bands = F.sequence(band(F.col("n") * (UP / DOWN) * (1 - 1e-9)), band(largest * (1 + 1e-9)))
+    rows = rows.filter(largest * (1 + 1e-9) >= F.col("n") * (UP / DOWN)).withColumn("own", band(F.col("n"))).withColumn("other", F.explode(bands))
+    rows = written(rows, "open")
+    x = rows.select("hash", F.col("own").alias("band"), F.col("other").alias("band_"), *(F.col(c).alias(f"{c}_a") for c in ("key", "n", "place", "label")))
+    y = rows.select("hash", F.col("other").alias("band"), F.col("own").alias("band_"), *(F.col(c).alias(f"{c}_b") for c in ("key", "n", "place", "label")))
     long_enough = F.least("n_a", "n_b") * DOWN >= F.greatest("n_a", "n_b") * UP
     # at the first n-gram that both share, no more is shared than what is left of either; at later ones the bound is only
     # stricter, which confines a pair to the prefixes that its own two sizes need
     in_reach = F.least(F.col("n_a") - F.col("place_a"), F.col("n_b") - F.col("place_b")) * (UP + DOWN) >= (F.col("n_a") + F.col("n_b")) * UP
-    met = x.join(y, "hash").filter((F.col("key_a") < F.col("key_b")) & (F.col("label_a") != F.col("label_b")) & long_enough & in_reach)
+    met = x.join(y, ["hash", "band", "band_"]).filter((F.col("key_a") < F.col("key_b")) & (F.col("label_a") != F.col("label_b")) & long_enough & in_reach)
     met = met.groupBy("key_a", "key_b", "n_a", "n_b").agg(F.count("*").alias("c"), F.max("place_a").alias("last_a"), F.max("place_b").alias("last_b"))
     # what both share after the last n-gram shared in the prefixes is no more than what follows it in the shorter rest
     most = F.col("c") + F.least(F.col("n_a") - F.col("last_a"), F.col("n_b") - F.col("last_b")) - 1
