@@ -207,7 +207,7 @@ def top_k(index: DataFrame, queries: DataFrame, k: int, dims: int = 64) -> DataF
     m, want = len(parts), min(k + 1, n_rows)  # the query itself is among the rows
     open_ = asked.select(F.col("code").alias("query")).distinct().withColumn("far", F.lit(None).cast("int"))
     found = spark.createDataFrame([], FOUND)
-    done, old = [], []
+    done, rounds = [], []
     widest = max(p.width for p in parts)
     nearest_first = Window.partitionBy("query").orderBy("distance", "id")
     nearer = Window.partitionBy("query").orderBy("distance").rangeBetween(Window.unboundedPreceding, -1)
@@ -222,6 +222,7 @@ def top_k(index: DataFrame, queries: DataFrame, k: int, dims: int = 64) -> DataF
         state = state.withColumn("far", F.when(F.col("n") >= want, F.col("far"))).withColumn("done", (F.col("n") >= want) & (covered | (F.col("n") >= n_rows)) | F.lit(radius >= widest)).drop("n")
         state = open_.select("query").join(state, "query", "left").withColumn("done", F.coalesce("done", F.lit(radius >= widest)))
         best = written(state.join(best, "query", "left"), f"radius{radius}")
+        rounds.append(best)
         done.append(best.filter("done and id is not null").drop("done", "far"))
         found = best.filter("not done and id is not null").drop("done", "far")
         open_ = best.filter("not done").select("query", "far").distinct()
@@ -235,7 +236,7 @@ def top_k(index: DataFrame, queries: DataFrame, k: int, dims: int = 64) -> DataF
     order = Window.partitionBy("query_id", "query").orderBy("distance", "id")
     result = result.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= k).select("query_id", "id", "distance", "place")
     result = written(result, "nearest")
-    forget(rows, asked, members, table)
+    forget(rows, asked, members, table, *rounds)
     return result
 
 
