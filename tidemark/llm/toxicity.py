@@ -6,7 +6,7 @@ second part estimates the risk on clean documents from unlabelled ones, correcte
 them, and is kept from going negative, which would be overfitting. Where it does, a step goes back up that part.
 
 Fitting uses a bounded sample: at most POSITIVES positives and UNLABELLED unlabelled documents, the first by a hash of
-their ids, equal texts once; the class prior and everything else is over all rows. Words become features if LEAST_DF documents of
+their ids, of an id that repeats the first text, equal texts once; the class prior and everything else is over all rows. Words become features if LEAST_DF documents of
 the sample have them and their frequencies in the two sets differ by Z standard errors, in either direction: words that
 toxic documents have and words that they lack, FEATURES at most, the clearest first. Which of them tell toxic documents
 from clean ones, and not only from unlabelled ones, is left to the risk.
@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import fold, map_batches, texts_of, written
+from tidemark.llm.shared import fold, forget, map_batches, texts_of, written
 
 POSITIVES, UNLABELLED = 4_000, 12_000
 FEATURES, Z, LEAST_DF = 2_048, 4.0, 20
@@ -122,7 +122,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
 
     chosen = ids(known.filter("toxic = 1").select("doc_id").distinct(), POSITIVES, 1).unionByName(ids(docs.filter(fold("doc_id", FOLDS) != HELD_OUT), UNLABELLED, 0).distinct())
     # POSITIVES + UNLABELLED rows of two numbers at most: safe to broadcast at any size of the input
-    sample = written(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("positive", "text").distinct(), "toxicity")
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("positive", "doc_id").agg(F.min("text").alias("text"))
+    sample = written(rows.select("positive", "text").distinct(), "toxicity")
 
     def word_rows() -> Callable[[pa.RecordBatch], pa.RecordBatch]:
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -153,6 +154,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     # order by content, so that sums of doubles do not depend on the order of arrival
     got = map_batches(sample, "positive int, found array<int>", feature_rows).collect()
     got = sorted((r["positive"], r["found"]) for r in got)
+    forget(sample)
     sets = [Rows([np.asarray(f, np.int64) for kind, f in got if kind == k], len(words)) for k in (1, 0)]
     w, b = train(*sets, prior)
     return Model({x: float(y) for x, y in zip(words, w, strict=True)}, b, prior)
