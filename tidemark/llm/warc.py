@@ -64,15 +64,16 @@ def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int
 def with_referred(pages: DataFrame, id_column: str, payload_column: str) -> DataFrame:
     """pages with refers_to: the id of the response whose payload the row repeats, else null.
 
-    Digests are counted with partial sums; only those that repeat are joined back, in a join whose size adaptive
-    execution sees: it broadcasts few repeats and splits a digest that very many rows have.
+    Digests are counted with partial sums; only those that repeat are joined back, a row for each digest. These are the hash
+    tables of the join, so payloads pass one exchange and no sort, and adaptive execution splits a digest that very many
+    rows have.
     """
     payload = F.coalesce(F.col(payload_column), F.lit("")).cast("binary")
     rows = pages.withColumn("payload", payload)
     small, large = (rows.filter(x) for x in (F.octet_length("payload") < LEAST_BYTES, F.octet_length("payload") >= LEAST_BYTES))
     large = large.withColumn("payload_digest", F.sha1("payload"))
     groups = large.groupBy("payload_digest").agg(F.max(id_column).alias("largest"), F.count("*").alias("n"))
-    large = large.join(groups.filter("n > 1").drop("n"), "payload_digest", "left")
+    large = large.join(groups.filter("n > 1").drop("n").hint("shuffle_hash"), "payload_digest", "left")
     refers = F.when(F.col("largest").isNotNull() & ~F.col(id_column).eqNullSafe(F.col("largest")), F.col("largest"))
     large = large.withColumn("refers_to", refers).drop("largest", "payload_digest")
     # small ones repeat nothing and stay where they are
