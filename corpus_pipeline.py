@@ -10,7 +10,7 @@ from tidemark.llm.bpe import codec_of, token_digests
 from tidemark.llm.mixing import mixture
 from tidemark.llm.ngram_join import row_classes
 from tidemark.llm.registry import tokenizer_path
-from tidemark.llm.shared import WORD, table, written
+from tidemark.llm.shared import WORD, forget, table, written
 
 #: A document whose language has less than this probability is rejected, as is one without a letter.
 LEAST_LANGUAGE_SCORE = 0.5
@@ -101,6 +101,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of sf_dir."""
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name)
+    for k, (name, stage) in enumerate(STAGES[:-1]):
+        before, docs = docs, written(stage(spark, docs, sf_dir), name)
+        if k:
+            forget(before)
     return STAGES[-1][1](spark, docs, sf_dir)
