@@ -21,18 +21,11 @@ QUICK = rf" ?[^\W\d_]+| ?\d+|{ENDINGS}| ?(?:[^{SPACE}\w]|_)+|[{SPACE}]+(?![^{SPA
 
 
 @cache
-def odd_numbers() -> str:
+def odd_numbers() -> frozenset[str]:
     """Characters on which the two patterns may differ: numbers that are no decimal digits, and what only one library knows."""
     letter, number = regex.compile(r"\p{L}").match, regex.compile(r"\p{N}").match
     points = (chr(k) for k in range(128, sys.maxunicode + 1) if not 0xD800 <= k < 0xE000)
-    odd = [c for c in points if unicodedata.category(c) in ("Nl", "No") or bool(letter(c)) != bool(c.isalpha()) or bool(number(c)) != bool(c.isdecimal())]
-    spans: list[list[int]] = []
-    for k in map(ord, odd):
-        if spans and spans[-1][1] == k - 1:
-            spans[-1][1] = k
-        else:
-            spans.append([k, k])
-    return "[" + "".join(f"{chr(a)}-{chr(b)}" for a, b in spans) + "]"
+    return frozenset(c for c in points if unicodedata.category(c) in ("Nl", "No") or bool(letter(c)) != bool(c.isalpha()) or bool(number(c)) != bool(c.isdecimal()))
 
 
 class Splitter:
@@ -44,7 +37,6 @@ class Splitter:
 
     def _compile(self) -> None:
         self.quick, self.slow = re.compile(QUICK), regex.compile(PATTERN)
-        self.odd = re.compile(self.odd_numbers).search
 
     def __getstate__(self) -> dict:
         return {"odd_numbers": self.odd_numbers}
@@ -57,7 +49,7 @@ class Splitter:
         return self._pattern(text).findall(text)
 
     def _pattern(self, text: str) -> re.Pattern | regex.Pattern:
-        return self.quick if text.isascii() or not self.odd(text) else self.slow
+        return self.quick if text.isascii() or self.odd_numbers.isdisjoint(set(text)) else self.slow
 
     def parts(self, text: str, size: int = 1 << 16) -> Iterator[list[str]]:
         """The pre-tokens in lists of so many, so that a long text does not become one list."""
