@@ -26,6 +26,8 @@ SHARE = 1.5
 REPEATS = 2
 BUCKETS = 4096
 FINE = 64
+#: A plan of no more sources than this is broadcast to the documents; a larger one is joined by shuffle.
+BROADCAST_SOURCES = 50_000
 
 #: Characters that clean prose does not have; a document's quality weight falls with their share.
 NOISE = "#$%&*|<>{}[]=!0123456789"
@@ -98,8 +100,9 @@ def _edge(plan: DataFrame, sums: DataFrame) -> DataFrame:
 def take(docs: DataFrame, plan: DataFrame) -> DataFrame:
     """docs (doc_id, source, size, key, bucket) with source_size, target, taken.
 
-    plan has one row a source, docs has any number: the joins on source are left to adaptive execution, which
-    broadcasts the plan when its measured size allows it and splits hot sources otherwise.
+    plan has one row a source, docs has any number. The plan with the ranges in which budgets end is a table, whose rows are
+    counted: up to BROADCAST_SOURCES it goes to the documents, which then are not dealt out by source; a larger one is joined
+    by shuffle, in which adaptive execution splits hot sources.
     """
     plan = plan.withColumn("epochs", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long"))
     plan = plan.withColumn("rest", F.col("target") - F.col("epochs") * F.col("source_size"))
@@ -107,6 +110,8 @@ def take(docs: DataFrame, plan: DataFrame) -> DataFrame:
     edge = _edge(plan.withColumn("from", F.lit(0).cast("long")), sums.withColumn("range", F.floor(F.col("bucket") / FINE)))
     edge = _edge(edge.withColumnRenamed("range", "within"), sums.withColumn("range", F.col("bucket").cast("long")).withColumn("within", F.floor(F.col("bucket") / FINE)))
     edge = edge.select(F.col("source").alias("s"), "source_size", "target", "epochs", "rest", F.col("range").alias("edge_bucket"), F.col("from").alias("edge_before"))
+    edge = written(edge, "edge")
+    edge = F.broadcast(edge) if edge.count() <= BROADCAST_SOURCES else edge
     rows = docs.join(edge, F.col("source").eqNullSafe(F.col("s"))).drop("s")
     # buckets below the edge are whole, those above are out, the edge itself is ordered
     clear = rows.filter(F.col("bucket") != F.col("edge_bucket")).withColumn("extra", (F.col("bucket") < F.col("edge_bucket")).cast("long"))
@@ -131,10 +136,6 @@ def mix(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", sou
     return take(docs, plan).select("doc_id", "source", "size", "source_size", "target", "taken", "repeats")
 
 
-#: A plan of no more sources than this is broadcast to the documents; a larger one is joined by shuffle.
-BROADCAST_SOURCES = 50_000
-
-
 def mixture(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", source_column: str = "source") -> DataFrame:
     """The rows of the mix themselves: every row of df as often as the mix takes it, with the columns of df.
 
