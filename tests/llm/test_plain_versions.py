@@ -140,6 +140,17 @@ def test_language_of_held_out_documents(spark):
     assert sum(right) >= 0.98 * len(right) > 100
 
 
+def test_sparse_and_full_tables_agree(monkeypatch):
+    rng = random.Random(7)
+    counts = {f"k{i}": {x: float(rng.randint(1, 9)) for x in rng.sample(range(6), rng.randint(1, 6))} for i in range(50)}
+    full = language.tabled(counts, 6)
+    monkeypatch.setattr(language, "MOST_CELLS", 10)
+    sparse = language.tabled(counts, 6)
+    assert full.rows is not None and sparse.rows is None
+    found, weights = rng.choices(range(50), k=40), np.array([rng.random() for _ in range(40)])
+    assert full.total(found, weights) == pytest.approx(sparse.total(found, weights))
+
+
 def test_many_languages_and_long_words(spark):
     rows = [(k, " ".join([f"{chr(97 + k % 26)}{chr(97 + k // 26)}lo"] * 4) + " " + chr(97 + k % 26) * 500, f"l{k:03d}") for k in range(300)]
     model = language.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import fold, map_batches
+from tidemark.llm.shared import fold, map_batches, spread
 
 PER_LANGUAGE = 4_000
 WORDS_PER_LANGUAGE = 30_000
@@ -35,6 +35,8 @@ LONGEST = 64
 LANGUAGES = 1_000
 ORDERS = (5, 4, 3, 2, 1)
 SMOOTH = 0.5
+#: Cells of a table that is kept as rows too.
+MOST_CELLS = 1 << 20
 FOLDS, HELD_OUT = 4, 2
 UNKNOWN = "und"
 
@@ -54,8 +56,17 @@ class Table:
     above: np.ndarray
     base: np.ndarray
 
+    def __post_init__(self) -> None:
+        # few languages: the same numbers as rows, which are quicker to add up
+        self.rows = None
+        if len(self.keys) * len(self.base) <= MOST_CELLS:
+            self.rows = np.zeros((len(self.keys), len(self.base)))
+            self.rows[np.repeat(np.arange(len(self.keys)), np.diff(self.begins)), self.language] = self.above
+
     def total(self, found: list[int], weights: np.ndarray) -> np.ndarray:
         """The weighted sum of the log frequencies of these keys, for each language."""
+        if self.rows is not None:
+            return self.base * weights.sum() + weights @ self.rows[found]
         k = np.asarray(found, np.int64)
         counts = self.begins[k + 1] - self.begins[k]
         place = np.repeat(self.begins[k] - np.cumsum(counts) + counts, counts) + np.arange(int(counts.sum()))
@@ -153,7 +164,7 @@ def fit(docs: DataFrame) -> Model:
 
         return work
 
-    counts = map_batches(sample, "lang string, word string, n long", make).groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    counts = map_batches(spread(sample), "lang string, word string, n long", make).groupBy("lang", "word").agg(F.sum("n").alias("n"))
     top = Window.partitionBy("lang").orderBy(F.col("n").desc(), "word")
     # WORDS_PER_LANGUAGE rows of each language, whatever the input
     best = counts.withColumn("place", F.row_number().over(top)).filter(F.col("place") <= WORDS_PER_LANGUAGE)
@@ -175,4 +186,4 @@ def identify(docs: DataFrame, model: Model, language_column: str = "lang_pred",
         return work
 
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return map_batches(docs, f"{kept}, `{language_column}` string, `{score_column}` double", make)
+    return map_batches(spread(docs), f"{kept}, `{language_column}` string, `{score_column}` double", make)
