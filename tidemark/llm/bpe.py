@@ -29,7 +29,7 @@ import regex
 from pyspark.sql import DataFrame
 
 from tidemark.llm.presplit import Splitter
-from tidemark.llm.shared import map_batches, texts_of
+from tidemark.llm.shared import map_batches, spread, texts_of
 
 #: Words in each of the two generations of a worker's table, and transitions kept in the automaton's.
 WORDS = 240_000
@@ -252,7 +252,7 @@ def with_tokens(df: DataFrame, codec: Codec, id_column: str = "doc_id", text_col
 
         return work
 
-    return map_batches(df.select(id_column, text_column), f"{id_column} {df.schema[id_column].dataType.simpleString()}, ids array<int>, decoded string", make)
+    return map_batches(spread(df.select(id_column, text_column)), f"{id_column} {df.schema[id_column].dataType.simpleString()}, ids array<int>, decoded string", make)
 
 
 def token_digests(df: DataFrame, codec: Codec, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -272,4 +272,4 @@ def token_digests(df: DataFrame, codec: Codec, id_column: str = "doc_id", text_c
 
         return work
 
-    return map_batches(df.select(id_column, text_column), f"{id_column} {df.schema[id_column].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string", make)
+    return map_batches(spread(df.select(id_column, text_column)), f"{id_column} {df.schema[id_column].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string", make)

@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tidemark.llm.shared import map_batches, texts_of, written
+from tidemark.llm.shared import map_batches, spread, texts_of, written
 
 PACKET, BODY, SYNC = 188, 184, 0x47
 PAT_PID, PMT_PID, DATA_PID = 0x0000, 0x0100, 0x0101
@@ -293,7 +293,7 @@ def with_media(df: DataFrame, id_column: str = "doc_id", text_column: str = "tex
 
         return work
 
-    return map_batches(df.select(id_column, text_column), _kept(df, id_column) + "n_bytes long, media binary", make)
+    return map_batches(spread(df.select(id_column, text_column)), _kept(df, id_column) + "n_bytes long, media binary", make)
 
 
 def units_of(streams: list[Stream]) -> pa.Array:

@@ -40,7 +40,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.graph import components
-from tidemark.llm.shared import forget, give_back, map_batches, slices, written
+from tidemark.llm.shared import forget, give_back, map_batches, slices, spread, written
 
 N = 5
 #: Jaccard threshold as a fraction of whole numbers, so that it is compared exactly.
@@ -573,6 +573,7 @@ def class_pairs(prefixes: DataFrame, classes: DataFrame, tried: DataFrame) -> Da
 
 def labelled(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """docs with key and n in place of the text, and (key, rep, label) of every set; sets of one label are a class."""
+    docs = spread(docs)
     ranges = max(8, 4 * docs.rdd.getNumPartitions())
     nodes = written(keyed(docs), "nodes")
     best = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "h1", "h2", "n", "parts")).alias("best")

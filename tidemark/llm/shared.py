@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tidemark.sources.scratch import forget, shared_path, written
 
-__all__ = ["SLICE_BYTES", "WORD", "fold", "forget", "give_back", "map_batches", "shared_path", "slices", "table", "texts_of", "written"]
+__all__ = ["SLICE_BYTES", "WORD", "fold", "forget", "give_back", "map_batches", "shared_path", "slices", "spread", "table", "texts_of", "written"]
 
 #: Arrow batches are cut to about this many bytes before Python works on them.
 SLICE_BYTES = 8 << 20
@@ -25,6 +25,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: A table of fewer bytes than this is dealt out over all cores if it comes in fewer pieces than they are.
+SMALL_BYTES = 64 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df in a piece or more for each core where it is small: a small file is often one row group, and that one task.
+
+    Larger tables have row groups enough and are not moved.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(2 * cores) if size < SMALL_BYTES and df.rdd.getNumPartitions() < 2 * cores else df
+
+
 def slices(batch: pa.RecordBatch, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Parts of a batch of about limit bytes each, one row at least."""
     rows = batch.num_rows
@@ -33,6 +47,16 @@ def slices(batch: pa.RecordBatch, limit: int = SLICE_BYTES) -> Iterator[pa.Recor
         yield batch.slice(at, step)
 
 
+#: Rows of a batch for Python where the session has not set a number of its own: a row may be a whole document.
+ROWS, USUAL = "1000", "10000"
+
+
+def small_batches(df: DataFrame) -> None:
+    conf = df.sparkSession.conf
+    if conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == USUAL:
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ROWS)
+
+
 def give_back() -> None:
     """Return freed memory to the system: Python workers stay for a while after a task, next to those of other tasks."""
     pa.default_memory_pool().release_unused()
@@ -51,6 +75,7 @@ def map_batches(df: DataFrame, schema: str, make: Callable[[], Callable[[pa.Reco
         work = batch = part = None
         give_back()
 
+    small_batches(df)
     return df.mapInArrow(run, schema)
 
 

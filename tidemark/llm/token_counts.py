@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from tidemark.llm.presplit import Splitter
-from tidemark.llm.shared import map_batches, texts_of
+from tidemark.llm.shared import map_batches, spread, texts_of
 
 OFFSET = 2.7
 #: Nodes and pre-tokens a worker keeps; a full trie is begun anew, which changes no count.
@@ -156,4 +156,4 @@ def count_tokens(df: DataFrame, pieces: dict[bytes, float], id_column: str = "do
 
         return work
 
-    return map_batches(df.select(id_column, text_column), f"{id_column} {df.schema[id_column].dataType.simpleString()}, n_tokens long, n_pretokens long", make)
+    return map_batches(spread(df.select(id_column, text_column)), f"{id_column} {df.schema[id_column].dataType.simpleString()}, n_tokens long, n_pretokens long", make)

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import fold, forget, map_batches, texts_of, written
+from tidemark.llm.shared import fold, forget, map_batches, spread, texts_of, written
 
 POSITIVES, UNLABELLED = 4_000, 12_000
 FEATURES, Z, LEAST_DF = 2_048, 4.0, 20
@@ -176,4 +176,4 @@ def score(docs: DataFrame, model: Model, score_column: str = "score", predicted_
         return work
 
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return map_batches(docs, f"{kept}, `{score_column}` double, `{predicted_column}` int", make)
+    return map_batches(spread(docs), f"{kept}, `{score_column}` double, `{predicted_column}` int", make)
