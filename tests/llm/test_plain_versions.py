@@ -520,6 +520,24 @@ def test_tables_are_deleted_when_done(spark):
     assert shared_path(spark, "y") != shared_path(spark, "y")
 
 
+def test_small_tables_are_dealt_out_and_batches_follow_the_session(spark):
+    from tidemark.llm import shared
+
+    cores = spark.sparkContext.defaultParallelism
+    one = spark.range(100).coalesce(1)
+    assert one.rdd.getNumPartitions() == 1 and shared.spread(one).rdd.getNumPartitions() == 2 * cores
+    many = spark.range(100).repartition(3 * cores)
+    assert shared.spread(many) is many
+    name, before = "spark.sql.execution.arrow.maxRecordsPerBatch", spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        for own, then in (("10000", "1000"), ("50", "50")):
+            spark.conf.set(name, own)
+            shared.small_batches(one)
+            assert spark.conf.get(name) == then
+    finally:
+        spark.conf.set(name, before)
+
+
 # --- the pipeline
 
 
