@@ -50,8 +50,13 @@ def shared_path(spark: SparkSession, name: str) -> str:
 
 
 #: Settings while a table is written. A query's shuffle files go when it ends: what is written is read back from the table,
-#: so they serve no one. Batches for Python are of fewer rows than usual, since a row may be a whole document.
-WHILE_WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "1000"}
+#: so they serve no one. Batches for Python are of fewer rows than usual, since a row may be a whole document. Partitions are
+#: merged up to the advised size, not only down to one for each core: small tables are few files.
+WHILE_WRITING = {
+    "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
+    "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false",
+}
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
