@@ -6,8 +6,9 @@ wins; the score is its probability when the sums are tempered by the square root
 one text are not independent.
 
 The tables are fitted on a bounded sample of labelled texts, about PER_LANGUAGE of each language, chosen by a hash of
-their ids and texts. They keep the WORDS_PER_LANGUAGE most frequent words of each language, words of more than LONGEST letters
-cut into pieces of so many, and all n-grams of those words. Languages are the LANGUAGES most frequent values of lang at
+their ids and texts. They keep the WORDS_PER_LANGUAGE most frequent words of each language, or an equal part of MOST_WORDS where
+languages are so many that this is less; words of more than LONGEST letters are cut into pieces of so many. They keep all
+n-grams of those words. Languages are the LANGUAGES most frequent values of lang at
 most. Tables are sparse: a word or n-gram holds the languages that have it, what the others share is one number each.
 
 `und` with score 0: null texts, texts without a letter, and every text if nothing could be learned. Ties go to the first
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.shared import fold, map_batches, spread
 
 PER_LANGUAGE = 4_000
-WORDS_PER_LANGUAGE = 30_000
+WORDS_PER_LANGUAGE, MOST_WORDS = 30_000, 400_000
 LONGEST = 64
 LANGUAGES = 1_000
 ORDERS = (5, 4, 3, 2, 1)
@@ -166,8 +167,8 @@ def fit(docs: DataFrame) -> Model:
 
     counts = map_batches(spread(sample), "lang string, word string, n long", make).groupBy("lang", "word").agg(F.sum("n").alias("n"))
     top = Window.partitionBy("lang").orderBy(F.col("n").desc(), "word")
-    # WORDS_PER_LANGUAGE rows of each language, whatever the input
-    best = counts.withColumn("place", F.row_number().over(top)).filter(F.col("place") <= WORDS_PER_LANGUAGE)
+    # MOST_WORDS rows at most, whatever the input
+    best = counts.withColumn("place", F.row_number().over(top)).filter(F.col("place") <= min(WORDS_PER_LANGUAGE, MOST_WORDS // len(languages)))
     return model_of([(r["lang"], r["word"], r["n"]) for r in best.collect()], languages)
 
 
