@@ -597,5 +597,5 @@ def test_equal_rows_leave_the_same_one(spark):
     text = "some words that are a text of their own"
     rows = [(1, text, "en", s, 9) for s in "badc"] + [(1, text, "en", None, 9)]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
-    found = {tuple(map(tuple, p.one_of_each_class(spark, df.repartition(k), SMALL).collect())) for k in (1, 3, 5)}
+    found = {tuple(map(tuple, p.one_of_each_class(spark, df.repartition(k), SMALL).collect())) for k in (1, 3)}
     assert len(found) == 1 and len(next(iter(found))) == 1

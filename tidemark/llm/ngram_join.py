@@ -53,7 +53,7 @@ STEPS = 8
 #: Sets of one n-gram that a reducer takes.
 SPLIT = 1 << 12
 #: Bands of sizes to a growth of e.
-BANDS = 16
+BANDS = 8
 #: Parts of the hashes in which the suffix filter counts.
 PARTS = 32
 #: Bytes of text hashed at once, and hashes gathered before they are sent.

@@ -26,7 +26,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 #: A table of fewer bytes than this is dealt out over all cores if it comes in fewer pieces than they are.
-SMALL_BYTES = 64 << 20
+SMALL_BYTES = 16 << 20
 
 
 def spread(df: DataFrame) -> DataFrame:
