@@ -438,8 +438,11 @@ def keyed(docs: DataFrame) -> DataFrame:
     return map_batches(docs.select(*(f.name for f in kept), *handle(), "text"), schema, make, TEXT_SLICE)
 
 
-def sets_of_keys(docs: DataFrame, reps: DataFrame, keys: DataFrame) -> DataFrame:
-    """(key, hashes) of the sets with these keys, one row each; reps: (key, h1, h2) of a document with each key."""
+def sets_of_keys(docs: DataFrame, reps: DataFrame, keys: DataFrame, few: bool = False) -> DataFrame:
+    """(key, hashes) of the sets with these keys, one row each; reps: (key, h1, h2) of a document with each key.
+
+    few: the keys become a table first, whose size then decides whether they go to the texts or texts are dealt out.
+    """
 
     def make() -> Callable[[pa.RecordBatch], pa.RecordBatch]:
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -450,9 +453,13 @@ def sets_of_keys(docs: DataFrame, reps: DataFrame, keys: DataFrame) -> DataFrame
         return work
 
     wanted = reps.select("key", "h1", "h2").join(keys, "key").select("h1", "h2")
-    # rows may repeat; the merge join has dealt and sorted them by these columns already
-    rows = docs.select("text", *handle()).join(wanted.hint("merge"), ["h1", "h2"]).dropDuplicates(["h1", "h2"]).select("text")
-    return written(map_batches(rows, "key long, hashes binary", make, TEXT_SLICE), "sets")
+    wanted = written(wanted, "wanted") if few else wanted.hint("merge")
+    # rows may repeat; a merge join has dealt and sorted them by these columns already
+    rows = docs.select("text", *handle()).join(wanted, ["h1", "h2"]).dropDuplicates(["h1", "h2"]).select("text")
+    found = written(map_batches(rows, "key long, hashes binary", make, TEXT_SLICE), "sets")
+    if few:
+        forget(wanted)
+    return found
 
 
 def least_overlap(a: int, b: int) -> int:
@@ -589,7 +596,7 @@ def labelled(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     left = class_pairs(prefixes, classes, tried)
     forget(prefixes, tried, near)
     near = near_enough(left, reps)
-    more = sets_of_keys(docs, reps, keys_in(near).join(sets.select("key"), "key", "left_anti"))
+    more = sets_of_keys(docs, reps, keys_in(near).join(sets.select("key"), "key", "left_anti"), few=True)
     rest = verified(near, sets.unionByName(more))
     forget(left, near, sets, more)
     if not rest.isEmpty():
