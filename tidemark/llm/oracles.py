@@ -66,3 +66,21 @@ r AS (SELECT doc_id AS x, doc_id AS y FROM g UNION SELECT r.x, e.y FROM r JOIN e
 SELECT g.doc_id, len(g.g)::BIGINT AS n_shingles, m.component_id
 FROM g JOIN (SELECT x, min(y) AS component_id FROM r GROUP BY x) m ON m.x = g.doc_id
 """
+
+DOMINANCE = """
+WITH RECURSIVE step AS (
+  SELECT 0 AS k, n::BIGINT AS v, n FROM range(256) t(n)
+  UNION ALL
+  SELECT k + 1, CASE WHEN v % 2 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END, n FROM step WHERE k < 8),
+crc AS (SELECT list(v ORDER BY n) AS t FROM step WHERE k = 8),
+s AS (
+  SELECT sale_id, epoch_us(sold_at) // 3600000000 AS slot, floor(floor(100 * total + 0.5) / 100)::BIGINT AS level,
+         1 + xor(4294967295, list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split(coalesce(sale_id::VARCHAR, ''), ''), lambda x: ascii(x)::BIGINT)),
+                                         lambda c, b: xor(c >> 8, t[xor(c % 256, b) + 1]))) % 2 AS w
+  FROM sales, crc),
+c AS (SELECT slot, level, count(*) AS n, sum(w)::BIGINT AS w FROM s WHERE slot IS NOT NULL AND level IS NOT NULL GROUP BY ALL),
+a AS (
+  SELECT b.slot, b.level, coalesce(sum(a.n), 0)::BIGINT AS n_sales, coalesce(sum(a.w), 0)::BIGINT AS n_rows
+  FROM c b LEFT JOIN c a ON a.slot <= b.slot AND a.level > b.level GROUP BY ALL)
+SELECT sale_id, s.slot, s.level, n_sales, n_rows FROM s LEFT JOIN a ON a.slot = s.slot AND a.level = s.level
+"""

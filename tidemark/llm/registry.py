@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm import language, oracles, toxicity
 from tidemark.llm.bpe import codec_of, token_digests
+from tidemark.llm.dominance import rows_above
 from tidemark.llm.hamming import nearest
 from tidemark.llm.html_text import with_main_text
 from tidemark.llm.media import media_digests, stored_media
@@ -71,6 +72,11 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_digests(stored_media(table(spark, sf_dir, "documents")))
 
 
+def op12_dominance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = rows_above(table(spark, sf_dir, "sales"), "sale_id", "sold_at", "total")
+    return found.selectExpr("id AS sale_id", "slot", "level", "n_above AS n_sales", "rows_above AS n_rows")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
     "op2_ngram_join": op2_ngram_join,
@@ -82,6 +88,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_nearest_codes": op8_nearest_codes,
     "op9_mixing": op9_mixing,
     "op10_media": op10_media,
+    "op12_dominance": op12_dominance,
 }
 
 SQL: dict[str, str] = {
@@ -89,4 +96,5 @@ SQL: dict[str, str] = {
     "op2_ngram_join": oracles.NGRAM_JOIN,
     "op8_nearest_codes": oracles.NEAREST,
     "op9_mixing": oracles.MIXING,
+    "op12_dominance": oracles.DOMINANCE,
 }
