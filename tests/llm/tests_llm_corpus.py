@@ -4,7 +4,7 @@ import itertools
 import re
 
 
-def plain_classes(rows):
+def plain_classes(rows, percent=75):
     sets = []
     for _, text in rows:
         words = re.findall(rb"[^\x20\x09-\x0D]+", re.sub(rb"[A-Z]", lambda m: m[0].lower(), (text or "").encode()))
@@ -17,7 +17,7 @@ def plain_classes(rows):
         return k
 
     for a, b in itertools.combinations(range(len(rows)), 2):
-        if sets[a] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]):
+        if sets[a] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]):
             parent[root(a)] = root(b)
     least = {}
     for k, (i, _) in enumerate(rows):

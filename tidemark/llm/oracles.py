@@ -67,6 +67,8 @@ SELECT g.doc_id, len(g.g)::BIGINT AS n_shingles, m.component_id
 FROM g JOIN (SELECT x, min(y) AS component_id FROM r GROUP BY x) m ON m.x = g.doc_id
 """
 
+NEAR_DUPLICATES = f"SELECT *, doc_id IS NOT DISTINCT FROM component_id AS kept FROM ({NGRAM_JOIN.replace('75 * (len', '85 * (len')})"
+
 DOMINANCE = """
 WITH RECURSIVE step AS (
   SELECT 0 AS k, n::BIGINT AS v, n FROM range(256) t(n)

@@ -7,11 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm import language, oracles, toxicity
+from tidemark.llm.alignment import composed, tokenizers_of
 from tidemark.llm.bpe import codec_of, token_digests
 from tidemark.llm.dominance import rows_above
 from tidemark.llm.hamming import nearest
 from tidemark.llm.html_text import with_main_text
 from tidemark.llm.media import media_digests, stored_media
+from tidemark.llm.minhash import near_duplicates
 from tidemark.llm.mixing import mix
 from tidemark.llm.ngram_join import ngram_classes
 from tidemark.llm.shared import fold, table
@@ -72,11 +74,20 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_digests(stored_media(table(spark, sf_dir, "documents")))
 
 
+def op11_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op12_dominance(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = rows_above(table(spark, sf_dir, "sales"), "sale_id", "sold_at", "total")
     return found.selectExpr("id AS sale_id", "slot", "level", "n_above AS n_sales", "rows_above AS n_rows")
 
 
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    both = tokenizers_of(tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"))
+    return composed(table(spark, sf_dir, "documents"), both)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
     "op2_ngram_join": op2_ngram_join,
@@ -88,7 +99,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_nearest_codes": op8_nearest_codes,
     "op9_mixing": op9_mixing,
     "op10_media": op10_media,
+    "op11_minhash": op11_minhash,
     "op12_dominance": op12_dominance,
+    "op13_alignment": op13_alignment,
 }
 
 SQL: dict[str, str] = {
@@ -96,5 +109,6 @@ SQL: dict[str, str] = {
     "op2_ngram_join": oracles.NGRAM_JOIN,
     "op8_nearest_codes": oracles.NEAREST,
     "op9_mixing": oracles.MIXING,
+    "op11_minhash": oracles.NEAR_DUPLICATES,
     "op12_dominance": oracles.DOMINANCE,
 }
