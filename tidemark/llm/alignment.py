@@ -6,11 +6,11 @@ with a character across whose left edge neither vocabulary can merge, which `spl
 never joins other characters to white space after them, and no piece of B has such a character after another one that is
 no white space. So a segment's tokens are the same in every text, and each distinct segment is tokenised and aligned once.
 
-Documents are read once and become bundles: rows of a document's segments by their place in the bundle's list of distinct
-segments. Lists are joined to the alignments by segment and meet their documents by bundle; what moves follows the
-distinct segments of a bundle, not its words. A bundle holds about BUNDLE_BYTES of texts or one longer text. A first
-meeting counts in how many documents an id pair is linked; a segment's sums over its links follow from these counts by
-joins, and a second meeting composes the documents.
+Documents are read once and become bundles: a document is its segments' places in the bundle's list of distinct segments. A
+bundle is what a task has read, up to BUNDLE_BYTES of texts or one longer text. Lists are joined to the alignments by
+segment and meet their documents by bundle, where documents are composed; what moves follows the distinct segments of a
+bundle, not its words. This also counts in how many documents each id pair is linked. A segment's sums over its links
+follow from these counts by joins on numbers, and a second meeting adds them up for documents.
 
 Null and empty texts have no tokens. Nor have texts whose tokens do not spell them: those with the stand-in for a space of
 B, U+2581, in them. Rows that repeat are documents of their own and count each. Texts of any length are taken whole; one
@@ -23,28 +23,27 @@ import hashlib
 import json
 import os
 import re
-import uuid
 from collections.abc import Callable, Iterator
-from itertools import islice
+from itertools import accumulate, count, islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BinaryType, BooleanType, IntegerType, LongType, StringType, StructField, StructType
+from pyspark.sql.pandas.group_ops import PandasCogroupedOps
+from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
 from tidemark.llm.bpe import byte_letters
-from tidemark.llm.shared import forget, give_back, map_batches, slices, spread, written
+from tidemark.llm.ngram_join import planes, unplanes
+from tidemark.llm.shared import SLICE_BYTES, forget, give_back, map_batches, slices, spread, written
 
 #: The stand-in for a space in B's pieces.
 STAND_IN = "▁"
 #: White space before which texts may be split, if the vocabularies allow it.
 SPLITTERS = " \n\t\r\x0b\x0c"
 #: Bytes of texts in a bundle, and segments that a document composes at once.
-BUNDLE_BYTES = 4 << 20
+BUNDLE_BYTES = 48 << 20
 AT_ONCE = 1 << 16
-#: An id pair is one number: the id of A times this, and the id of B.
-SHIFT = 1 << 32
 
 
 class Tokenizers:
@@ -77,6 +76,9 @@ class Tokenizers:
             data = bytes([int(text[3:5], 16)]) if self.second.is_byte(k) else text.replace(STAND_IN, " ").encode()
             self.piece[k] = len(data), data
         self.space = self.second.piece_to_id(STAND_IN)
+        # an id pair is one number: the id of A times the number of B's pieces, and the id of B
+        self.base = self.second.get_piece_size()
+        self.pair_kind = np.uint32 if (max(self.label) + 1) * self.base <= 1 << 32 else np.uint64
 
     def __getstate__(self) -> dict:
         return {"a": self.a, "b": self.b, "splitters": self.splitters}
@@ -120,30 +122,30 @@ class Tokenizers:
             raise ValueError("a piece joins the leading space to a character before which texts are split")
         return ids[1:]
 
-    def align(self, segments: list[str]) -> Iterator[tuple[list[int], list[int], list[int], list[int], list[int], bool]]:
-        """For each segment: ids of A, ids of B, how many of A and of B each group has, the linked pairs, whether both spell it."""
+    def align(self, segments: list[str]) -> Iterator[tuple[str, list[int], list[int], bool]]:
+        """For each segment: its groups as text, how many tokens of A and of B and groups it has, its linked pairs, and whether both spell it."""
         firsts = self.first.encode_batch(segments, add_special_tokens=False)
         for segment, encoded in zip(segments, firsts, strict=True):
             a, b, data = encoded.ids, self.encode_second(segment), segment.encode()
             if b"".join(self.label[x][1] for x in a) != data or b"".join(self.piece[x][1] for x in b) != data:
-                yield [], [], [], [], [], False
+                yield "", [0, 0, 0], [], False
                 continue
-            yield a, b, *self.groups(a, b), True
+            groups, links = self.groups(a, b)
+            yield ";".join(groups), [len(a), len(b), len(groups)], links, True
 
-    def groups(self, a: list[int], b: list[int]) -> tuple[list[int], list[int], list[int]]:
-        """Sizes of the groups between offsets where tokens of both end, and a pair of ids for each overlap of two tokens."""
-        ends_a, ends_b = (np.cumsum([size[x][0] for x in ids]).tolist() for ids, size in ((a, self.label), (b, self.piece)))
-        of_a, of_b, links = [], [], []
+    def groups(self, a: list[int], b: list[int]) -> tuple[list[str], list[int]]:
+        """The groups between offsets where tokens of both end, as text, and a pair of ids for each overlap of two tokens."""
+        ends_a, ends_b = (list(accumulate(size[x][0] for x in ids)) for ids, size in ((a, self.label), (b, self.piece)))
+        found, links = [], []
         i = j = from_i = from_j = 0
         while i < len(a) and j < len(b):
-            links.append(a[i] * SHIFT + b[j])
+            links.append(a[i] * self.base + b[j])
             x, y = ends_a[i], ends_b[j]
             i, j = i + (x <= y), j + (y <= x)
             if x == y:
-                of_a.append(i - from_i)
-                of_b.append(j - from_j)
+                found.append(",".join(map(str, a[from_i:i])) + "|" + ",".join(map(str, b[from_j:j])))
                 from_i, from_j = i, j
-        return of_a, of_b, links
+        return found, links
 
 
 def tokenizers_of(path_a: str, path_b: str) -> Tokenizers:
@@ -152,139 +154,108 @@ def tokenizers_of(path_a: str, path_b: str) -> Tokenizers:
         return Tokenizers(f.read(), g.read())
 
 
-def packed(x: list[int] | np.ndarray, kind: type = np.uint32) -> bytes:
-    return np.asarray(x, kind).tobytes()
-
-
-ROW = StructType([StructField("bundle", StringType()), StructField("place", IntegerType()), StructField("segment", StringType()), StructField("id", LongType()), StructField("row", IntegerType()), StructField("places", BinaryType())])
+def fields(text: str) -> list[StructField]:
+    """Fields from names and kinds, such as 'a long, b binary'."""
+    return StructType.fromDDL(text).fields
 
 
 def bundles(docs: DataFrame, tokenizers: Tokenizers, id_column: str, text_column: str) -> DataFrame:
     """A written table of two kinds of rows: (bundle, place, segment) of distinct segments, and (bundle, row, id, places) of documents."""
     shared = docs.sparkSession.sparkContext.broadcast(tokenizers)
-    kind = docs.schema[id_column].dataType
-    schema = StructType([f if f.name != "id" else StructField("id", kind) for f in ROW])
+    schema = StructType([*fields("bundle long, place int, segment string"), StructField("id", docs.schema[id_column].dataType), *fields("row int, places binary")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find = shared.value.pattern().finditer
-        find_all = shared.value.pattern().findall
+        pattern = shared.value.pattern()
+        known: dict[str, int] = {}
+        name, size, rows_before = 0, 0, 0
+
+        def numbers(matches: list[str]) -> np.ndarray:
+            for s in matches:
+                if s not in known:
+                    known[s] = len(known)
+            return np.fromiter(map(known.__getitem__, matches), np.uint32, len(matches))
 
-        def places(text: str | None, known: dict[str, int]) -> bytes:
+        def places(text: str | None) -> bytes:
             if not text or STAND_IN in text:
                 return b""
             text = " " + text
-            number = known.setdefault
-            if len(text) <= BUNDLE_BYTES:
-                return packed([number(s, len(known)) for s in find_all(text)])
-            matches, found = find(text), []
-            while some := [number(m[0], len(known)) for m in islice(matches, AT_ONCE)]:
-                found.append(packed(some))
-            return b"".join(found)
+            if len(text) <= 1 << 20:
+                return planes(numbers(pattern.findall(text)))
+            found, matches = [], (m[0] for m in pattern.finditer(text))
+            while some := list(islice(matches, AT_ONCE)):
+                found.append(numbers(some))
+            return planes(np.concatenate(found))
+
+        def lists() -> Iterator[pa.RecordBatch]:
+            names = iter(list(known))
+            at = 0
+            while some := list(islice(names, 1000)):
+                k = len(some)
+                yield pa.RecordBatch.from_arrays([pa.array([name] * k, pa.int64()), pa.array(range(at, at + k), pa.int32()), pa.array(some, pa.string()), pa.nulls(k, kind), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], names=schema.names)
+                at += k
+            known.clear()
 
         for batch in batches:
-            for part in slices(batch, BUNDLE_BYTES):
-                known: dict[str, int] = {}
-                rows = [places(text.as_py(), known) for text in part.column(1)]
-                name, n, m = uuid.uuid4().hex, part.num_rows, len(known)
-                yield pa.RecordBatch.from_arrays([pa.array([name] * n), pa.nulls(n, pa.int32()), pa.nulls(n, pa.string()), part.column(0), pa.array(range(n), pa.int32()), pa.array(rows, pa.binary())], names=schema.names)
-                names, ids = list(known), part.column(0).type
-                for at in range(0, m, 1000):
-                    some = names[at : at + 1000]
-                    k = len(some)
-                    yield pa.RecordBatch.from_arrays([pa.array([name] * k), pa.array(range(at, at + k), pa.int32()), pa.array(some), pa.nulls(k, ids), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], names=schema.names)
+            for part in slices(batch, SLICE_BYTES):
+                kind = part.column(0).type
+                if size and size + part.nbytes > BUNDLE_BYTES:
+                    yield from lists()
+                    size = 0
+                if not size:
+                    name, rows_before = int.from_bytes(os.urandom(8), "little") >> 1, 0
+                size += part.nbytes + 1
+                rows = [places(text.as_py()) for text in part.column(1)]
+                n = len(rows)
+                yield pa.RecordBatch.from_arrays([pa.array([name] * n, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.string()), part.column(0), pa.array(range(rows_before, rows_before + n), pa.int32()), pa.array(rows, pa.binary())], names=schema.names)
+                rows_before += n
+        if size:
+            yield from lists()
         give_back()
 
     rows = spread(docs.select(F.col(f"`{id_column}`"), F.col(f"`{text_column}`")))
     return written(rows.mapInArrow(run, schema), "bundles")
 
 
-ALIGNED = StructType([StructField("segment", StringType()), StructField("spelled", BooleanType()), *(StructField(n, BinaryType()) for n in ("a", "b", "of_a", "of_b")), StructField("links", ArrayType(LongType()))])
-
-
 def alignments(found: DataFrame, tokenizers: Tokenizers) -> DataFrame:
-    """(segment, spelled, a, b, of_a, of_b, links) of every distinct segment of bundles: ids and group sizes as packed 32-bit numbers."""
+    """(segment, own, spelled, groups, n_a, n_b, n_groups, links) of every distinct segment of bundles; own: a number of its own, links packed."""
     shared = found.sparkSession.sparkContext.broadcast(tokenizers)
+    schema = StructType(fields("segment string, own long, spelled boolean, groups string, n_a int, n_b int, n_groups int, links binary"))
 
     def make() -> Callable[[pa.RecordBatch], pa.RecordBatch]:
-        own = shared.value
+        tool = shared.value
+        # numbers from a place of each task's own among 2^63
+        own = count(int.from_bytes(os.urandom(5), "little") << 23)
 
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-            a, b, of_a, of_b, links, spelled = zip(*own.align(batch.column(0).to_pylist()), strict=True)
-            return pa.RecordBatch.from_arrays([batch.column(0), pa.array(spelled), *(pa.array(list(map(packed, x)), pa.binary()) for x in (a, b, of_a, of_b)), pa.array(links, pa.list_(pa.int64()))], names=ALIGNED.names)
+            if not batch.num_rows:
+                return pa.RecordBatch.from_arrays([batch.column(0), pa.array([], pa.int64()), pa.array([], pa.bool_()), pa.array([], pa.string()), *(pa.array([], pa.int32()) for _ in range(3)), pa.array([], pa.binary())], names=schema.names)
+            groups, sizes, links, spelled = zip(*tool.align(batch.column(0).to_pylist()), strict=True)
+            ids = pa.array(list(islice(own, batch.num_rows)), pa.int64())
+            return pa.RecordBatch.from_arrays([batch.column(0), ids, pa.array(spelled), pa.array(groups), *(pa.array(x, pa.int32()) for x in zip(*sizes, strict=True)), pa.array([np.array(x, tool.pair_kind).tobytes() for x in links], pa.binary())], names=schema.names)
 
         return work
 
     distinct = found.filter("segment is not null").select("segment").distinct()
-    return written(map_batches(distinct, ALIGNED, make, 1 << 20), "alignments")
-
-
-def gathered(blobs: list[np.ndarray], places: np.ndarray) -> np.ndarray:
-    """The parts at these places, one after another."""
-    return np.concatenate([blobs[k] for k in places.tolist()]) if len(places) else np.empty(0, np.int64)
-
-
-def pair_counts(found: DataFrame, aligned: DataFrame) -> DataFrame:
-    """(pair, n): in how many documents each id pair is linked; counted within bundles before it is sent."""
-
-    def count(docs: pa.Table, entries: pa.Table) -> pa.Table:
-        pairs, spelled = [np.empty(0, np.int64)] * entries.num_rows, np.zeros(entries.num_rows, bool)
-        links = entries.column("links").combine_chunks()
-        values, begins = links.flatten().to_numpy(), np.concatenate([[0], np.cumsum(links.value_lengths().to_numpy(zero_copy_only=False))]).astype(np.int64)
-        for k, (place, ok) in enumerate(zip(entries.column("place").to_pylist(), entries.column("spelled").to_pylist(), strict=True)):
-            pairs[place], spelled[place] = np.unique(values[begins[k] : begins[k + 1]]), ok
-        total, counts, size, waiting = np.empty(0, np.int64), np.empty(0, np.int64), 0, []
-
-        def add_up() -> None:
-            nonlocal total, counts, size, waiting
-            new, at = np.unique(np.concatenate([total, *waiting]), return_inverse=True)
-            weight = np.ones(len(at), np.int64)
-            weight[: len(total)] = counts
-            total, counts, size, waiting = new, np.bincount(at, weight, len(new)).astype(np.int64), 0, []
-
-        for places in docs.column("places"):
-            own = np.unique(np.frombuffer(places.as_buffer(), np.uint32))
-            if len(own) and spelled[own].all():
-                waiting.append(np.unique(gathered(pairs, own)))
-                size += len(waiting[-1])
-                if size > 1 << 20:
-                    add_up()
-        add_up()
-        return pa.table({"pair": total, "n": counts})
-
-    entries = lists_with(found, aligned.select("segment", "spelled", "links"))
-    rows = meet(found, entries).applyInArrow(count, "pair long, n long")
-    return written(rows.groupBy("pair").agg(F.sum("n").alias("n")), "pair_counts")
+    return written(map_batches(distinct, schema, make, 1 << 20), "alignments")
 
 
-def lists_with(found: DataFrame, entries: DataFrame) -> DataFrame:
-    """(bundle, place, ...): what entries has of each segment, for each list that has the segment."""
-    return found.filter("segment is not null").select("bundle", "place", "segment").join(entries, "segment").drop("segment")
+def meet(docs: DataFrame, entries: DataFrame) -> PandasCogroupedOps:
+    """Documents and the entries of their bundles' lists; only a bundle's rows are in one place."""
+    return docs.withColumnRenamed("bundle", "own_bundle").select("own_bundle", *(F.col(c).alias(c) for c in docs.columns if c != "bundle")).groupBy("own_bundle").cogroup(entries.groupBy("bundle"))
 
 
-def meet(found: DataFrame, entries: DataFrame):
-    docs = found.filter("row is not null").select(F.col("bundle").alias("own_bundle"), "row", "id", "places")
-    return docs.groupBy("own_bundle").cogroup(entries.groupBy("bundle"))
+def in_place(entries: pa.Table) -> pa.Table:
+    return entries.take(pa.array(np.argsort(entries.column("place").to_numpy(), kind="stable")))
 
 
-def segment_sums(aligned: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(segment, n_best, count_sum): over a segment's links, how many have the highest count of their A id, and the sum of counts."""
-    top = pairs.groupBy(F.expr(f"pair div {SHIFT}").alias("a")).agg(F.max("n").alias("top"))
-    ranked = pairs.withColumn("a", F.expr(f"pair div {SHIFT}")).join(top, "a").select("pair", "n", (F.col("n") == F.col("top")).cast("long").alias("best"))
-    links = aligned.select("segment", F.explode("links").alias("pair")).groupBy("segment", "pair").agg(F.count("*").alias("c"))
-    return links.join(ranked, "pair").groupBy("segment").agg(F.sum(F.col("c") * F.col("best")).alias("n_best"), F.sum(F.col("c") * F.col("n")).alias("count_sum"))
+def parsed(groups: list[str]) -> list[list[int]]:
+    """Ids of A, ids of B, and how many of each every group has, from groups as text."""
+    sides = [[x.split(",") for x in g.split("|")] for text in groups for g in text.split(";")]
+    a, b = ([list(map(int, side[k])) for side in sides] for k in (0, 1))
+    return [[x for g in a for x in g], [x for g in b for x in g], list(map(len, a)), list(map(len, b))]
 
 
-def unpacked(column: pa.ChunkedArray) -> list[np.ndarray]:
-    return [np.frombuffer(x.as_buffer(), np.uint32) for x in column]
-
-
-def spelled_groups(a: np.ndarray, b: np.ndarray, of_a: np.ndarray, of_b: np.ndarray) -> str:
-    """The groups of a segment as text: decimal ids, of A and of B."""
-    a, b, found, i, j = a.tolist(), b.tolist(), [], 0, 0
-    for n, m in zip(of_a.tolist(), of_b.tolist(), strict=True):
-        found.append(",".join(map(str, a[i : i + n])) + "|" + ",".join(map(str, b[j : j + m])))
-        i, j = i + n, j + m
-    return ";".join(found)
+ARRAYS = ["a", "b", "of_a", "of_b"]
 
 
 def composed(docs: DataFrame, tokenizers: Tokenizers, whole: bool = False, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -294,37 +265,108 @@ def composed(docs: DataFrame, tokenizers: Tokenizers, whole: bool = False, id_co
     """
     found = bundles(docs, tokenizers, id_column, text_column)
     aligned = alignments(found, tokenizers)
-    pairs = pair_counts(found, aligned)
-    sums = aligned.join(segment_sums(aligned, pairs), "segment", "left")
-    entries = lists_with(found, sums.select("segment", "spelled", "a", "b", "of_a", "of_b", F.size("links").alias("n_links"), F.coalesce("n_best", F.lit(0)).alias("n_best"), F.coalesce("count_sum", F.lit(0)).alias("count_sum")))
-    numbers = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"]
-    arrays = ["a", "b", "of_a", "of_b"] if whole else []
-    schema = StructType([StructField("id", docs.schema[id_column].dataType), *(StructField(n, LongType()) for n in numbers), StructField("groups_sha256", StringType()), *(StructField(n, ArrayType(IntegerType())) for n in arrays)])
-
-    def compose(rows: pa.Table, entries: pa.Table) -> pa.Table:
-        order = np.argsort(entries.column("place").to_numpy())
-        entries = entries.take(pa.array(order))
-        parts = [unpacked(entries.column(n)) for n in ("a", "b", "of_a", "of_b")]
-        texts = list(map(spelled_groups, *parts))
-        spelled = entries.column("spelled").to_numpy(zero_copy_only=False)
-        own = np.stack([*(np.array(list(map(len, parts[k])), np.int64) for k in (0, 1, 2)), *(entries.column(n).to_numpy().astype(np.int64) for n in numbers[3:])], axis=1) if entries.num_rows else np.empty((0, 6), np.int64)
-        sums, digests, lists = np.zeros((rows.num_rows, len(numbers)), np.int64), [], [[] for _ in arrays]
-        for k, places in enumerate(rows.column("places")):
-            places = np.frombuffer(places.as_buffer(), np.uint32)
-            if not len(places) or not spelled[places].all():
-                places = places[:0]
+    entries = found.filter("segment is not null").select("bundle", "place", "segment").join(aligned, "segment").drop("segment")
+    entries = written(entries, "entries")
+    first = _first_meeting(found, entries, tokenizers.pair_kind, whole)
+    pairs = written(first.filter("pair is not null").groupBy("pair").agg(F.sum("n").alias("n")), "pairs")
+    sums = segment_sums(aligned, pairs, tokenizers)
+    out = _second_meeting(first.filter("row is not null"), entries.select("bundle", "place", "own"), sums, whole)
+    forget(found, aligned, entries, first, pairs)
+    return out.withColumnRenamed("id", id_column)
+
+
+def _first_meeting(found: DataFrame, entries: DataFrame, pair_kind: type, whole: bool) -> DataFrame:
+    """Rows of documents, composed: (bundle, row, id, places, n_a, n_b, n_groups, n_links, groups_sha256), and of pairs: (pair, n).
+
+    n: in how many documents of the bundle the pair is linked. The places of documents without tokens are gone.
+    """
+    kind = found.schema["id"].dataType
+    schema = StructType([*fields("pair long, n long, bundle long, row int, places binary, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string"), StructField("id", kind), *(StructField(n, ArrayType(IntegerType())) for n in (ARRAYS if whole else []))])
+
+    def compose(docs: pa.Table, entries: pa.Table) -> pa.Table:
+        entries = in_place(entries)
+        texts, spelled = entries.column("groups").to_pylist(), entries.column("spelled").to_numpy()
+        links = np.frombuffer(b"".join(entries.column("links").to_pylist()), pair_kind)
+        n_links = np.array([x.as_buffer().size // np.dtype(pair_kind).itemsize for x in entries.column("links")], np.int64)
+        begins = np.cumsum(n_links) - n_links
+        sizes = np.stack([*(entries.column(n).to_numpy().astype(np.int64) for n in ("n_a", "n_b", "n_groups")), n_links], axis=1)
+        total, counts, waiting, size = np.empty(0, pair_kind), np.empty(0, np.int64), [], 0
+
+        def add_up() -> None:
+            nonlocal total, counts, waiting, size
+            new, at = np.unique(np.concatenate([total, *waiting]), return_inverse=True)
+            weights = np.ones(len(at), np.int64)
+            weights[: len(total)] = counts
+            total, counts, waiting, size = new, np.bincount(at, weights, len(new)).astype(np.int64), [], 0
+
+        sums, digests, blobs, lists = np.zeros((docs.num_rows, 4), np.int64), [], [], [[] for _ in ARRAYS]
+        for k, blob in enumerate(docs.column("places").to_pylist()):
+            places = unplanes(blob, np.uint32)
+            if len(places) and not spelled[places].all():
+                places, blob = places[:0], b""
             sha, before = hashlib.sha256(), b""
             for at in range(0, len(places), AT_ONCE):
                 some = places[at : at + AT_ONCE]
-                sums[k] += own[some].sum(axis=0)
+                sums[k] += sizes[some].sum(axis=0)
                 sha.update(before + ";".join(map(texts.__getitem__, some.tolist())).encode())
                 before = b";"
             digests.append(sha.hexdigest() if len(places) else "")
-            for x, part in zip(lists, parts, strict=False):
-                x.append(gathered(part, places))
-        found = [rows.column("id"), *(pa.array(sums[:, k]) for k in range(len(numbers))), pa.array(digests, pa.string()), *(pa.array(x, pa.list_(pa.int32())) for x in lists)]
-        return pa.Table.from_arrays(found, names=schema.names)
+            blobs.append(blob)
+            own = np.unique(places)
+            lengths = n_links[own]
+            within = np.arange(int(lengths.sum())) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+            waiting.append(np.unique(links[np.repeat(begins[own], lengths) + within]))
+            size += len(waiting[-1])
+            if size > 1 << 21:
+                add_up()
+            if whole:
+                for x, part in zip(lists, parsed([texts[p] for p in places.tolist()]), strict=True):
+                    x.append(part)
+        add_up()
+        n, m, name = docs.num_rows, len(total), docs.column("own_bundle")
+        of_docs = {"bundle": name, "row": docs.column("row"), "places": pa.array(blobs, pa.binary()), **{c: pa.array(sums[:, k]) for k, c in enumerate(("n_a", "n_b", "n_groups", "n_links"))}, "groups_sha256": pa.array(digests, pa.string()), "id": docs.column("id"), **{c: pa.array(x, pa.list_(pa.int32())) for c, x in zip(ARRAYS, lists, strict=True) if whole}}
+        of_pairs = {"pair": pa.array(total.astype(np.int64)), "n": pa.array(counts)}
+        both = [{c: of.get(c) for c in schema.names} for of in (of_docs, of_pairs)]
+        kinds = {"pair": pa.int64(), "n": pa.int64()} | {c: x.type for c, x in of_docs.items()}
+        give_back()
+        return pa.concat_tables([pa.table({c: pa.nulls(rows, kinds[c]) if x is None else x for c, x in of.items()}) for rows, of in zip((n, m), both, strict=True)])
 
-    out = written(meet(found, entries).applyInArrow(compose, schema), "composed")
-    forget(found, aligned, pairs)
-    return out.withColumnRenamed("id", id_column)
+    docs = found.filter("row is not null").select("bundle", "row", "id", "places")
+    columns = entries.select("bundle", "place", "spelled", "groups", "n_a", "n_b", "n_groups", "links")
+    return written(meet(docs, columns).applyInArrow(compose, schema), "first")
+
+
+def segment_sums(aligned: DataFrame, pairs: DataFrame, tokenizers: Tokenizers) -> DataFrame:
+    """(own, n_best, count_sum): over a segment's links, how many have the highest count of their A id, and the sum of counts."""
+    kind, base = tokenizers.pair_kind, tokenizers.base
+
+    def make() -> Callable[[pa.RecordBatch], pa.RecordBatch]:
+        def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+            links = [np.frombuffer(x.as_buffer(), kind) for x in batch.column(1)]
+            owner = np.repeat(batch.column(0).to_numpy(), [len(x) for x in links])
+            return pa.RecordBatch.from_arrays([pa.array(owner, pa.int64()), pa.array(np.concatenate([np.empty(0, kind), *links]).astype(np.int64))], names=["own", "pair"])
+
+        return work
+
+    links = map_batches(aligned.filter("spelled").select("own", "links"), "own long, pair long", make)
+    top = pairs.groupBy(F.expr(f"pair div {base}").alias("a")).agg(F.max("n").alias("top"))
+    ranked = pairs.withColumn("a", F.expr(f"pair div {base}")).join(top, "a").select("pair", "n", (F.col("n") == F.col("top")).cast("long").alias("best"))
+    return links.join(ranked, "pair").groupBy("own").agg(F.sum("best").alias("n_best"), F.sum("n").alias("count_sum"))
+
+
+def _second_meeting(first: DataFrame, places: DataFrame, sums: DataFrame, whole: bool) -> DataFrame:
+    """The documents of the first meeting with n_best and count_sum, their segments' sums added up."""
+    numbers, more = ["n_a", "n_b", "n_groups", "n_links"], (ARRAYS if whole else [])
+    kept = ["id", *numbers, "groups_sha256", *more]
+    schema = StructType([first.schema["id"], *fields("n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"), *(first.schema[c] for c in more)])
+
+    def add(docs: pa.Table, entries: pa.Table) -> pa.Table:
+        most = int(entries.column("place").to_numpy().max()) + 1 if entries.num_rows else 0
+        own = np.zeros((most, 2), np.int64)
+        own[entries.column("place").to_numpy()] = np.stack([entries.column(c).to_numpy() for c in ("n_best", "count_sum")], axis=1)
+        found = [own[unplanes(blob, np.uint32)].sum(axis=0) if blob else (0, 0) for blob in docs.column("places").to_pylist()]
+        best, counted = (pa.array([int(x[k]) for x in found], pa.int64()) for k in (0, 1))
+        return pa.table({c: best if c == "n_best" else counted if c == "count_sum" else docs.column(c) for c in schema.names})
+
+    entries = places.join(sums, "own").select("bundle", "place", "n_best", "count_sum")
+    return written(meet(first.select("bundle", "places", *kept), entries).applyInArrow(add, schema), "composed")
