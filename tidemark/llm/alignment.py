@@ -239,13 +239,89 @@ def alignments(found: DataFrame, tokenizers: Tokenizers) -> DataFrame:
     return written(map_batches(distinct, schema, make, 1 << 20), "alignments")
 
 
-def meet(docs: DataFrame, entries: DataFrame) -> PandasCogroupedOps:
-    """Documents and the entries of their bundles' lists; only a bundle's rows are in one place."""
-    return docs.withColumnRenamed("bundle", "own_bundle").select("own_bundle", *(F.col(c).alias(c) for c in docs.columns if c != "bundle")).groupBy("own_bundle").cogroup(entries.groupBy("bundle"))
+#: Rows of one task that are packed together, and bytes from which a pack is compressed.
+PACK_ROWS, LEAST_PACK = 1 << 18, 256
 
 
-def in_place(entries: pa.Table) -> pa.Table:
-    return entries.take(pa.array(np.argsort(entries.column("place").to_numpy(), kind="stable")))
+def packs(rows: DataFrame, names: dict[str, type], texts: str | None = None, blobs: str | None = None) -> DataFrame:
+    """(bundle, pack) of rows: what a task has of a bundle as one value, column by column, instead of a row each.
+
+    names: columns of whole numbers and their kinds; texts: a column of texts without line ends, blobs: one of bytes. A pack
+    of few rows is not larger than they are.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gathered, size = [], 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            table = pa.Table.from_batches(gathered)
+            table = table.take(pa.array(np.argsort(table.column("bundle").to_numpy(), kind="stable")))
+            bundle = table.column("bundle").to_numpy()
+            cuts = [*np.flatnonzero(np.diff(bundle, prepend=-1)).tolist(), len(bundle)]
+            numbers = {n: table.column(n).to_numpy(zero_copy_only=False).astype(kind) for n, kind in names.items()}
+            lines, raw = table.column(texts).to_pylist() if texts else [], table.column(blobs).to_pylist() if blobs else []
+            lengths = np.array(list(map(len, raw)), np.uint32)
+            found = []
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                parts = [planes(x[a:b]) for x in numbers.values()] + ([planes(lengths[a:b]), b"".join(raw[a:b])] if blobs else [])
+                data = b"".join([*parts, *(["\n".join(lines[a:b]).encode()] if texts else [])])
+                small = len(data) < LEAST_PACK
+                found.append((b - a).to_bytes(4, "little") + (0 if small else len(data)).to_bytes(8, "little") + (data if small else pa.compress(data, "zstd", asbytes=True)))
+            yield pa.RecordBatch.from_arrays([pa.array(bundle[cuts[:-1]]), pa.array(found, pa.binary())], names=["bundle", "pack"])
+
+        for batch in batches:
+            gathered.append(batch)
+            size += batch.num_rows
+            if size >= PACK_ROWS:
+                yield from flush()
+                gathered, size = [], 0
+        if size:
+            yield from flush()
+        gathered = []
+        give_back()
+
+    small_batches(rows)
+    return rows.select("bundle", *names, *([blobs] if blobs else []), *([texts] if texts else [])).mapInArrow(run, "bundle long, pack binary")
+
+
+def unpacked(found: list[bytes], names: dict[str, type], texts: bool = False, blobs: type | None = None) -> tuple[dict[str, np.ndarray], list[str], np.ndarray, np.ndarray]:
+    """The numbers, texts, joined blobs and how many values each has, of all packs of a bundle, in order of `place`."""
+    numbers, lines, values, lengths = {n: [np.empty(0, kind)] for n, kind in names.items()}, [], [np.empty(0, blobs or np.uint8)], [np.empty(0, np.uint32)]
+    for pack in found:
+        rows, size = int.from_bytes(pack[:4], "little"), int.from_bytes(pack[4:12], "little")
+        data = pa.decompress(pack[12:], size, "zstd", asbytes=True) if size else pack[12:]
+        at = 0
+        for n, kind in names.items():
+            width = np.dtype(kind).itemsize * rows
+            numbers[n].append(unplanes(data[at : at + width], kind))
+            at += width
+        if blobs:
+            lengths.append(unplanes(data[at : at + 4 * rows], np.uint32))
+            at += 4 * rows
+            width = int(lengths[-1].sum())
+            values.append(np.frombuffer(data[at : at + width], blobs))
+            at += width
+        if texts:
+            lines += data[at:].decode().split("\n")
+    joined = {n: np.concatenate(x) for n, x in numbers.items()}
+    order = np.argsort(joined["place"], kind="stable")
+    joined = {n: x[order] for n, x in joined.items()}
+    counts = np.concatenate(lengths).astype(np.int64) // np.dtype(blobs or np.uint8).itemsize
+    starts, flat = np.cumsum(counts) - counts, np.concatenate(values)
+    counts, starts = (counts[order], starts[order]) if blobs else (counts, starts)
+    return joined, [lines[k] for k in order.tolist()] if texts else lines, gathered(flat, starts, counts), counts
+
+
+def gathered(values: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The stretches of values that begin at starts, one after another."""
+    within = np.arange(int(counts.sum())) - np.repeat(np.cumsum(counts) - counts, counts)
+    return values[np.repeat(starts, counts) + within]
+
+
+def meet(docs: DataFrame, packed: DataFrame) -> PandasCogroupedOps:
+    """Documents and the packs of their bundles; only a bundle's rows are in one place."""
+    own = docs.select(F.col("bundle").alias("own_bundle"), *(c for c in docs.columns if c != "bundle"))
+    return own.groupBy("own_bundle").cogroup(packed.groupBy("bundle"))
 
 
 def parsed(groups: list[str]) -> list[list[int]]:
@@ -265,16 +341,22 @@ def composed(docs: DataFrame, tokenizers: Tokenizers, whole: bool = False, id_co
     """
     found = bundles(docs, tokenizers, id_column, text_column)
     aligned = alignments(found, tokenizers)
-    entries = found.filter("segment is not null").select("bundle", "place", "segment").join(aligned, "segment").drop("segment")
-    entries = written(entries, "entries")
-    first = _first_meeting(found, entries, tokenizers.pair_kind, whole)
+    lists = found.filter("segment is not null").select("bundle", "place", "segment")
+    first = _first_meeting(found, lists.join(aligned, "segment"), tokenizers.pair_kind, whole)
     pairs = written(first.filter("pair is not null").groupBy("pair").agg(F.sum("n").alias("n")), "pairs")
     sums = segment_sums(aligned, pairs, tokenizers)
-    out = _second_meeting(first.filter("row is not null"), entries.select("bundle", "place", "own"), sums, whole)
-    forget(found, aligned, entries, first, pairs)
+    named = written(sums.join(aligned.select("own", "segment"), "own").select("segment", "n_best", "count_sum"), "sums")
+    forget(aligned)
+    out = _second_meeting(first.filter("row is not null"), lists.join(named, "segment"), whole)
+    forget(found, first, pairs, named)
     return out.withColumnRenamed("id", id_column)
 
 
+#: Numbers of a segment that the two meetings need.
+FIRST = {"place": np.uint32, "spelled": np.uint8, "n_a": np.uint32, "n_b": np.uint32, "n_groups": np.uint32}
+SECOND = {"place": np.uint32, "n_best": np.uint32, "count_sum": np.uint64}
+
+
 def _first_meeting(found: DataFrame, entries: DataFrame, pair_kind: type, whole: bool) -> DataFrame:
     """Rows of documents, composed: (bundle, row, id, places, n_a, n_b, n_groups, n_links, groups_sha256), and of pairs: (pair, n).
 
@@ -284,12 +366,10 @@ def _first_meeting(found: DataFrame, entries: DataFrame, pair_kind: type, whole:
     schema = StructType([*fields("pair long, n long, bundle long, row int, places binary, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string"), StructField("id", kind), *(StructField(n, ArrayType(IntegerType())) for n in (ARRAYS if whole else []))])
 
     def compose(docs: pa.Table, entries: pa.Table) -> pa.Table:
-        entries = in_place(entries)
-        texts, spelled = entries.column("groups").to_pylist(), entries.column("spelled").to_numpy()
-        links = np.frombuffer(b"".join(entries.column("links").to_pylist()), pair_kind)
-        n_links = np.array([x.as_buffer().size // np.dtype(pair_kind).itemsize for x in entries.column("links")], np.int64)
-        begins = np.cumsum(n_links) - n_links
-        sizes = np.stack([*(entries.column(n).to_numpy().astype(np.int64) for n in ("n_a", "n_b", "n_groups")), n_links], axis=1)
+        numbers, texts, links, n_links = unpacked(entries.column("pack").to_pylist(), FIRST, True, pair_kind)
+        entries = None
+        spelled, begins = numbers["spelled"] > 0, np.cumsum(n_links) - n_links
+        sizes = np.stack([*(numbers[n].astype(np.int64) for n in ("n_a", "n_b", "n_groups")), n_links], axis=1)
         total, counts, waiting, size = np.empty(0, pair_kind), np.empty(0, np.int64), [], 0
 
         def add_up() -> None:
@@ -313,9 +393,7 @@ def _first_meeting(found: DataFrame, entries: DataFrame, pair_kind: type, whole:
             digests.append(sha.hexdigest() if len(places) else "")
             blobs.append(blob)
             own = np.unique(places)
-            lengths = n_links[own]
-            within = np.arange(int(lengths.sum())) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-            waiting.append(np.unique(links[np.repeat(begins[own], lengths) + within]))
+            waiting.append(np.unique(gathered(links, begins[own], n_links[own])))
             size += len(waiting[-1])
             if size > 1 << 21:
                 add_up()
@@ -332,8 +410,7 @@ def _first_meeting(found: DataFrame, entries: DataFrame, pair_kind: type, whole:
         return pa.concat_tables([pa.table({c: pa.nulls(rows, kinds[c]) if x is None else x for c, x in of.items()}) for rows, of in zip((n, m), both, strict=True)])
 
     docs = found.filter("row is not null").select("bundle", "row", "id", "places")
-    columns = entries.select("bundle", "place", "spelled", "groups", "n_a", "n_b", "n_groups", "links")
-    return written(meet(docs, columns).applyInArrow(compose, schema), "first")
+    return written(meet(docs, packs(entries, FIRST, "groups", "links")).applyInArrow(compose, schema), "first")
 
 
 def segment_sums(aligned: DataFrame, pairs: DataFrame, tokenizers: Tokenizers) -> DataFrame:
@@ -354,19 +431,18 @@ def segment_sums(aligned: DataFrame, pairs: DataFrame, tokenizers: Tokenizers) -
     return links.join(ranked, "pair").groupBy("own").agg(F.sum("best").alias("n_best"), F.sum("n").alias("count_sum"))
 
 
-def _second_meeting(first: DataFrame, places: DataFrame, sums: DataFrame, whole: bool) -> DataFrame:
+def _second_meeting(first: DataFrame, entries: DataFrame, whole: bool) -> DataFrame:
     """The documents of the first meeting with n_best and count_sum, their segments' sums added up."""
-    numbers, more = ["n_a", "n_b", "n_groups", "n_links"], (ARRAYS if whole else [])
-    kept = ["id", *numbers, "groups_sha256", *more]
-    schema = StructType([first.schema["id"], *fields("n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"), *(first.schema[c] for c in more)])
+    kept = ["id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", *(ARRAYS if whole else [])]
+    schema = StructType([first.schema["id"], *fields("n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"), *(first.schema[c] for c in kept[6:])])
 
     def add(docs: pa.Table, entries: pa.Table) -> pa.Table:
-        most = int(entries.column("place").to_numpy().max()) + 1 if entries.num_rows else 0
-        own = np.zeros((most, 2), np.int64)
-        own[entries.column("place").to_numpy()] = np.stack([entries.column(c).to_numpy() for c in ("n_best", "count_sum")], axis=1)
-        found = [own[unplanes(blob, np.uint32)].sum(axis=0) if blob else (0, 0) for blob in docs.column("places").to_pylist()]
-        best, counted = (pa.array([int(x[k]) for x in found], pa.int64()) for k in (0, 1))
+        numbers, *_ = unpacked(entries.column("pack").to_pylist(), SECOND)
+        # segments without tokens are in no list here, and in no document that has places
+        own = np.zeros((int(numbers["place"].max(initial=0)) + 1, 2), np.int64)
+        own[numbers["place"]] = np.stack([numbers["n_best"], numbers["count_sum"]], axis=1).astype(np.int64)
+        sums = [own[unplanes(blob, np.uint32)].sum(axis=0).tolist() if blob else (0, 0) for blob in docs.column("places").to_pylist()]
+        best, counted = (pa.array([x[k] for x in sums], pa.int64()) for k in (0, 1))
         return pa.table({c: best if c == "n_best" else counted if c == "count_sum" else docs.column(c) for c in schema.names})
 
-    entries = places.join(sums, "own").select("bundle", "place", "n_best", "count_sum")
-    return written(meet(first.select("bundle", "places", *kept), entries).applyInArrow(add, schema), "composed")
+    return written(meet(first.select("bundle", "places", *kept), packs(entries, SECOND)).applyInArrow(add, schema), "composed")
