@@ -280,7 +280,6 @@ def packs(rows: DataFrame, names: dict[str, type], texts: str | None = None, blo
         gathered = []
         give_back()
 
-    small_batches(rows)
     return rows.select("bundle", *names, *([blobs] if blobs else []), *([texts] if texts else [])).mapInArrow(run, "bundle long, pack binary")
 
 
