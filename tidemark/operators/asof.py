@@ -1,42 +1,112 @@
-"""As-of joins: the latest right row that a left row may know."""
+"""As-of joins: the latest right row that a left row may know, by one time or by two."""
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_, or_
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.scan import MEASURED, Crowds, Split, crowds, running
+from tidemark.sources.scratch import written
+
 
-def asof_join(left: DataFrame, right: DataFrame, by: list[str], left_time: str, right_time: str, values: list[str], strict: bool = False, split: str | None = None) -> DataFrame:
+def asof_join(left: DataFrame, right: DataFrame, by: list[str], left_time: str, right_time: str, values: list[str], strict: bool = False, split: Split = None) -> DataFrame:
     """left with `values` of the right row of the same keys that is latest at or before left_time (strict: before it).
 
     Both sides go through one exchange and one sort by key and time; a running last() carries the right row along. right
-    has one row per key and time at most. Null keys match nothing; unmatched rows have null values.
+    has one row per key and time at most. Rows with a null key or time match nothing and take no part; unmatched rows have
+    null values.
 
-    split ('month', 'year', ...) is for keys that hold a large share of all rows: windows are then a key and a period
-    each, and what a period starts with is carried over from a table of the last right row of each period. That table is
-    joined on the columns that the windows are dealt by, so it adds no exchange of the rows.
+    split: for keys that hold a large share of all rows. MEASURED counts the keys first and cuts the crowded ones (see
+    scan). A period ('month', 'year', ...) cuts every key without counting: windows are then a key and a period, and what
+    a period starts with is carried over from a table of the last right row of each period, joined on the columns that
+    the windows are dealt by.
     """
-    known = right.filter(F.col(right_time).isNotNull())
-    for k in by:
-        known = known.filter(F.col(k).isNotNull())
     keys = [f"_by{i}" for i in range(len(by))]
-    known = known.select(*(F.col(k).alias(n) for n, k in zip(keys, by, strict=True)), F.col(right_time).alias("_time"), F.lit(1 if strict else 0).alias("_tag"), F.struct(*values).alias("_right"))
-    rows = left.select(*(F.col(k).alias(n) for n, k in zip(keys, by, strict=True)), F.col(left_time).alias("_time"), F.lit(0 if strict else 1).alias("_tag"), F.struct(*left.columns).alias("_left"))
+    named = [F.col(k).alias(n) for n, k in zip(keys, by, strict=True)]
+    whole = lambda df, time: df.filter(reduce(and_, (F.col(c).isNotNull() for c in [*by, time])))
+    known = whole(right, right_time).select(*named, F.col(right_time).alias("_time"), F.lit(1 if strict else 0).alias("_tag"), F.struct(*values).alias("_right"))
+    rows = whole(left, left_time).select(*named, F.col(left_time).alias("_time"), F.lit(0 if strict else 1).alias("_tag"), F.struct(*left.columns).alias("_left"))
     both = rows.unionByName(known, allowMissingColumns=True)
-    periods = []
-    if split:
-        both, periods = both.withColumn("_period", F.date_trunc(split, F.col("_time"))), ["_period"]
-    order = Window.partitionBy(*keys, *periods).orderBy(F.col("_time").asc_nulls_first(), "_tag").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    if split in (None, MEASURED) or isinstance(split, Crowds):
+        found = running(both, keys, ["_time", "_tag"], F.col("_right"), "_right", "last", split).filter("_left is not null")
+    else:
+        found = _last_by_period(both, keys, split)
+    found = found.select("_left.*", *(F.col("_right")[v].alias(v) for v in values))
+    rest = left.filter(reduce(or_, (F.col(c).isNull() for c in [*by, left_time])))
+    kinds = {f.name: f.dataType for f in right.schema}
+    return found.union(rest.select(*left.columns, *(F.lit(None).cast(kinds[v]).alias(v) for v in values)))
+
+
+def _last_by_period(both: DataFrame, keys: list[str], period: str) -> DataFrame:
+    both = both.withColumn("_period", F.date_trunc(period, F.col("_time")))
+    order = Window.partitionBy(*keys, "_period").orderBy("_time", "_tag").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     found = both.withColumn("_right", F.last("_right", ignorenulls=True).over(order)).filter("_left is not null")
-    if split:
-        ends = both.groupBy(*keys, "_period").agg(F.max_by("_right", F.when(F.col("_right").isNotNull(), F.col("_time"))).alias("_end"))
-        before = Window.partitionBy(*keys).orderBy(F.col("_period").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
-        ends = ends.select(*(F.col(n).alias(f"{n}_e") for n in (*keys, "_period")), F.last("_end", ignorenulls=True).over(before).alias("_carried"))
-        # rows with a null key or time match nothing anyway
-        on = [F.col(n) == F.col(f"{n}_e") for n in (*keys, "_period")]
-        found = found.join(ends, on, "left").withColumn("_right", F.coalesce("_right", "_carried"))
-    # null keys share a window, but no right row has one
-    return found.select("_left.*", *(F.col("_right")[v].alias(v) for v in values))
+    ends = both.groupBy(*keys, "_period").agg(F.max_by("_right", F.when(F.col("_right").isNotNull(), F.col("_time"))).alias("_end"))
+    before = Window.partitionBy(*keys).orderBy("_period").rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.select(*(F.col(n).alias(f"{n}_e") for n in (*keys, "_period")), F.last("_end", ignorenulls=True).over(before).alias("_carried"))
+    found = found.join(ends, [F.col(n) == F.col(f"{n}_e") for n in (*keys, "_period")], "left")
+    return found.withColumn("_right", F.coalesce("_right", "_carried"))
+
+
+def state_as_known(days: DataFrame, events: DataFrame, by: list[str], at: str, effective: str, announced: str, values: list[str], known: str | None = None, ties: tuple[str, ...] = (), split: Split = None) -> DataFrame:
+    """days with `values` of the event of the same keys that is in effect at `at`, as far as was announced by `known`.
+
+    Of the events announced at or before `known` and effective at or before `at`, the one with the latest effective time;
+    of those the last announced, then the largest `ties`. Events announced after they took effect count from their
+    announcement on, and do not replace what took effect later but was announced before. known: None if both times of a
+    row are `at`. Rows with a null key or time, and events without one of their times, match nothing.
+
+    With one time, an event counts from the later of its two times, and a running maximum by effective time over those
+    rows is the answer: one exchange. With two, it is a dominance query. The events of a key are numbered by announcement,
+    and those numbers are the places of a binary indexed tree: an event is in one node for each power of two that its key
+    reaches, and the events announced by `known` are those of as many nodes as their number has binary digits 1. Event and
+    query meet in a node by an as-of join on effective times. Nothing is repeated for days or for pairs.
+    """
+    keys = [f"_k{i}" for i in range(len(by))]
+    named = [F.col(k).alias(n) for n, k in zip(keys, by, strict=True)]
+    times = [at] if known is None else [at, known]
+    usable = reduce(and_, (F.col(c).isNotNull() for c in [*by, effective, announced]))
+    facts = events.filter(usable).select(*named, F.struct(F.col(effective).alias("_effective"), F.col(announced).alias("_announced"), F.struct(*ties).alias("_ties") if ties else F.lit(0).alias("_ties"), F.struct(*values).alias("_values")).alias("_fact"))
+    asked = days.select(*named, *(F.col(c).alias(f"_t{i}") for i, c in enumerate(times))).filter(reduce(and_, (F.col(c).isNotNull() for c in [*keys, *(f"_t{i}" for i in range(len(times)))]))).distinct()
+    if known is None:
+        rows = facts.select(*keys, F.greatest("_fact._effective", "_fact._announced").alias("_time"), F.lit(0).alias("_tag"), "_fact")
+        both = rows.unionByName(asked.select(*keys, F.col("_t0").alias("_time"), F.lit(1).alias("_tag")), allowMissingColumns=True)
+        found = running(both, keys, ["_time", "_tag"], F.col("_fact"), "_best", "max", split).filter("_tag = 1").select(*keys, F.col("_time").alias("_t0"), "_best")
+    else:
+        found = _best_in_prefix(facts, asked, keys, split)
+    found = found.select(*keys, *(F.col(f"_t{i}") for i in range(len(times))), *(F.col("_best._values")[v].alias(f"_{v}_known") for v in values))
+    on = [F.col(c) == F.col(n) for c, n in zip([*by, *times], [*keys, *(f"_t{i}" for i in range(len(times)))], strict=True)]
+    return days.join(found, on, "left").select(*(days[c] for c in days.columns), *(F.col(f"_{v}_known").alias(v) for v in values))
+
+
+#: Binary digits of the number of events of a key.
+DIGITS = 40
+
+
+def _best_in_prefix(facts: DataFrame, asked: DataFrame, keys: list[str], split: Split) -> DataFrame:
+    """(keys, _t0, _t1, _best): of the facts announced by _t1 and effective by _t0, the largest."""
+    numbered = facts.withColumn("_time", F.col("_fact._announced"))
+    crowded = crowds(numbered, keys, "_time", split)
+    numbered = written(running(numbered, keys, ["_time", "_fact"], F.lit(1).cast("long"), "_number", "sum", crowded), "numbered")
+    # the number of events announced by a time is the largest number of that time
+    last = numbered.groupBy(*keys, "_time").agg(F.max("_number").alias("_until"))
+    asked = asof_join(asked, last, keys, "_t1", "_time", ["_until"], split=crowded).filter("_until is not null")
+    digits = F.sequence(F.lit(0), F.lit(DIGITS))
+    power = lambda x, l: F.call_function("shiftleft", x, l)  # noqa: E731, E741
+    whole = lambda x, l: F.call_function("shiftright", x, l)  # noqa: E731, E741
+    # node i holds the numbers in (i - its lowest power of two, i]
+    of_prefix = F.transform(F.filter(digits, lambda l: whole(F.col("_until"), l) % 2 == 1), lambda l: power(whole(F.col("_until"), l), l))  # noqa: E741
+    up = lambda l: whole(F.col("_number") + power(F.lit(1).cast("long"), l) - 1, l)  # noqa: E731, E741
+    of_event = F.transform(F.filter(digits, lambda l: (up(l) % 2 == 1) & (power(up(l), l) <= F.col("_of"))), lambda l: power(up(l), l))  # noqa: E741
+    of_key = numbered.groupBy(*keys).agg(F.max("_number").alias("_of"))
+    placed = numbered.join(of_key, keys).select(*keys, F.explode(of_event).alias("_node"), F.col("_fact._effective").alias("_time"), "_fact")
+    placed = placed.groupBy(*keys, "_node", "_time").agg(F.max("_fact").alias("_fact"))
+    asked = asked.select(*keys, "_t0", "_t1", F.explode(of_prefix).alias("_node"))
+    found = asof_join(asked, placed, [*keys, "_node"], "_t0", "_time", ["_fact"], split=split)
+    return found.groupBy(*keys, "_t0", "_t1").agg(F.max("_fact").alias("_best"))
 
 
 def next_in_calendar(df: DataFrame, day: str, calendar: DataFrame, calendar_day: str, out: str, strict: bool) -> DataFrame:

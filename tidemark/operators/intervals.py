@@ -6,12 +6,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.asof import asof_join
+from tidemark.operators.interval_sets import dyadic_join
+from tidemark.operators.scan import MEASURED, Split, beside, crowds, running
 
 
-def events_to_intervals(df: DataFrame, keys: list[str], start: str, ties: list[str], end: str = "end_exclusive") -> DataFrame:
-    """Each event holds until the next of its key; the last stays open."""
-    order = Window.partitionBy(*keys).orderBy(start, *ties)
-    return df.withColumn(end, F.lead(start).over(order))
+def events_to_intervals(df: DataFrame, keys: list[str], start: str, ties: list[str], end: str = "end_exclusive", split: Split = None) -> DataFrame:
+    """Each event holds until the next of its key; the last stays open. split: see scan."""
+    return beside(df, keys, [start, *ties], {end: F.col(start)}, ahead=True, split=split)
 
 
 def calendar_of(df: DataFrame, day: str) -> DataFrame:
@@ -34,16 +35,17 @@ def flags_to_runs(df: DataFrame, keys: list[str], day: str, flag: Column, calend
     return runs.drop("island").withColumn("is_open", F.col("end_exclusive").isNull())
 
 
-def fold_runs(df: DataFrame, keys: list[str], order: list[str], value: str) -> DataFrame:
+def fold_runs(df: DataFrame, keys: list[str], order: list[str], value: str, split: Split = None) -> DataFrame:
     """(keys, value, effective_from, last_observed, effective_to_exclusive, n): runs of equal consecutive values.
 
-    order[0] is the time; the rest break ties. A run ends where the next begins.
+    order[0] is the time; the rest break ties. A run ends where the next begins. split: see scan.
     """
-    by = Window.partitionBy(*keys).orderBy(*order)
-    changed = (~F.col(value).eqNullSafe(F.lag(value).over(by)) | (F.row_number().over(by) == 1)).cast("int")
-    runs = df.withColumn("_new", changed).withColumn("_run", F.sum("_new").over(by.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    split = crowds(df, keys, order[0], split)
+    before = beside(df, keys, order, {"_before": F.col(value)}, split=split, first="_first")
+    marked = before.withColumn("_new", (F.col("_first") | ~F.col(value).eqNullSafe(F.col("_before"))).cast("long")).drop("_before", "_first")
+    runs = running(marked, keys, order, F.col("_new"), "_run", "sum", split)
     runs = runs.groupBy(*keys, "_run").agg(F.first(value).alias(value), F.min(order[0]).alias("effective_from"), F.max(order[0]).alias("last_observed"), F.count("*").alias("n"))
-    return runs.withColumn("effective_to_exclusive", F.lead("effective_from").over(Window.partitionBy(*keys).orderBy("_run"))).drop("_run")
+    return beside(runs, keys, ["effective_from", "_run"], {"effective_to_exclusive": F.col("effective_from")}, ahead=True, split=split).drop("_run")
 
 
 def in_interval(df: DataFrame, intervals: DataFrame, by: list[str], at: str, start: str, end: str, how: str = "inner") -> DataFrame:
@@ -59,11 +61,11 @@ def in_interval(df: DataFrame, intervals: DataFrame, by: list[str], at: str, sta
     return joined
 
 
-def in_state(df: DataFrame, intervals: DataFrame, by: list[str], at: str, start: str, end: str, values: list[str], split: str | None = "month") -> DataFrame:
+def in_state(df: DataFrame, intervals: DataFrame, by: list[str], at: str, start: str, end: str, values: list[str], split: Split = MEASURED) -> DataFrame:
     """df with `values` of the interval that holds `at`, for intervals of a key that do not overlap; rows in none go.
 
-    An as-of join on the starts and a check of the ends: linear in both sides. With split ('month', 'year', ...), a key
-    that holds a large share of all rows is cut by period. Empty intervals hold nothing.
+    An as-of join on the starts and a check of the ends: linear in both sides. split: see asof_join. Empty intervals hold
+    nothing.
     """
     open_ = intervals.filter(F.col(end).isNull() | (F.col(start) < F.col(end)))
     known = open_.select(*by, F.col(start).alias("_start"), F.col(end).alias("_end"), *(F.col(v).alias(f"_{v}_value") for v in values))
@@ -81,20 +83,23 @@ def cap_open_ends(intervals: DataFrame, caps: DataFrame, by: list[str], end: str
 
 
 def range_join(points: DataFrame, ranges: DataFrame, at: str, start: str, end: str, width_days: int) -> DataFrame:
-    """points joined to the ranges [start, end) that hold their day, without another key.
+    """points joined to the ranges [start, end) that hold their day, without another key; a null start or end is open.
 
     Days fall into buckets of width_days; a range is repeated for each bucket it touches, so the join is an equi-join and
-    no nested loop. Choose the width near the usual length of a range.
+    no nested loop. Choose the width near the usual length of a range; open ranges, and those of more than 64 buckets, go
+    by the nodes of a tree instead (see interval_sets.dyadic_join).
     """
     bucket = lambda c: F.floor(F.unix_date(c) / width_days)
-    last = F.date_sub(F.col(end), 1)
-    cut = ranges.filter(F.col(start) < F.col(end)).withColumn("_bucket", F.explode(F.sequence(bucket(F.col(start)), bucket(last))))
-    return points.withColumn("_bucket", bucket(F.col(at))).join(cut, "_bucket").filter((F.col(at) >= F.col(start)) & (F.col(at) < F.col(end))).drop("_bucket")
-
-
-def check_overlap(df: DataFrame, keys: list[str], start: str, end: str, ties: list[str]) -> DataFrame:
-    """Intervals that reach beyond the start of the next of their key, or do not end after they start."""
-    order = Window.partitionBy(*keys).orderBy(start, *ties)
-    following = F.lead(start).over(order)
-    reaches = following.isNotNull() & (F.col(end).isNull() | (following < F.col(end)))
-    return df.withColumn("_bad", reaches | (F.col(end) <= F.col(start))).filter("_bad").drop("_bad")
+    length = F.datediff(end, start)
+    short = length.isNotNull() & (length <= 64 * width_days)
+    cut = ranges.filter(short & (length > 0)).withColumn("_bucket", F.explode(F.sequence(bucket(F.col(start)), bucket(F.date_sub(end, 1)))))
+    near = points.withColumn("_bucket", bucket(F.col(at))).join(cut, "_bucket").filter((F.col(at) >= F.col(start)) & (F.col(at) < F.col(end))).drop("_bucket")
+    long_ = ranges.filter(~short)
+    return near if long_.isEmpty() else near.union(dyadic_join(points, long_, at, start, end))
+
+
+def check_overlap(df: DataFrame, keys: list[str], start: str, end: str, ties: list[str], split: Split = None) -> DataFrame:
+    """Intervals that reach beyond the start of the next of their key, or do not end after they start. split: see scan."""
+    rows = beside(df, keys, [start, *ties], {"_next": F.col(start)}, ahead=True, split=split)
+    reaches = F.col("_next").isNotNull() & (F.col(end).isNull() | (F.col("_next") < F.col(end)))
+    return rows.filter(reaches | (F.col(end) <= F.col(start))).drop("_next")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.scan import Split, beside
+
 
 def top_n_by(df: DataFrame, keys: list[str], order: list[Column], n: int = 1) -> DataFrame:
     """The first n rows of each group; Spark drops the rest before the exchange. `order` ends with what breaks ties."""
@@ -27,16 +29,15 @@ def rank_within(df: DataFrame, keys: list[str], order: list[Column], out: str, m
     return df.withColumn(out, function().over(Window.partitionBy(*keys).orderBy(*order)))
 
 
-def diff_prev(df: DataFrame, keys: list[str], order: list[str], value: str, out: str) -> DataFrame:
-    """Change against the previous record, however long ago."""
-    return df.withColumn(out, F.col(value) - F.lag(value).over(Window.partitionBy(*keys).orderBy(*order)))
+def diff_prev(df: DataFrame, keys: list[str], order: list[str], value: str, out: str, split: Split = None) -> DataFrame:
+    """Change against the previous record, however long ago. split: see scan."""
+    return beside(df, keys, order, {"_before": F.col(value)}, split=split).withColumn(out, F.col(value) - F.col("_before")).drop("_before")
 
 
-def change_points(df: DataFrame, keys: list[str], order: list[str], value: str) -> DataFrame:
-    """Rows whose value differs from the previous record's; the first of each key is one."""
-    by = Window.partitionBy(*keys).orderBy(*order)
-    changed = ~F.col(value).eqNullSafe(F.lag(value).over(by)) | (F.row_number().over(by) == 1)
-    return df.withColumn("_changed", changed).filter("_changed").drop("_changed")
+def change_points(df: DataFrame, keys: list[str], order: list[str], value: str, split: Split = None) -> DataFrame:
+    """Rows whose value differs from the previous record's; the first of each key is one. split: see scan."""
+    rows = beside(df, keys, order, {"_before": F.col(value)}, split=split, first="_first")
+    return rows.filter(F.col("_first") | ~F.col(value).eqNullSafe(F.col("_before"))).drop("_before", "_first")
 
 
 def period_end_sample(df: DataFrame, keys: list[str], day: str, period: str, data_end: Column | None, ties: list[Column]) -> DataFrame:

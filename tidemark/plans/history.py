@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.operators import asof, intervals, panel, quality
+from tidemark.operators import asof, intervals, panel, quality, scan
 from tidemark.plans.base import Tables, query
 from tidemark.plans.basic import day
 
@@ -22,13 +22,13 @@ def known_and_lines(t: Tables) -> tuple[DataFrame, DataFrame]:
 @query(f"SELECT l.*, k.k AS known_order, k.d AS known_day FROM ({LINES}) l ASOF LEFT JOIN ({KNOWN}) k ON l.o_custkey = k.o_custkey AND l.shipped >= k.d")
 def asof_pub_date(t: Tables) -> DataFrame:
     known, lines = known_and_lines(t)
-    return asof.asof_join(lines, known, ["o_custkey"], "shipped", "known_day", ["known_order", "known_day"], split="month")
+    return asof.asof_join(lines, known, ["o_custkey"], "shipped", "known_day", ["known_order", "known_day"], split=scan.MEASURED)
 
 
 @query(f"SELECT l.*, k.k AS known_order, k.d AS known_day FROM ({LINES}) l ASOF LEFT JOIN ({KNOWN}) k ON l.o_custkey = k.o_custkey AND l.shipped > k.d")
 def asof_strict(t: Tables) -> DataFrame:
     known, lines = known_and_lines(t)
-    return asof.asof_join(lines, known, ["o_custkey"], "shipped", "known_day", ["known_order", "known_day"], strict=True, split="month")
+    return asof.asof_join(lines, known, ["o_custkey"], "shipped", "known_day", ["known_order", "known_day"], strict=True, split=scan.MEASURED)
 
 
 STATES = "SELECT user_id, event_id, event_type AS state, ts AS start_ts, lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS end_ts FROM events WHERE event_type IN ('signup', 'error')"
