@@ -12,9 +12,9 @@ link is wrong; a true one is given up with a probability of about MISS a batch a
 Large groups of copies do not make all pairs. In each bucket the pivot is the node that meets most others over all its
 buckets - in a group of edited copies that is the one with the fewest edits. Each node is tried against the pivot that it
 shares most buckets with; what that links is a class. Then buckets in which several classes meet give the pairs of
-different classes, each pair once. Of a bucket with more than CROWD nodes they have to agree in a second band as well: sets
-that share one passage meet in a band now and then, near copies in nine bands of 32, and in one band only with a
-probability of 5 in 10,000 at the threshold. Links within a class are not looked for.
+different classes, each pair once. Of a bucket with more than CROWD nodes pairs are not listed: its nodes are dealt into
+blocks of BLOCK_NODES, signatures of two blocks are compared in a task, batch after batch, and only what the posterior
+leaves is kept, by the first bucket that two nodes share. Links within a class are not looked for.
 
 Survivors are verified by pivot: a pivot's set goes once to each of its shards, whose size is bounded in hashes, and
 each node's set goes to its shard.
@@ -42,10 +42,10 @@ UP, DOWN = 85, 100
 BANDS, ROWS = 32, 8
 #: Minima compared between two looks at the posterior, and the posterior probability at which a pair is given up.
 BATCH, MISS = 32, 1e-4
-#: Nodes of different classes in a bucket from which on two bands have to agree.
-CROWD = 32
+#: Nodes of a bucket with several classes from which on its pairs are compared in blocks of so many nodes.
+CROWD, BLOCK_NODES = 8, 512
 #: Hashes of sets in one shard of a pivot.
-SHARD = 1 << 18
+SHARD = 1 << 13
 #: Hashes worked on at once.
 BLOCK = 1 << 15
 
@@ -156,21 +156,53 @@ def pivot_pairs(shared: DataFrame) -> DataFrame:
     return once(votes.groupBy("key").agg(F.max(F.struct("c", "pivot")).alias("best")).select(F.col("key").alias("a"), F.col("best.pivot").alias("b")))
 
 
-def class_pairs(shared: DataFrame, reps: DataFrame, classes: DataFrame, tried: DataFrame) -> DataFrame:
-    """Candidates (a, b) of different classes but those tried, once each."""
+def open_buckets(shared: DataFrame, classes: DataFrame) -> DataFrame:
+    """(bucket, key, n, label, size) of the buckets in which nodes of several classes meet, as a table."""
     rows = shared.drop("size").join(classes.select(F.col("node").alias("key"), "label"), "key", "left").withColumn("label", F.coalesce("label", "key"))
-    mixed_ = rows.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("size")).filter("low < high").select("bucket", "size")
-    rows = written(rows.join(mixed_, "bucket"), "open")
-    plain = rows.filter(F.col("size") <= CROWD).select("bucket", F.lit(0).cast("long").alias("second"), "key", "n", "label")
-    # the second band of a crowded bucket: any other one, named by both hashes in order of band
-    crowded = rows.filter(F.col("size") > CROWD).join(reps.select("key", "bands"), "key")
-    crowded = crowded.select("bucket", F.explode("bands").alias("second"), "key", "n", "label").filter("bucket < second")
-    side = lambda x: plain.unionByName(crowded).select("bucket", "second", *(F.col(c).alias(f"{c}_{x}") for c in ("key", "n", "label")))
-    met = side("a").join(side("b"), ["bucket", "second"]).filter((F.col("key_a") < F.col("key_b")) & (F.col("label_a") != F.col("label_b")) & long_enough("n_a", "n_b"))
+    several = rows.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("size")).filter("low < high").select("bucket", "size")
+    return written(rows.join(several, "bucket"), "open")
+
+
+def listed_pairs(rows: DataFrame, tried: DataFrame) -> DataFrame:
+    """Candidates (a, b) of different classes in small buckets but those tried, once each."""
+    side = lambda x: rows.filter(F.col("size") <= CROWD).select("bucket", *(F.col(c).alias(f"{c}_{x}") for c in ("key", "n", "label")))
+    met = side("a").join(side("b"), "bucket").filter((F.col("key_a") < F.col("key_b")) & (F.col("label_a") != F.col("label_b")) & long_enough("n_a", "n_b"))
     pairs = met.select(F.col("key_a").alias("a"), F.col("key_b").alias("b")).distinct()
-    found = written(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
-    forget(rows)
-    return found
+    return written(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
+
+
+def compared_pairs(rows: DataFrame, reps: DataFrame) -> DataFrame:
+    """(a, b): what sequential verification leaves of the pairs of different classes in crowded buckets, once each."""
+
+    def compare(table: pa.Table) -> pa.Table:
+        low, high, bucket = (table.column(c)[0].as_py() for c in ("low", "high", "bucket"))
+        order = np.argsort(table.column("key").to_numpy(), kind="stable")
+        key, n, label, block = (table.column(c).to_numpy()[order] for c in ("key", "n", "label", "block"))
+        minima = np.frombuffer(b"".join(table.column("minima").to_pylist()), np.uint16).reshape(-1, MINIMA)[order]
+        bands = np.array(table.column("bands").to_pylist(), np.int64)[order]
+        first, least = least_matches()[0]
+        found = []
+        for x in range(len(key)):
+            if block[x] not in (low, high):
+                continue
+            y = np.arange(x + 1, len(key))
+            apart = (label[y] != label[x]) & ((np.minimum(n[y], n[x]) * DOWN) >= np.maximum(n[y], n[x]) * UP)
+            y = y[apart & (np.minimum(block[y], block[x]) == low) & (np.maximum(block[y], block[x]) == high)]
+            y = y[(minima[y, :first] == minima[x, :first]).sum(axis=1) >= least]
+            if len(y):
+                y = y[(bands[y] == bands[x])[np.arange(len(y)), (bands[y] == bands[x]).argmax(axis=1)]]
+                y = y[bands[x][(bands[y] == bands[x]).argmax(axis=1)] == bucket]
+                y = y[plausible(np.broadcast_to(minima[x], (len(y), MINIMA)), minima[y])]
+                found.append(np.stack([np.full(len(y), key[x]), key[y]]))
+        both = np.concatenate(found, axis=1) if found else np.empty((2, 0), np.int64)
+        give_back()
+        return pa.table({"a": both[0], "b": both[1]})
+
+    crowded = rows.filter(F.col("size") > CROWD).withColumn("blocks", F.ceil(F.col("size") / BLOCK_NODES)).withColumn("block", F.expr("pmod(xxhash64(key), blocks)"))
+    pairs = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
+    met = crowded.select("bucket", "key", "n", "label", "block", pairs.alias("other")).join(reps.select("key", "minima", "bands"), "key")
+    met = met.select("bucket", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "key", "n", "label", "block", "minima", "bands")
+    return written(met.groupBy("bucket", "low", "high").applyInArrow(compare, "a long, b long").distinct(), "compared")
 
 
 def surviving(pairs: DataFrame, reps: DataFrame) -> DataFrame:
@@ -241,12 +273,16 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     sets = sets_of_keys(docs, reps, keys_in(near))
     links = confirmed(near, sets, reps)
     classes = components(links)
-    left = class_pairs(shared, reps, classes, tried)
-    forget(shared, tried, near)
-    near = surviving(left, reps)
+    forget(near)
+    rows = open_buckets(shared, classes)
+    left, compared = listed_pairs(rows, tried), compared_pairs(rows, reps)
+    forget(shared, rows)
+    few = surviving(left, reps)
+    near = written(few.unionByName(compared.join(tried, ["a", "b"], "left_anti")).distinct(), "near")
+    forget(left, few, compared, tried)
     more = sets_of_keys(docs, reps, keys_in(near).join(sets.select("key"), "key", "left_anti"), few=True)
     rest = confirmed(near, sets.unionByName(more), reps)
-    forget(left, near, sets, more)
+    forget(near, sets, more)
     if not rest.isEmpty():
         before, classes = classes, components(links.unionByName(rest))
         forget(before)
