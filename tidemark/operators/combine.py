@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators.panel import top_n_by
+from tidemark.operators.scan import Split, running
 
 
 def aggregate(df: DataFrame, keys: list[str], measures: dict[str, Column]) -> DataFrame:
@@ -28,18 +29,26 @@ def combine_members(df: DataFrame, key: list[str], member: str, members: list, m
     return (rows.filter(F.col("_n") == len(members)) if require_all else rows).drop("_n")
 
 
-def completeness(df: DataFrame, dim: DataFrame, group: str, key: list[str], member: str, valid_from: str | None = None) -> DataFrame:
+def completeness(df: DataFrame, dim: DataFrame, group: str, key: list[str], member: str, valid_from: str | None = None, valid_to: str | None = None, split: Split = None) -> DataFrame:
     """(group, key, n, n_expected, complete): members seen against members that the dimension expects.
 
-    With valid_from, a member is expected from that day on (key[0] is the day).
+    With valid_from, a member is expected from that day on (key[0] is the day), with valid_to until the day before that.
+    A member without a valid_from is expected at no time; of one that has several spans, those must not overlap. Expected
+    members of a day are a running sum of starts less ends, so days are not joined to members: linear in both.
     """
     seen = df.groupBy(group, *key).agg(F.count_distinct(member).alias("n"))
     if valid_from is None:
         expected = dim.groupBy(group).agg(F.count_distinct(member).alias("n_expected"))
         rows = seen.join(expected, group)
     else:
-        member_days = dim.select(group, member, valid_from)
-        rows = seen.join(member_days, group).filter(F.col(valid_from) <= F.col(key[0])).groupBy(group, *key, "n").agg(F.count_distinct(member).alias("n_expected"))
+        spans = dim.select(group, member, F.col(valid_from).alias("_from"), (F.col(valid_to) if valid_to else F.lit(None).cast("date")).alias("_to")).filter("_from is not null and (_to is null or _from < _to)").distinct()
+        edges = spans.select(group, F.explode(F.array(F.struct(F.col("_from").alias("_day"), F.lit(1).alias("_d")), F.struct(F.col("_to").alias("_day"), F.lit(-1).alias("_d")))).alias("_e"))
+        edges = edges.select(group, "_e.*").filter("_day is not null").groupBy(group, "_day").agg(F.sum("_d").alias("_d"))
+        # a day's edges come before the rows seen on it
+        marks = edges.select(group, "_day", F.lit(0).alias("_tag"), "_d")
+        days = seen.select(group, F.col(key[0]).cast("date").alias("_day"), F.lit(1).alias("_tag"), F.struct(*key, "n").alias("_seen"))
+        both = running(days.unionByName(marks, allowMissingColumns=True), [group], ["_day", "_tag"], F.coalesce("_d", F.lit(0)), "n_expected", "sum", split)
+        rows = both.filter("_tag = 1 and n_expected > 0").select(group, "_seen.*", "n_expected")
     return rows.withColumn("complete", (F.col("n") == F.col("n_expected")).cast("int"))
 
 

@@ -40,6 +40,24 @@ LOOKS_AHEAD = {
 }
 
 
+#: Columns of each kind of table that a stage of its own makes known, by the date of that stage.
+STAGES = {
+    "dividends": {
+        "shareholder_pub_date": (),
+        "implementation_pub_date": ("record_date", "ex_date", "pay_date", "cash_per_10", "cash_per_share", "bonus_per_10", "transfer_per_10", "added_per_10"),
+    },
+}
+
+
 def pit_view(df: DataFrame, kind: str, available: str | Column, cutoff: Column | str) -> DataFrame:
-    """The rows known by a day, without the columns that look ahead of it."""
-    return known_by(df, available, cutoff).drop(*LOOKS_AHEAD[kind])
+    """The rows known by a day, without the columns that look ahead of it.
+
+    A column that a later stage makes known is null until the date of that stage, and so is the date itself.
+    """
+    day = F.to_date(F.lit(cutoff)) if isinstance(cutoff, str) else cutoff
+    rows = known_by(df, available, day).drop(*LOOKS_AHEAD[kind])
+    for date, columns in STAGES.get(kind, {}).items():
+        if date in rows.columns:
+            come = F.col(date) <= day
+            rows = rows.withColumns({c: F.when(come, F.col(c)) for c in (*columns, date) if c in rows.columns})
+    return rows

@@ -31,29 +31,35 @@ def prior(df: DataFrame, keys: list[str], year: str, quarter: str, values: list[
     return rows.select(*((F.col(k) + years).alias(k) if k == year else F.col(k) for k in kept), *(F.col(v).alias(v + suffix) for v in values))
 
 
-def ttm(df: DataFrame, keys: list[str], year: str, quarter: str, cum: str, available: str | None = None, out: str = "ttm") -> DataFrame:
-    """cum + last annual - last year's cum; the annual value itself in the fourth quarter; null if a part is missing.
+def against_prior(df: DataFrame, keys: list[str], year: str, quarter: str, trailing: dict[str, str], growth: dict[str, str], available: str | None = None) -> DataFrame:
+    """df with trailing values and growth, each an out and its cumulative column; prior periods are joined once for all.
 
-    With `available`, out + '_available' is the day from which all of its parts were known.
+    Trailing: value + last annual - last year's value; the annual value itself in the fourth quarter; null if a part is
+    missing. Growth: over the same period of the year before; null without it or where it is not positive. With
+    `available`, out + '_available' is the day from which all that an out is made of was known.
     """
-    values = [cum, *([available] if available else [])]
-    rows = df.join(prior(df, keys, year, quarter, values, 1, "_annual", annual=True), [*keys, year], "left")
-    rows = rows.join(prior(df, keys, year, quarter, values, 1, "_before"), [*keys, year, quarter], "left")
-    rows = rows.withColumn(out, F.when(F.col(quarter) == 4, F.col(cum)).otherwise(F.col(cum) + F.col(f"{cum}_annual") - F.col(f"{cum}_before")))
-    if available:
-        parts = F.when(F.col(quarter) == 4, F.col(available)).otherwise(F.greatest(available, f"{available}_annual", f"{available}_before"))
-        rows = rows.withColumn(f"{out}_available", F.when(F.col(out).isNotNull(), parts))
-    return rows.select(*df.columns, out, *([f"{out}_available"] if available else []))
+    values = list(dict.fromkeys([*trailing.values(), *growth.values(), *([available] if available else [])]))
+    rows = df.join(prior(df, keys, year, quarter, values, 1, "_before"), [*keys, year, quarter], "left")
+    if trailing:
+        rows = rows.join(prior(df, keys, year, quarter, values, 1, "_annual", annual=True), [*keys, year], "left")
+    annual, found = F.col(quarter) == 4, {}
+    for out, c in trailing.items():
+        found[out] = F.when(annual, F.col(c)).otherwise(F.col(c) + F.col(f"{c}_annual") - F.col(f"{c}_before"))
+        if available:
+            parts = F.when(annual, F.col(available)).otherwise(F.greatest(available, f"{available}_annual", f"{available}_before"))
+            found[f"{out}_available"] = F.when(found[out].isNotNull(), parts)
+    for out, c in growth.items():
+        found[out] = ratio_or_null(F.col(c), F.col(f"{c}_before")) - 1
+        if available:
+            found[f"{out}_available"] = F.when(found[out].isNotNull(), F.greatest(available, f"{available}_before"))
+    return rows.select(*df.columns, *(x.alias(n) for n, x in found.items()))
 
 
-def yoy(df: DataFrame, keys: list[str], year: str, quarter: str, cum: str, available: str | None = None, out: str = "yoy") -> DataFrame:
-    """Growth over the same period of the year before; null without it or where it is not positive.
+def ttm(df: DataFrame, keys: list[str], year: str, quarter: str, cum: str, available: str | None = None, out: str = "ttm") -> DataFrame:
+    """The trailing value of one column, see against_prior."""
+    return against_prior(df, keys, year, quarter, {out: cum}, {}, available)
 
-    With `available`, out + '_available' is the day from which both values were known.
-    """
-    rows = df.join(prior(df, keys, year, quarter, [cum, *([available] if available else [])], 1, "_before"), [*keys, year, quarter], "left")
-    base = F.col(f"{cum}_before")
-    rows = rows.withColumn(out, ratio_or_null(F.col(cum), base) - 1)
-    if available:
-        rows = rows.withColumn(f"{out}_available", F.when(F.col(out).isNotNull(), F.greatest(available, f"{available}_before")))
-    return rows.select(*df.columns, out, *([f"{out}_available"] if available else []))
+
+def yoy(df: DataFrame, keys: list[str], year: str, quarter: str, cum: str, available: str | None = None, out: str = "yoy") -> DataFrame:
+    """The growth of one column, see against_prior."""
+    return against_prior(df, keys, year, quarter, {}, {out: cum}, available)

@@ -11,44 +11,67 @@ from tidemark.functions import scalar as S
 from tidemark.operators import combine, filters, intervals, panel, periods
 from tidemark.plans.base import Tables, query
 from tidemark.plans.basic import day
+from tidemark.sources.scratch import written
 
 
-def build_financials_pit(income: DataFrame, balance: DataFrame, indicator: DataFrame, key: str, year: str, quarter: str) -> DataFrame:
-    """First disclosures of the statements, aligned by period, with indicators, ratios, growth and trailing values.
+#: The source of a first disclosure that counts.
+PERIODIC = "periodic"
 
-    income: (key, year, quarter, pub_date, source_id, report_type, revenue, cost, profit), balance: (key, year,
-    quarter, pub_date, source_id, report_type, assets, liability, equity), both cumulative; indicator: (key, year, quarter,
-    eps, ind_pub_date), of the quarter alone. pub_date of a row is the latest of its statements. Indicators are published on a
-    day of their own, ind_pub_date, and trailing values and growth are known from theirs: see financials_as_of.
+
+def build_financials_pit(income: DataFrame, balance: DataFrame, indicator: DataFrame, key: str, year: str, quarter: str, cashflow: DataFrame | None = None) -> DataFrame:
+    """First disclosures of the statements in periodic reports, aligned by period, with indicators, ratios, growth and trailing values.
+
+    income: (key, year, quarter, pub_date, source_id, source, report_type, revenue, cost, profit), balance: (..., assets,
+    liability, equity), cashflow: (..., ocf), all cumulative; indicator: (key, year, quarter, eps, ind_pub_date), of the
+    quarter alone. A prospectus that has the period earlier does not count; statements without a column `source` are all
+    periodic. Without cashflow there is no ocf_ttm. pub_date of a row is the latest of its statements. Indicators are published on a day of their own, ind_pub_date, and trailing values and growth are known from
+    theirs: see financials_as_of.
     """
     keys = [key, year, quarter]
-    first = lambda df: panel.first_disclosure(df.filter("report_type = 0"), keys, ["pub_date", "source_id"]).drop("report_type", "source_id")
-    rows = first(income).join(first(balance).withColumnRenamed("pub_date", "balance_pub"), keys)
-    rows = rows.withColumn("pub_date", F.greatest("pub_date", "balance_pub")).drop("balance_pub").join(indicator, keys, "left")
+
+    def first(df: DataFrame) -> DataFrame:
+        named = df if "source" in df.columns else df.withColumn("source", F.lit(PERIODIC))
+        rows = filters.periodic_first(named, "report_type", 0, "source", PERIODIC)
+        return panel.first_disclosure(rows, keys, ["pub_date", "source_id"]).drop("report_type", "source_id", "source")
+
+    rows = first(income)
+    for other in (balance, cashflow):
+        if other is not None:
+            rows = rows.join(first(other).withColumnRenamed("pub_date", "other_pub"), keys).withColumn("pub_date", F.greatest("pub_date", "other_pub")).drop("other_pub")
+    rows = rows.join(indicator, keys, "left")
     rows = rows.withColumns({"gross_margin": S.gross_margin("revenue", "cost"), "roe": S.roe("profit", "equity"), "debt_ratio": S.debt_ratio("liability", "assets")})
-    rows = periods.ttm(rows, [key], year, quarter, "profit", "pub_date", "profit_ttm")
-    return periods.yoy(rows, [key], year, quarter, "profit", "pub_date", "profit_yoy")
+    # a row a key and period, read three times by the joins to prior periods
+    rows = written(rows, "periods")
+    trailing = {f"{c}_ttm": c for c in ("profit", "revenue", "ocf") if c in rows.columns}
+    return periods.against_prior(rows, [key], year, quarter, trailing, {"profit_yoy": "profit", "revenue_yoy": "revenue"}, "pub_date")
+
+
+LATER = ("profit_ttm", "revenue_ttm", "ocf_ttm", "profit_yoy", "revenue_yoy")
 
 
 def financials_as_of(rows: DataFrame, cutoff: str) -> DataFrame:
     """The rows known by a day, in which values that came out later are null."""
     day_ = F.to_date(F.lit(cutoff))
-    seen = {"eps": "ind_pub_date", "profit_ttm": "profit_ttm_available", "profit_yoy": "profit_yoy_available"}
+    seen = {"eps": "ind_pub_date"} | {c: f"{c}_available" for c in LATER if c in rows.columns}
     return filters.known_by(rows, "pub_date", cutoff).withColumns({c: F.when(F.col(known) <= day_, F.col(c)) for c, known in seen.items()})
 
 
-STATEMENTS = """SELECT s_nationkey AS code, year(l_shipdate)::INT AS y, quarter(l_shipdate)::INT AS q, l_linenumber % 3 AS report_type, (l_shipdate::DATE + 30 + (l_linenumber * 7)::INT) AS pub_date,
+#: What a prospectus says comes forty days before the periodic report.
+STATEMENTS = """SELECT s_nationkey AS code, year(l_shipdate)::INT AS y, quarter(l_shipdate)::INT AS q, l_linenumber % 3 AS report_type, CASE WHEN l_returnflag = 'R' THEN 'prospectus' ELSE 'periodic' END AS source,
+(l_shipdate::DATE + 30 + (l_linenumber * 7)::INT - CASE WHEN l_returnflag = 'R' THEN 40 ELSE 0 END)::DATE AS pub_date,
 min(l_orderkey) AS source_id, sum(l_extendedprice::DECIMAL(12,2)) AS revenue, sum(l_extendedprice::DECIMAL(12,2) * 0.75::DECIMAL(3,2)) AS cost, sum((l_tax::DECIMAL(4,2) - 0.04::DECIMAL(4,2)) * l_extendedprice::DECIMAL(12,2)) AS profit,
-sum(l_quantity::DECIMAL(12,2)) AS assets, sum(l_quantity::DECIMAL(12,2) * l_discount::DECIMAL(4,2)) AS liability, sum(l_quantity::DECIMAL(12,2) * (0.05::DECIMAL(4,2) - l_discount::DECIMAL(4,2))) AS equity FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY ALL"""
+sum(l_quantity::DECIMAL(12,2)) AS assets, sum(l_quantity::DECIMAL(12,2) * l_discount::DECIMAL(4,2)) AS liability, sum(l_quantity::DECIMAL(12,2) * (0.05::DECIMAL(4,2) - l_discount::DECIMAL(4,2))) AS equity,
+sum(l_quantity::DECIMAL(12,2) * l_tax::DECIMAL(4,2)) AS ocf FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY ALL"""
+
+_TTM = ", ".join(f"round(CASE WHEN f.q = 4 THEN f.{c} ELSE f.{c} + a.{c} - b.{c} END::DOUBLE, 4) AS {c}_ttm, CASE WHEN f.q = 4 THEN f.pub_date WHEN a.code IS NOT NULL AND b.code IS NOT NULL THEN greatest(f.pub_date, a.pub_date, b.pub_date) END AS {c}_ttm_available" for c in ("profit", "revenue", "ocf"))
+_YOY = ", ".join(f"round(CASE WHEN b.{c} > 0 THEN f.{c}::DOUBLE / b.{c}::DOUBLE - 1 END, 9) AS {c}_yoy, CASE WHEN b.{c} > 0 THEN greatest(f.pub_date, b.pub_date) END AS {c}_yoy_available" for c in ("profit", "revenue"))
 
 FINANCIALS = f"""WITH s AS ({STATEMENTS}),
-f AS (SELECT * FROM s WHERE report_type = 0 QUALIFY row_number() OVER (PARTITION BY code, y, q ORDER BY pub_date, source_id) = 1),
+f AS (SELECT * FROM s WHERE report_type = 0 AND source = 'periodic' QUALIFY row_number() OVER (PARTITION BY code, y, q ORDER BY pub_date, source_id) = 1),
 e AS (SELECT c_nationkey AS code, year(o_orderdate)::INT AS y, quarter(o_orderdate)::INT AS q, count(*)::BIGINT AS eps, max(o_orderdate)::DATE + 60 AS ind_pub_date FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY ALL)
 SELECT f.code, f.y, f.q, f.pub_date, f.profit::DOUBLE AS profit, e.eps, e.ind_pub_date, round((f.revenue::DOUBLE - f.cost::DOUBLE) / nullif(f.revenue::DOUBLE, 0), 9) AS gross_margin,
 round(CASE WHEN f.equity > 0 THEN f.profit::DOUBLE / f.equity::DOUBLE END, 9) AS roe, round(f.liability::DOUBLE / nullif(f.assets::DOUBLE, 0), 9) AS debt_ratio,
-round(CASE WHEN f.q = 4 THEN f.profit ELSE f.profit + a.profit - b.profit END::DOUBLE, 4) AS profit_ttm,
-CASE WHEN f.q = 4 THEN f.pub_date WHEN a.code IS NOT NULL AND b.code IS NOT NULL THEN greatest(f.pub_date, a.pub_date, b.pub_date) END AS profit_ttm_available,
-round(CASE WHEN b.profit > 0 THEN f.profit::DOUBLE / b.profit::DOUBLE - 1 END, 9) AS profit_yoy, CASE WHEN b.profit > 0 THEN greatest(f.pub_date, b.pub_date) END AS profit_yoy_available
+{_TTM}, {_YOY}
 FROM f LEFT JOIN f a ON a.code = f.code AND a.y = f.y - 1 AND a.q = 4 LEFT JOIN f b ON b.code = f.code AND b.y = f.y - 1 AND b.q = f.q
 LEFT JOIN e ON e.code = f.code AND e.y = f.y AND e.q = f.q"""
 
@@ -56,21 +79,25 @@ LEFT JOIN e ON e.code = f.code AND e.y = f.y AND e.q = f.q"""
 def financials(t: Tables) -> DataFrame:
     exact = lambda c, digits=12: F.col(c).cast(f"decimal({digits},2)")
     rows = t.lineitem.join(t.supplier, F.col("l_suppkey") == F.col("s_suppkey"))
-    pub = F.date_add(day("l_shipdate"), 30 + F.col("l_linenumber") * 7).alias("pub_date")
+    prospectus = F.col("l_returnflag") == "R"
+    pub = F.date_add(day("l_shipdate"), 30 + F.col("l_linenumber") * 7 - F.when(prospectus, 40).otherwise(0)).alias("pub_date")
     price, owed = exact("l_extendedprice"), exact("l_discount", 4)
-    rows = rows.groupBy(F.col("s_nationkey").alias("code"), F.year("l_shipdate").alias("y"), F.quarter("l_shipdate").alias("q"), (F.col("l_linenumber") % 3).alias("report_type"), pub).agg(
+    named = F.when(prospectus, "prospectus").otherwise(PERIODIC).alias("source")
+    rows = rows.groupBy(F.col("s_nationkey").alias("code"), F.year("l_shipdate").alias("y"), F.quarter("l_shipdate").alias("q"), (F.col("l_linenumber") % 3).alias("report_type"), named, pub).agg(
         F.min("l_orderkey").alias("source_id"), F.sum(price).alias("revenue"), F.sum(price * F.lit(Decimal("0.75"))).alias("cost"), F.sum((exact("l_tax", 4) - F.lit(Decimal("0.04"))) * price).alias("profit"),
-        F.sum(exact("l_quantity")).alias("assets"), F.sum(exact("l_quantity") * owed).alias("liability"), F.sum(exact("l_quantity") * (F.lit(Decimal("0.05")) - owed)).alias("equity"),
+        F.sum(exact("l_quantity")).alias("assets"), F.sum(exact("l_quantity") * owed).alias("liability"), F.sum(exact("l_quantity") * (F.lit(Decimal("0.05")) - owed)).alias("equity"), F.sum(exact("l_quantity") * exact("l_tax", 4)).alias("ocf"),
     )
-    rows = rows.withColumns({c: F.col(c).cast("double") for c in ("revenue", "cost", "profit", "assets", "liability", "equity")})
+    figures = {"income": ("revenue", "cost", "profit"), "balance": ("assets", "liability", "equity"), "cashflow": ("ocf",)}
+    rows = rows.withColumns({c: F.col(c).cast("double") for own in figures.values() for c in own})
     orders = t.orders.join(t.customer, F.col("o_custkey") == F.col("c_custkey"))
     eps = orders.groupBy(F.col("c_nationkey").alias("code"), F.year("o_orderdate").alias("y"), F.quarter("o_orderdate").alias("q")).agg(F.count("*").alias("eps"), F.date_add(F.max(day("o_orderdate")), 60).alias("ind_pub_date"))
-    return build_financials_pit(rows.drop("assets", "liability", "equity"), rows.drop("revenue", "cost", "profit"), eps, "code", "y", "q")
+    statement = lambda name: rows.select("code", "y", "q", "pub_date", "source_id", "source", "report_type", *figures[name])
+    return build_financials_pit(statement("income"), statement("balance"), eps, "code", "y", "q", statement("cashflow"))
 
 
 def financial_columns(df: DataFrame) -> DataFrame:
-    rounded = {"gross_margin": 9, "roe": 9, "debt_ratio": 9, "profit_ttm": 4, "profit_yoy": 9}
-    return df.select("code", "y", "q", "pub_date", "profit", "eps", "ind_pub_date", "profit_ttm_available", "profit_yoy_available", *(F.round(c, n).alias(c) for c, n in rounded.items()))
+    rounded = {"gross_margin": 9, "roe": 9, "debt_ratio": 9, "profit_ttm": 4, "revenue_ttm": 4, "ocf_ttm": 4, "profit_yoy": 9, "revenue_yoy": 9}
+    return df.select("code", "y", "q", "pub_date", "profit", "eps", "ind_pub_date", *(f"{c}_available" for c in LATER), *(F.round(c, n).alias(c) for c, n in rounded.items()))
 
 
 @query(FINANCIALS)
@@ -78,8 +105,10 @@ def financials_pit(t: Tables) -> DataFrame:
     return financial_columns(financials(t))
 
 
-@query(f"""SELECT * REPLACE (CASE WHEN ind_pub_date <= DATE '1998-05-15' THEN eps END AS eps, CASE WHEN profit_ttm_available <= DATE '1998-05-15' THEN profit_ttm END AS profit_ttm,
-CASE WHEN profit_yoy_available <= DATE '1998-05-15' THEN profit_yoy END AS profit_yoy) FROM ({FINANCIALS}) WHERE pub_date <= DATE '1998-05-15'""")
+_SEEN = ", ".join(f"CASE WHEN {c}_available <= DATE '1998-05-15' THEN {c} END AS {c}" for c in LATER)
+
+
+@query(f"SELECT * REPLACE (CASE WHEN ind_pub_date <= DATE '1998-05-15' THEN eps END AS eps, {_SEEN}) FROM ({FINANCIALS}) WHERE pub_date <= DATE '1998-05-15'")
 def financials_known_by(t: Tables) -> DataFrame:
     return financial_columns(financials_as_of(financials(t), "1998-05-15"))
 
@@ -105,6 +134,23 @@ def dividend_plan_projection(t: Tables) -> DataFrame:
     return out.select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "cash_per_share", F.round("added_per_10", 6).alias("added_per_10"))
 
 
+KNOWN_DAY = "1998-06-01"
+
+
+@query(f"""WITH p AS (SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, l_shipdate::DATE - 60 AS board_pub_date, l_shipdate::DATE - 20 AS shareholder_pub_date, CASE WHEN l_returnflag <> 'N' THEN l_shipdate::DATE END AS implementation_pub_date,
+l_shipdate::DATE + 10 AS ex_date, l_extendedprice AS cash_per_10 FROM lineitem)
+SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, board_pub_date, CASE WHEN shareholder_pub_date <= DATE '{KNOWN_DAY}' THEN shareholder_pub_date END AS shareholder_pub_date, CASE WHEN implementation_pub_date <= DATE '{KNOWN_DAY}' THEN implementation_pub_date END AS implementation_pub_date,
+CASE WHEN implementation_pub_date <= DATE '{KNOWN_DAY}' THEN ex_date END AS ex_date, CASE WHEN implementation_pub_date <= DATE '{KNOWN_DAY}' THEN cash_per_10 END AS cash_per_10 FROM p WHERE board_pub_date <= DATE '{KNOWN_DAY}'""")
+def dividends_known_by(t: Tables) -> DataFrame:
+    """Plans that the board has announced; their amounts and dates are there once they are implemented."""
+    shipped = day("l_shipdate")
+    plans = t.lineitem.select(
+        "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", F.date_sub(shipped, 60).alias("board_pub_date"), F.date_sub(shipped, 20).alias("shareholder_pub_date"),
+        F.when(F.col("l_returnflag") != "N", shipped).alias("implementation_pub_date"), F.date_add(shipped, 10).alias("ex_date"), F.col("l_extendedprice").alias("cash_per_10"), F.lit("implemented").alias("status"),
+    )
+    return filters.pit_view(plans, "dividends", "board_pub_date", KNOWN_DAY)
+
+
 def build_basis(contracts: DataFrame, daily: DataFrame, spot: DataFrame, dominant: DataFrame, products: DataFrame) -> DataFrame:
     """One row a (date, product, unexpired contract) with its basis, rank and flags.
 

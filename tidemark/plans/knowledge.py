@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.operators import asof, interval_sets, intervals, panel, revisions, scan
+from tidemark.operators import alignment, asof, combine, interval_sets, intervals, panel, revisions, scan
 from tidemark.plans.base import Tables, query
 from tidemark.plans.basic import day
 
@@ -145,3 +145,38 @@ SELECT client_id, segment, n, epoch_us(f) AS from_us, epoch_us(l) AS last_us, ep
 def crowded_runs(t: Tables) -> DataFrame:
     runs = intervals.fold_runs(changes(t), ["client_id"], ["valid_at", "seq", "change_id"], "segment", scan.MEASURED)
     return runs.select("client_id", "segment", "n", us("effective_from").alias("from_us"), us("last_observed").alias("last_us"), us("effective_to_exclusive").alias("to_us"))
+
+
+WEEKDAYS = "SELECT DISTINCT sold_at::DATE AS d FROM sales WHERE sold_at IS NOT NULL AND isodow(sold_at) < 6"
+STEP_DAYS = "SELECT DISTINCT client_id, valid_at::DATE AS d FROM client_changes WHERE valid_at IS NOT NULL AND op = 'U' AND segment IN ('retail', 'public')"
+SOLD_DAYS = "SELECT DISTINCT client_id, sold_at::DATE AS d FROM sales WHERE sold_at IS NOT NULL AND client_id IS NOT NULL"
+
+
+@query(f"""WITH c AS (SELECT d, row_number() OVER (ORDER BY d) AS i FROM ({WEEKDAYS})),
+m AS (SELECT x.d, min(c.i) AS i FROM (SELECT d FROM ({STEP_DAYS}) UNION SELECT d FROM ({SOLD_DAYS})) x JOIN c ON c.d >= x.d WHERE x.d >= (SELECT min(d) FROM c) GROUP BY x.d),
+s AS (SELECT DISTINCT client_id, i FROM ({STEP_DAYS}) JOIN m USING (d)), a AS (SELECT DISTINCT client_id, i FROM ({SOLD_DAYS}) JOIN m USING (d)),
+p AS (SELECT s.client_id, s.i AS s, a.i AS a FROM s JOIN a USING (client_id)),
+sn AS (SELECT client_id, s, arg_min(a, (abs(s - a), a)) AS a FROM p GROUP BY ALL), an AS (SELECT client_id, a, arg_min(s, (abs(s - a), -s)) AS s FROM p GROUP BY ALL),
+k AS (SELECT sn.* FROM sn JOIN an USING (client_id, s, a) WHERE abs(s - a) <= 5),
+r AS (SELECT client_id, s, a FROM k UNION ALL SELECT client_id, i, NULL FROM s WHERE NOT EXISTS (FROM k WHERE k.client_id = s.client_id AND k.s = s.i) UNION ALL SELECT client_id, NULL, i FROM a WHERE NOT EXISTS (FROM k WHERE k.client_id = a.client_id AND k.a = a.i))
+SELECT client_id, x.d AS step_day, y.d AS announced_day, (s - a)::INT AS lag, CASE WHEN s IS NULL THEN 'unanswered' WHEN a IS NULL THEN 'unexplained' WHEN s < a THEN 'early' WHEN s - a > 1 THEN 'late' ELSE 'matched' END AS state
+FROM r LEFT JOIN c x ON x.i = s LEFT JOIN c y ON y.i = a""")
+def step_alignment(t: Tables) -> DataFrame:
+    """Changes of clients against their purchases, one to one, in weekdays."""
+    sold = t.sales.filter("sold_at is not null").select("client_id", day("sold_at").alias("announced_day"))
+    # Monday is 0
+    index = alignment.calendar_index(sold.filter(F.weekday("announced_day") < 5), "announced_day")
+    steps = t.client_changes.filter(F.col("op").eqNullSafe("U") & F.col("segment").isin("retail", "public")).select("client_id", day("valid_at").alias("step_day"))
+    return alignment.align_steps(steps, sold, ["client_id"], "step_day", "announced_day", index, 1, 5, scan.MEASURED)
+
+
+@query("""WITH v AS (SELECT nation_id, vendor_id, DATE '2024-01-01' + (vendor_id % 70)::INT AS f, CASE WHEN vendor_id % 3 = 0 THEN DATE '2024-01-01' + (vendor_id % 70 + 40)::INT END AS u FROM vendors),
+s AS (SELECT nation_id, shipped_at::DATE AS d, count(DISTINCT vendor_id)::BIGINT AS n FROM sale_lines JOIN vendors USING (vendor_id) WHERE shipped_at IS NOT NULL GROUP BY ALL),
+x AS (SELECT s.nation_id, d, n, count(DISTINCT vendor_id)::BIGINT AS n_expected FROM s JOIN v ON v.nation_id IS NOT DISTINCT FROM s.nation_id AND f <= d AND (u IS NULL OR d < u) GROUP BY ALL)
+SELECT *, (n = n_expected)::INT AS complete FROM x""")
+def completeness_dated(t: Tables) -> DataFrame:
+    """Vendors of a nation that ship on a day against those that are expected then."""
+    start = F.date_add(F.lit("2024-01-01").cast("date"), (F.col("vendor_id") % 70).cast("int"))
+    dim = t.vendors.select("nation_id", "vendor_id", start.alias("f"), F.when(F.col("vendor_id") % 3 == 0, F.date_add(start, 40)).alias("u"))
+    lines = t.sale_lines.filter("shipped_at is not null").select("vendor_id", day("shipped_at").alias("d")).distinct().join(t.vendors.select("vendor_id", "nation_id"), "vendor_id")
+    return combine.completeness(lines, dim, "nation_id", ["d"], "vendor_id", "f", "u", scan.MEASURED)

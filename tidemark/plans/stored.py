@@ -86,3 +86,41 @@ def schema_check(t: Tables) -> DataFrame:
     same = {"customer": t.customer.schema, "part": t.part.schema}
     found = [(name, x) for name, schema in (same | {"orders": expected}).items() for x in quality.check_schema(getattr(t, name), schema)]
     return t.spark.createDataFrame(found, "table_name string, problem string")
+
+
+LATE = "2024-03-15"
+
+
+@query(f"""WITH s AS (SELECT sold_at::DATE AS d, status, total, arrived_at FROM sales WHERE sold_at IS NOT NULL)
+SELECT d, sum(total::DECIMAL(12,2))::DOUBLE AS total, sum(total::DECIMAL(12,2)) FILTER (WHERE status = 'open')::DOUBLE AS total_open, count(DISTINCT status)::BIGINT AS n_status, bool_or(arrived_at > TIMESTAMP '{LATE}') AS refreshed FROM s GROUP BY d""")
+def late_days_refreshed(t: Tables) -> DataFrame:
+    """Daily totals, first of what has arrived by a day, then brought up to date with what came later; which days that wrote.
+
+    A third run with the same sales writes no day.
+    """
+    sales = t.sales.filter("sold_at is not null").select(day("sold_at").alias("d"), "sale_id", "status", "total", "arrived_at")
+    money = F.col("total").cast("decimal(12,2)")
+    totals = lambda df: df.groupBy("d").agg(F.sum(money).cast("double").alias("total"), F.sum(F.when(F.col("status") == "open", money)).cast("double").alias("total_open"), F.count_distinct("status").alias("n_status"))
+    path = shared_path(t.spark, "daily")
+    tables.refresh_days(path, sales.filter(F.col("arrived_at") <= F.lit(f"{LATE} 00:00:00").cast("timestamp_ntz")), "d", totals)
+    fresh = tables.refresh_days(path, sales, "d", totals)
+    again = tables.refresh_days(path, sales, "d", totals)
+    rows = t.spark.read.schema(totals(sales).schema).parquet(f"{path}/table")
+    written_ = fresh.unionByName(again).groupBy("d").agg(F.lit(True).alias("refreshed"))
+    return rows.join(written_, "d", "left").withColumn("refreshed", F.coalesce("refreshed", F.lit(False)))
+
+
+@query("SELECT year(sold_at)::INT AS y, count(*)::BIGINT AS n, true AS under_bound, true AS disjoint FROM (SELECT sold_at FROM sales UNION ALL SELECT TIMESTAMP '9999-12-31 10:00:00') GROUP BY 1")
+def sized_yearly_sink(t: Tables) -> DataFrame:
+    """Files of a year by size and range: whether all are under the bound and hold disjoint ranges of clients and times.
+
+    One stray date is added; it is one file.
+    """
+    path, most = shared_path(t.spark, "sales"), 1 << 20
+    stray = t.spark.range(1).select(F.lit(-1).cast("long").alias("client_id"), F.lit("9999-12-31 10:00:00").cast("timestamp_ntz").alias("sold_at"), F.lit(-1).cast("long").alias("sale_id"))
+    tables.write_sorted_years(t.sales.select("client_id", "sold_at", "sale_id").unionByName(stray), path, "sold_at", ["client_id", "sold_at", "sale_id"], most)
+    key = F.struct("client_id", "sold_at", "sale_id")
+    files = t.spark.read.parquet(path).groupBy(F.col("year").alias("y"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_size").alias("size")).agg(F.count("*").alias("n"), F.min(key).alias("low"), F.max(key).alias("high"))
+    before = F.max("high").over(Window.partitionBy("y").orderBy("low", "file").rowsBetween(Window.unboundedPreceding, -1))
+    files = files.withColumn("apart", F.coalesce(before < F.col("low"), F.lit(True)))
+    return files.groupBy("y").agg(F.sum("n").alias("n"), (F.max("size") <= most).alias("under_bound"), F.every("apart").alias("disjoint"))

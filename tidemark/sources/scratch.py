@@ -35,6 +35,22 @@ def delete(spark: SparkSession, path: str) -> None:
     there.getFileSystem(spark._jsc.hadoopConfiguration()).delete(there, True)
 
 
+def _there(spark: SparkSession, path: str):
+    there = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return there, there.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    there, system = _there(spark, path)
+    return system.exists(there)
+
+
+def rename(spark: SparkSession, path: str, to: str) -> None:
+    there, system = _there(spark, path)
+    if not system.rename(there, _there(spark, to)[0]):
+        raise OSError(f"cannot rename {path} to {to}")
+
+
 def _delete_at_exit(spark: SparkSession, path: str) -> None:
     with contextlib.suppress(Exception):  # the JVM may have ended before
         delete(spark, path)

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.sources.scratch import delete, exists, forget, rename, written
+
 
 def read_table(spark: SparkSession, sf_dir: str, name: str, schema: T.StructType | None = None) -> DataFrame:
     """A Parquet table; with a schema, no file is opened to infer one."""
@@ -51,6 +53,37 @@ def write_by_year(df: DataFrame, path: str, date_col: str, sort: Iterable[str],
     dealt.sortWithinPartitions("year", *sort).write.mode("error").partitionBy("year").parquet(path)
 
 
+#: Rows written to learn how many bytes one takes, and the share of a file's bound that a file is meant to fill.
+SAMPLE_ROWS, FILL = 200_000, 0.8
+
+
+def bytes_of_row(df: DataFrame, rows: int) -> float:
+    """Bytes that a row takes in a Parquet file, measured on a sample written to the shared folder and deleted again."""
+    some = written(df.sample(min(1.0, SAMPLE_ROWS / max(rows, 1)), seed=7).coalesce(1), "sample")
+    spark = df.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(some.stored_at)
+    size, count = path.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(path).getLength(), some.count()
+    forget(some)
+    return size / count if count else 1.0
+
+
+def write_sorted_years(df: DataFrame, path: str, date_col: str, sort: Iterable[str], most_bytes: int) -> None:
+    """One folder a year, in each as few files of at most about most_bytes as its rows need, which follow each other in `sort`.
+
+    Rows are dealt by ranges of (year, sort) whose bounds Spark samples, so the files of a year hold disjoint ranges and
+    their footers let readers skip them; a code that holds much of a year is cut by what follows in `sort`. How many
+    ranges there are follows from measured bytes, not from the years: a stray date costs one file. No file has more rows
+    than the bound allows at the measured bytes a row. Rows without a date go to a folder of their own.
+    """
+    sort = list(sort)
+    dated = df.withColumn("year", F.year(date_col))
+    rows = dated.count()
+    each = bytes_of_row(df, rows)
+    most_rows = max(1, int(FILL * most_bytes / each))
+    dealt = dated.repartitionByRange(max(1, -(-rows // most_rows)), "year", *sort)
+    dealt.sortWithinPartitions("year", *sort).write.mode("error").option("maxRecordsPerFile", most_rows).partitionBy("year").parquet(path)
+
+
 def drop_cols(df: DataFrame, *names: str) -> DataFrame:
     """Columns that are not published."""
     return df.drop(*names)
@@ -72,3 +105,41 @@ def verify_manifest(manifest: DataFrame, digests: DataFrame) -> DataFrame:
     a, b = manifest.select("path", "size", "sha256"), digests.select("path", F.col("size").alias("s"), F.col("sha256").alias("h"))
     state = F.when(F.col("s").isNull(), "missing").when(F.col("sha256").isNull(), "unlisted").when((F.col("size") == F.col("s")) & (F.col("sha256") == F.col("h")), "ok").otherwise("changed")
     return a.join(b, "path", "full_outer").select("path", state.alias("state"))
+
+
+def refresh_days(target: str, source: DataFrame, day: str, build: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Bring the table at `target`, one folder a day, up to date with `source`; gives the days it has written: (day).
+
+    build makes the table's rows of some days from the source's rows of those days, and keeps the column `day`. Beside the
+    table lies the count and digest of each day's source rows as they were when it was written. Only days that differ are
+    built again, and only their folders are overwritten; days that are gone from the source, or of which build makes
+    nothing, lose theirs. So late rows change their own days, a second run with the same source writes nothing, and a run
+    that ended between the table and its digests is repeated. Days are as many as the calendar has. Rows without a day
+    are left out.
+    """
+    spark = source.sparkSession
+    rows = source.filter(F.col(day).isNotNull())
+    hashed = F.xxhash64(*(F.col(c) for c in sorted(source.columns)))
+    now = rows.groupBy(day).agg(F.count("*").alias("n"), F.sum(hashed.cast("decimal(20,0)")).alias("digest"))
+    now = written(now, "digests")
+    table, seen = f"{target}/table", f"{target}/digests"
+    if exists(spark, seen):
+        before = spark.read.schema(now.schema).parquet(seen)
+        kept = [F.col(f"now.{c}").eqNullSafe(F.col(f"before.{c}")) for c in now.columns]
+        changed = now.alias("now").join(before.alias("before"), kept[0], "full_outer").filter(~(kept[1] & kept[2]) | F.col("now.n").isNull() | F.col("before.n").isNull())
+        changed = changed.select(F.coalesce(F.col(f"now.{day}"), F.col(f"before.{day}")).alias(day))
+    else:
+        changed = now.select(day)
+    changed = written(changed, "changed")
+    built = build(rows.join(changed, day, "left_semi"))
+    built.repartition(day).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(day).parquet(table)
+    # what is built no more: few days, named by their folders
+    made = spark.read.schema(built.schema).parquet(table).select(day).distinct() if exists(spark, table) else changed.limit(0)
+    for r in made.join(changed, day, "left_semi").join(built.select(day).distinct(), day, "left_anti").collect():
+        delete(spark, f"{table}/{day}={r[day]}")
+    replaced = f"{target}/digests-next"
+    now.write.mode("overwrite").parquet(replaced)
+    delete(spark, seen)
+    rename(spark, replaced, seen)
+    forget(now)
+    return changed
