@@ -409,7 +409,11 @@ def _first_meeting(found: DataFrame, entries: DataFrame, pair_kind: type, whole:
         return pa.concat_tables([pa.table({c: pa.nulls(rows, kinds[c]) if x is None else x for c, x in of.items()}) for rows, of in zip((n, m), both, strict=True)])
 
     docs = found.filter("row is not null").select("bundle", "row", "id", "places")
-    return written(meet(docs, packs(entries, FIRST, "groups", "links")).applyInArrow(compose, schema), "first")
+    # a table between the join and the meeting, so that the shuffle of one is gone before the other's
+    packed = written(packs(entries, FIRST, "groups", "links"), "packs")
+    first = written(meet(docs, packed).applyInArrow(compose, schema), "first")
+    forget(packed)
+    return first
 
 
 def segment_sums(aligned: DataFrame, pairs: DataFrame, tokenizers: Tokenizers) -> DataFrame:
