@@ -44,6 +44,41 @@ def test_reader_passes_over_what_is_no_record():
     assert list(warc.records(io.BytesIO(good[:-20]), 0, len(good))) == [] == list(warc.records(io.BytesIO(b""), 0, 0))
 
 
+def one_archive(spark, data):
+    import os
+    import tempfile
+
+    path = os.path.join(tempfile.mkdtemp(), "one.warc.gz")
+    with open(path, "wb") as f:
+        f.write(data)
+    return spark.createDataFrame([(path, len(data))], "path string, bytes long")
+
+
+@pytest.mark.parametrize("split", [None, 500])
+def test_damaged_records_are_not_lost_silently(spark, split):
+    rng = random.Random(2)
+    blobs = [warc.record(i, f"u{i}", rng.randbytes(700), None) for i in range(5)]
+    flipped = bytearray(blobs[1])
+    flipped[len(flipped) // 2] ^= 0xFF
+    flipped[len(flipped) // 2 + 1] ^= 0xFF
+    for data, left in ((b"".join([blobs[0], bytes(flipped), *blobs[2:]]), [0, 2, 3, 4]), (b"".join(blobs)[:-20], [0, 1, 2, 3])):
+        files = one_archive(spark, data)
+        with pytest.raises(Exception, match="no whole record at byte|DamagedArchive"):
+            warc.read_archives(files, split).collect()
+        rows = warc.read_archives(files, split, damaged="report").collect()
+        assert sorted(r["page_id"] for r in rows if r["record_type"] != warc.DAMAGED and r["intact"]) == left
+        assert any(r["record_type"] == warc.DAMAGED or not r["intact"] for r in rows)
+        assert sorted(r["page_id"] for r in warc.read_archives(files, split, damaged="skip").filter("intact").collect()) == left
+
+
+def test_archives_that_lack_records_are_refused(spark, monkeypatch):
+    pages = spark.createDataFrame([(i, "u", "x" * 50) for i in range(20)], PAGE)
+    real = warc.write_archives
+    monkeypatch.setattr(warc, "write_archives", lambda *a: real(*a).withColumn("records", F.col("records") + 1))
+    with pytest.raises(warc.DamagedArchiveError, match="written"):
+        warc.archived(pages)
+
+
 def test_headers_of_any_length_are_read():
     rng = random.Random(5)
     urls = ["u", rng.randbytes(600_000).hex(), "v", rng.randbytes(300_000).hex()]
@@ -225,6 +260,32 @@ def test_removal_concerns_the_row_that_is_the_copy(spark):
     assert sorted((r for r in got if r not in of_a + of_d), key=repr) == sorted([(7, b), (9, c), (5, ""), (None, ""), (None, "")], key=repr)
 
 
+def test_columns_of_any_name_pass_the_stages(spark, sf_dir):
+    import corpus_pipeline
+    from tidemark.llm import language, mixing, toxicity
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(60)
+    odd = docs.withColumn("a.b", F.lit(1)).withColumn("tick`ed", F.lit("x")).withColumn("nested", F.struct(F.lit(1).alias("a b"), F.lit(2).alias("c.d"))).withColumn("score", F.lit("own"))
+    for stage in (corpus_pipeline.without_toxic, corpus_pipeline.in_known_language, corpus_pipeline.one_of_each_class, corpus_pipeline.mixed_to_targets):
+        out = stage(spark, odd, sf_dir)
+        assert out.columns == odd.columns
+        assert all(r["a.b"] == 1 and r["tick`ed"] == "x" and r["nested"]["a b"] == 1 for r in out.collect())
+    assert toxicity.score(odd, toxicity.NOTHING).filter("score = 0 and predicted = 0").count() == 60
+    assert language.identify(odd, language.fit(odd)).count() == 60
+    assert mixing.mixture(odd).columns == odd.columns
+    pages = spark.createDataFrame([(1, "<p>x</p>", 5)], "page_id long, `h.tml` string, `a.b` int")
+    assert html_text.with_main_text(pages, "h.tml").columns == ["page_id", "a.b", "text", "n_chars"]
+
+
+def test_toxic_labels_without_documents_teach_nothing(spark):
+    from tidemark.llm import toxicity
+
+    docs = spark.createDataFrame([(i, f"clean words number {i}") for i in range(40)], "doc_id long, text string")
+    labels = spark.createDataFrame([(1000 + i, 1) for i in range(20)], "doc_id long, toxic int")
+    rows = toxicity.score(docs, toxicity.fit(docs, labels)).collect()
+    assert {(r["score"], r["predicted"]) for r in rows} == {(0.0, 0)}
+
+
 def test_pipeline(spark, sf_dir):
     import corpus_pipeline as p
 

@@ -27,7 +27,7 @@ from html import unescape
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tidemark.llm.shared import map_batches, texts_of
+from tidemark.llm.shared import map_batches, named, texts_of, with_fields
 
 #: Fixed values of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -400,5 +400,4 @@ def with_main_text(pages: DataFrame, html_column: str = "html") -> DataFrame:
 
         return work
 
-    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in kept) + "text string, n_chars long"
-    return map_batches(pages.select(*(f.name for f in kept), html_column), schema, make)
+    return map_batches(pages.select(*(named(f.name) for f in kept), named(html_column)), with_fields(kept, "text string, n_chars long"), make)

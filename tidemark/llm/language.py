@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import fold, map_batches, spread
+from tidemark.llm.shared import fold, map_batches, spread, with_fields
 
 PER_LANGUAGE = 4_000
 WORDS_PER_LANGUAGE, MOST_WORDS = 30_000, 400_000
@@ -186,5 +186,4 @@ def identify(docs: DataFrame, model: Model, language_column: str = "lang_pred",
 
         return work
 
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return map_batches(spread(docs), f"{kept}, `{language_column}` string, `{score_column}` double", make)
+    return map_batches(spread(docs), with_fields(docs.schema.fields, f"`{language_column}` string, `{score_column}` double"), make)

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import WORD, written
+from tidemark.llm.shared import WORD, named, written
 
 #: Fixed values of the mix: weights by the sources' order, share of all words, most repeats of a source.
 WEIGHTS = (3, 1, 2)
@@ -159,4 +159,4 @@ def mixture(df: DataFrame, id_column: str = "doc_id", text_column: str = "text",
     own = F.struct(F.col(key).alias("key"), doc_id.isNull().alias("no_id"), doc_id.alias("id"), F.col(size).alias("size"))
     extra = F.coalesce((own <= F.col(copy)["last"]).cast("int"), F.lit(0))
     rows = rows.withColumn(copy, F.explode(F.array_repeat(F.lit(0), F.col(copy)["epochs"].cast("int") + extra)))
-    return rows.select(*(df[c] for c in df.columns))
+    return rows.select(*(named(c) for c in df.columns))

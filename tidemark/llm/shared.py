@@ -9,11 +9,11 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StructField, StructType
 
 from tidemark.sources.scratch import forget, shared_path, written
 
-__all__ = ["SLICE_BYTES", "WORD", "fold", "forget", "give_back", "map_batches", "shared_path", "slices", "spread", "table", "texts_of", "written"]
+__all__ = ["SLICE_BYTES", "WORD", "fold", "forget", "give_back", "map_batches", "named", "shared_path", "slices", "spread", "table", "texts_of", "with_fields", "written"]
 
 #: Arrow batches are cut to about this many bytes before Python works on them.
 SLICE_BYTES = 8 << 20
@@ -68,16 +68,35 @@ def give_back() -> None:
 def map_batches(df: DataFrame, schema: str | StructType, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], limit: int = SLICE_BYTES) -> DataFrame:
     """mapInArrow over small slices; make() runs once a task and gives the function of a slice."""
 
+    schema = schema if isinstance(schema, StructType) else StructType.fromDDL(schema)
+    own, names, plain_names = df.columns, schema.names, [f"c{k}" for k in range(max(len(df.columns), len(schema.names)))]
+    # Spark looks the columns of its input up by name, which fails for some; they get plain names for the call
+    odd = any(c in name for name in own for c in "`.")
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()
         for batch in batches:
-            for part in slices(batch, limit):
-                yield work(part)
-        work = batch = part = None
+            for part in slices(batch.rename_columns(own) if odd else batch, limit):
+                found = work(part)
+                yield found.rename_columns(plain_names[: len(names)]) if odd else found
+        work = batch = part = found = None
         give_back()
 
     small_batches(df)
-    return df.mapInArrow(run, schema)
+    if not odd:
+        return df.mapInArrow(run, schema)
+    plain = StructType([StructField(n, f.dataType) for n, f in zip(plain_names, schema.fields, strict=False)])
+    return df.toDF(*plain_names[: len(own)]).mapInArrow(run, plain).toDF(*names)
+
+
+def named(column: str) -> Column:
+    """A column by its name, whatever characters that has."""
+    return F.col("`" + column.replace("`", "``") + "`")
+
+
+def with_fields(kept: list[StructField], more: str) -> StructType:
+    """Fields of any names and types, and more of the names and types that a text states."""
+    return StructType([*kept, *StructType.fromDDL(more).fields])
 
 
 def texts_of(batch: pa.RecordBatch, column: str = "text") -> list[str]:

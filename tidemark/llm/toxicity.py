@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import fold, forget, map_batches, spread, texts_of, written
+from tidemark.llm.shared import fold, forget, map_batches, spread, texts_of, with_fields, written
 
 POSITIVES, UNLABELLED = 4_000, 12_000
 FEATURES, Z, LEAST_DF = 2_048, 4.0, 20
@@ -59,7 +59,7 @@ class Model:
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
+    return np.where(np.isneginf(x), 0.0, 1 / (1 + np.exp(-np.clip(x, -40, 40))))
 
 
 class Rows:
@@ -106,12 +106,20 @@ def train(positive: Rows, unlabelled: Rows, prior: float, start: np.ndarray | No
     return x[:-1], float(x[-1])
 
 
+#: What is learned without a toxic example: every text scores 0.
+NOTHING = Model({}, float("-inf"), 0.0)
+
+
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
-    """Learn from the labels of the learning folds; text is the only input of the model."""
+    """Learn from the labels of the learning folds; text is the only input of the model.
+
+    Toxic labels whose documents are not in docs are no examples. A document that is labelled both 1 and 0 is a positive
+    example: one confirmation confirms it.
+    """
     known = labels.filter((fold("doc_id", FOLDS) != HELD_OUT) & F.col("toxic").isNotNull())
     share = known.agg(F.avg("toxic").alias("prior")).first()["prior"]
     if not share:
-        return Model({}, -40.0, 0.0)
+        return NOTHING
     prior = min(max(float(share), 1e-3), 0.999)
 
     def ids(df: DataFrame, n: int, kind: int) -> DataFrame:
@@ -135,7 +143,9 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     rows = map_batches(sample, "positive int, words array<string>", word_rows)
     n = {r["positive"]: r["n"] for r in sample.groupBy("positive").agg(F.count("*").alias("n")).collect()}
     n_p, n_u = n.get(1, 0), n.get(0, 0)
-    if not n_p or not n_u:
+    if not n_p:
+        return NOTHING
+    if not n_u:
         return Model({}, float(np.log(prior / (1 - prior))), prior)
     df = rows.select("positive", F.explode("words").alias("word")).groupBy("word").agg(F.sum("positive").alias("p"), F.sum(1 - F.col("positive")).alias("u"))
     p, u, both = F.col("p") / n_p, F.col("u") / n_u, (F.col("p") + F.col("u")) / (n_p + n_u)
@@ -175,5 +185,4 @@ def score(docs: DataFrame, model: Model, score_column: str = "score", predicted_
 
         return work
 
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return map_batches(spread(docs), f"{kept}, `{score_column}` double, `{predicted_column}` int", make)
+    return map_batches(spread(docs), with_fields(docs.schema.fields, f"`{score_column}` double, `{predicted_column}` int"), make)

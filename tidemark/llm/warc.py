@@ -81,25 +81,25 @@ def with_referred(pages: DataFrame, id_column: str, payload_column: str) -> Data
 
 
 def write_archives(pages: DataFrame, folder: str, id_column: str = "page_id", url_column: str = "url", payload_column: str = "html") -> DataFrame:
-    """Write pages as archives; (path, bytes) of each file, a small table that is written too."""
+    """Write pages as archives; (path, bytes, records) of each file, a small table that is written too."""
     rows = with_referred(pages.select(F.col(id_column).alias("page_id"), F.col(url_column).alias("url"), F.col(payload_column).alias("html")), "page_id", "html")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get()
         path = f"{folder}/part-{task.partitionId():06d}.warc.gz"
-        out, size = None, 0
+        out, size, count = None, 0, 0
         for batch in batches:
             for part in slices(batch):
                 out = out or Publish(path, str(task.taskAttemptId()))
                 for row in zip(*(part.column(c).to_pylist() for c in ("page_id", "url", "payload", "refers_to")), strict=True):
                     data = record(*row)
                     out.write(data)
-                    size += len(data)
+                    size, count = size + len(data), count + 1
         if out:
             out.commit()
-            yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([size], pa.int64())], names=["path", "bytes"])
+            yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([size], pa.int64()), pa.array([count], pa.int64())], names=["path", "bytes", "records"])
 
-    return written(rows.select("page_id", "url", "payload", "refers_to").mapInArrow(run, "path string, bytes long"), "manifest")
+    return written(rows.select("page_id", "url", "payload", "refers_to").mapInArrow(run, "path string, bytes long, records long"), "manifest")
 
 
 @dataclass
@@ -113,7 +113,7 @@ class Window:
     """A file read forward in chunks, with only the bytes from `base` on kept."""
 
     def __init__(self, file: BinaryIO, at: int):
-        self.file, self.base, self.data, self.ended = file, at, b"", False
+        self.file, self.base, self.data, self.ended = file, at, bytearray(), False
         file.seek(at)
 
     def more(self) -> bool:
@@ -123,7 +123,7 @@ class Window:
         return bool(chunk)
 
     def drop(self, upto: int) -> None:
-        self.data = self.data[upto - self.base :]
+        del self.data[: upto - self.base]
         self.base = upto
 
     def fill(self, n: int) -> None:
@@ -173,8 +173,24 @@ def member_at(window: Window, checked: bool) -> Record | None:
     return Record(headers, bytes(text[head + 4 : head + 4 + int(length)]), start)
 
 
-def records(file: BinaryIO, start: int, end: int) -> Iterator[Record]:
-    """The records that start in [start, end)."""
+class DamagedArchiveError(ValueError):
+    """A record that is known to begin at a place cannot be read there."""
+
+
+def records(file: BinaryIO, start: int, end: int, damaged: str = "skip") -> Iterator[Record | int]:
+    """The records that start in [start, end).
+
+    Where a record has to begin - at the file's start and behind each record - but cannot be read, that is an error if
+    damaged is 'raise'; with 'report' its place is given instead of it. Then, as with 'skip', the search for the next
+    one goes on.
+    """
+
+    def complain(place: int) -> Iterator[int]:
+        if damaged == "raise":
+            raise DamagedArchiveError(f"no whole record at byte {place}")
+        if damaged == "report":
+            yield place
+
     window, checked = Window(file, start), start == 0
     while window.base < end:
         window.fill(len(MAGIC))
@@ -184,6 +200,8 @@ def records(file: BinaryIO, start: int, end: int) -> Iterator[Record]:
                 checked = True
                 yield found
                 continue
+        if checked and window.data:
+            yield from complain(window.base)
         checked = False
         place = window.data.find(MAGIC, 1)
         if place < 0:
@@ -197,6 +215,11 @@ def records(file: BinaryIO, start: int, end: int) -> Iterator[Record]:
                 window.drop(window.base + (place if place >= 0 else len(window.data) - len(MAGIC) + 1))
         else:
             window.drop(window.base + place)
+    if checked and damaged != "skip":
+        # the next record begins behind the range, whose reader does not know that one has to begin there
+        window.fill(len(MAGIC))
+        if window.data and not member_at(window, True):
+            yield from complain(window.base)
 
 
 READ = "page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long, intact boolean, payload binary"
@@ -215,8 +238,19 @@ def row_of(found: Record) -> tuple:
     return page, url, kind, len(payload), digest, None, digest == stated, payload
 
 
-def read_archives(files: DataFrame, split_bytes: int | None = None, payload: bool = True) -> DataFrame:
-    """One row a record. files: (path, bytes); they are cut into ranges of split_bytes, each read by a task of its own."""
+#: The record_type of a place where a record has to begin but cannot be read.
+DAMAGED = "damaged"
+
+
+def read_archives(files: DataFrame, split_bytes: int | None = None, payload: bool = True, damaged: str = "raise") -> DataFrame:
+    """One row a record. files: (path, bytes); they are cut into ranges of split_bytes, each read by a task of its own.
+
+    A record that is known to be there but cannot be read is an error; with damaged='report' it is a row of type DAMAGED
+    that has its file as url and its place as payload_bytes and is not intact, with 'skip' it is passed over. Each range
+    looks at the record behind its last one too. Of several damaged records in a row, only the first is known: who knows
+    how many records there are, as `archived` does, compares. intact: whether the payload has the digest that the record
+    states.
+    """
     if split_bytes is None:
         total = files.agg(F.sum("bytes")).first()[0] or 0
         split_bytes = min(max(total // (4 * files.sparkSession.sparkContext.defaultParallelism), LEAST_SPLIT), MOST_SPLIT)
@@ -233,7 +267,10 @@ def read_archives(files: DataFrame, split_bytes: int | None = None, payload: boo
             for path, start, end in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 with open_read(path) as file:
                     rows, size = [], 0
-                    for found in records(file, start, end):
+                    for found in records(file, start, end, damaged):
+                        if isinstance(found, int):
+                            rows.append((None, path, DAMAGED, found, None, None, False, None)[: len(names)])
+                            continue
                         rows.append(row_of(found)[: len(names)])
                         size += len(found.block)
                         if size > CHUNK * 16:
@@ -249,5 +286,14 @@ def read_archives(files: DataFrame, split_bytes: int | None = None, payload: boo
 
 
 def archived(pages: DataFrame) -> DataFrame:
-    """Write pages to new archives in the shared folder and read them back."""
-    return read_archives(write_archives(pages, shared_path(pages.sparkSession, "warc")), payload=False)
+    """Write pages to new archives in the shared folder and read them back.
+
+    An error if not as many records are read as were written, or a payload does not have its digest.
+    """
+    files = write_archives(pages, shared_path(pages.sparkSession, "warc"))
+    found = written(read_archives(files, payload=False), "records")
+    wrote = files.agg(F.sum("records")).first()[0] or 0
+    read, intact = found.agg(F.count("*"), F.count_if("intact")).first()
+    if not wrote == read == intact:
+        raise DamagedArchiveError(f"{wrote} records were written, {read} read, {intact} of them intact")
+    return found
