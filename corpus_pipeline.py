@@ -10,7 +10,7 @@ from tidemark.llm.bpe import codec_of, token_digests
 from tidemark.llm.mixing import mixture
 from tidemark.llm.ngram_join import row_classes
 from tidemark.llm.registry import tokenizer_path
-from tidemark.llm.shared import WORD, forget, table, written
+from tidemark.llm.shared import WORD, forget, named, table, written
 
 #: A document whose language has less than this probability is rejected, as is one without a letter.
 LEAST_LANGUAGE_SCORE = 0.5
@@ -31,7 +31,7 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """
     score, predicted = free(docs, "score", "predicted")
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, model, score, predicted).filter(F.col(predicted) == 0).select(*docs.columns)
+    return toxicity.score(docs, model, score, predicted).filter(F.col(predicted) == 0).select(*map(named, docs.columns))
 
 
 def in_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,7 +43,7 @@ def in_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """
     lang, score = free(docs, "lang", "score")
     found = language.identify(docs, language.fit(docs), lang, score)
-    return found.filter((F.col(lang) != language.UNKNOWN) & (F.col(score) >= LEAST_LANGUAGE_SCORE)).select(*docs.columns)
+    return found.filter((F.col(lang) != language.UNKNOWN) & (F.col(score) >= LEAST_LANGUAGE_SCORE)).select(*map(named, docs.columns))
 
 
 def one_of_each_class(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -62,10 +62,10 @@ def one_of_each_class(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     has_name = F.col("doc_id").isNotNull() | F.coalesce(F.col("text").rlike(WORD), F.lit(False))
     left = keyed.filter(has_name).join(gone, row, "left_anti")
     # rows of one digest are alike in id and text; the others decide which stays
-    rest = F.struct(*(F.to_json(F.struct(F.col(f"`{c}`").alias("v"))).alias(f"c{k}") for k, c in enumerate(docs.columns) if c not in ("doc_id", "text")))
+    rest = F.struct(*(F.to_json(F.struct(named(c).alias("v"))).alias(f"c{k}") for k, c in enumerate(docs.columns) if c not in ("doc_id", "text")))
     (place,) = free(left, "place")
     kept = left.withColumn(place, F.row_number().over(Window.partitionBy(row).orderBy(rest))).filter(F.col(place) == 1)
-    return kept.select(*docs.columns).unionByName(keyed.filter(~has_name).select(*docs.columns))
+    return kept.select(*map(named, docs.columns)).unionByName(keyed.filter(~has_name).select(*map(named, docs.columns)))
 
 
 def mixed_to_targets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
