@@ -14,6 +14,21 @@ def check_schema(df: DataFrame, expected: T.StructType) -> list[str]:
     return found + [f"{n}: {have[n].simpleString()} for {t.simpleString()}" for n, t in want.items() if n in have and have[n] != t]
 
 
+def schema_profile(df: DataFrame, expected: T.StructType) -> DataFrame:
+    """(column_name, state, n_rows, n_null): every column that is there or expected, with the rows that bear it out.
+
+    state: 'ok', 'missing', 'unexpected', or the type found 'for' the expected one; n_null of a missing column is null. One
+    scan for all columns, of which only null counts leave a task.
+    """
+    have, want = {f.name: f.dataType for f in df.schema}, {f.name: f.dataType for f in expected}
+    state = {n: "missing" if n not in have else "unexpected" if n not in want else "ok" if have[n] == want[n] else f"{have[n].simpleString()} for {want[n].simpleString()}" for n in [*want, *(n for n in have if n not in want)]}
+    column = lambda n: F.col("`" + n.replace("`", "``") + "`")
+    counts = [F.count_if(column(n).isNull()).alias(f"c{k}") if n in have else F.lit(None).cast("long").alias(f"c{k}") for k, n in enumerate(state)]
+    one = df.agg(F.count("*").alias("n_rows"), *(F.max(c).alias(f"c{k}") if n not in have else c for k, (n, c) in enumerate(zip(state, counts, strict=True))))
+    rows = F.explode(F.array(*(F.struct(F.lit(n).alias("column_name"), F.lit(s).alias("state"), F.col(f"c{k}").alias("n_null")) for k, (n, s) in enumerate(state.items()))))
+    return one.select("n_rows", rows.alias("r")).select("r.column_name", "r.state", "n_rows", "r.n_null")
+
+
 def profile(df: DataFrame, dates: list[str], key: str, cutoff: str) -> DataFrame:
     """(column_name, min_day, max_day, missing, through_cutoff, distinct_keys, n_rows): one scan for all date columns."""
     day = F.to_date(F.lit(cutoff))

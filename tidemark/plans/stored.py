@@ -80,12 +80,21 @@ def pit_view(t: Tables) -> DataFrame:
     return filters.pit_view(runs, "suspensions", "suspend_start_date", cutoff)
 
 
-@query("""SELECT * FROM (VALUES ('orders', 'missing o_comment'), ('orders', 'unexpected o_orderpriority'), ('orders', 'o_custkey: bigint for int')) v(table_name, problem)""")
+STATES_OF = {
+    "sales": ("sale_id long, client_id int, status string, total double, sold_at timestamp_ntz, note string", {"client_id": "bigint for int", "arrived_at": "unexpected", "priority": "unexpected", "note": "missing"}),
+    "orders": ("o_orderkey long, o_custkey int, o_orderstatus string, o_totalprice double, o_orderdate timestamp_ntz, o_comment string", {"o_custkey": "bigint for int", "o_orderpriority": "unexpected", "o_comment": "missing"}),
+}
+_COLUMNS = {name: list(dict.fromkeys([*(x.split()[0] for x in ddl.split(", ")), *odd])) for name, (ddl, odd) in STATES_OF.items()}
+
+
+@query(" UNION ALL ".join(
+    f"SELECT '{name}' AS table_name, '{c}' AS column_name, '{STATES_OF[name][1].get(c, 'ok')}' AS state, count(*)::BIGINT AS n_rows, {'NULL' if STATES_OF[name][1].get(c) == 'missing' else f'(count(*) FILTER (WHERE {c} IS NULL))'}::BIGINT AS n_null FROM {name}"
+    for name, columns in _COLUMNS.items() for c in columns
+))
 def schema_check(t: Tables) -> DataFrame:
-    expected = T.StructType.fromDDL("o_orderkey long, o_custkey int, o_orderstatus string, o_totalprice double, o_orderdate timestamp_ntz, o_comment string")
-    same = {"customer": t.customer.schema, "part": t.part.schema}
-    found = [(name, x) for name, schema in (same | {"orders": expected}).items() for x in quality.check_schema(getattr(t, name), schema)]
-    return t.spark.createDataFrame(found, "table_name string, problem string")
+    """Two tables against what is expected of them: each column's state, with the rows and nulls that its table has."""
+    one = lambda name: quality.schema_profile(getattr(t, name), T.StructType.fromDDL(STATES_OF[name][0])).withColumn("table_name", F.lit(name))
+    return one("sales").unionByName(one("orders"))
 
 
 LATE = "2024-03-15"
