@@ -86,8 +86,10 @@ def plain_known(days, events):
     return sorted(found, key=repr)
 
 
-@pytest.mark.parametrize("split", [None, scan.MEASURED])
-def test_states_as_known_by_two_times(spark, few, split):
+@pytest.mark.parametrize(("split", "fan"), [(None, 6), (scan.MEASURED, 1), (scan.MEASURED, 3)])
+def test_states_as_known_by_two_times(spark, few, monkeypatch, split, fan):
+    """Also with groups so small that a search goes up and down through many levels."""
+    monkeypatch.setattr(asof, "FAN", fan)
     rng = random.Random(9)
     keys = ["a", "a", "a", "b", None]
     events = [(rng.choice(keys), *((n := rng.randint(0, 80)), n + rng.choice([0, 0, -5, 3, 40])), tie, f"v{tie}") for tie in range(250)]

@@ -8,8 +8,8 @@ from operator import and_, or_
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators.scan import MEASURED, Crowds, Split, crowds, running
-from tidemark.sources.scratch import written
+from tidemark.operators.scan import MEASURED, Crowds, Split, running
+from tidemark.sources.scratch import forget, written
 
 
 def asof_join(left: DataFrame, right: DataFrame, by: list[str], left_time: str, right_time: str, values: list[str], strict: bool = False, split: Split = None) -> DataFrame:
@@ -60,10 +60,11 @@ def state_as_known(days: DataFrame, events: DataFrame, by: list[str], at: str, e
     row are `at`. Rows with a null key or time, and events without one of their times, match nothing.
 
     With one time, an event counts from the later of its two times, and a running maximum by effective time over those
-    rows is the answer: one exchange. With two, it is a dominance query. The events of a key are numbered by announcement,
-    and those numbers are the places of a binary indexed tree: an event is in one node for each power of two that its key
-    reaches, and the events announced by `known` are those of as many nodes as their number has binary digits 1. Event and
-    query meet in a node by an as-of join on effective times. Nothing is repeated for days or for pairs.
+    rows is the answer: one exchange. With two, the events of a key are numbered by effective time, and a query looks for
+    the nearest event before it that was announced in time. Events are kept in groups of 64, groups in groups of 64 on the
+    next level, and so on, each with the first announcement in it. Most queries end in the group they stand in; the others
+    go up to the first level with an earlier group that has such an event, and down in it. Each step is an equi-join by key
+    and group, so a crowded key is many groups; no event is copied, and nothing is repeated for days or for pairs.
     """
     keys = [f"_k{i}" for i in range(len(by))]
     named = [F.col(k).alias(n) for n, k in zip(keys, by, strict=True)]
@@ -82,31 +83,54 @@ def state_as_known(days: DataFrame, events: DataFrame, by: list[str], at: str, e
     return days.join(found, on, "left").select(*(days[c] for c in days.columns), *(F.col(f"_{v}_known").alias(v) for v in values))
 
 
-#: Binary digits of the number of events of a key.
-DIGITS = 40
+#: Events of a group, and groups of a group of the next level: 2 to the power of FAN.
+FAN = 6
 
 
 def _best_in_prefix(facts: DataFrame, asked: DataFrame, keys: list[str], split: Split) -> DataFrame:
     """(keys, _t0, _t1, _best): of the facts announced by _t1 and effective by _t0, the largest."""
-    numbered = facts.withColumn("_time", F.col("_fact._announced"))
-    crowded = crowds(numbered, keys, "_time", split)
-    numbered = written(running(numbered, keys, ["_time", "_fact"], F.lit(1).cast("long"), "_number", "sum", crowded), "numbered")
-    # the number of events announced by a time is the largest number of that time
-    last = numbered.groupBy(*keys, "_time").agg(F.max("_number").alias("_until"))
-    asked = asof_join(asked, last, keys, "_t1", "_time", ["_until"], split=crowded).filter("_until is not null")
-    digits = F.sequence(F.lit(0), F.lit(DIGITS))
-    power = lambda x, l: F.call_function("shiftleft", x, l)  # noqa: E731, E741
-    whole = lambda x, l: F.call_function("shiftright", x, l)  # noqa: E731, E741
-    # node i holds the numbers in (i - its lowest power of two, i]
-    of_prefix = F.transform(F.filter(digits, lambda l: whole(F.col("_until"), l) % 2 == 1), lambda l: power(whole(F.col("_until"), l), l))  # noqa: E741
-    up = lambda l: whole(F.col("_number") + power(F.lit(1).cast("long"), l) - 1, l)  # noqa: E731, E741
-    of_event = F.transform(F.filter(digits, lambda l: (up(l) % 2 == 1) & (power(up(l), l) <= F.col("_of"))), lambda l: power(up(l), l))  # noqa: E741
-    of_key = numbered.groupBy(*keys).agg(F.max("_number").alias("_of"))
-    placed = numbered.join(of_key, keys).select(*keys, F.explode(of_event).alias("_node"), F.col("_fact._effective").alias("_time"), "_fact")
-    placed = placed.groupBy(*keys, "_node", "_time").agg(F.max("_fact").alias("_fact"))
-    asked = asked.select(*keys, "_t0", "_t1", F.explode(of_prefix).alias("_node"))
-    found = asof_join(asked, placed, [*keys, "_node"], "_t0", "_time", ["_fact"], split=split)
-    return found.groupBy(*keys, "_t0", "_t1").agg(F.max("_fact").alias("_best"))
+    both = facts.withColumn("_time", F.col("_fact._effective")).withColumn("_tag", F.lit(0)).unionByName(asked.withColumn("_time", F.col("_t0")).withColumn("_tag", F.lit(1)), allowMissingColumns=True)
+    # places of events from 1; for a query, the place of the last event in effect
+    both = written(running(both, keys, ["_time", "_tag", "_fact"], F.when(F.col("_tag") == 0, 1).otherwise(0).cast("long"), "_place", "sum", split), "places")
+    group = lambda level: F.call_function("shiftright", F.col("_place") - 1, F.lit(FAN * level))
+    last = lambda entries, *conditions: F.try_element_at(F.filter(entries, lambda e: reduce(and_, (c(e) for c in conditions))), F.lit(-1))
+    announced = lambda e: e["_first"] <= F.col("_t1")
+
+    events = both.filter("_tag = 0").select(*keys, group(1).alias("_group"), F.struct("_place", F.col("_fact._announced").alias("_first"), "_fact").alias("_entry"))
+    leaves = written(events.groupBy(*keys, "_group").agg(F.array_sort(F.collect_list("_entry")).alias("_entries")), "leaves")
+    queries = both.filter("_tag = 1 and _place > 0").select(*keys, "_t0", "_t1", "_place", group(1).alias("_group"))
+    own = last("_entries", announced, lambda e: e["_place"] <= F.col("_place"))
+    near = written(queries.join(leaves, [*keys, "_group"]).select(*keys, "_t0", "_t1", "_place", own["_fact"].alias("_best")), "near")
+    forget(both)
+
+    largest, levels = leaves.agg(F.max("_group")).first()[0] or 0, 0
+    while largest >> (FAN * levels):
+        levels += 1
+    if not levels:
+        return near.drop("_place")
+    # one entry for each group of the level below: its number and when the first of its events was announced
+    below, floors = leaves.select(*keys, "_group", F.array_min(F.transform("_entries", lambda e: e["_first"])).alias("_first")), []
+    for level in range(1, levels + 1):
+        above = below.groupBy(*keys, F.call_function("shiftright", F.col("_group"), F.lit(FAN)).alias("_group")).agg(F.array_sort(F.collect_list(F.struct(F.col("_group").alias("_place"), "_first"))).alias("_entries"))
+        floors.append(above.withColumn("_level", F.lit(level)))
+        below = above.select(*keys, "_group", F.array_min(F.transform("_entries", lambda e: e["_first"])).alias("_first"))
+    floors = written(reduce(DataFrame.unionByName, floors), "floors")
+
+    # up: the first level on which an earlier group has an event announced in time
+    far = near.filter("_best is null").drop("_best").withColumn("_level", F.explode(F.sequence(F.lit(1), F.lit(levels))))
+    shifted = lambda more: F.expr(f"shiftright(_place - 1, {FAN} * (_level + {more}))")
+    far = far.withColumn("_group", shifted(1)).withColumn("_child", shifted(0)).join(floors, [*keys, "_level", "_group"])
+    far = far.withColumn("_found", last("_entries", announced, lambda e: e["_place"] < F.col("_child"))["_place"]).filter("_found is not null")
+    far = far.groupBy(*keys, "_t0", "_t1").agg(F.min(F.struct("_level", "_found")).alias("_at")).select(*keys, "_t0", "_t1", F.col("_at._level").alias("_level"), F.col("_at._found").alias("_group"))
+    # and down again, in the last group of each level that has one
+    for level in range(levels - 1, 0, -1):
+        floor = floors.filter(F.col("_level") == level).select(*(F.col(k).alias(f"{k}_f") for k in keys), F.col("_group").alias("_group_f"), "_entries")
+        same = [F.col(c) == F.col(f"{c}_f") for c in [*keys, "_group"]]
+        far = far.join(floor, reduce(and_, [*same, F.col("_level") == level + 1]), "left")
+        deeper = F.col("_entries").isNotNull()
+        far = far.select(*keys, "_t0", "_t1", F.when(deeper, level).otherwise(F.col("_level")).alias("_level"), F.when(deeper, last("_entries", announced)["_place"]).otherwise(F.col("_group")).alias("_group"))
+    far = far.join(leaves, [*keys, "_group"]).select(*keys, "_t0", "_t1", last("_entries", announced)["_fact"].alias("_best"))
+    return near.filter("_best is not null").drop("_place").unionByName(far)
 
 
 def next_in_calendar(df: DataFrame, day: str, calendar: DataFrame, calendar_day: str, out: str, strict: bool) -> DataFrame:
