@@ -1,10 +1,13 @@
 import gzip
 import hashlib
+import subprocess
+import sys
 from datetime import date
 
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.sources import scratch, tables
@@ -50,6 +53,46 @@ def test_year_files_are_one_table_and_only_asked_years_are_read(spark, tmp_path)
     assert sorted(r.y for r in df.collect()) == [2019, 2020] and len(df.inputFiles()) == 2
 
 
+def test_a_date_predicate_reads_the_files_of_its_years(spark, tmp_path):
+    rows = [(f"c{i % 5}", date(2018 + i % 5, 1 + i % 12, 1 + i % 28) if i % 11 else None, float(i)) for i in range(300)]
+    tables.write_years(spark.createDataFrame([*rows, ("x", date(2020, 12, 31), 1e3), ("x", date(2021, 1, 1), 1e3)], SCHEMA), str(tmp_path), "t", "date", ["code", "date"], 1 << 20)
+    rows += [("x", date(2020, 12, 31), 1e3), ("x", date(2021, 1, 1), 1e3)]
+    assert sorted(p.name for p in tmp_path.iterdir()) == [*(f"t_{y}.parquet" for y in range(2018, 2023)), "t_undated.parquet"]
+    d, day = F.col("date"), lambda *x: F.lit(date(*x))
+    cases = [
+        (d.between(day(2020, 12, 30), day(2021, 1, 2)), lambda x: x and date(2020, 12, 30) <= x <= date(2021, 1, 2), {"2020", "2021"}),
+        (d >= day(2022, 1, 1), lambda x: x and x >= date(2022, 1, 1), {"2022"}),
+        (d.isNull() | (F.year(d) == 2019), lambda x: x is None or x.year == 2019, {"2019", "undated"}),
+        ((F.month(d) == 12) & ~d.isin(day(2018, 12, 12)) & (d < day(2020, 1, 1)), lambda x: x and x.month == 12 and x != date(2018, 12, 12) and x < date(2020, 1, 1), {"2018", "2019"}),
+        (F.lit(True), lambda x: True, {"2018", "2019", "2020", "2021", "2022", "undated"}),
+    ]
+    for schema in (SCHEMA, None):
+        for predicate, plain, years in cases:
+            found = tables.read_where(spark, str(tmp_path), "t", "date", predicate, schema)
+            assert sorted(map(tuple, found.collect()), key=repr) == sorted((r for r in rows if plain(r[1])), key=repr)
+            assert {p.rsplit("t_", 1)[1].split(".")[0] for p in found.inputFiles()} == years
+    assert tables.read_where(spark, str(tmp_path), "t", "date", d > day(2030, 1, 1), SCHEMA).count() == 0
+    with pytest.raises(FileNotFoundError):
+        tables.read_where(spark, str(tmp_path), "none", "date", F.lit(True))
+    with pytest.raises(TypeError, match="no date"):
+        tables.read_where(spark, str(tmp_path), "t", "v", F.lit(True), SCHEMA)
+
+
+def test_a_file_beyond_two_gigabytes_is_hashed_in_little_memory(spark, tmp_path):
+    size, zeros, digest = 3 << 30, bytes(1 << 20), hashlib.sha256()
+    for _ in range(size >> 20):
+        digest.update(zeros)
+    folder = tmp_path / "odd name=%20"
+    folder.mkdir()
+    with open(folder / "large.bin", "wb") as f:
+        f.truncate(size)
+    (folder / "empty.bin").touch()
+    found = {r["path"]: (r["size"], r["sha256"]) for r in tables.file_digests(spark, str(tmp_path), "*.bin").collect()}
+    assert found == {"odd name=%20/large.bin": (size, digest.hexdigest()), "odd name=%20/empty.bin": (0, hashlib.sha256().hexdigest())}
+    code = f"import resource; from tidemark.sources.tables import sha256_of; a = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss; sha256_of({'file:' + str(folder / 'large.bin')!r}); print((resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - a) // 1024)"
+    assert int(subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True).stdout) < 200
+
+
 def test_a_year_has_all_its_files_and_undated_rows_one(spark, tmp_path):
     rows = [(f"c{i}", date(2019 + i % 2, 1, 1) if i % 7 else None, float(i)) for i in range(400)]
     tables.write_by_year(spark.createDataFrame(rows, SCHEMA), str(tmp_path / "y"), "date", ["code", "date"], 4)

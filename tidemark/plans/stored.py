@@ -17,15 +17,30 @@ from tidemark.sources import tables
 from tidemark.sources.scratch import shared_path
 
 
+def orders_by_year(t: Tables) -> str:
+    """A folder with orders_<year>.parquet, by key and day."""
+    folder = shared_path(t.spark, "orders")
+    tables.write_years(t.orders.select("o_orderkey", day("o_orderdate").alias("d")), folder, "orders", "d", ["o_orderkey"], 64 << 20)
+    return folder
+
+
+ORDERS_BY_DAY = T.StructType([T.StructField("o_orderkey", T.LongType()), T.StructField("d", T.DateType())])
+
+
 @query("SELECT o_orderkey, o_orderdate::DATE AS d, year(o_orderdate)::INT AS y FROM orders WHERE year(o_orderdate) BETWEEN 1995 AND 2001")
 def year_split_union(t: Tables) -> DataFrame:
-    folder = shared_path(t.spark, "orders")
-    rows = t.orders.select("o_orderkey", day("o_orderdate").alias("d"), F.year("o_orderdate").alias("y"))
-    rows.repartition("y").write.partitionBy("y").parquet(folder)
-    for year in range(1995, 2002):
-        # one file set a year, by the name that year-split tables have; the year is a column again
-        t.spark.read.parquet(f"{folder}/y={year}").withColumn("y", F.lit(year)).write.parquet(f"{folder}/orders_{year}.parquet")
-    return tables.read_years(t.spark, folder, "orders", 1995, 2001, T.StructType.fromDDL("o_orderkey long, d date, y int"))
+    found = tables.read_years(t.spark, orders_by_year(t), "orders", 1995, 2001, ORDERS_BY_DAY)
+    return found.withColumn("y", F.year("d"))
+
+
+@query("""SELECT o_orderkey, o_orderdate::DATE AS d, year(o_orderdate)::INT AS file_year FROM orders
+WHERE o_orderdate::DATE BETWEEN DATE '1995-11-15' AND DATE '1996-02-10' OR (month(o_orderdate) = 12 AND year(o_orderdate) >= 2000)""")
+def years_by_predicate(t: Tables) -> DataFrame:
+    """Rows of a date predicate across year ends, from the files of the years that it can hold in, with the file each is from."""
+    d = F.col("d")
+    predicate = d.between(F.lit("1995-11-15").cast("date"), F.lit("1996-02-10").cast("date")) | ((F.month(d) == 12) & (F.year(d) >= 2000))
+    found = tables.read_where(t.spark, orders_by_year(t), "orders", "d", predicate, ORDERS_BY_DAY)
+    return found.withColumn("file_year", F.regexp_extract(F.col("_metadata.file_path"), r"orders_(\d+)\.parquet", 1).cast("int"))
 
 
 @query("SELECT c_custkey, c_name, c_acctbal, (DATE '1995-01-01' + (c_custkey % 900)::INT)::DATE AS since FROM customer")

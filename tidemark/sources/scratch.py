@@ -30,24 +30,25 @@ def shared_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
-def delete(spark: SparkSession, path: str) -> None:
+def path_and_system(spark: SparkSession, path: str):
+    """Hadoop's path and the file system that it is on."""
     there = spark._jvm.org.apache.hadoop.fs.Path(path)
-    there.getFileSystem(spark._jsc.hadoopConfiguration()).delete(there, True)
+    return there, there.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
-def _there(spark: SparkSession, path: str):
-    there = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return there, there.getFileSystem(spark._jsc.hadoopConfiguration())
+def delete(spark: SparkSession, path: str) -> None:
+    there, system = path_and_system(spark, path)
+    system.delete(there, True)
 
 
 def exists(spark: SparkSession, path: str) -> bool:
-    there, system = _there(spark, path)
+    there, system = path_and_system(spark, path)
     return system.exists(there)
 
 
 def rename(spark: SparkSession, path: str, to: str) -> None:
-    there, system = _there(spark, path)
-    if not system.rename(there, _there(spark, to)[0]):
+    there, system = path_and_system(spark, path)
+    if not system.rename(there, path_and_system(spark, to)[0]):
         raise OSError(f"cannot rename {path} to {to}")
 
 

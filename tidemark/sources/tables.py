@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
 from collections.abc import Callable, Iterable
+from urllib.parse import unquote
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyarrow import fs as pa_fs
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.sources.scratch import delete, exists, forget, rename, written
+from tidemark.sources.scratch import delete, exists, forget, path_and_system, rename, written
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str, schema: T.StructType | None = None) -> DataFrame:
@@ -23,6 +28,36 @@ def read_years(spark: SparkSession, folder: str, name: str, first: int, last: in
     return reader.parquet(*(f"{folder}/{name}_{y}.parquet" for y in range(first, last + 1)))
 
 
+#: What the file of rows without a date is named for.
+UNDATED = "undated"
+
+
+def read_where(spark: SparkSession, folder: str, name: str, date_col: str, predicate: Column, schema: T.StructType | None = None) -> DataFrame:
+    """The rows of the files <name>_<year>.parquet for which predicate, a condition on the date column alone, is true.
+
+    Which years it may hold in is found by evaluating it on every day of the years that there are files of, and on no
+    date for the file of undated rows: ranges, lists, months, or-ed conditions and calls of functions all lead to exactly
+    the files that have such a day. Only those are read, by the Parquet reader, with the predicate and the columns pushed
+    down. Days are 366 a year at most, whatever the size of the data. The column has to be a date: a time within a day
+    would not be seen.
+    """
+    there, system = path_and_system(spark, f"{folder}/{name}_*.parquet")
+    labels = {m[1] for status in system.globStatus(there) if (m := re.fullmatch(rf"{re.escape(name)}_(\d+|{UNDATED})\.parquet", status.getPath().getName()))}
+    if not labels:
+        raise FileNotFoundError(f"{folder}/{name}_<year>.parquet")
+    reader = spark.read.schema(schema) if schema else spark.read
+    of = lambda chosen: reader.parquet(*(f"{folder}/{name}_{y}.parquet" for y in chosen))
+    kind = (schema or of(sorted(labels)[:1]).schema)[date_col].dataType
+    if not isinstance(kind, T.DateType):
+        raise TypeError(f"{date_col} is no date but {kind.simpleString()}")
+    years = spark.createDataFrame([(y, int(y) if y != UNDATED else None) for y in sorted(labels)], "label string, year int")
+    days = years.select("label", F.explode(F.sequence(F.make_date("year", F.lit(1), F.lit(1)), F.make_date("year", F.lit(12), F.lit(31)))).alias(date_col))
+    days = days.unionByName(years.filter("year is null").select("label", F.lit(None).cast("date").alias(date_col)))
+    asked = sorted(r["label"] for r in days.filter(predicate).select("label").distinct().collect())
+    # a predicate that no day fulfils reads one file's footer and no rows
+    return of(asked).filter(predicate) if asked else of(sorted(labels)[:1]).filter(F.lit(False))
+
+
 def read_csv_gz(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """A headed UTF-8 CSV with ISO dates, gzipped or not. One gzip file is one task: repartition after it if large."""
     return spark.read.csv(path, schema=schema, header=True, dateFormat="yyyy-MM-dd", encoding="UTF-8", enforceSchema=False)
@@ -84,17 +119,69 @@ def write_sorted_years(df: DataFrame, path: str, date_col: str, sort: Iterable[s
     dealt.sortWithinPartitions("year", *sort).write.mode("error").option("maxRecordsPerFile", most_rows).partitionBy("year").parquet(path)
 
 
+def write_years(df: DataFrame, folder: str, name: str, date_col: str, sort: Iterable[str], most_bytes: int) -> None:
+    """<name>_<year>.parquet for each year, and <name>_undated.parquet if rows have no date, as write_sorted_years writes them.
+
+    Rows are written once; a year is as many files, and so tasks, as it has bytes. There is no column for the year.
+    """
+    spark, split = df.sparkSession, f"{folder}/{name}-split"
+    write_sorted_years(df, split, date_col, sort, most_bytes)
+    there, system = path_and_system(spark, f"{split}/year=*")
+    for status in system.globStatus(there):
+        year = status.getPath().getName().partition("=")[2]
+        rename(spark, status.getPath().toString(), f"{folder}/{name}_{int(year) if year.isdigit() else UNDATED}.parquet")
+    delete(spark, split)
+
+
 def drop_cols(df: DataFrame, *names: str) -> DataFrame:
     """Columns that are not published."""
     return df.drop(*names)
 
 
+#: Bytes read at once while a file is hashed, and the schemes whose files are hashed so.
+CHUNK, STREAMED = 8 << 20, ("file", "hdfs")
+
+
+def sha256_of(path: str) -> str:
+    """SHA-256 of a file, read in chunks: memory does not follow its size. path is as Spark names it: file:/... or hdfs://..."""
+    digest = hashlib.sha256()
+    local = path.partition(":")[2] if path.startswith("file:") else None
+    if local is not None:
+        stream = open("/" + local.lstrip("/"), "rb")  # noqa: SIM115
+    else:
+        system, name = pa_fs.FileSystem.from_uri(path)
+        stream = system.open_input_stream(name)
+    with stream:
+        while chunk := stream.read(CHUNK):
+            digest.update(chunk)
+    return digest.hexdigest()
+
+
+def _digests(batches):
+    for batch in batches:
+        paths = batch.column("path")
+        yield pa.RecordBatch.from_arrays([paths, batch.column("size"), pa.array([sha256_of(p) for p in paths.to_pylist()], pa.string())], ["path", "size", "sha256"])
+
+
 def file_digests(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
-    """(path, size, sha256) of every file below a folder, hashed on the executors; paths are relative to the folder."""
+    """(path, size, sha256) of every file below a folder, hashed on the executors; paths are relative to the folder.
+
+    A file is read by one task, in chunks, since SHA-256 goes from its first byte to its last; tasks are files of about
+    equal bytes together. Only on file systems that are not in STREAMED a file becomes one value, of less than 2 GB.
+    """
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)
     folder = folder.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(folder).toString().rstrip("/")
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(path)
-    return files.select(F.substring("path", len(folder) + 2, 1 << 30).alias("path"), F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"))
+    named = files.select("path", F.col("length").alias("size"))
+    if folder.partition(":")[0] in STREAMED:
+        hashed = named.mapInArrow(_digests, "path string, size long, sha256 string")
+    else:
+        hashed = named.withColumn("sha256", F.sha2(files["content"], 256))
+    hashed = hashed.withColumn("path", F.substring("path", len(folder) + 2, 1 << 30))
+    # Spark lists files without bytes but never reads them
+    within = [(re.sub("^file:/+", "file:/", unquote(p))[len(folder) + 1 :],) for p in files.inputFiles()]
+    empty = spark.createDataFrame(within, "path string").join(named.select(F.substring("path", len(folder) + 2, 1 << 30).alias("path")), "path", "left_anti")
+    return hashed.unionByName(empty.select("path", F.lit(0).cast("long").alias("size"), F.lit(hashlib.sha256().hexdigest()).alias("sha256")))
 
 
 def verify_manifest(manifest: DataFrame, digests: DataFrame) -> DataFrame:
