@@ -115,6 +115,20 @@ def test_files_are_sized_and_hold_disjoint_ranges(spark):
     assert files.withColumn("b", before).filter("b >= low").count() == 0
 
 
+def test_no_file_is_larger_than_asked_where_rows_differ_in_size(spark):
+    rng = random.Random(2)
+    data = [("a", on(1), k, "") for k in range(20_000)] + [("b", on(2), k, "".join(rng.choices("abcdefghijklmnop", k=400))) for k in range(400)]
+    df = spark.createDataFrame(data, "code string, t date, id int, said string")
+    path = shared_path(spark, "uneven")
+    tables.write_sorted_years(df, path, "t", ["code", "id"], 40_000)
+    back = spark.read.parquet(path).select("code", "t", "id", "said", "_metadata.file_path", "_metadata.file_size")
+    assert sorted(map(tuple, back.select("code", "t", "id", "said").collect())) == sorted(data)
+    files = back.groupBy("file_path", "file_size").agg(F.min(F.struct("code", "id")).alias("low"), F.max(F.struct("code", "id")).alias("high"))
+    assert files.agg(F.max("file_size")).first()[0] <= 40_000
+    before = F.max("high").over(Window.partitionBy().orderBy("low").rowsBetween(Window.unboundedPreceding, -1))
+    assert files.withColumn("b", before).filter("b >= low").count() == 0
+
+
 def test_sized_files_of_nothing(spark):
     path = shared_path(spark, "none")
     tables.write_sorted_years(spark.createDataFrame([], "t date, v int"), path, "t", ["v"], 1000)

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.sources.scratch import delete, exists, forget, path_and_system, rename, written
+from tidemark.sources.scratch import delete, exists, forget, path_and_system, rename, shared_path, written
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str, schema: T.StructType | None = None) -> DataFrame:
@@ -92,31 +92,66 @@ def write_by_year(df: DataFrame, path: str, date_col: str, sort: Iterable[str],
 SAMPLE_ROWS, FILL = 200_000, 0.8
 
 
-def bytes_of_row(df: DataFrame, rows: int) -> float:
-    """Bytes that a row takes in a Parquet file, measured on a sample written to the shared folder and deleted again."""
-    some = written(df.sample(min(1.0, SAMPLE_ROWS / max(rows, 1)), seed=7).coalesce(1), "sample")
-    spark = df.sparkSession
-    path = spark._jvm.org.apache.hadoop.fs.Path(some.stored_at)
-    size, count = path.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(path).getLength(), some.count()
-    forget(some)
+def bytes_of_row(df: DataFrame, rows: int, sort: list[str]) -> float:
+    """Bytes that a row takes in a file written as df's are, measured on a sorted sample in the shared folder that is deleted again."""
+    spark, path = df.sparkSession, shared_path(df.sparkSession, "sample")
+    some = df.sample(min(1.0, SAMPLE_ROWS / max(rows, 1)), seed=7).coalesce(1)
+    some.sortWithinPartitions(*sort).write.parquet(path)
+    there, system = path_and_system(spark, path)
+    size, count = system.getContentSummary(there).getLength(), spark.read.schema(df.schema).parquet(path).count()
+    delete(spark, path)
     return size / count if count else 1.0
 
 
 def write_sorted_years(df: DataFrame, path: str, date_col: str, sort: Iterable[str], most_bytes: int) -> None:
-    """One folder a year, in each as few files of at most about most_bytes as its rows need, which follow each other in `sort`.
+    """One folder a year, in each as few files of at most most_bytes as its rows need, which follow each other in `sort`.
 
     Rows are dealt by ranges of (year, sort) whose bounds Spark samples, so the files of a year hold disjoint ranges and
     their footers let readers skip them; a code that holds much of a year is cut by what follows in `sort`. How many
-    ranges there are follows from measured bytes, not from the years: a stray date costs one file. No file has more rows
-    than the bound allows at the measured bytes a row. Rows without a date go to a folder of their own.
+    ranges there are follows from measured bytes, not from the years: a stray date costs one file. Files that came out larger than the bound are cut again (see _cut_large). Rows
+    without a date go to a folder of their own.
     """
     sort = list(sort)
     dated = df.withColumn("year", F.year(date_col))
     rows = dated.count()
-    each = bytes_of_row(df, rows)
+    each = bytes_of_row(df, rows, sort)
     most_rows = max(1, int(FILL * most_bytes / each))
     dealt = dated.repartitionByRange(max(1, -(-rows // most_rows)), "year", *sort)
     dealt.sortWithinPartitions("year", *sort).write.mode("error").option("maxRecordsPerFile", most_rows).partitionBy("year").parquet(path)
+    while _cut_large(df.sparkSession, path, dated.schema, most_bytes):
+        pass
+
+
+def _cut_large(spark: SparkSession, path: str, schema: T.StructType, most_bytes: int) -> bool:
+    """Cut the files that are larger than most_bytes, each into stretches of its rows as they lie; whether there were any.
+
+    A file of one row stays as it is. Only the rows of such files are read and written again.
+    """
+    there, system = path_and_system(spark, f"{path}/year=*/*.parquet")
+    large = {s.getPath().toString(): s.getLen() for s in system.globStatus(there) if s.getLen() > most_bytes}
+    if not large:
+        return False
+    rows = spark.read.schema(schema).option("basePath", path).parquet(*sorted(large))
+    # a file of a year is named once in its folder, and its name is unique below `path` by the number of its task
+    rows = rows.select("*", F.regexp_extract("_metadata.file_path", "[^/]+/[^/]+$", 0).alias("_file"), F.col("_metadata.row_index").alias("_at"))
+    counts = {r["_file"]: r["n"] for r in rows.groupBy("_file").agg(F.count("*").alias("n")).collect()}
+    of = {p: "/".join(p.split("/")[-2:]) for p in large}
+    large = {p: size for p, size in large.items() if counts[of[p]] > 1}
+    if not large:
+        return False
+    cuts, pieces = [], 0
+    for p, size in sorted(large.items()):
+        n = counts[of[p]]
+        each = max(1, min(int(n * FILL * most_bytes / size), -(-n // 2)))
+        cuts.append((of[p], each, pieces))
+        pieces += -(-n // each)
+    places = spark.createDataFrame(cuts, "_file string, _each long, _first long")
+    placed = rows.join(F.broadcast(places), "_file").withColumn("_place", (F.col("_first") + F.floor(F.col("_at") / F.col("_each"))).cast("int"))
+    dealt = placed.repartitionById(pieces, F.col("_place")).sortWithinPartitions("year", "_place", "_at")
+    dealt.select(*schema.names).write.mode("append").partitionBy("year").parquet(path)
+    for p in large:
+        delete(spark, p)
+    return True
 
 
 def write_years(df: DataFrame, folder: str, name: str, date_col: str, sort: Iterable[str], most_bytes: int) -> None:
