@@ -129,6 +129,14 @@ def test_no_file_is_larger_than_asked_where_rows_differ_in_size(spark):
     assert files.withColumn("b", before).filter("b >= low").count() == 0
 
 
+def test_no_task_sorts_more_than_so_many_rows(spark, monkeypatch):
+    monkeypatch.setattr(tables, "TASK_ROWS", 300, raising=False)
+    path = shared_path(spark, "short")
+    tables.write_sorted_years(spark.range(1000).select("id", F.lit("2024-01-05").cast("date").alias("t")), path, "t", ["id"], 1 << 20)
+    counts = [r["count"] for r in spark.read.parquet(path).groupBy(F.col("_metadata.file_path")).count().collect()]
+    assert sum(counts) == 1000 and max(counts) <= 300
+
+
 def test_sized_files_of_nothing(spark):
     path = shared_path(spark, "none")
     tables.write_sorted_years(spark.createDataFrame([], "t date, v int"), path, "t", ["v"], 1000)

@@ -88,8 +88,9 @@ def write_by_year(df: DataFrame, path: str, date_col: str, sort: Iterable[str],
     dealt.sortWithinPartitions("year", *sort).write.mode("error").partitionBy("year").parquet(path)
 
 
-#: Rows written to learn how many bytes one takes, and the share of a file's bound that a file is meant to fill.
-SAMPLE_ROWS, FILL = 200_000, 0.8
+#: Rows written to learn how many bytes one takes, the share of a file's bound that a file is meant to fill, and the rows that
+#: one task sorts at most.
+SAMPLE_ROWS, FILL, TASK_ROWS = 200_000, 0.8, 1 << 21
 
 
 def bytes_of_row(df: DataFrame, rows: int, sort: list[str]) -> float:
@@ -108,14 +109,15 @@ def write_sorted_years(df: DataFrame, path: str, date_col: str, sort: Iterable[s
 
     Rows are dealt by ranges of (year, sort) whose bounds Spark samples, so the files of a year hold disjoint ranges and
     their footers let readers skip them; a code that holds much of a year is cut by what follows in `sort`. How many
-    ranges there are follows from measured bytes, not from the years: a stray date costs one file. Files that came out larger than the bound are cut again (see _cut_large). Rows
+    ranges there are follows from measured bytes, not from the years: a stray date costs one file. No file has more than
+    TASK_ROWS rows, as one task sorts it. Files that came out larger than the bound are cut again (see _cut_large). Rows
     without a date go to a folder of their own.
     """
     sort = list(sort)
     dated = df.withColumn("year", F.year(date_col))
     rows = dated.count()
     each = bytes_of_row(df, rows, sort)
-    most_rows = max(1, int(FILL * most_bytes / each))
+    most_rows = max(1, min(TASK_ROWS, int(FILL * most_bytes / each)))
     dealt = dated.repartitionByRange(max(1, -(-rows // most_rows)), "year", *sort)
     dealt.sortWithinPartitions("year", *sort).write.mode("error").option("maxRecordsPerFile", most_rows).partitionBy("year").parquet(path)
     while _cut_large(df.sparkSession, path, dated.schema, most_bytes):
