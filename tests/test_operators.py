@@ -1,7 +1,7 @@
 """Edges that the fixtures do not show, on small frames made by hand."""
 
 import random
-from datetime import date
+from datetime import date, datetime
 
 import numpy
 import pytest
@@ -215,3 +215,14 @@ def test_indicators_are_not_seen_before_they_are_out(spark):
     assert [r.roe for r in table.orderBy("q").collect()] == [0.2, None, None]
     seen = lambda day: rows(composites.financials_as_of(table, day).select("q", "eps"))
     assert seen("2023-05-01") == [(1, None)] and seen("2023-05-30") == [(1, 5)] and seen("2023-12-31") == [(1, 5), (2, 6), (3, None)]
+
+
+def test_members_of_a_family_are_counted_without_a_distinct(spark):
+    from types import SimpleNamespace
+
+    lines = spark.createDataFrame([(1, datetime(2024, 1, 1), 2.0, 10.0), (1, datetime(2024, 1, 2), 3.0, 20.0), (2, datetime(2024, 1, 2), 5.0, 1.0)], "l_suppkey long, l_shipdate timestamp_ntz, l_quantity double, l_extendedprice double")
+    suppliers = spark.createDataFrame([(1, 7), (1, 7), (2, 7), (1, 8)], "s_suppkey long, s_nationkey int")
+    plan = composites.family_share_daily(SimpleNamespace(lineitem=lines, supplier=suppliers))
+    assert "distinct" not in plan._jdf.queryExecution().executedPlan().toString()
+    got = sorted((r["family"], r["date"].day, r["shares"], r["shares_chg"], r["size"], r["n"]) for r in plan.collect())
+    assert got == [(7, 1, 4.0, None, 40.0, 1), (7, 2, 11.0, 2.0, 125.0, 2), (8, 1, 2.0, None, 20.0, 1), (8, 2, 3.0, 1.0, 60.0, 1)]

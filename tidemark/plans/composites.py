@@ -247,5 +247,8 @@ SELECT s_nationkey AS family, date, round(sum(shares), 4) AS shares, round(sum(s
 def family_share_daily(t: Tables) -> DataFrame:
     rows = t.lineitem.groupBy(F.col("l_suppkey").alias("etf"), day("l_shipdate").alias("date")).agg(S.exact_sum("l_quantity").alias("shares"), F.max("l_extendedprice").alias("close"))
     rows = panel.diff_prev(rows, ["etf"], ["date"], "shares", "shares_chg").withColumn("size", F.col("shares") * F.col("close"))
-    rows = rows.join(t.supplier.select(F.col("s_suppkey").alias("etf"), F.col("s_nationkey").alias("family")), "etf")
-    return combine.aggregate(rows, ["family", "date"], {"shares": F.round(F.sum("shares"), 4), "shares_chg": F.round(F.sum("shares_chg"), 4), "size": F.round(F.sum("size"), 2), "n": F.count_distinct("etf")})
+    # a member is one row a family here, with the number of its rows, so that members of a day are counted without a distinct
+    members = t.supplier.groupBy(F.col("s_suppkey").alias("etf"), F.col("s_nationkey").alias("family")).agg(F.count("*").alias("times"))
+    rows = rows.join(members, "etf")
+    summed = {c: F.round(F.sum(F.col(c) * F.col("times")), scale) for c, scale in (("shares", 4), ("shares_chg", 4), ("size", 2))}
+    return combine.aggregate(rows, ["family", "date"], {**summed, "n": F.count("etf")})
