@@ -192,6 +192,15 @@ def test_interval_sets_are_those_of_their_days(spark, few, split):
     assert days_of([(k, s and (s - START).days, e and (e - START).days) for k, s, e in map(tuple, interval_sets.merged(left, ["k"], "s", "e").collect())]) == x
 
 
+@pytest.mark.parametrize("split", [None, scan.MEASURED])
+def test_operations_of_one_sweep_are_those_of_their_own(spark, few, split):
+    rng = random.Random(9)
+    a, b = spans_frame(spark, some_spans(rng, 90)), spans_frame(spark, some_spans(rng, 60))
+    got = interval_sets.combined_all(a, b, ["k"], "s", "e", ["union", "difference"], split)
+    for op in ("union", "difference"):
+        assert rows(got.filter(F.col("op") == op).drop("op")) == rows(interval_sets.combined(a, b, ["k"], "s", "e", op, split))
+
+
 def test_tree_joins_are_nested_loops(spark):
     rng = random.Random(2)
     spans = [(k, *span[1:]) for k, span in enumerate(some_spans(rng, 80))] + [(900, -4000, 3000), (901, None, None), (902, 5, 5), (903, None, -100), (904, 500, None)]

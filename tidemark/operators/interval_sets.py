@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.operators.scan import Split, beside, crowds, running
+from tidemark.operators.scan import Crowds, Split, beside, crowds, running
 
 #: Which times each operation keeps, from whether either set holds them.
 KEEPS = {
@@ -30,6 +30,16 @@ def _ends(df: DataFrame, keys: list[str], start: str, end: str, side: str) -> Da
     return rows.withColumn(f"_d{side}", F.col("_d").cast("long")).withColumn(f"_d{other}", F.lit(0).cast("long")).drop("_d", "_begins")
 
 
+def _both() -> Column:
+    """The changes of both sets as one number, so that one running sum counts both: fewer than 2^31 intervals of a key hold at once."""
+    return F.col("_da") * (1 << 32) + F.col("_db")
+
+
+def _held(n: Column) -> tuple[Column, Column]:
+    """Whether either set holds, from a running sum of _both."""
+    return n >= 1 << 32, n.bitwiseAND(F.lit((1 << 32) - 1)) > 0
+
+
 def segments(a: DataFrame, b: DataFrame | None, keys: list[str], start: str, end: str, split: Split = None) -> DataFrame:
     """(keys, start, end, in_a, in_b): the times between two neighbouring ends, and which set holds them.
 
@@ -40,21 +50,42 @@ def segments(a: DataFrame, b: DataFrame | None, keys: list[str], start: str, end
     rows = rows if b is None else rows.unionByName(_ends(b, keys, start, end, "b"))
     rows = rows.groupBy(*keys, "_time").agg(F.sum("_da").alias("_da"), F.sum("_db").alias("_db"))
     split = crowds(rows, keys, "_time", split)
-    for side in "ab":
-        rows = running(rows, keys, ["_time"], F.col(f"_d{side}"), f"_n{side}", "sum", split)
+    rows = running(rows, keys, ["_time"], _both(), "_n", "sum", split)
     rows = beside(rows.drop("_da", "_db"), keys, ["_time"], {"_until": F.col("_time")}, ahead=True, split=split)
-    return rows.select(*keys, F.col("_time").alias(start), F.col("_until").alias(end), (F.col("_na") > 0).alias("in_a"), (F.col("_nb") > 0).alias("in_b"))
+    in_a, in_b = _held(F.col("_n"))
+    return rows.select(*keys, F.col("_time").alias(start), F.col("_until").alias(end), in_a.alias("in_a"), in_b.alias("in_b"))
 
 
 def combined(a: DataFrame, b: DataFrame, keys: list[str], start: str, end: str, operation: str, split: Split = None) -> DataFrame:
     """(keys, start, end): the times that the operation keeps, as the fewest intervals: disjoint, and none touches the next."""
-    split = crowds(_ends(a, keys, start, end, "a").unionByName(_ends(b, keys, start, end, "b")), keys, "_time", split)
-    rows = segments(a, b, keys, start, end, split)
-    rows = rows.withColumn("_kept", KEEPS[operation](F.col("in_a"), F.col("in_b"))).select(*keys, start, "_kept")
-    rows = beside(rows, keys, [start], {"_before": F.col("_kept")}, split=split)
-    changes = rows.filter(F.col("_kept") != F.coalesce("_before", F.lit(False))).drop("_before")
-    found = beside(changes, keys, [start], {end: F.col(start)}, ahead=True, split=split)
-    return found.filter("_kept").select(*keys, start, end)
+    return combined_all(a, b, keys, start, end, [operation], split).drop("op")
+
+
+def combined_all(a: DataFrame, b: DataFrame, keys: list[str], start: str, end: str, operations: list[str], split: Split = None) -> DataFrame:
+    """(keys, op, start, end): what combined gives, of several operations in one sweep over the ends.
+
+    How many intervals of each set hold before and after a time follows from one running sum, so a time changes an
+    operation or not by itself; only changes are put next to each other.
+    """
+    rows = _ends(a, keys, start, end, "a").unionByName(_ends(b, keys, start, end, "b"))
+    rows = rows.groupBy(*keys, "_time").agg(F.sum("_da").alias("_da"), F.sum("_db").alias("_db"))
+    split = crowds(rows, keys, "_time", split)
+    rows = running(rows, keys, ["_time"], _both(), "_n", "sum", split)
+    now, before = _held(F.col("_n")), _held(F.col("_n") - _both())
+    kept = [(op, KEEPS[op](*now), KEEPS[op](*before)) for op in operations]
+    changed = F.array_compact(F.array(*(F.when(x != y, F.struct(F.lit(op).alias("op"), x.alias("_kept"))) for op, x, y in kept)))
+    changes = rows.select(*keys, F.col("_time").alias(start), F.explode(changed).alias("_c")).select(*keys, "_c.*", start)
+    # the changes of an operation are no more than the times that were cut
+    found = beside(changes, [*keys, "op"], [start], {end: F.col(start)}, ahead=True, split=_of_operations(split, keys, operations))
+    return found.filter("_kept").select(*keys, "op", start, end)
+
+
+def _of_operations(split: Split, keys: list[str], operations: list[str]) -> Split:
+    """The cuts of keys as those of each key and operation."""
+    if split is None:
+        return None
+    ops = F.explode(F.array(*(F.lit(op) for op in operations))).alias(f"_crowd{len(keys)}")
+    return Crowds(split.cuts.select("*", ops), split.time)
 
 
 def merged(a: DataFrame, keys: list[str], start: str, end: str, split: Split = None) -> DataFrame:

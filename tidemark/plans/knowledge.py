@@ -83,8 +83,7 @@ def held_and_visits(t: Tables) -> tuple[DataFrame, DataFrame]:
 def interval_algebra(t: Tables) -> DataFrame:
     """Union, intersection and difference of the days in which clients have goods and in which they visit."""
     held, visits = held_and_visits(t)
-    one = lambda op: interval_sets.combined(held, visits, ["client_id"], "start_day", "end_day", op, scan.MEASURED).withColumn("op", F.lit(op))
-    return one("union").unionByName(one("intersection")).unionByName(one("difference"))
+    return interval_sets.combined_all(held, visits, ["client_id"], "start_day", "end_day", ["union", "intersection", "difference"], scan.MEASURED)
 
 
 @query(f"""WITH {BOTH_DAYS} SELECT client_id, (count(*) FILTER (WHERE in_a AND in_b))::BIGINT AS covered, (count(*) FILTER (WHERE in_a AND NOT in_b))::BIGINT AS missed, (count(*) FILTER (WHERE in_b AND NOT in_a))::BIGINT AS spurious FROM j GROUP BY 1""")
