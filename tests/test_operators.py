@@ -73,6 +73,16 @@ def test_range_join_equals_nested_loop(spark):
         assert rows(intervals.range_join(points, spans, "day", "a", "b", width).select("id", "s")) == rows(loop)
 
 
+def test_pairs_of_a_range_join_come_day_by_day(spark):
+    day_of = lambda c: F.date_add(F.lit(d("2024-01-01")), c.cast("int"))
+    points = spark.range(200).select("id", day_of(F.col("id") % 20).alias("day"))
+    spans = spark.range(200).select(F.col("id").alias("s"), day_of(F.col("id") * 31 % 20).alias("a")).withColumn("b", F.date_add("a", 1))
+    got = intervals.range_join(points, spans, "day", "a", "b", 4).select("id", "day").collect()
+    assert len(got) == 2000
+    assert sum(x["day"] != y["day"] for x, y in zip(got, got[1:])) == 19
+    assert sum(x["id"] != y["id"] for x, y in zip(got, got[1:])) == 199
+
+
 def test_overlap_finds_open_and_empty_intervals(spark):
     df = spark.createDataFrame([("a", d("2024-01-01"), None), ("a", d("2024-02-01"), d("2024-03-01")), ("b", d("2024-01-01"), d("2024-01-01")), ("c", d("2024-01-01"), d("2024-02-01")), ("c", d("2024-02-01"), None)], "k string, s date, e date")
     assert [r[0] for r in rows(intervals.check_overlap(df, ["k"], "s", "e", []))] == ["a", "b"]

@@ -82,20 +82,41 @@ def cap_open_ends(intervals: DataFrame, caps: DataFrame, by: list[str], end: str
     return intervals.join(caps.select(*by, F.col(cap).alias("_cap")), by, "left").withColumn(end, F.coalesce(end, "_cap")).drop("_cap")
 
 
-def range_join(points: DataFrame, ranges: DataFrame, at: str, start: str, end: str, width_days: int) -> DataFrame:
+#: Ranges of one list and points of one slice of a day, about.
+LIST, SLICE = 4096, 1 << 16
+
+
+def range_join(points: DataFrame, ranges: DataFrame, at: str, start: str, end: str, width_days: int, keep: list[str] | None = None) -> DataFrame:
     """points joined to the ranges [start, end) that hold their day, without another key; a null start or end is open.
 
-    Days fall into buckets of width_days; a range is repeated for each bucket it touches, so the join is an equi-join and
-    no nested loop. Choose the width near the usual length of a range; open ranges, and those of more than 64 buckets, go
-    by the nodes of a tree instead (see interval_sets.dyadic_join).
+    Ranges of up to 4 * width_days are listed by the days they hold, in lists of about LIST; a point meets the lists of its
+    day by an equi-join, and every pair it makes is a result. Points of a day are slices of about SLICE, so a day with many
+    is not one task. A list is gone through once for each point in turn: as rows that follow each other repeat a list that
+    fits into a compressor's window, the pairs take a fraction of their bytes when written. Choose the width near the usual
+    length of a range; longer and open ones go by the nodes of a tree instead (see interval_sets.dyadic_join). keep: the
+    columns of ranges that are wanted, all if None.
     """
-    bucket = lambda c: F.floor(F.unix_date(c) / width_days)
+    kept = ranges.columns if keep is None else keep
     length = F.datediff(end, start)
-    short = length.isNotNull() & (length <= 64 * width_days)
-    cut = ranges.filter(short & (length > 0)).withColumn("_bucket", F.explode(F.sequence(bucket(F.col(start)), bucket(F.date_sub(end, 1)))))
-    near = points.withColumn("_bucket", bucket(F.col(at))).join(cut, "_bucket").filter((F.col(at) >= F.col(start)) & (F.col(at) < F.col(end))).drop("_bucket")
+    short = length.isNotNull() & (length <= 4 * width_days)
+    cut = ranges.filter(short & (length > 0)).select(F.struct(*kept).alias("_range"), F.explode(F.sequence(F.col(start), F.date_sub(end, 1))).alias("_day"))
+    parts = lambda n, size: F.ceil(F.col(n) / size).cast("int")
+    asked = points.filter(F.col(at).isNotNull()).groupBy(F.col(at).cast("date").alias("_day")).agg(F.count("*").alias("_n")).select("_day", parts("_n", SLICE).alias("_slices"))
+    held = cut.groupBy("_day").agg(F.count("*").alias("_n")).select("_day", parts("_n", LIST).alias("_lists"))
+    # one row for each day of the calendar
+    days = F.broadcast(asked.join(held, "_day"))
+    lists = cut.join(days, "_day").withColumn("_list", F.pmod(F.xxhash64("_range"), F.col("_lists"))).groupBy("_day", "_list", "_slices").agg(F.collect_list("_range").alias("_ranges"))
+    lists = lists.select("_day", "_ranges", F.explode(F.sequence(F.lit(0), F.col("_slices") - 1)).alias("_slice"))
+    sliced = points.select(F.struct(*points.columns).alias("_point"), F.col(at).cast("date").alias("_day")).join(days, "_day")
+    sliced = sliced.select("_day", F.pmod(F.xxhash64("_point"), F.col("_slices")).cast("int").alias("_slice"), "_point")
+    # merged, so that lists are the outer loop and their points the inner one, whatever the sizes
+    met = lists.hint("merge").join(sliced, ["_day", "_slice"]).select("_point", F.explode("_ranges").alias("_range"))
+    near = met.select(*(F.col("_point")[c].alias(c) for c in points.columns), *(F.col("_range")[c].alias(c) for c in kept))
     long_ = ranges.filter(~short)
-    return near if long_.isEmpty() else near.union(dyadic_join(points, long_, at, start, end))
+    if long_.isEmpty():
+        return near
+    far = dyadic_join(points, long_, at, start, end)
+    return near.union(far if keep is None else far.select(*points.columns, *kept))
 
 
 def check_overlap(df: DataFrame, keys: list[str], start: str, end: str, ties: list[str], split: Split = None) -> DataFrame:
