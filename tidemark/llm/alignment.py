@@ -76,6 +76,8 @@ class Tokenizers:
             data = bytes([int(text[3:5], 16)]) if self.second.is_byte(k) else text.replace(STAND_IN, " ").encode()
             self.piece[k] = len(data), data
         self.space = self.second.piece_to_id(STAND_IN)
+        # sizes and bytes by id, looked up for every token
+        self.sides = [({k: n for k, (n, _) in of.items()}.__getitem__, {k: data for k, (_, data) in of.items()}.__getitem__) for of in (self.label, self.piece)]
         # an id pair is one number: the id of A times the number of B's pieces, and the id of B
         self.base = self.second.get_piece_size()
         self.pair_kind = np.uint32 if (max(self.label) + 1) * self.base <= 1 << 32 else np.uint64
@@ -113,21 +115,26 @@ class Tokenizers:
             return re.compile(r"[\s\S]+")
         return re.compile(rf"\s*\S+(?:[^\S{re.escape(self.splitters)}]\s*\S*)*|\s+")
 
-    def encode_second(self, segment: str) -> list[int]:
-        """B's ids of a segment; the space that B puts before it is the segment's own or is taken away again."""
-        if segment.startswith(" "):
-            return self.second.encode(segment[1:]) if len(segment) > 1 else [self.space]
-        ids = self.second.encode(segment)
-        if ids[:1] != [self.space]:
-            raise ValueError("a piece joins the leading space to a character before which texts are split")
-        return ids[1:]
+    def encode_second(self, segments: list[str]) -> list[list[int]]:
+        """B's ids of segments; the space that B puts before one is the segment's own or is taken away again."""
+        found = self.second.encode([s[1:] if s.startswith(" ") else s for s in segments], num_threads=1) if segments else []
+        for k, (segment, ids) in enumerate(zip(segments, found, strict=True)):
+            if segment.startswith(" "):
+                if len(segment) == 1:
+                    found[k] = [self.space]
+            elif ids[:1] != [self.space]:
+                raise ValueError("a piece joins the leading space to a character before which texts are split")
+            else:
+                found[k] = ids[1:]
+        return found
 
     def align(self, segments: list[str]) -> Iterator[tuple[str, list[int], list[int], bool]]:
         """For each segment: its groups as text, how many tokens of A and of B and groups it has, its linked pairs, and whether both spell it."""
-        firsts = self.first.encode_batch(segments, add_special_tokens=False)
-        for segment, encoded in zip(segments, firsts, strict=True):
-            a, b, data = encoded.ids, self.encode_second(segment), segment.encode()
-            if b"".join(self.label[x][1] for x in a) != data or b"".join(self.piece[x][1] for x in b) != data:
+        firsts = self.first.encode_batch_fast(segments, add_special_tokens=False)  # without offsets, which no one reads
+        (_, of_a), (_, of_b) = self.sides
+        for segment, encoded, b in zip(segments, firsts, self.encode_second(segments), strict=True):
+            a, data = encoded.ids, segment.encode()
+            if b"".join(map(of_a, a)) != data or b"".join(map(of_b, b)) != data:
                 yield "", [0, 0, 0], [], False
                 continue
             groups, links = self.groups(a, b)
@@ -135,7 +142,8 @@ class Tokenizers:
 
     def groups(self, a: list[int], b: list[int]) -> tuple[list[str], list[int]]:
         """The groups between offsets where tokens of both end, as text, and a pair of ids for each overlap of two tokens."""
-        ends_a, ends_b = (list(accumulate(size[x][0] for x in ids)) for ids, size in ((a, self.label), (b, self.piece)))
+        ends_a, ends_b = (list(accumulate(map(size, ids))) for ids, (size, _) in zip((a, b), self.sides, strict=True))
+        said_a, said_b = list(map(str, a)), list(map(str, b))
         found, links = [], []
         i = j = from_i = from_j = 0
         while i < len(a) and j < len(b):
@@ -143,7 +151,7 @@ class Tokenizers:
             x, y = ends_a[i], ends_b[j]
             i, j = i + (x <= y), j + (y <= x)
             if x == y:
-                found.append(",".join(map(str, a[from_i:i])) + "|" + ",".join(map(str, b[from_j:j])))
+                found.append(f"{','.join(said_a[from_i:i])}|{','.join(said_b[from_j:j])}")
                 from_i, from_j = i, j
         return found, links
 
@@ -159,6 +167,14 @@ def fields(text: str) -> list[StructField]:
     return StructType.fromDDL(text).fields
 
 
+class Numbered(dict):
+    """Numbers from 0 of the keys that are looked up, in order of their first look-up."""
+
+    def __missing__(self, key: str) -> int:
+        n = self[key] = len(self)
+        return n
+
+
 def bundles(docs: DataFrame, tokenizers: Tokenizers, id_column: str, text_column: str) -> DataFrame:
     """A written table of two kinds of rows: (bundle, place, segment) of distinct segments, and (bundle, row, id, places) of documents."""
     shared = docs.sparkSession.sparkContext.broadcast(tokenizers)
@@ -166,13 +182,10 @@ def bundles(docs: DataFrame, tokenizers: Tokenizers, id_column: str, text_column
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pattern = shared.value.pattern()
-        known: dict[str, int] = {}
+        known = Numbered()
         name, size, rows_before = 0, 0, 0
 
         def numbers(matches: list[str]) -> np.ndarray:
-            for s in matches:
-                if s not in known:
-                    known[s] = len(known)
             return np.fromiter(map(known.__getitem__, matches), np.uint32, len(matches))
 
         def places(text: str | None) -> bytes:
