@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from __spark_entry__ import queries
 from tidemark.operators import asof, interval_sets, intervals, panel, revisions, scan
 
 START = date(2024, 1, 1)
@@ -106,6 +107,34 @@ def test_states_as_known_by_two_times(spark, few, monkeypatch, split, fan):
     assert rows(one.select("i", "value")) == plain_known([(i, k, a, a) for i, k, a, _ in days], events)
 
 
+@pytest.mark.parametrize(("split", "fan"), [(None, 6), (scan.MEASURED, 1)])
+def test_states_as_known_by_several_times_are_those_of_each(spark, few, monkeypatch, split, fan):
+    monkeypatch.setattr(asof, "FAN", fan)
+    rng = random.Random(12)
+    keys = ["a", "a", "a", "b", None]
+    events = [(rng.choice(keys), *((n := rng.randint(0, 80)), n + rng.choice([0, 0, -5, 3, 40])), tie, f"v{tie}") for tie in range(250)]
+    events += [("a", None, 3, 900, "no"), ("a", 3, None, 901, "no"), ("a", 70, 500, 902, "after all"), ("c", 10, 20, 903, "one"), ("c", 12, 20, 904, None)]
+    days = [(i, rng.choice([*keys, "c", "z"]), rng.choice([None, *range(-2, 90)]), rng.choice([None, *range(-2, 130)])) for i in range(300)]
+    days += [days[0], days[0], (999, "c", 11, 19), (998, "c", 11, 20), (997, "c", 12, 20)]
+    left = spark.createDataFrame([(i, k, on(a), on(b), on(400)) for i, k, a, b in days], "i long, k string, at date, known date, end date")
+    right = spark.createDataFrame([(k, on(e), on(a), tie, v) for k, e, a, tie, v in events], "k string, e date, a date, tie int, value string")
+    got = asof.states_as_known(left, right, ["k"], "at", "e", "a", ["value"], {"then": "at", "later": "known", "end_of_it": "end"}, ("tie",), split)
+    assert got.columns == [*left.columns, "then", "later", "end_of_it"]
+    for name, time in (("then", lambda a, b: a), ("later", lambda a, b: b), ("end_of_it", lambda a, b: 400)):
+        assert rows(got.select("i", f"{name}.value")) == plain_known([(i, k, a, time(a, b)) for i, k, a, b in days], events)
+
+
+def test_rows_asked_at_two_times_are_not_shuffled_again_and_again(spark, sf_dir):
+    """Every row goes through the exchange of the scan; besides, keys are counted and groups of sales and late arrivals dealt."""
+    store, none = spark.sparkContext._jsc.sc().statusStore(), spark._jvm.java.util.ArrayList()
+    stages = lambda: store.stageList(none, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), none)
+    seen = {s.stageId() for s in map(stages().apply, range(stages().size()))}
+    queries()["bitemporal_asof"](spark, sf_dir).write.format("noop").mode("overwrite").save()
+    moved = sum(s.shuffleWriteRecords() for s in map(stages().apply, range(stages().size())) if s.stageId() not in seen)
+    read = sum(spark.read.parquet(f"{sf_dir}/{name}.parquet").count() for name in ("clicks", "sales"))
+    assert read <= moved <= 2 * read
+
+
 def test_a_late_announcement_does_not_replace_a_later_effect(spark):
     events = spark.createDataFrame([("x", on(10), on(30), "late"), ("x", on(20), on(20), "later effect")], "k string, e date, a date, v string")
     days = spark.createDataFrame([("x", on(n)) for n in (15, 25, 35)], "k string, at date")

@@ -8,8 +8,8 @@ from operator import and_, or_
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators.scan import MEASURED, Crowds, Split, running
-from tidemark.sources.scratch import forget, written
+from tidemark.operators.scan import MEASURED, Crowds, Split, running, running_all
+from tidemark.sources.scratch import written
 
 
 def asof_join(left: DataFrame, right: DataFrame, by: list[str], left_time: str, right_time: str, values: list[str], strict: bool = False, split: Split = None) -> DataFrame:
@@ -60,54 +60,95 @@ def state_as_known(days: DataFrame, events: DataFrame, by: list[str], at: str, e
     row are `at`. Rows with a null key or time, and events without one of their times, match nothing.
 
     With one time, an event counts from the later of its two times, and a running maximum by effective time over those
-    rows is the answer: one exchange. With two, the events of a key are numbered by effective time, and a query looks for
-    the nearest event before it that was announced in time. Events are kept in groups of 64, groups in groups of 64 on the
-    next level, and so on, each with the first announcement in it. Most queries end in the group they stand in; the others
-    go up to the first level with an earlier group that has such an event, and down in it. Each step is an equi-join by key
-    and group, so a crowded key is many groups; no event is copied, and nothing is repeated for days or for pairs.
+    rows is the answer: one exchange. With two, see states_as_known.
     """
+    if known is not None:
+        found = states_as_known(days, events, by, at, effective, announced, values, {"_known": known}, ties, split)
+        return found.select(*days.columns, *(F.col("_known")[v].alias(v) for v in values))
     keys = [f"_k{i}" for i in range(len(by))]
     named = [F.col(k).alias(n) for n, k in zip(keys, by, strict=True)]
-    times = [at] if known is None else [at, known]
-    usable = reduce(and_, (F.col(c).isNotNull() for c in [*by, effective, announced]))
-    facts = events.filter(usable).select(*named, F.struct(F.col(effective).alias("_effective"), F.col(announced).alias("_announced"), F.struct(*ties).alias("_ties") if ties else F.lit(0).alias("_ties"), F.struct(*values).alias("_values")).alias("_fact"))
-    asked = days.select(*named, *(F.col(c).alias(f"_t{i}") for i, c in enumerate(times))).filter(reduce(and_, (F.col(c).isNotNull() for c in [*keys, *(f"_t{i}" for i in range(len(times)))]))).distinct()
-    if known is None:
-        rows = facts.select(*keys, F.greatest("_fact._effective", "_fact._announced").alias("_time"), F.lit(0).alias("_tag"), "_fact")
-        both = rows.unionByName(asked.select(*keys, F.col("_t0").alias("_time"), F.lit(1).alias("_tag")), allowMissingColumns=True)
-        found = running(both, keys, ["_time", "_tag"], F.col("_fact"), "_best", "max", split).filter("_tag = 1").select(*keys, F.col("_time").alias("_t0"), "_best")
-    else:
-        found = _best_in_prefix(facts, asked, keys, split)
-    found = found.select(*keys, *(F.col(f"_t{i}") for i in range(len(times))), *(F.col("_best._values")[v].alias(f"_{v}_known") for v in values))
-    on = [F.col(c) == F.col(n) for c, n in zip([*by, *times], [*keys, *(f"_t{i}" for i in range(len(times)))], strict=True)]
+    facts = _facts(events, by, effective, announced, values, ties)
+    asked = days.select(*named, F.col(at).alias("_t0")).filter(reduce(and_, (F.col(c).isNotNull() for c in [*keys, "_t0"]))).distinct()
+    rows = facts.select(*keys, F.greatest("_time", "_fact._announced").alias("_time"), F.lit(0).alias("_tag"), F.struct("_time", "_fact").alias("_fact"))
+    both = rows.unionByName(asked.select(*keys, F.col("_t0").alias("_time"), F.lit(1).alias("_tag")), allowMissingColumns=True)
+    found = running(both, keys, ["_time", "_tag"], F.col("_fact"), "_best", "max", split).filter("_tag = 1")
+    found = found.select(*keys, F.col("_time").alias("_t0"), *(F.col("_best._fact._values")[v].alias(f"_{v}_known") for v in values))
+    on = [F.col(c) == F.col(n) for c, n in zip([*by, at], [*keys, "_t0"], strict=True)]
     return days.join(found, on, "left").select(*(days[c] for c in days.columns), *(F.col(f"_{v}_known").alias(v) for v in values))
 
 
+def _facts(events: DataFrame, by: list[str], effective: str, announced: str, values: list[str], ties: tuple[str, ...]) -> DataFrame:
+    """(_k0, _k1, ..., _time, _fact): the events that have keys and both times; _fact orders those of one effective time."""
+    usable = reduce(and_, (F.col(c).isNotNull() for c in [*by, effective, announced]))
+    fact = F.struct(F.col(announced).alias("_announced"), F.struct(*ties).alias("_ties") if ties else F.lit(0).alias("_ties"), F.struct(*values).alias("_values"))
+    return events.filter(usable).select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(by)), F.col(effective).alias("_time"), fact.alias("_fact"))
+
+
+def states_as_known(days: DataFrame, events: DataFrame, by: list[str], at: str, effective: str, announced: str, values: list[str], known: dict[str, str], ties: tuple[str, ...] = (), split: Split = None) -> DataFrame:
+    """days with a struct of `values` for each entry of known, {name: column of days}: what was known by several times.
+
+    Each is that of state_as_known with this time; null where there is none. `at` may be one of the times.
+
+    All times are answered by one scan: rows and events of a key go through one exchange and one sort by effective time,
+    which numbers the events and gives each row the last one in effect. Where that was announced in time, it is the answer.
+    Only for the other rows and times the nearest event before is looked for that was announced in time (_nearest).
+    """
+    keys = [f"_k{i}" for i in range(len(by))]
+    facts = _facts(events, by, effective, announced, values, ties).withColumn("_tag", F.lit(0))
+    named = [F.col(k).alias(n) for n, k in zip(keys, by, strict=True)]
+    rows = days.filter(reduce(and_, (F.col(c).isNotNull() for c in [*by, at]))).select(*named, F.col(at).alias("_time"), F.lit(1).alias("_tag"), F.struct(*days.columns).alias("_row"))
+    both = facts.unionByName(rows, allowMissingColumns=True)
+    # places of events from 1, and for a row that of the last event in effect; for an event, _last is itself
+    places = F.when(F.col("_tag") == 0, 1).otherwise(0).cast("long")
+    scanned = running_all(both, keys, ["_time", "_tag", "_fact"], {"_place": (places, "sum"), "_last": (F.col("_fact"), "last")}, split)
+    scanned = written(scanned.select(*keys, "_tag", "_row", "_place", "_last"), "scanned", spread=True)
+
+    asked, times = scanned.filter("_tag = 1"), [F.col("_row")[c] for c in known.values()]
+    own = [F.when(F.col("_last._announced") <= t, F.col("_last._values")) for t in times]
+    left = [F.coalesce((F.col("_place") > 1) & (F.col("_last._announced") > t), F.lit(False)) for t in times]
+    some = reduce(or_, left)
+    found = asked.filter(~some).select("_row.*", *(c.alias(n) for c, n in zip(own, known, strict=True)))
+    late = F.array_compact(F.array(*(F.when(more, t) for more, t in zip(left, times, strict=True))))
+    queries = written(asked.filter(some).select(*keys, "_place", F.explode(late).alias("_t1")).distinct(), "queries", spread=True)
+    if not queries.isEmpty():
+        nearest = _nearest(scanned.filter("_tag = 0").select(*keys, "_place", F.col("_last").alias("_fact")), queries, keys)
+        more = asked.filter(some).select(*keys, "_place", "_row", *(c.alias(f"_own{i}") for i, c in enumerate(own)))
+        for i, c in enumerate(known.values()):
+            named = nearest.select(*(F.col(k).alias(f"_{k}_n") for k in [*keys, "_place"]), F.col("_t1").alias("_t1_n"), F.col("_best._values").alias(f"_near{i}"))
+            same = [*(F.col(k) == F.col(f"_{k}_n") for k in [*keys, "_place"]), F.col("_row")[c] == F.col("_t1_n")]
+            more = more.join(named, same, "left").drop("_t1_n", *(f"_{k}_n" for k in [*keys, "_place"]))
+        found = found.union(more.select("_row.*", *(F.coalesce(f"_own{i}", f"_near{i}").alias(n) for i, n in enumerate(known))))
+    rest = days.filter(reduce(or_, (F.col(c).isNull() for c in [*by, at])))
+    return found.union(rest.select(*days.columns, *(F.lit(None).cast(found.schema[n].dataType).alias(n) for n in known)))
+
+
 #: Events of a group, and groups of a group of the next level: 2 to the power of FAN.
 FAN = 6
 
 
-def _best_in_prefix(facts: DataFrame, asked: DataFrame, keys: list[str], split: Split) -> DataFrame:
-    """(keys, _t0, _t1, _best): of the facts announced by _t1 and effective by _t0, the largest."""
-    both = facts.withColumn("_time", F.col("_fact._effective")).withColumn("_tag", F.lit(0)).unionByName(asked.withColumn("_time", F.col("_t0")).withColumn("_tag", F.lit(1)), allowMissingColumns=True)
-    # places of events from 1; for a query, the place of the last event in effect
-    both = written(running(both, keys, ["_time", "_tag", "_fact"], F.when(F.col("_tag") == 0, 1).otherwise(0).cast("long"), "_place", "sum", split), "places")
+def _nearest(events: DataFrame, queries: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, _place, _t1, _best): of the events before _place, the last that was announced by _t1. Without one, maybe no row.
+
+    Events are kept in groups of 64, groups in groups of 64 on the next level, and so on, each with the first announcement
+    in it. Most queries end in the group they stand in; the others go up to the first level with an earlier group that has
+    such an event, and down in it. Each step is an equi-join by key and group, so a crowded key is many groups; no event is
+    copied, and nothing is repeated for days or for pairs.
+    """
     group = lambda level: F.call_function("shiftright", F.col("_place") - 1, F.lit(FAN * level))
     last = lambda entries, *conditions: F.try_element_at(F.filter(entries, lambda e: reduce(and_, (c(e) for c in conditions))), F.lit(-1))
     announced = lambda e: e["_first"] <= F.col("_t1")
+    query = [*keys, "_place", "_t1"]
 
-    events = both.filter("_tag = 0").select(*keys, group(1).alias("_group"), F.struct("_place", F.col("_fact._announced").alias("_first"), "_fact").alias("_entry"))
-    leaves = written(events.groupBy(*keys, "_group").agg(F.array_sort(F.collect_list("_entry")).alias("_entries")), "leaves")
-    queries = both.filter("_tag = 1 and _place > 0").select(*keys, "_t0", "_t1", "_place", group(1).alias("_group"))
-    own = last("_entries", announced, lambda e: e["_place"] <= F.col("_place"))
-    near = written(queries.join(leaves, [*keys, "_group"]).select(*keys, "_t0", "_t1", "_place", own["_fact"].alias("_best")), "near")
-    forget(both)
+    entries = events.select(*keys, group(1).alias("_group"), F.struct("_place", F.col("_fact._announced").alias("_first"), "_fact").alias("_entry"))
+    leaves = written(entries.groupBy(*keys, "_group").agg(F.array_sort(F.collect_list("_entry")).alias("_entries")), "leaves", spread=True)
+    own = last("_entries", announced, lambda e: e["_place"] < F.col("_place"))
+    near = written(queries.withColumn("_group", group(1)).join(leaves, [*keys, "_group"]).select(*query, own["_fact"].alias("_best")), "near", spread=True)
 
     largest, levels = leaves.agg(F.max("_group")).first()[0] or 0, 0
     while largest >> (FAN * levels):
         levels += 1
     if not levels:
-        return near.drop("_place")
+        return near
     # one entry for each group of the level below: its number and when the first of its events was announced
     below, floors = leaves.select(*keys, "_group", F.array_min(F.transform("_entries", lambda e: e["_first"])).alias("_first")), []
     for level in range(1, levels + 1):
@@ -121,16 +162,16 @@ def _best_in_prefix(facts: DataFrame, asked: DataFrame, keys: list[str], split:
     shifted = lambda more: F.expr(f"shiftright(_place - 1, {FAN} * (_level + {more}))")
     far = far.withColumn("_group", shifted(1)).withColumn("_child", shifted(0)).join(floors, [*keys, "_level", "_group"])
     far = far.withColumn("_found", last("_entries", announced, lambda e: e["_place"] < F.col("_child"))["_place"]).filter("_found is not null")
-    far = far.groupBy(*keys, "_t0", "_t1").agg(F.min(F.struct("_level", "_found")).alias("_at")).select(*keys, "_t0", "_t1", F.col("_at._level").alias("_level"), F.col("_at._found").alias("_group"))
+    far = far.groupBy(*query).agg(F.min(F.struct("_level", "_found")).alias("_at")).select(*query, F.col("_at._level").alias("_level"), F.col("_at._found").alias("_group"))
     # and down again, in the last group of each level that has one
     for level in range(levels - 1, 0, -1):
         floor = floors.filter(F.col("_level") == level).select(*(F.col(k).alias(f"{k}_f") for k in keys), F.col("_group").alias("_group_f"), "_entries")
         same = [F.col(c) == F.col(f"{c}_f") for c in [*keys, "_group"]]
         far = far.join(floor, reduce(and_, [*same, F.col("_level") == level + 1]), "left")
         deeper = F.col("_entries").isNotNull()
-        far = far.select(*keys, "_t0", "_t1", F.when(deeper, level).otherwise(F.col("_level")).alias("_level"), F.when(deeper, last("_entries", announced)["_place"]).otherwise(F.col("_group")).alias("_group"))
-    far = far.join(leaves, [*keys, "_group"]).select(*keys, "_t0", "_t1", last("_entries", announced)["_fact"].alias("_best"))
-    return near.filter("_best is not null").drop("_place").unionByName(far)
+        far = far.select(*query, F.when(deeper, level).otherwise(F.col("_level")).alias("_level"), F.when(deeper, last("_entries", announced)["_place"]).otherwise(F.col("_group")).alias("_group"))
+    far = far.join(leaves, [*keys, "_group"]).select(*query, last("_entries", announced)["_fact"].alias("_best"))
+    return written(near.filter("_best is not null").unionByName(far), "nearest", spread=True)
 
 
 def next_in_calendar(df: DataFrame, day: str, calendar: DataFrame, calendar_day: str, out: str, strict: bool) -> DataFrame:

@@ -119,11 +119,19 @@ def beside(df: DataFrame, keys: list[str], order: list[str], values: dict[str, C
 
 def running(df: DataFrame, keys: list[str], order: list[str], value: Column, out: str, how: str, split: Split = None) -> DataFrame:
     """df with out: value up to and with each row of its key: its 'sum', its 'max' or the 'last' that is not null."""
+    return running_all(df, keys, order, {out: (value, how)}, split)
+
+
+def running_all(df: DataFrame, keys: list[str], order: list[str], values: dict[str, tuple[Column, str]], split: Split = None) -> DataFrame:
+    """Several running values, of {out: (value, how)}, by one sort."""
     cut = Cut(df, keys, order, split)
-    rows, by = cut.rows, cut.window().rowsBetween(*ALL_BEFORE)
-    within = {"sum": F.sum, "max": F.max, "last": lambda c: F.last(c, ignorenulls=True)}[how]
-    summary = F.max_by(value, F.when(value.isNotNull(), F.struct(*order))) if how == "last" else within(value)
-    before = lambda s, w: within(s).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    rows = cut.with_carried(rows.withColumn(out, within(value).over(by)), summary, before, "_carried")
-    both = {"sum": F.coalesce(F.col(out) + F.col("_carried"), out, "_carried"), "max": F.greatest(out, "_carried"), "last": F.coalesce(out, "_carried")}[how]
-    return rows.withColumn(out, both).drop("_carried", "_block")
+    by = cut.window().rowsBetween(*ALL_BEFORE)
+    within = {"sum": F.sum, "max": F.max, "last": lambda c: F.last(c, ignorenulls=True)}
+    rows = cut.rows.withColumns({out: within[how](value).over(by) for out, (value, how) in values.items()})
+    for out, (value, how) in values.items():
+        summary = F.max_by(value, F.when(value.isNotNull(), F.struct(*order))) if how == "last" else within[how](value)
+        before = lambda s, w, how=how: within[how](s).over(w.rowsBetween(Window.unboundedPreceding, -1))
+        rows = cut.with_carried(rows, summary, before, "_carried")
+        both = {"sum": F.coalesce(F.col(out) + F.col("_carried"), out, "_carried"), "max": F.greatest(out, "_carried"), "last": F.coalesce(out, "_carried")}[how]
+        rows = rows.withColumn(out, both).drop("_carried")
+    return rows.drop("_block")

@@ -29,11 +29,11 @@ def bitemporal_asof(t: Tables) -> DataFrame:
     Sales take effect when sold and are known when they arrive, hours or days later for some.
     """
     sales = t.sales.select("client_id", "sold_at", "arrived_at", "sale_id")
-    rows = t.clicks.select("click_id", "client_id", "ts", (F.col("arrived_at") + F.expr("INTERVAL 6 HOURS")).alias("later"))
-    known = lambda df, name, **more: asof.state_as_known(df, sales, ["client_id"], "ts", "sold_at", "arrived_at", ["sale_id"], ties=("sale_id",), split=scan.MEASURED, **more).withColumnRenamed("sale_id", name)
-    rows = known(known(rows, "known_then"), "known_later", known="later")
-    last = sales.groupBy("client_id", "sold_at").agg(F.max_by("sale_id", F.struct("arrived_at", "sale_id")).alias("in_effect"))
-    return asof.asof_join(rows, last, ["client_id"], "ts", "sold_at", ["in_effect"], split=scan.MEASURED).select("click_id", "known_then", "known_later", "in_effect")
+    hindsight = F.lit("2999-01-01 00:00:00").cast("timestamp_ntz")
+    rows = t.clicks.select("click_id", "client_id", "ts", (F.col("arrived_at") + F.expr("INTERVAL 6 HOURS")).alias("later"), hindsight.alias("hindsight"))
+    times = {"known_then": "ts", "known_later": "later", "in_effect": "hindsight"}
+    found = asof.states_as_known(rows, sales, ["client_id"], "ts", "sold_at", "arrived_at", ["sale_id"], times, ties=("sale_id",), split=scan.MEASURED)
+    return found.select("click_id", *(F.col(n)["sale_id"].alias(n) for n in times))
 
 
 CHAIN = """WITH r AS (SELECT client_id, valid_at, seq, change_id, op = 'D' AS gone, (segment, city, balance, op = 'D')::VARCHAR AS said FROM client_changes WHERE valid_at IS NOT NULL

@@ -76,11 +76,15 @@ WHILE_WRITING = {
 }
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: cuts the lineage and survives lost executors."""
+def written(df: DataFrame, name: str, spread: bool = False) -> DataFrame:
+    """df as a Parquet table in the shared folder: cuts the lineage and survives lost executors.
+
+    spread: the last step is work for all cores, even if that makes more files.
+    """
     spark = df.sparkSession
-    path, before = shared_path(spark, name), {k: spark.conf.get(k) for k in WHILE_WRITING}
-    for k, v in WHILE_WRITING.items():
+    settings = WHILE_WRITING | ({"spark.sql.adaptive.coalescePartitions.parallelismFirst": "true"} if spread else {})
+    path, before = shared_path(spark, name), {k: spark.conf.get(k) for k in settings}
+    for k, v in settings.items():
         spark.conf.set(k, v)
     try:
         df.write.option("compression", "zstd").parquet(path)
