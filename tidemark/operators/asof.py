@@ -8,8 +8,8 @@ from operator import and_, or_
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators.scan import MEASURED, Crowds, Split, running, running_all
-from tidemark.sources.scratch import written
+from tidemark.operators.scan import MEASURED, Crowds, Cut, Split, running, running_all
+from tidemark.sources.scratch import forget, written
 
 
 def asof_join(left: DataFrame, right: DataFrame, by: list[str], left_time: str, right_time: str, values: list[str], strict: bool = False, split: Split = None) -> DataFrame:
@@ -100,8 +100,10 @@ def states_as_known(days: DataFrame, events: DataFrame, by: list[str], at: str,
     both = facts.unionByName(rows, allowMissingColumns=True)
     # places of events from 1, and for a row that of the last event in effect; for an event, _last is itself
     places = F.when(F.col("_tag") == 0, 1).otherwise(0).cast("long")
-    scanned = running_all(both, keys, ["_time", "_tag", "_fact"], {"_place": (places, "sum"), "_last": (F.col("_fact"), "last")}, split)
+    cut = Cut(both, keys, ["_time", "_tag", "_fact"], split)
+    scanned = running_all(cut, {"_place": (places, "sum"), "_last": (F.col("_fact"), "last")})
     scanned = written(scanned.select(*keys, "_tag", "_row", "_place", "_last"), "scanned", spread=True)
+    cut.forget()
 
     asked, times = scanned.filter("_tag = 1"), [F.col("_row")[c] for c in known.values()]
     own = [F.when(F.col("_last._announced") <= t, F.col("_last._values")) for t in times]
@@ -118,6 +120,7 @@ def states_as_known(days: DataFrame, events: DataFrame, by: list[str], at: str,
             same = [*(F.col(k) == F.col(f"_{k}_n") for k in [*keys, "_place"]), F.col("_row")[c] == F.col("_t1_n")]
             more = more.join(named, same, "left").drop("_t1_n", *(f"_{k}_n" for k in [*keys, "_place"]))
         found = found.union(more.select("_row.*", *(F.coalesce(f"_own{i}", f"_near{i}").alias(n) for i, n in enumerate(known))))
+    forget(queries)
     rest = days.filter(reduce(or_, (F.col(c).isNull() for c in [*by, at])))
     return found.union(rest.select(*days.columns, *(F.lit(None).cast(found.schema[n].dataType).alias(n) for n in known)))
 
@@ -137,20 +140,22 @@ def _nearest(events: DataFrame, queries: DataFrame, keys: list[str]) -> DataFram
     group = lambda level: F.call_function("shiftright", F.col("_place") - 1, F.lit(FAN * level))
     last = lambda entries, *conditions: F.try_element_at(F.filter(entries, lambda e: reduce(and_, (c(e) for c in conditions))), F.lit(-1))
     announced = lambda e: e["_first"] <= F.col("_t1")
+    told = lambda e: e["_fact"]["_announced"] <= F.col("_t1")
     query = [*keys, "_place", "_t1"]
 
-    entries = events.select(*keys, group(1).alias("_group"), F.struct("_place", F.col("_fact._announced").alias("_first"), "_fact").alias("_entry"))
+    entries = events.select(*keys, group(1).alias("_group"), F.struct("_place", "_fact").alias("_entry"))
     leaves = written(entries.groupBy(*keys, "_group").agg(F.array_sort(F.collect_list("_entry")).alias("_entries")), "leaves", spread=True)
-    own = last("_entries", announced, lambda e: e["_place"] < F.col("_place"))
+    own = last("_entries", told, lambda e: e["_place"] < F.col("_place"))
     near = written(queries.withColumn("_group", group(1)).join(leaves, [*keys, "_group"]).select(*query, own["_fact"].alias("_best")), "near", spread=True)
 
     largest, levels = leaves.agg(F.max("_group")).first()[0] or 0, 0
     while largest >> (FAN * levels):
         levels += 1
     if not levels:
+        forget(leaves)
         return near
     # one entry for each group of the level below: its number and when the first of its events was announced
-    below, floors = leaves.select(*keys, "_group", F.array_min(F.transform("_entries", lambda e: e["_first"])).alias("_first")), []
+    below, floors = leaves.select(*keys, "_group", F.array_min(F.transform("_entries", lambda e: e["_fact"]["_announced"])).alias("_first")), []
     for level in range(1, levels + 1):
         above = below.groupBy(*keys, F.call_function("shiftright", F.col("_group"), F.lit(FAN)).alias("_group")).agg(F.array_sort(F.collect_list(F.struct(F.col("_group").alias("_place"), "_first"))).alias("_entries"))
         floors.append(above.withColumn("_level", F.lit(level)))
@@ -170,8 +175,12 @@ def _nearest(events: DataFrame, queries: DataFrame, keys: list[str]) -> DataFram
         far = far.join(floor, reduce(and_, [*same, F.col("_level") == level + 1]), "left")
         deeper = F.col("_entries").isNotNull()
         far = far.select(*query, F.when(deeper, level).otherwise(F.col("_level")).alias("_level"), F.when(deeper, last("_entries", announced)["_place"]).otherwise(F.col("_group")).alias("_group"))
-    far = far.join(leaves, [*keys, "_group"]).select(*query, last("_entries", announced)["_fact"].alias("_best"))
-    return written(near.filter("_best is not null").unionByName(far), "nearest", spread=True)
+    # as a table its size is known before the join, so that a small one does not deal all leaves once more
+    far = written(far.select(*query, "_group"), "far", spread=True)
+    deep = far.join(leaves, [*keys, "_group"]).select(*query, last("_entries", told)["_fact"].alias("_best"))
+    found = written(near.filter("_best is not null").unionByName(deep), "nearest", spread=True)
+    forget(leaves, near, floors, far)
+    return found
 
 
 def next_in_calendar(df: DataFrame, day: str, calendar: DataFrame, calendar_day: str, out: str, strict: bool) -> DataFrame:

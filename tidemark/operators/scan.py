@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.sources.scratch import written
+from tidemark.sources.scratch import forget, written
 
 #: A key with more than one in so many rows is cut, into blocks of as many.
 PIECES = 256
@@ -87,6 +87,11 @@ class Cut:
     def window(self):
         return Window.partitionBy(*self.keys, "_block").orderBy(*(F.col(c).asc_nulls_first() for c in self.order))
 
+    def forget(self) -> None:
+        """Delete the table of rows, once nothing reads it any more."""
+        if self.crowded:
+            forget(self.rows)
+
     def with_carried(self, rows: DataFrame, summary: Column, combine, out: str) -> DataFrame:
         """rows with out: the summaries of the blocks of the key that combine, an aggregate over ordered blocks, takes."""
         if not self.crowded:
@@ -119,17 +124,16 @@ def beside(df: DataFrame, keys: list[str], order: list[str], values: dict[str, C
 
 def running(df: DataFrame, keys: list[str], order: list[str], value: Column, out: str, how: str, split: Split = None) -> DataFrame:
     """df with out: value up to and with each row of its key: its 'sum', its 'max' or the 'last' that is not null."""
-    return running_all(df, keys, order, {out: (value, how)}, split)
+    return running_all(Cut(df, keys, order, split), {out: (value, how)})
 
 
-def running_all(df: DataFrame, keys: list[str], order: list[str], values: dict[str, tuple[Column, str]], split: Split = None) -> DataFrame:
-    """Several running values, of {out: (value, how)}, by one sort."""
-    cut = Cut(df, keys, order, split)
+def running_all(cut: Cut, values: dict[str, tuple[Column, str]]) -> DataFrame:
+    """The rows of cut with several running values, of {out: (value, how)}, by one sort."""
     by = cut.window().rowsBetween(*ALL_BEFORE)
     within = {"sum": F.sum, "max": F.max, "last": lambda c: F.last(c, ignorenulls=True)}
     rows = cut.rows.withColumns({out: within[how](value).over(by) for out, (value, how) in values.items()})
     for out, (value, how) in values.items():
-        summary = F.max_by(value, F.when(value.isNotNull(), F.struct(*order))) if how == "last" else within[how](value)
+        summary = F.max_by(value, F.when(value.isNotNull(), F.struct(*cut.order))) if how == "last" else within[how](value)
         before = lambda s, w, how=how: within[how](s).over(w.rowsBetween(Window.unboundedPreceding, -1))
         rows = cut.with_carried(rows, summary, before, "_carried")
         both = {"sum": F.coalesce(F.col(out) + F.col("_carried"), out, "_carried"), "max": F.greatest(out, "_carried"), "last": F.coalesce(out, "_carried")}[how]
