@@ -83,6 +83,44 @@ def test_pairs_of_a_range_join_come_day_by_day(spark):
     assert sum(x["id"] != y["id"] for x, y in zip(got, got[1:])) == 199
 
 
+def one_day(spark, n, m):
+    """n points and m ranges of one day, which is no literal for the optimizer."""
+    day = F.date_add(F.lit(d("2024-01-01")), (F.col("id") % 1).cast("int"))
+    return spark.range(n).select("id", day.alias("day")), spark.range(m).select(F.col("id").alias("s"), day.alias("a")).withColumn("b", F.date_add("a", 1))
+
+
+def test_a_range_join_hands_on_the_pairs_of_one_point_at_a_time(spark):
+    points, spans = one_day(spark, 1000, 1000)
+    first = intervals.range_join(points, spans, "day", "a", "b", 4, ["s"]).limit(1)
+    assert len(first.collect()) == 1
+    node = first._jdf.queryExecution().executedPlan().executedPlan().plan()
+    while node.nodeName() != "Generate":
+        node = node.children().head()
+    assert node.metrics().apply("numOutputRows").value() <= 1000
+
+
+def test_a_crowded_day_of_a_range_join_is_several_tasks(spark):
+    points, spans = one_day(spark, 6000, 5000)
+    pairs = intervals.range_join(points, spans, "day", "a", "b", 4, ["s"])
+    tasks = pairs.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n")).collect()
+    assert sum(t["n"] for t in tasks) == 6000 * 5000
+    assert max(t["n"] for t in tasks) < 20_000_000
+
+
+@pytest.mark.parametrize("keep", [["v"], ["s", "v"], None])
+def test_a_range_join_keeps_nulls_and_repeated_rows_over_lists_and_slices(spark, monkeypatch, keep):
+    monkeypatch.setattr(intervals, "LIST", 4)
+    monkeypatch.setattr(intervals, "PAIRS", 64)
+    day_of = lambda c: F.date_add(F.lit(d("2024-01-01")), c.cast("int"))
+    points = spark.range(300).select(F.when(F.col("id") % 7 > 0, F.col("id") % 90).alias("id"), F.when(F.col("id") % 11 > 0, day_of(F.col("id") % 3)).alias("day"))
+    spans = spark.range(60).select((F.col("id") % 40).alias("s"), F.when(F.col("id") % 3 > 0, F.col("id") % 5).alias("v"), day_of(F.col("id") % 4 - 1).alias("a")).withColumn("b", F.date_add("a", (F.col("s") % 5).cast("int")))
+    wanted = ["id", "day", *(spans.columns if keep is None else keep)]
+    loop = points.join(spans, (F.col("day") >= F.col("a")) & (F.col("day") < F.col("b"))).select(*wanted)
+    got = intervals.range_join(points, spans, "day", "a", "b", 4, keep)
+    assert got.columns == wanted
+    assert rows(got) == rows(loop)
+
+
 def test_overlap_finds_open_and_empty_intervals(spark):
     df = spark.createDataFrame([("a", d("2024-01-01"), None), ("a", d("2024-02-01"), d("2024-03-01")), ("b", d("2024-01-01"), d("2024-01-01")), ("c", d("2024-01-01"), d("2024-02-01")), ("c", d("2024-02-01"), None)], "k string, s date, e date")
     assert [r[0] for r in rows(intervals.check_overlap(df, ["k"], "s", "e", []))] == ["a", "b"]

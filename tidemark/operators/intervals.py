@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -82,36 +84,47 @@ def cap_open_ends(intervals: DataFrame, caps: DataFrame, by: list[str], end: str
     return intervals.join(caps.select(*by, F.col(cap).alias("_cap")), by, "left").withColumn(end, F.coalesce(end, "_cap")).drop("_cap")
 
 
-#: Ranges of one list and points of one slice of a day, about.
-LIST, SLICE = 4096, 1 << 16
+#: Ranges of one list; pairs of one slice of a day with one list, and of one partition; about.
+LIST, PAIRS = 256, 1 << 23
 
 
 def range_join(points: DataFrame, ranges: DataFrame, at: str, start: str, end: str, width_days: int, keep: list[str] | None = None) -> DataFrame:
     """points joined to the ranges [start, end) that hold their day, without another key; a null start or end is open.
 
     Ranges of up to 4 * width_days are listed by the days they hold, in lists of about LIST; a point meets the lists of its
-    day by an equi-join, and every pair it makes is a result. Points of a day are slices of about SLICE, so a day with many
-    is not one task. A list is gone through once for each point in turn: as rows that follow each other repeat a list that
-    fits into a compressor's window, the pairs take a fraction of their bytes when written. Choose the width near the usual
-    length of a range; longer and open ones go by the nodes of a tree instead (see interval_sets.dyadic_join). keep: the
-    columns of ranges that are wanted, all if None.
+    day by an equi-join, and every pair it makes is a result. Points of a day are slices, and partitions follow the number of
+    pairs, so neither a slice with a list nor a task has many more than PAIRS. A list is gone through once for each point in
+    turn, and what one point makes is handed on before the next: the points are the outer loop of the join, as Spark keeps
+    all rows of one row of that side. Rows that follow each other repeat a list that fits into a compressor's window, so the
+    pairs take a fraction of their bytes when written. Choose the width near the usual length of a range; longer and open
+    ones go by the nodes of a tree instead (see interval_sets.dyadic_join). keep: the columns of ranges that are wanted, all
+    if None.
     """
     kept = ranges.columns if keep is None else keep
     length = F.datediff(end, start)
     short = length.isNotNull() & (length <= 4 * width_days)
     cut = ranges.filter(short & (length > 0)).select(F.struct(*kept).alias("_range"), F.explode(F.sequence(F.col(start), F.date_sub(end, 1))).alias("_day"))
     parts = lambda n, size: F.ceil(F.col(n) / size).cast("int")
-    asked = points.filter(F.col(at).isNotNull()).groupBy(F.col(at).cast("date").alias("_day")).agg(F.count("*").alias("_n")).select("_day", parts("_n", SLICE).alias("_slices"))
-    held = cut.groupBy("_day").agg(F.count("*").alias("_n")).select("_day", parts("_n", LIST).alias("_lists"))
+    asked = points.filter(F.col(at).isNotNull()).groupBy(F.col(at).cast("date").alias("_day")).agg(F.count("*").alias("_n"))
     # one row for each day of the calendar
-    days = F.broadcast(asked.join(held, "_day"))
-    lists = cut.join(days, "_day").withColumn("_list", F.pmod(F.xxhash64("_range"), F.col("_lists"))).groupBy("_day", "_list", "_slices").agg(F.collect_list("_range").alias("_ranges"))
-    lists = lists.select("_day", "_ranges", F.explode(F.sequence(F.lit(0), F.col("_slices") - 1)).alias("_slice"))
+    days = asked.join(cut.groupBy("_day").agg(F.count("*").alias("_m")), "_day")
+    pairs = days.agg(F.sum(F.col("_n").cast("double") * F.col("_m"))).first()[0] or 0
+    days = F.broadcast(days.select("_day", parts("_n", PAIRS // LIST).alias("_slices"), parts("_m", LIST).alias("_lists")))
+    dealt = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    lists = cut.join(days, "_day").groupBy("_day", dealt("_range", "_lists").alias("_list"), "_slices").agg(F.collect_list("_range").alias("_ranges"))
+    # a single column is an array of its values, which is gone through faster than structs
+    one = len(kept) == 1
+    held = F.transform("_ranges", lambda r: r[kept[0]]) if one else F.col("_ranges")
+    lists = lists.select("_day", "_list", held.alias("_ranges"), each("_slices").alias("_slice"))
     sliced = points.select(F.struct(*points.columns).alias("_point"), F.col(at).cast("date").alias("_day")).join(days, "_day")
-    sliced = sliced.select("_day", F.pmod(F.xxhash64("_point"), F.col("_slices")).cast("int").alias("_slice"), "_point")
-    # merged, so that lists are the outer loop and their points the inner one, whatever the sizes
-    met = lists.hint("merge").join(sliced, ["_day", "_slice"]).select("_point", F.explode("_ranges").alias("_range"))
-    near = met.select(*(F.col("_point")[c].alias(c) for c in points.columns), *(F.col("_range")[c].alias(c) for c in kept))
+    sliced = sliced.select("_day", "_point", dealt("_point", "_slices").alias("_slice"), each("_lists").alias("_list"))
+    # a number of partitions of our own is not coalesced by bytes, of which pairs to be made have none yet
+    by = ["_day", "_slice", "_list"]
+    sliced, lists = (side.repartition(max(1, math.ceil(pairs / PAIRS)), *by) for side in (sliced, lists))
+    met = sliced.hint("merge").join(lists, by).select("_point", F.explode("_ranges").alias("_range"))
+    found = [F.col("_range").alias(kept[0])] if one else [F.col("_range")[c].alias(c) for c in kept]
+    near = met.select(*(F.col("_point")[c].alias(c) for c in points.columns), *found)
     long_ = ranges.filter(~short)
     if long_.isEmpty():
         return near
