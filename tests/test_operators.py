@@ -3,6 +3,7 @@
 import random
 from datetime import date, datetime
 
+import duckdb
 import numpy
 import pytest
 from pyspark.sql import functions as F
@@ -11,6 +12,7 @@ from pyspark.sql import types as T
 from tidemark.functions import scalar as S
 from tidemark.operators import asof, combine, filters, intervals, panel, periods, quality
 from tidemark.plans import composites
+from tidemark.plans.registry import QUERIES, SQL
 
 
 def d(text):
@@ -121,6 +123,17 @@ def test_a_range_join_keeps_nulls_and_repeated_rows_over_lists_and_slices(spark,
     assert rows(got) == rows(loop)
 
 
+def test_parts_without_key_or_size_have_no_range(spark, tmp_path):
+    spark.createDataFrame([(1, datetime(1995, 2, 7)), (None, datetime(1995, 2, 7)), (2, None)], "o_orderkey long, o_orderdate timestamp_ntz").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.createDataFrame([(1, 1), (None, 1), (1, None), (None, None)], "p_partkey long, p_size int").write.parquet(f"{tmp_path}/part.parquet")
+    con = duckdb.connect()
+    for t in ("orders", "part"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    want = con.execute(SQL["range_join_bucketed"]).fetchall()
+    assert len(want) == 2
+    assert rows(QUERIES["range_join_bucketed"](spark, str(tmp_path))) == sorted(want, key=lambda r: [(x is not None, x) for x in r])
+
+
 def test_overlap_finds_open_and_empty_intervals(spark):
     df = spark.createDataFrame([("a", d("2024-01-01"), None), ("a", d("2024-02-01"), d("2024-03-01")), ("b", d("2024-01-01"), d("2024-01-01")), ("c", d("2024-01-01"), d("2024-02-01")), ("c", d("2024-02-01"), None)], "k string, s date, e date")
     assert [r[0] for r in rows(intervals.check_overlap(df, ["k"], "s", "e", []))] == ["a", "b"]

@@ -129,7 +129,7 @@ SPANS = "SELECT p_partkey, DATE '1995-01-01' + (p_partkey * 37 % 2400)::INT AS s
 @query(f"SELECT o_orderkey, p_partkey FROM orders JOIN ({SPANS}) ON o_orderdate::DATE >= s AND o_orderdate::DATE < e")
 def range_join_bucketed(t: Tables) -> DataFrame:
     start = F.date_add(F.to_date(F.lit("1995-01-01")), (F.col("p_partkey") * 37 % 2400).cast("int"))
-    spans = t.part.select("p_partkey", start.alias("s"), F.date_add(start, F.col("p_size") % 5 + 1).alias("e"))
+    spans = t.part.select("p_partkey", start.alias("s"), F.date_add(start, F.col("p_size") % 5 + 1).alias("e")).filter("s is not null and e is not null")
     return intervals.range_join(t.orders.select("o_orderkey", day("o_orderdate").alias("d")), spans, "d", "s", "e", 4, ["p_partkey"]).select("o_orderkey", "p_partkey")
 
 
